@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side is broadcast only when its measured size stays under this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -44,17 +44,10 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def measured_size(df: DataFrame) -> tuple[int, int]:
-    """(rows, estimated bytes) of a frame, by one aggregation."""
-    variable = [
-        f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))
-    ]
-    fixed = 16 * len(df.columns) + 16
-    texts = [F.coalesce(F.sum(F.octet_length(F.col(name))), F.lit(0)) for name in variable]
-    total = F.count(F.lit(1)) * F.lit(fixed)
-    for text in texts:
-        total = total + text
-    rows, size = df.agg(F.count(F.lit(1)), total).first()
-    return rows, size
+    """(rows, estimated bytes) of a frame, by one aggregation over its text form."""
+    text = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
+    return rows, size + 16 * rows * len(df.columns)
 
 
 def join_keyed(left: DataFrame, keyed: DataFrame, on: str, weight: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # The characters that count as white space when text is stripped.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "               　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 MONEY = T.DecimalType(18, 4)
@@ -23,15 +25,12 @@ def is_blank(text: Column) -> Column:
 
 
 def to_number(df: DataFrame, name: str) -> Column:
-    """A column as DOUBLE; what is no number becomes null."""
-    kind = df.schema[name].dataType
+    """A column as DOUBLE; what is no finite number in digits becomes null."""
     value = F.col(name)
-    if isinstance(kind, T.StringType):
-        # Java also reads "1.5d" and "1.5f" as numbers
-        suffixed = value.rlike(r"[dDfF]\s*$") & ~value.rlike(r"(?i)inf\s*$")
-        value = F.when(~suffixed, value)
-    number = value.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    if isinstance(df.schema[name].dataType, T.StringType):
+        # the cast would also read "1.5d", "1.5f", "NaN" and "Infinity"
+        return F.translate(value, "dDfFnN", "??????").try_cast("double")
+    return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
 
 
 def to_time(df: DataFrame, name: str, formats: tuple[str, ...] = ()) -> Column:
@@ -72,7 +71,27 @@ def round2(value: Column) -> Column:
     return F.round(value.cast("decimal(32,6)"), 2).cast("double")
 
 
-def python_list(names: list[str]) -> str:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def parse_json(text: Column) -> Column:
+    """The JSON value of a text as VARIANT, or null where the text is not exactly one JSON value.
+
+    Spark's parser stops after the first value. Inside a wrapper whose last field must appear,
+    anything that follows the value makes the whole fail.
+    """
+
+    def body_of(wrapped: Column) -> Column:
+        whole = F.try_variant_get(wrapped, "$.tail", "int") == 0
+        alone = F.size(F.map_keys(wrapped.cast("map<string,variant>"))) == 2
+        return F.when(whole & alone, F.variant_get(wrapped, "$.body", "variant"))
+
+    return let(F.try_parse_json(F.concat(F.lit('{"body":'), text, F.lit(',"tail":0}'))), body_of)
+
+
+def python_list(names) -> str:
     """['a', 'b'] as messages print it."""
     return "[" + ", ".join(f"'{n}'" for n in names) + "]"
 

@@ -286,3 +286,191 @@ COMMERCE = {
         UNION ALL BY NAME SELECT 'churn_risk_customers' AS detector, * FROM churn_signals""",
     ),
 }
+
+
+RAW = """
+raw_customers AS (
+  SELECT c_custkey::VARCHAR AS customer_id,
+         CASE WHEN c_acctbal < -900 THEN 'not-a-date'
+              ELSE strftime(DATE '2020-01-01' + (c_custkey % 1000)::INTEGER, '%Y-%m-%d') END AS signup_date,
+         n_name AS city, CASE WHEN c_acctbal < 9800 THEN '25-34' END AS age_group,
+         c_mktsegment AS acquisition_channel
+  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
+),
+raw_products AS (
+  SELECT p_partkey::VARCHAR AS product_id, p_name AS product_name, p_type AS category,
+         p_brand AS sub_category,
+         CASE WHEN p_size = 50 THEN '-1' ELSE (p_retailprice * 6 / 10)::DECIMAL(18,4)::VARCHAR END AS cost_price,
+         CASE WHEN p_size <> 49 THEN p_retailprice::DECIMAL(18,4)::VARCHAR END AS selling_price
+  FROM part
+),
+raw_orders AS (
+  SELECT l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS order_id, o_custkey::VARCHAR AS customer_id,
+         l_partkey::VARCHAR AS product_id,
+         CASE WHEN o_orderpriority = '5-LOW' AND l_linenumber = 3 THEN 'not-a-date'
+              ELSE strftime(o_orderdate, '%Y-%m-%d') END AS order_date,
+         CASE WHEN round(l_tax * 100) = 8 AND l_linenumber = 7 THEN '-' ELSE '' END
+           || l_quantity::DECIMAL(18,2)::VARCHAR AS quantity,
+         CASE WHEN round(l_tax * 100) = 7 AND l_linenumber = 6 THEN 'free'
+              ELSE (l_extendedprice / l_quantity)::DECIMAL(32,8)::VARCHAR END AS unit_price,
+         CASE WHEN NOT (round(l_tax * 100) = 6 AND l_linenumber = 1)
+              THEN (l_discount * 100)::DECIMAL(18,2)::VARCHAR END AS discount_pct,
+         CASE WHEN round(l_tax * 100) = 0 AND l_linenumber = 2 THEN 'Shipped'
+              WHEN l_returnflag = 'R' THEN 'Returned' WHEN o_orderstatus = 'P' THEN 'Cancelled'
+              ELSE 'Completed' END AS order_status
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+),
+ok_customers AS (
+  SELECT * FROM raw_customers WHERE try_cast(signup_date AS TIMESTAMP) IS NOT NULL AND age_group IS NOT NULL
+),
+ok_products AS (
+  SELECT * FROM raw_products WHERE cost_price::DOUBLE >= 0 AND selling_price IS NOT NULL
+),
+checked AS (
+  SELECT *, order_date = 'not-a-date' AS bad_date, quantity::DOUBLE < 1 AS low_quantity,
+         unit_price = 'free' AS bad_price, discount_pct IS NULL AS no_discount,
+         order_status = 'Shipped' AS bad_status,
+         customer_id NOT IN (SELECT customer_id FROM ok_customers) AS no_customer,
+         product_id NOT IN (SELECT product_id FROM ok_products) AS no_product,
+         row_number() OVER (PARTITION BY order_id
+           ORDER BY product_id, quantity, unit_price, discount_pct NULLS FIRST, order_status) > 1 AS again
+  FROM raw_orders
+),
+judged AS (
+  SELECT *, bad_date OR low_quantity OR bad_price OR no_discount OR bad_status OR no_customer OR no_product
+            AS invalid
+  FROM checked
+),
+counts AS (
+  SELECT count(*) AS total, count(*) FILTER (invalid) AS invalid, count(*) FILTER (again) AS again,
+         count(*) FILTER (NOT invalid AND NOT again) AS clean,
+         count(*) FILTER (bad_date) AS bad_date, count(*) FILTER (low_quantity) AS low_quantity,
+         count(*) FILTER (bad_price) AS bad_price, count(*) FILTER (no_discount) AS no_discount,
+         count(*) FILTER (bad_status) AS bad_status, count(*) FILTER (no_customer) AS no_customer,
+         count(*) FILTER (no_product) AS no_product
+  FROM judged
+)
+"""
+
+_ROW_LIMIT = """
+  CASE WHEN {clean} = 0 THEN 'No valid rows remained after validation.'
+       WHEN {invalid} * 2 > {total}
+       THEN 'More than 50% of rows (' || {invalid} || '/' || {total} || ') failed validation.' END
+"""
+
+
+def _warn(flag: str, text: str) -> str:
+    return f"CASE WHEN {flag} > 0 THEN '" + text.replace("'", "''").replace("%s", f"' || {flag} || '") + "' END"
+
+
+def _summary_sql(name: str, source: str, missing: str, warnings: list[str]) -> str:
+    error = _ROW_LIMIT.format(clean="clean", invalid="invalid", total="total")
+    return f"""SELECT '{name}' AS dataset, ({error}) IS NULL AS is_valid, total AS total_rows,
+      invalid AS invalid_rows_dropped, again AS duplicate_rows_dropped, {missing} AS missing_values,
+      coalesce({error}, '') AS errors, concat_ws('; ', {', '.join(warnings)}) AS warnings
+      FROM {source}"""
+
+
+_SUMMARY = [
+    """customer_counts AS (
+      SELECT count(*) AS total, 0::BIGINT AS again,
+             count(*) FILTER (signup_date = 'not-a-date') AS bad_date,
+             count(*) FILTER (age_group IS NULL) AS no_age,
+             count(*) FILTER (signup_date = 'not-a-date' OR age_group IS NULL) AS invalid,
+             count(*) FILTER (NOT (signup_date = 'not-a-date' OR age_group IS NULL)) AS clean
+      FROM raw_customers)""",
+    """product_counts AS (
+      SELECT count(*) AS total, 0::BIGINT AS again,
+             count(*) FILTER (cost_price = '-1') AS low_cost,
+             count(*) FILTER (selling_price IS NULL) AS no_price,
+             count(*) FILTER (cost_price = '-1' OR selling_price IS NULL) AS invalid,
+             count(*) FILTER (NOT (cost_price = '-1' OR selling_price IS NULL)) AS clean
+      FROM raw_products)""",
+]
+
+
+def _validation_summary(extra_column: str) -> str:
+    missing = "CASE WHEN {0} > 0 THEN '{1}=' || {0} ELSE '' END"
+    return (
+        "WITH " + RAW.strip() + ",\n" + ",\n".join(_SUMMARY) + "\n"
+        + _summary_sql(
+            "customers", "customer_counts", missing.format("no_age", "age_group"),
+            [
+                f"'Ignoring unexpected extra columns: [''{extra_column}'']'",
+                _warn("bad_date", "Column 'signup_date': %s value(s) could not be parsed as date "
+                      "and were flagged invalid."),
+                _warn("no_age", "Column 'age_group' has %s missing value(s)."),
+            ],
+        )
+        + "\nUNION ALL\n"
+        + _summary_sql(
+            "products", "product_counts", missing.format("no_price", "selling_price"),
+            [
+                _warn("low_cost", "Column 'cost_price': %s value(s) below minimum allowed value (0)."),
+                _warn("no_price", "Column 'selling_price' has %s missing value(s)."),
+            ],
+        )
+        + "\nUNION ALL\n"
+        + _summary_sql(
+            "orders", "counts", missing.format("no_discount", "discount_pct"),
+            [
+                _warn("bad_date", "Column 'order_date': %s value(s) could not be parsed as date "
+                      "and were flagged invalid."),
+                _warn("low_quantity", "Column 'quantity': %s value(s) below minimum allowed value (1)."),
+                _warn("bad_price", "Column 'unit_price': %s value(s) could not be parsed as float "
+                      "and were flagged invalid."),
+                _warn("no_discount", "Column 'discount_pct' has %s missing value(s)."),
+                _warn("bad_status", "Column 'order_status': %s value(s) outside allowed set "
+                      "('Completed', 'Cancelled', 'Returned')."),
+                _warn("again", "%s duplicate 'order_id' value(s) found; keeping first occurrence only."),
+                _warn("no_customer", "Column 'customer_id': %s value(s) do not match any 'customer_id' "
+                      "in customers."),
+                _warn("no_product", "Column 'product_id': %s value(s) do not match any 'product_id' "
+                      "in products."),
+            ],
+        )
+    )
+
+
+def _raw_with(select: str) -> str:
+    return "WITH " + RAW.strip() + "\n" + select
+
+
+def _problem(flag: str, text: str) -> str:
+    return f"CASE WHEN {flag} THEN '{text}' END"
+
+
+VALIDATION = {
+    "missing_value_profile": _raw_with(
+        "SELECT 'discount_pct' AS \"column\", no_discount AS missing FROM counts WHERE no_discount > 0"
+    ),
+    "validation_summary": _validation_summary("remark"),
+    "csv_round_trip": _validation_summary("remark"),
+    "dataset_row_counts": _raw_with(
+        """SELECT 'customers' AS dataset, count(*) AS "rows",
+          (SELECT count(*) FROM raw_customers) >= 2 * ((SELECT count(*) FROM raw_customers) - count(*)) AS is_valid
+          FROM ok_customers
+        UNION ALL SELECT 'products', count(*),
+          (SELECT count(*) FROM raw_products) >= 2 * ((SELECT count(*) FROM raw_products) - count(*))
+          FROM ok_products
+        UNION ALL SELECT 'orders', clean, clean > 0 AND total >= 2 * invalid FROM counts"""
+    ),
+    "clean_orders": _raw_with(
+        """SELECT order_id, customer_id, product_id, order_date::TIMESTAMP AS order_date,
+        quantity::DOUBLE AS quantity, unit_price::DOUBLE AS unit_price, discount_pct::DOUBLE AS discount_pct,
+        order_status FROM judged WHERE NOT invalid AND NOT again"""
+    ),
+    "quarantine": _raw_with(
+        f"""SELECT order_id, customer_id, product_id, concat_ws(';',
+          {_problem('no_customer', 'customer_id unknown')}, {_problem('no_discount', 'discount_pct missing')},
+          {_problem('bad_date', 'order_date unreadable')}, {_problem('again', 'order_id duplicate')},
+          {_problem('bad_status', 'order_status not allowed')}, {_problem('no_product', 'product_id unknown')},
+          {_problem('low_quantity', 'quantity below minimum')}, {_problem('bad_price', 'unit_price unreadable')}
+        ) AS problems FROM judged WHERE invalid OR again"""
+    ),
+    "duplicate_key_check": _raw_with(
+        """SELECT order_id, product_id, quantity, unit_price, discount_pct, order_status, again AS is_duplicate
+        FROM checked"""
+    ),
+    "foreign_key_check": _raw_with("SELECT order_id, customer_id, product_id FROM checked WHERE no_customer"),
+}

@@ -3,12 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from basketwise.functions.durable import scratch_path
 from basketwise.functions.expressions import as_double, round2
-from basketwise.operators import customers as cust, facts as fact, products as prod, sales, signals
-from basketwise.plans import star_tables as star
+from basketwise.operators import (
+    actions,
+    corpus,
+    customers as cust,
+    facts as fact,
+    products as prod,
+    quality,
+    reports,
+    retrieval,
+    sales,
+    signals,
+)
+from basketwise.plans import bundle, star_tables as star
+from basketwise.plans.load import LoadedTables, load_all, load_tables
+from basketwise.sources.action_log import append_log, read_log
+from basketwise.sources.tables import ROW_SEQ
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -165,3 +181,293 @@ COMMERCE: dict[str, Query] = {
     "growth_signals": growth_signals,
     "signal_counts": signal_counts,
 }
+
+
+# --- validation -----------------------------------------------------------------------------
+
+
+def _raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {
+        "customers": star.raw_customers(spark, folder),
+        "products": star.raw_products(spark, folder),
+        "orders": star.raw_orders(spark, folder),
+    }
+
+
+def _loaded(spark: SparkSession, folder: str) -> LoadedTables:
+    return load_tables(_raw(spark, folder), {"orders": star.RAW_ORDER_COLS})
+
+
+def _flat_summary(summary: DataFrame) -> DataFrame:
+    """Maps and lists as text."""
+    missing = F.transform(
+        F.array_sort(F.map_entries("missing_values")),
+        lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")),
+    )
+    return summary.withColumns(
+        {
+            "missing_values": F.array_join(missing, ";"),
+            "errors": F.array_join("errors", "; "),
+            "warnings": F.array_join("warnings", "; "),
+        }
+    )
+
+
+def missing_value_profile(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.missing_value_profile(star.raw_orders(spark, folder), "orders")
+
+
+def validation_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return _flat_summary(_loaded(spark, folder).summary())
+
+
+def dataset_row_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return _loaded(spark, folder).row_counts()
+
+
+def clean_orders(spark: SparkSession, folder: str) -> DataFrame:
+    return _loaded(spark, folder).tables["orders"]
+
+
+def quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    rejected = _loaded(spark, folder).validations["orders"].quarantine
+    return rejected.select(
+        "order_id", "customer_id", "product_id", F.array_join(F.array_sort("problems"), ";").alias("problems")
+    )
+
+
+def duplicate_key_check(spark: SparkSession, folder: str) -> DataFrame:
+    flagged = quality.duplicate_key_check(star.raw_orders(spark, folder), "order_id", star.RAW_ORDER_COLS)
+    return flagged.select("order_id", *star.RAW_ORDER_COLS, F.col("_duplicate").alias("is_duplicate"))
+
+
+def foreign_key_check(spark: SparkSession, folder: str) -> DataFrame:
+    parent = quality.validate(star.raw_customers(spark, folder), "customers").clean
+    orphans = quality.foreign_key_check(star.raw_orders(spark, folder), "customer_id", parent, "customer_id")
+    return orphans.select("order_id", "customer_id", "product_id")
+
+
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw tables written as CSV into the shared folder, read back and validated."""
+    target = scratch_path(spark, "csv")
+    paths = {}
+    for name, raw in _raw(spark, folder).items():
+        paths[name] = f"{target}/{name}"
+        raw.drop(ROW_SEQ).write.option("header", True).option("escape", '"').csv(paths[name])
+    return _flat_summary(load_all(spark, paths).summary())
+
+
+VALIDATION: dict[str, Query] = {
+    "missing_value_profile": missing_value_profile,
+    "validation_summary": validation_summary,
+    "dataset_row_counts": dataset_row_counts,
+    "clean_orders": clean_orders,
+    "quarantine": quarantine,
+    "duplicate_key_check": duplicate_key_check,
+    "foreign_key_check": foreign_key_check,
+    "csv_round_trip": csv_round_trip,
+}
+
+
+# --- bundle ---------------------------------------------------------------------------------
+
+
+def _analysis(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return bundle.full_analysis(
+        star.customers(spark, folder), star.products(spark, folder), star.orders(spark, folder)
+    )
+
+
+def business_context(spark: SparkSession, folder: str) -> DataFrame:
+    return bundle.business_context(_analysis(spark, folder))
+
+
+def full_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and total revenue (or monetary value) of every result in the bundle."""
+    parts = []
+    for name, result in _analysis(spark, folder).items():
+        amount = next((c for c in ("revenue", "total_revenue", "monetary") if c in result.columns), None)
+        total = F.sum(F.col(amount).cast("decimal(28,2)")) if amount else F.lit(None)
+        parts.append(
+            result.agg(F.count(F.lit(1)).alias("rows"), total.cast("double").alias("amount")).select(
+                F.lit(name).alias("result"), "rows", "amount"
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+BUNDLE: dict[str, Query] = {"business_context": business_context, "full_analysis": full_analysis}
+
+
+# --- corpus ---------------------------------------------------------------------------------
+
+
+def document_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.document_manifest(star.manifest_documents(spark, folder), star.expected_sources(spark, folder))
+
+
+def document_sections(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.document_sections(star.markdown_documents(spark, folder))
+
+
+def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.chunk_documents(star.markdown_documents(spark, folder))
+
+
+def ingest_summary(spark: SparkSession, folder: str) -> DataFrame:
+    documents = star.manifest_documents(spark, folder)
+    manifest = corpus.document_manifest(documents, star.expected_sources(spark, folder))
+    present = documents.join(manifest.filter("status = 'present'").select("source"), "source", "left_semi")
+    return corpus.ingest_summary(manifest, corpus.chunk_documents(present))
+
+
+def upsert_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """A snapshot with the default chunk size, then the same documents in larger chunks: leftovers stay."""
+    documents = star.markdown_documents(spark, folder)
+    return corpus.upsert_chunks(corpus.chunk_documents(documents), corpus.chunk_documents(documents, size=1500))
+
+
+def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.corpus_stats(document_chunks(spark, folder))
+
+
+def _hits(spark: SparkSession, folder: str, **options) -> DataFrame:
+    queries = star.topics(spark, folder).withColumnRenamed("topic", "query_id")
+    hits = retrieval.vector_top_k(star.vectors(spark, folder), queries, **options)
+    return hits.withColumn("distance", F.round(F.col("distance").cast("decimal(20,9)"), 6).cast("double"))
+
+
+def vector_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return _hits(spark, folder)
+
+
+def vector_top_k_of_source(spark: SparkSession, folder: str) -> DataFrame:
+    return _hits(spark, folder, source_filter="src7")
+
+
+def multi_topic_retrieval(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.multi_topic_retrieval(
+        star.vectors(spark, folder), star.topics(spark, folder), star.chunk_table(spark, folder)
+    )
+
+
+def sources_used(spark: SparkSession, folder: str) -> DataFrame:
+    used = retrieval.sources_used(multi_topic_retrieval(spark, folder))
+    return used.select(F.array_join("sources_used", ";").alias("sources_used"))
+
+
+CORPUS: dict[str, Query] = {
+    "document_manifest": document_manifest,
+    "document_sections": document_sections,
+    "document_chunks": document_chunks,
+    "ingest_summary": ingest_summary,
+    "upsert_chunks": upsert_chunks,
+    "corpus_stats": corpus_stats,
+    "vector_top_k": vector_top_k,
+    "vector_top_k_of_source": vector_top_k_of_source,
+    "multi_topic_retrieval": multi_topic_retrieval,
+    "sources_used": sources_used,
+}
+
+
+# --- reports --------------------------------------------------------------------------------
+
+
+def _normalized(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.normalize_reports(reports.parse_reports(star.reports(spark, folder)))
+
+
+def _joined(name: str) -> Column:
+    return F.array_join(name, "; ").alias(name)
+
+
+def parse_reports(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = reports.parse_reports(star.reports(spark, folder))
+    summary = F.try_variant_get("report", "$.executive_summary", "string")
+    return parsed.select("report_id", summary.alias("executive_summary"), "error")
+
+
+def rejected_reports(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.rejected_reports(reports.parse_reports(star.reports(spark, folder))).select("report_id", "error")
+
+
+def normalize_reports(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = [F.size(s).cast("long").alias(s) for s in reports.LIST_SECTIONS]
+    return _normalized(spark, folder).select(
+        "report_id", "executive_summary", *sizes, _joined("warnings"), "error"
+    )
+
+
+def section_presence(spark: SparkSession, folder: str) -> DataFrame:
+    has = [f"has_{s}" for s in reports.REQUIRED_SECTIONS]
+    return reports.section_presence(_normalized(spark, folder)).select("report_id", *has, "all_sections_present")
+
+
+def citation_audit(spark: SparkSession, folder: str) -> DataFrame:
+    lists = ("cited_sources", "sections_with_citations", "unrecognized_citations")
+    audited = reports.citation_audit(_normalized(spark, folder))
+    return audited.select("report_id", "total_citations", *[_joined(n) for n in lists])
+
+
+def report_verdict(spark: SparkSession, folder: str) -> DataFrame:
+    judged = reports.report_verdict(star.reports(spark, folder))
+    return judged.select("report_id", "is_valid", "status", _joined("audit_warnings"))
+
+
+def map_actions(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.map_actions(reports.action_candidates(_normalized(spark, folder)))
+
+
+REPORTS: dict[str, Query] = {
+    "parse_reports": parse_reports,
+    "rejected_reports": rejected_reports,
+    "normalize_reports": normalize_reports,
+    "section_presence": section_presence,
+    "citation_audit": citation_audit,
+    "report_verdict": report_verdict,
+    "map_actions": map_actions,
+}
+
+
+# --- action log -----------------------------------------------------------------------------
+
+
+def latest_status(spark: SparkSession, folder: str) -> DataFrame:
+    return actions.latest_status(star.action_log(spark, folder), "event_id")
+
+
+def apply_status_updates(spark: SparkSession, folder: str) -> DataFrame:
+    return actions.apply_status_updates(
+        star.action_log(spark, folder), star.status_updates(spark, folder), "event_id"
+    )
+
+
+def unmatched_updates(spark: SparkSession, folder: str) -> DataFrame:
+    return actions.unmatched_updates(star.action_log(spark, folder), star.status_updates(spark, folder))
+
+
+def log_view(spark: SparkSession, folder: str) -> DataFrame:
+    return actions.log_view(star.action_log(spark, folder))
+
+
+def latest_open_action(spark: SparkSession, folder: str) -> DataFrame:
+    return actions.latest_open_action(star.action_log(spark, folder), "event_id")
+
+
+def log_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The log appended as JSON lines in the shared folder, and read back."""
+    path = scratch_path(spark, "log")
+    append_log(star.action_log(spark, folder).drop("event_id"), path)
+    return actions.log_view(read_log(spark, path)).drop("status_checked_at")
+
+
+ACTIONS: dict[str, Query] = {
+    "latest_status": latest_status,
+    "apply_status_updates": apply_status_updates,
+    "unmatched_updates": unmatched_updates,
+    "log_view": log_view,
+    "latest_open_action": latest_open_action,
+    "log_round_trip": log_round_trip,
+}
+
+QUERIES: dict[str, Query] = {**COMMERCE, **BUNDLE, **VALIDATION, **CORPUS, **REPORTS, **ACTIONS}
