@@ -78,7 +78,8 @@ def _get(value: Column, key: str) -> Column:
 
 def _text(item: Column, key: str) -> Column:
     """A field as text, whatever its type."""
-    return F.coalesce(F.try_variant_get(item, f"$.{key}", "string"), F.to_json(_get(item, key)))
+    other = F.nullif(F.to_json(_get(item, key)), F.lit("null"))
+    return F.coalesce(F.try_variant_get(item, f"$.{key}", "string"), other)
 
 
 def _truthy_text(item: Column, key: str) -> Column:
@@ -235,15 +236,14 @@ def report_verdict(reports: DataFrame) -> DataFrame:
 
 def action_candidates(normalized: DataFrame) -> DataFrame:
     """(report_id, position, source_section, item): items that have a title or an action."""
-    tagged = [
-        F.transform(
-            F.coalesce(F.col(s), F.expr(_EMPTY)),
-            lambda item, s=s: F.struct(F.lit(s).alias("source_section"), item.alias("item")),
+    def tagged(section: str) -> Column:
+        return F.transform(
+            F.coalesce(F.col(section), F.expr(_EMPTY)),
+            lambda item: F.struct(F.lit(section).alias("source_section"), item.alias("item")),
         )
-        for s in ACTION_SECTIONS
-    ]
+
     offered = F.filter(
-        F.concat(*tagged),
+        F.concat(*[tagged(s) for s in ACTION_SECTIONS]),
         lambda t: F.coalesce(_truthy_text(t["item"], "title"), _truthy_text(t["item"], "action")).isNotNull(),
     )
     return normalized.select("report_id", F.posexplode(offered).alias("position", "t")).select(

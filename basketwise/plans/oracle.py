@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from basketwise.functions.expressions import WHITESPACE
+
 LINES = """
 lines AS (
   SELECT l_orderkey AS order_id, o_custkey AS customer_id, l_partkey AS product_id,
@@ -474,3 +476,426 @@ VALIDATION = {
     ),
     "foreign_key_check": _raw_with("SELECT order_id, customer_id, product_id FROM checked WHERE no_customer"),
 }
+
+
+# --- bundle ---------------------------------------------------------------------------------
+
+_EVERYTHING = (GROWTH, KPIS, MONTHLY, CATEGORY, CHANNEL, PRODUCT_TABLE, RFM, SPIKES, _aov(10, "aov_signals"), SIGNALS)
+
+_RESULTS = {
+    "executive_kpis": ("kpis", "total_revenue"),
+    "revenue_by_month": ("monthly", "revenue"),
+    "revenue_by_day": (
+        "(SELECT date_trunc('day', order_date) AS d, round(sum(money), 2) AS revenue FROM done GROUP BY 1)",
+        "revenue",
+    ),
+    "monthly_growth": ("monthly", "revenue"),
+    "revenue_by_category": ("category", "revenue"),
+    "revenue_by_channel": ("channel", "revenue"),
+    "product_table": ("product_table", "revenue"),
+    "top_products": ("(SELECT * FROM product_table ORDER BY revenue DESC, product_id LIMIT 10)", "revenue"),
+    "bottom_products": ("(SELECT * FROM product_table ORDER BY revenue, product_id LIMIT 10)", "revenue"),
+    "high_margin_low_volume_products": ("hmlv", "revenue"),
+    "customer_table": (
+        "(SELECT customer_id, round(sum(money), 2) AS revenue FROM done GROUP BY customer_id)",
+        "revenue",
+    ),
+    "rfm_table": ("rfm", "monetary"),
+    "high_value_customers": (
+        "(SELECT * FROM rfm WHERE monetary >= (SELECT quantile_cont(monetary, 0.85) FROM rfm))",
+        "monetary",
+    ),
+    "churn_risk_customers": ("churn", "monetary"),
+    "segment_counts": ("(SELECT segment FROM rfm GROUP BY segment)", None),
+    "growth_signals": (
+        """(SELECT NULL::DOUBLE AS revenue FROM spikes UNION ALL SELECT NULL FROM aov_signals
+            UNION ALL SELECT revenue FROM hmlv_signals UNION ALL SELECT NULL FROM churn_signals)""",
+        "revenue",
+    ),
+    "signals:seasonal_category_spikes": ("spikes", None),
+    "signals:high_aov_channels": ("aov_signals", None),
+    "signals:high_margin_low_volume_products": ("hmlv_signals", "revenue"),
+    "signals:churn_risk_customers": ("churn_signals", "monetary"),
+}
+
+
+def _pair(name: str, kind: str) -> str:
+    if kind == "money":
+        value = f"coalesce(round(({name})::DECIMAL(32,6), 2)::DECIMAL(32,2)::VARCHAR, 'null')"
+    elif kind == "int":
+        value = f"coalesce({name}::VARCHAR, 'null')"
+    else:
+        value = f"coalesce(to_json({name})::VARCHAR, 'null')"
+    return f"""'"{name}":' || {value}"""
+
+
+def _context(section: str, source: str, order: str, fields: dict[str, str], n: int | None = None) -> str:
+    payload = " || ',' || ".join(_pair(name, kind) for name, kind in fields.items())
+    limit = f"ORDER BY {order} LIMIT {n}" if n else ""
+    return f"""SELECT '{section}' AS section, (row_number() OVER (ORDER BY {order}))::INTEGER AS rank,
+      '{{' || {payload} || '}}' AS payload FROM (SELECT * FROM {source} {limit})"""
+
+
+_PRODUCT = {"product_id": "int", "product_name": "text", "category": "text", "revenue": "money",
+            "units_sold": "int", "margin_pct": "money"}
+
+BUNDLE = {
+    "full_analysis": _with(
+        *_EVERYTHING,
+        select="\nUNION ALL ".join(
+            f"""SELECT '{name}' AS result, count(*) AS "rows",
+            {f'sum({amount}::DECIMAL(28,2))::DOUBLE' if amount else 'NULL::DOUBLE'} AS amount FROM {source}"""
+            for name, (source, amount) in _RESULTS.items()
+        ),
+    ),
+    "business_context": _with(
+        *_EVERYTHING,
+        select="\nUNION ALL ".join(
+            [
+                _context("executive_kpis", "kpis", "1", {
+                    "total_revenue": "money", "total_orders": "int", "total_units_sold": "int",
+                    "average_order_value": "money", "active_customers": "int",
+                    "total_registered_customers": "int", "revenue_growth_pct_30d": "money",
+                    "cancelled_orders": "int", "returned_orders": "int"}),
+                _context("top_categories_by_revenue", "category", "revenue DESC, category", {
+                    "category": "text", "revenue": "money", "orders": "int", "units_sold": "money",
+                    "revenue_share_pct": "money"}, 5),
+                _context("channel_performance", "channel", "aov DESC, acquisition_channel", {
+                    "acquisition_channel": "text", "revenue": "money", "orders": "int", "customers": "int",
+                    "aov": "money"}),
+                _context("top_products_by_revenue", "product_table", "revenue DESC, product_id", _PRODUCT, 5),
+                _context("bottom_products_by_revenue", "product_table", "revenue, product_id", _PRODUCT, 5),
+                _context(
+                    "customer_segment_counts",
+                    "(SELECT segment, count(*) AS customers FROM rfm GROUP BY segment)",
+                    "customers DESC, segment", {"segment": "text", "customers": "int"}),
+                _context("growth_signals.seasonal_category_spikes", "spikes", "spike_ratio DESC, category", {
+                    "signal_type": "text", "category": "text", "peak_month": "text",
+                    "peak_month_revenue": "money", "category_avg_monthly_revenue": "money",
+                    "spike_ratio": "money", "description": "text"}),
+                _context("growth_signals.high_aov_channels", "aov_signals", "lift_pct DESC, channel", {
+                    "signal_type": "text", "channel": "text", "channel_aov": "money", "overall_aov": "money",
+                    "lift_pct": "money", "customers": "int", "description": "text"}),
+                _context(
+                    "growth_signals.high_margin_low_volume_products", "hmlv_signals",
+                    "margin_pct DESC, units_sold, product_id",
+                    {"signal_type": "text", "product_id": "int", "product_name": "text", "category": "text",
+                     "margin_pct": "money", "units_sold": "int", "revenue": "money", "description": "text"}),
+                _context("growth_signals.churn_risk_customers", "churn_signals", "monetary DESC, customer_id", {
+                    "signal_type": "text", "customer_id": "int", "recency_days": "int", "frequency": "int",
+                    "monetary": "money", "segment": "text", "description": "text"}),
+            ]
+        ),
+    ),
+}
+
+
+# --- corpus ---------------------------------------------------------------------------------
+
+
+def _strip(x: str) -> str:
+    return f"trim({x}, '{WHITESPACE}')"
+
+
+MARKDOWN = f"""
+docs AS (
+  SELECT 'doc_' || doc_id::VARCHAR AS source,
+         'Note ' || doc_id::VARCHAR || E'\\n\\n## ' || source || E'\\n\\n' || replace(text, E'\\n', E'\\n\\n')
+           || E'\\n\\n## Language\\n\\n' || lang AS text
+  FROM documents
+),
+blanked AS (
+  SELECT 'doc_' || doc_id::VARCHAR AS source, CASE WHEN n_chars < 100 THEN E' \\n ' ELSE text END AS text
+  FROM documents
+),
+expected AS (
+  SELECT 'doc_' || doc_id::VARCHAR AS source FROM labels
+  UNION SELECT 'item_' || item_id::VARCHAR FROM benchmark
+),
+manifest AS (
+  SELECT source, CASE WHEN text IS NULL THEN 'missing' WHEN {_strip('text')} = '' THEN 'empty'
+                      ELSE 'present' END AS status
+  FROM expected LEFT JOIN blanked USING (source)
+)
+"""
+
+
+def _sections(name: str, documents: str) -> str:
+    return f"""
+{name}_split AS (
+  SELECT source, list_filter(list_transform(
+      list_transform(string_split(text, E'\\n## '), lambda part, i: CASE WHEN i = 1 THEN part ELSE '## ' || part END),
+      lambda part: {_strip('part')}), lambda part: part <> '') AS sections
+  FROM {documents}
+),
+{name} AS (
+  SELECT source, unnest(sections) AS text, generate_subscripts(sections, 1) - 1 AS section_index FROM {name}_split
+)
+"""
+
+
+def _chunks(name: str, sections: str, size: int, overlap: int) -> str:
+    """Paragraphs are packed by a fold over the list; every element is a state {done, buffer}."""
+    both = _strip("a.buffer || E'\\n\\n' || x.buffer")
+    joined = f"CASE WHEN a.buffer = '' THEN x.buffer ELSE {both} END"
+    hard = (
+        f"list_transform(range(0, length(x.buffer), {size - overlap}), "
+        f"lambda i: substring(x.buffer, i + 1, {size}))"
+    )
+    reopened = _strip(f"right(a.buffer, {overlap}) || E'\\n\\n' || x.buffer")
+    return f"""
+{name}_packed AS (
+  SELECT source, section_index, text, list_reduce(
+    list_transform(list_filter(list_transform(string_split(text, E'\\n\\n'), lambda p: {_strip('p')}),
+      lambda p: p <> ''), lambda p: {{'done': []::VARCHAR[], 'buffer': p}}),
+    lambda a, x: CASE
+      WHEN length({joined}) <= {size} THEN {{'done': a.done, 'buffer': {joined}}}
+      WHEN a.buffer = '' THEN {{'done': a.done || {hard}, 'buffer': ''}}
+      ELSE {{'done': a.done || [a.buffer], 'buffer': {reopened}}} END,
+    {{'done': []::VARCHAR[], 'buffer': ''}}) AS state
+  FROM {sections}
+),
+{name}_lists AS (
+  SELECT source, flatten(list(CASE WHEN length(text) <= {size} THEN [text]
+           WHEN state.buffer <> '' THEN state.done || [state.buffer] ELSE state.done END
+           ORDER BY section_index)) AS chunks
+  FROM {name}_packed GROUP BY source
+),
+{name} AS (
+  SELECT source || '::chunk_' || (i - 1)::VARCHAR AS id, source, (i - 1)::INTEGER AS chunk_index, text
+  FROM (SELECT source, unnest(chunks) AS text, generate_subscripts(chunks, 1) AS i FROM {name}_lists)
+)
+"""
+
+
+def _corpus(*parts: str, select: str) -> str:
+    return "WITH " + ",\n".join(p.strip() for p in (MARKDOWN, *parts)) + "\n" + select
+
+
+def _nearest(k: int, where: str = "TRUE") -> str:
+    return f"""
+components AS (
+  SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings
+),
+topics AS (
+  SELECT label, list(x ORDER BY pos) AS query FROM
+    (SELECT label, pos, avg(x) AS x FROM components GROUP BY label, pos) GROUP BY label
+),
+scored AS (
+  SELECT topics.label, vec_id AS id, source, round(1 - list_dot_product(embedding::DOUBLE[], query)
+    / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(query, query))),
+    9) AS distance
+  FROM embeddings LEFT JOIN documents ON vec_id = doc_id, topics WHERE {where}
+),
+hits AS (
+  SELECT 'label_' || label::VARCHAR AS query_id, label, id, distance,
+         row_number() OVER (PARTITION BY label ORDER BY distance, id) AS rank
+  FROM scored QUALIFY rank <= {k}
+),
+shown AS (
+  SELECT query_id, rank::INTEGER AS rank, id, round(distance::DECIMAL(20,9), 6)::DOUBLE AS distance,
+    round(greatest(0.0, least(1.0, 1 - distance / 2))::DECIMAL(20,12), 4)::DOUBLE AS relevance_score FROM hits
+),
+topic_chunks AS (
+  SELECT query_id AS topic, label AS topic_order, rank::INTEGER AS rank, source, doc_id::INTEGER AS chunk_index, text,
+    round(greatest(0.0, least(1.0, 1 - distance / 2))::DECIMAL(20,12), 4)::DOUBLE AS relevance_score
+  FROM hits JOIN documents ON id = doc_id
+  QUALIFY row_number() OVER (PARTITION BY source, doc_id ORDER BY label, rank) = 1
+)
+"""
+
+
+def _vectors(k: int, select: str, where: str = "TRUE") -> str:
+    return "WITH " + _nearest(k, where).strip() + "\n" + select
+
+
+CORPUS = {
+    "document_manifest": _corpus(select="SELECT source, status FROM manifest"),
+    "document_sections": _corpus(
+        _sections("sections", "docs"),
+        select="SELECT source, section_index::INTEGER AS section_index, text FROM sections",
+    ),
+    "document_chunks": _corpus(
+        _sections("sections", "docs"), _chunks("chunks", "sections", 900, 150), select="SELECT * FROM chunks"
+    ),
+    "corpus_stats": _corpus(
+        _sections("sections", "docs"), _chunks("chunks", "sections", 900, 150),
+        select='SELECT TRUE AS "exists", count(*) AS chunk_count FROM chunks',
+    ),
+    "upsert_chunks": _corpus(
+        _sections("sections", "docs"), _chunks("old", "sections", 900, 150),
+        _chunks("new", "sections", 1500, 150),
+        select="SELECT * FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new",
+    ),
+    "ingest_summary": _corpus(
+        """present AS (SELECT source, text FROM blanked
+           WHERE source IN (SELECT source FROM manifest WHERE status = 'present'))""",
+        _sections("sections", "present"), _chunks("chunks", "sections", 900, 150),
+        select="""SELECT count(*) FILTER (status = 'present') > 0 AND (SELECT count(*) FROM chunks) > 0 AS is_success,
+        count(*) FILTER (status = 'present') AS documents_loaded,
+        count(*) FILTER (status = 'missing') AS documents_missing,
+        count(*) FILTER (status = 'empty') AS documents_empty,
+        (SELECT count(*) FROM chunks) AS chunks_created FROM manifest""",
+    ),
+    "vector_top_k": _vectors(4, "SELECT * FROM shown"),
+    "vector_top_k_of_source": _vectors(4, "SELECT * FROM shown", "source = 'src7'"),
+    "multi_topic_retrieval": _vectors(3, "SELECT * FROM topic_chunks"),
+    "sources_used": _vectors(
+        3, "SELECT array_to_string(list_sort(list(DISTINCT source)), ';') AS sources_used FROM topic_chunks"
+    ),
+}
+
+
+# --- reports --------------------------------------------------------------------------------
+
+REPORTS_CTE = """
+made AS (
+  SELECT doc_id AS report_id, source, lang, text, n_chars,
+    source = 'src3' AS broken, source = 'src9' AS listed,
+    CASE WHEN source = 'src3' THEN CASE WHEN contains(text, '}')
+           THEN 'the response could not be parsed as JSON'
+           ELSE 'the response did not contain a JSON object' END END AS parse_error,
+    CASE WHEN source = 'src9' THEN 'the JSON response was not an object at the top level (got list)' END
+      AS shape_error
+  FROM documents
+),
+audited AS (
+  SELECT *, NOT broken AND NOT listed AS usable,
+    CASE WHEN source = 'src6' THEN '  ' ELSE text END AS summary,
+    CASE WHEN source = 'src5' THEN [lang || '_policy'] ELSE list_sort(list_distinct([lang || '_policy', source])) END
+      AS cited,
+    CASE WHEN source = 'src5' THEN ['revenue_opportunities']
+         ELSE ['revenue_opportunities', 'customer_growth_opportunities'] END AS cited_in
+  FROM made
+),
+judged AS (
+  SELECT *, list_filter(cited, lambda c: c NOT IN ('en_policy', 'de_policy', 'src10')) AS unknown,
+         usable AND {blank} <> '' AS ok
+  FROM audited
+)
+""".replace("{blank}", _strip("summary"))
+
+_WARNINGS = """concat_ws('; ',
+  CASE WHEN source = 'src6' THEN 'Missing or empty ''executive_summary'' in model output.' END,
+  CASE WHEN source = 'src4' THEN
+    'Section ''revenue_opportunities'' was a single object, not a list — wrapped automatically.' END,
+  CASE WHEN source = 'src5' THEN
+    'Section ''customer_growth_opportunities'' had an unexpected type (str) — defaulted to an empty list.' END,
+  CASE WHEN source = 'src7' THEN
+    'Missing section ''product_opportunities'' in model output — defaulted to an empty list.' END,
+  CASE WHEN source = 'src8' THEN
+    'Model output included unexpected extra key(s), ignored: [''author'', ''notes'']' END)"""
+
+_SECTION_NAMES = ("executive_summary", "revenue_opportunities", "customer_growth_opportunities",
+                  "product_opportunities", "risks", "recommended_actions")
+
+
+def _reports(select: str) -> str:
+    return "WITH " + REPORTS_CTE.strip() + "\n" + select
+
+
+REPORTS = {
+    "parse_reports": _reports(
+        """SELECT report_id, CASE WHEN usable THEN summary END AS executive_summary, parse_error AS error
+        FROM judged"""
+    ),
+    "rejected_reports": _reports("SELECT report_id, parse_error AS error FROM judged WHERE broken"),
+    "normalize_reports": _reports(
+        f"""SELECT report_id, CASE WHEN usable THEN summary END AS executive_summary,
+        CASE WHEN usable THEN CASE WHEN source = 'src4' THEN 1 ELSE 2 END END::BIGINT AS revenue_opportunities,
+        CASE WHEN usable THEN CASE WHEN source = 'src5' THEN 0 ELSE 1 END END::BIGINT
+          AS customer_growth_opportunities,
+        CASE WHEN usable THEN 0 END::BIGINT AS product_opportunities,
+        CASE WHEN usable THEN 1 END::BIGINT AS risks, CASE WHEN usable THEN 1 END::BIGINT AS recommended_actions,
+        CASE WHEN usable THEN {_WARNINGS} END AS warnings, coalesce(parse_error, shape_error) AS error FROM judged"""
+    ),
+    "section_presence": _reports(
+        "SELECT report_id, usable AS all_sections_present, "
+        + ", ".join(f"usable AS has_{name}" for name in _SECTION_NAMES)
+        + " FROM judged"
+    ),
+    "citation_audit": _reports(
+        """SELECT report_id, CASE WHEN NOT usable THEN 0 WHEN source = 'src5' THEN 1 ELSE 2 END::BIGINT
+          AS total_citations,
+        CASE WHEN usable THEN array_to_string(cited, '; ') ELSE '' END AS cited_sources,
+        CASE WHEN usable THEN array_to_string(cited_in, '; ') ELSE '' END AS sections_with_citations,
+        CASE WHEN usable THEN array_to_string(unknown, '; ') ELSE '' END AS unrecognized_citations FROM judged"""
+    ),
+    "report_verdict": _reports(
+        """SELECT report_id, ok AS is_valid,
+        CASE WHEN NOT ok THEN 'error' WHEN len(unknown) = 0 THEN 'success' ELSE 'warning' END AS status,
+        concat_ws('; ',
+          CASE WHEN NOT usable THEN 'Validator: missing required section(s) in strategy report: '
+            || '[''executive_summary'', ''revenue_opportunities'', ''customer_growth_opportunities'', '
+            || '''product_opportunities'', ''risks'', ''recommended_actions'']' END,
+          CASE WHEN NOT usable THEN 'Validator: no policy citations found anywhere in the strategy report — '
+            || 'recommendations may not be grounded in company policy.' END,
+          CASE WHEN usable AND len(unknown) > 0 THEN 'Validator: strategy report cites policy source(s) not among '
+            || 'the chunks retrieved this run (possible hallucinated citation): ['''
+            || array_to_string(unknown, ''', ''') || ''']' END,
+          CASE WHEN NOT ok THEN 'Validator: strategy report is empty or missing an executive summary — '
+            || 'treating as invalid.' END) AS audit_warnings FROM judged"""
+    ),
+    "map_actions": _reports(
+        """SELECT report_id, (row_number() OVER (PARTITION BY report_id ORDER BY place) - 1)::INTEGER AS position,
+        source_section, title, reason, supporting_metric, estimated_impact, policy_reference,
+        499 AS amount_inr, substring('Growth action — ' || title, 1, 2048) AS description
+        FROM (
+          SELECT report_id, 1 AS place, 'revenue_opportunities' AS source_section, 'Push ' || source AS title,
+                 text AS reason, CASE WHEN n_chars = 0 THEN '' ELSE n_chars::VARCHAR END AS supporting_metric,
+                 NULL::VARCHAR AS estimated_impact, lang || '_policy' AS policy_reference
+          FROM judged WHERE usable
+          UNION ALL
+          SELECT report_id, 2, 'customer_growth_opportunities', 'Call ' || lang, '', '', NULL, source
+          FROM judged WHERE usable AND source <> 'src5'
+          UNION ALL
+          SELECT report_id, 3, 'recommended_actions', 'Review ' || source, text, '', NULL, ''
+          FROM judged WHERE usable)"""
+    ),
+}
+
+
+# --- action log -----------------------------------------------------------------------------
+
+LOG = """
+log AS (
+  SELECT user_id::VARCHAR AS reference_id, 'Offer ' || event_type AS recommendation, props AS reason,
+         event_type <> 'error' AS merchant_approved, 499 AS amount_inr,
+         CASE WHEN event_type = 'purchase' THEN 'link_' || event_id::VARCHAR END AS payment_link_id,
+         event_type AS result, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS "timestamp", event_id
+  FROM events
+),
+updates AS (
+  SELECT c_custkey::VARCHAR AS reference_id, CASE WHEN c_acctbal >= 0 THEN 'paid' END AS result,
+         'link_of_' || c_name AS payment_link_id, '2024-06-01T00:00:00+00:00' AS status_checked_at
+  FROM customer
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY reference_id ORDER BY "timestamp" DESC, event_id DESC) AS place FROM log
+)
+"""
+
+
+def _log(select: str) -> str:
+    return "WITH " + LOG.strip() + "\n" + select
+
+
+_VIEW = '"timestamp", recommendation, reason, merchant_approved, amount_inr, payment_link_id, result'
+
+ACTIONS = {
+    "latest_status": _log('SELECT reference_id, "timestamp", result FROM placed WHERE place = 1'),
+    "apply_status_updates": _log(
+        """SELECT p.reference_id, recommendation, reason, merchant_approved, amount_inr,
+        coalesce(u.payment_link_id, p.payment_link_id) AS payment_link_id, coalesce(u.result, p.result) AS result,
+        "timestamp", event_id, u.status_checked_at
+        FROM placed p LEFT JOIN updates u ON p.reference_id = u.reference_id AND place = 1"""
+    ),
+    "unmatched_updates": _log("SELECT * FROM updates WHERE reference_id NOT IN (SELECT reference_id FROM log)"),
+    "log_view": _log(f"SELECT {_VIEW} FROM log"),
+    "log_round_trip": _log(f"SELECT {_VIEW} FROM log"),
+    "latest_open_action": _log(
+        'SELECT * FROM log WHERE payment_link_id IS NOT NULL ORDER BY "timestamp" DESC, event_id DESC LIMIT 1'
+    ),
+}
+
+SQL = {**COMMERCE, **BUNDLE, **VALIDATION, **CORPUS, **REPORTS, **ACTIONS}
