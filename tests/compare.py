@@ -48,12 +48,22 @@ def shape(columns, rows):
     return [columns[i] for i in order], sorted(table, key=repr)
 
 
+KINDS = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def difference(spark, con, query, sql, folder) -> tuple[str, int]:
     """('' where equal, number of rows)"""
     df = query(spark, folder)
     got = shape(df.columns, df.collect())
     cur = con.execute(sql)
+    kinds = {d[0]: str(d[1]) for d in cur.description}
     want = shape([d[0] for d in cur.description], cur.fetchall())
+    other = {c: (k, kinds.get(c)) for c, k in df.dtypes if KINDS.get(k, k) != kinds.get(c)}
+    if other:
+        return f"types {other}", len(got[1])
     if got[0] != want[0]:
         return f"columns {got[0]} != {want[0]}", len(got[1])
     if len(got[1]) != len(want[1]):
