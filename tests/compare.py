@@ -56,7 +56,10 @@ KINDS = {
 
 def difference(spark, con, query, sql, folder) -> tuple[str, int]:
     """('' where equal, number of rows)"""
-    df = query(spark, folder)
+    return frame_difference(query(spark, folder), con, sql)
+
+
+def frame_difference(df, con, sql) -> tuple[str, int]:
     got = shape(df.columns, df.collect())
     cur = con.execute(sql)
     kinds = {d[0]: str(d[1]) for d in cur.description}
