@@ -39,8 +39,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared folder; survives the loss of executors."""
+    if getattr(df, "_kept", False):
+        return df
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    kept._kept = True
+    return kept
 
 
 def measured_size(df: DataFrame) -> tuple[int, int]:
@@ -50,23 +54,34 @@ def measured_size(df: DataFrame) -> tuple[int, int]:
     return rows, size + 16 * rows * len(df.columns)
 
 
+def measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """The frame, kept, and its number of rows; marked for broadcast if its measured size allows that."""
+    kept = durable(df)
+    rows, size = measured_size(kept)
+    return (F.broadcast(kept) if size <= BROADCAST_BYTES else kept), rows
+
+
 def join_keyed(left: DataFrame, keyed: DataFrame, on: str, weight: str) -> DataFrame:
     """Left-join ``keyed`` (one row per ``on``) to a table that may hold one key very often.
 
     ``weight`` is the number of ``left`` rows per key, known from the aggregation that made ``keyed``.
-    A small ``keyed`` is broadcast, so ``left`` is not shuffled at all. A large one is joined by
-    shuffle, except for its HOT_KEYS heaviest keys, whose rows are joined by broadcast.
+    An empty ``keyed`` is not joined. A small one is broadcast, so ``left`` is not shuffled at all. A
+    large one is joined by shuffle, except for its HOT_KEYS heaviest keys, whose rows are joined by
+    broadcast.
     """
     keyed = durable(keyed)
-    _, size = measured_size(keyed)
+    rows, size = measured_size(keyed)
+    if not rows:
+        nulls = [f for f in keyed.schema.fields if f.name not in (on, weight)]
+        return left.withColumns({f.name: F.lit(None).cast(f.dataType) for f in nulls})
     if size <= BROADCAST_BYTES:
         return left.join(F.broadcast(keyed.drop(weight)), on, "left")
     return join_split(left, keyed, on, weight)
 
 
-def join_split(left: DataFrame, keyed: DataFrame, on: str, weight: str, hot_keys: int = HOT_KEYS) -> DataFrame:
+def join_split(left: DataFrame, keyed: DataFrame, on: str, weight: str, hot_keys: int | None = None) -> DataFrame:
     """Left join with the heaviest keys split off; see join_keyed."""
-    hot = durable(keyed.orderBy(F.desc(weight), on).limit(hot_keys)).drop(weight)
+    hot = durable(keyed.orderBy(F.desc(weight), on).limit(hot_keys or HOT_KEYS)).drop(weight)
     rest = keyed.drop(weight)
     heavy_rows = left.join(F.broadcast(hot), on, "inner")
     light_rows = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest, on, "left")

@@ -12,6 +12,8 @@ WHITESPACE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+END_MARK = "end of the only value"
+DAY_MICROS = 86_400_000_000
 MONEY = T.DecimalType(18, 4)
 
 
@@ -52,7 +54,7 @@ def micros(time: Column) -> Column:
 
 def whole_days(start: Column, end: Column) -> Column:
     """Whole days between two times, rounded down; not the number of midnights."""
-    return F.floor((micros(end) - micros(start)) / F.lit(86_400_000_000)).cast("long")
+    return F.floor((micros(end) - micros(start)) / F.lit(DAY_MICROS)).cast("long")
 
 
 def money(df: DataFrame, name: str) -> Column:
@@ -79,16 +81,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def parse_json(text: Column) -> Column:
     """The JSON value of a text as VARIANT, or null where the text is not exactly one JSON value.
 
-    Spark's parser stops after the first value. Inside a wrapper whose last field must appear,
-    anything that follows the value makes the whole fail.
+    Spark's parser stops after the first value. Inside an array whose last item must be the end
+    mark, anything that follows the value makes the whole fail.
     """
 
-    def body_of(wrapped: Column) -> Column:
-        whole = F.try_variant_get(wrapped, "$.tail", "int") == 0
-        alone = F.size(F.map_keys(wrapped.cast("map<string,variant>"))) == 2
-        return F.when(whole & alone, F.variant_get(wrapped, "$.body", "variant"))
+    def only_value(pair: Column) -> Column:
+        ends = F.try_variant_get(pair, "$[1]", "string") == END_MARK
+        alone = F.try_variant_get(pair, "$[2]", "variant").isNull()
+        return F.when(ends & alone, F.variant_get(pair, "$[0]", "variant"))
 
-    return let(F.try_parse_json(F.concat(F.lit('{"body":'), text, F.lit(',"tail":0}'))), body_of)
+    return let(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END_MARK}"]'))), only_value)
 
 
 def python_list(names) -> str:

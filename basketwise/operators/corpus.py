@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from basketwise.functions.expressions import is_blank, strip
+from basketwise.functions.expressions import WHITESPACE, is_blank, strip
 
 CHUNK_SIZE = 900
 CHUNK_OVERLAP = 150
@@ -49,15 +49,19 @@ def _pack_section(section: Column, size: int, overlap: int) -> Column:
     def add(state: Column, paragraph: Column) -> Column:
         done, buffer = state["done"], state["buffer"]
         empty = buffer == ""
-        joined = F.when(empty, paragraph).otherwise(strip(F.concat(buffer, F.lit("\n\n"), paragraph)))
-        tail = F.right(buffer, F.lit(overlap)) if overlap else F.lit("")
-        reopened = strip(F.concat(tail, F.lit("\n\n"), paragraph))
+        # neither the buffer nor the paragraph has white space at its ends, but the cut tail may start with it
+        joined = F.when(empty, paragraph).otherwise(F.concat(buffer, F.lit("\n\n"), paragraph))
+        tail = F.ltrim(F.right(buffer, F.lit(overlap)), F.lit(WHITESPACE))
+        reopened = F.concat(tail, F.lit("\n\n"), paragraph) if overlap else paragraph
+
+        separator = F.when(empty, 0).otherwise(2)
+        fits = F.length(buffer) + separator + F.length(paragraph) <= size
 
         def state_of(chunks: Column, text: Column) -> Column:
             return F.struct(chunks.alias("done"), text.alias("buffer"))
 
         return (
-            F.when(F.length(joined) <= size, state_of(done, joined))
+            F.when(fits, state_of(done, joined))
             .when(empty, state_of(F.concat(done, _hard_split(paragraph, size, overlap)), F.lit("")))
             .otherwise(state_of(F.concat(done, F.array(buffer)), reopened))
         )

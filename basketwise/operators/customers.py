@@ -10,7 +10,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from basketwise.functions.durable import durable
-from basketwise.functions.expressions import as_double, money, round2, whole_days
+from basketwise.functions.expressions import DAY_MICROS, as_double, micros, money, round2
 from basketwise.functions.ranking import SMALL_ROWS, quantile, quartile_scores
 from basketwise.operators.facts import filter_completed
 
@@ -66,18 +66,24 @@ def rfm_segmentation(
     Recency counts whole days to ``reference_date``, by default the last completed order. The
     per-customer table is computed once and kept, since the scores read it several times.
     """
-    if reference_date is None:
-        until = filter_completed(facts).agg(F.max("order_date")).scalar()
-    else:
-        until = F.lit(reference_date).cast("timestamp")
     base = durable(
         _per_customer(facts).select(
             "customer_id",
-            whole_days(F.col("last_order_date"), until).alias("recency_days"),
+            micros(F.col("last_order_date")).alias("last_order"),
             F.col("orders").alias("frequency"),
             as_double(F.round("amount", 2)).alias("monetary"),
         )
     )
+    if reference_date is None:
+        until = base.agg(F.max("last_order").cast("long")).scalar()
+    else:
+        until = micros(F.lit(reference_date))
+    base = base.select(
+        "customer_id",
+        F.floor((until - F.col("last_order")) / F.lit(DAY_MICROS)).cast("long").alias("recency_days"),
+        "frequency",
+        "monetary",
+    )
     scored = quartile_scores(
         base,
         {

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from basketwise.contracts import ColumnRule, Contract, contract_of
-from basketwise.functions.durable import durable, join_keyed
+from basketwise.functions.durable import durable, join_keyed, measured
 from basketwise.functions.expressions import python_list, to_number, to_time
 from basketwise.sources.tables import ROW_SEQ
 
@@ -131,18 +131,29 @@ def _with_order_key(df: DataFrame, order_cols: list[str] | None) -> DataFrame:
     return df.withColumn(_KEY, F.struct(*[F.col(c) for c in order_cols or []], F.col(ROW_SEQ)))
 
 
-def flag_duplicates(df: DataFrame, key: str) -> DataFrame:
+def _repeated_keys(df: DataFrame, key: str) -> DataFrame | None:
+    """(key, _first, _rows) of the keys that occur more than once; None if there are none.
+
+    Counting is a hash aggregation; the smallest order key, which needs a sorting one, is then
+    sought among the rows of repeated keys only.
+    """
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    repeated, found = measured(counts.filter(F.col("_rows") > 1))
+    if not found:
+        return None
+    return df.select(key, _KEY).join(repeated, key).groupBy(key).agg(
+        F.min(_KEY).alias("_first"), F.first("_rows").alias("_rows")
+    )
+
+
+def _flag_duplicates(df: DataFrame, repeated: DataFrame | None, key: str) -> DataFrame:
     """Add _duplicate: the row is not the first of its key, by the unique order key.
 
     Keys seen once never leave the aggregation. Rows without key are not compared; they count as
     duplicates of each other in the metrics.
     """
-    repeated = (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.min(_KEY).alias("_first"), F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > 1)
-    )
+    if repeated is None:
+        return df.withColumn("_duplicate", F.lit(False))
     joined = join_keyed(df, repeated, key, "_rows")
     later = F.col("_first").isNotNull() & ~F.col(_KEY).eqNullSafe(F.col("_first"))
     return joined.withColumn("_duplicate", later).drop("_first")
@@ -150,29 +161,35 @@ def flag_duplicates(df: DataFrame, key: str) -> DataFrame:
 
 def duplicate_key_check(df: DataFrame, key: str, order_cols: list[str] | None = None) -> DataFrame:
     """The table with _duplicate set on every row but the first of its key."""
-    return flag_duplicates(_with_order_key(df, order_cols), key).drop(_KEY)
+    keyed = _with_order_key(df, order_cols)
+    return _flag_duplicates(keyed, _repeated_keys(keyed, key), key).drop(_KEY)
 
 
-def flag_orphans(df: DataFrame, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Add _orphan_<column>: no parent has this key, or the key is null. Keys are compared as text."""
-    text = f"_text_{column}"
-    df = df.withColumn(text, F.col(column).cast("string"))
-    known = parent.select(F.col(parent_key).cast("string").alias(text)).distinct()
-    unknown = (
-        df.filter(F.col(text).isNotNull())
-        .groupBy(text)
+def _unknown_keys(df: DataFrame, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
+    """(column, _unknown, _rows) of the non-null keys that no parent has, compared as text."""
+    known = parent.select(F.col(parent_key).cast("string").alias(column)).distinct()
+    return (
+        df.select(F.col(column).cast("string").alias(column))
+        .filter(F.col(column).isNotNull())
+        .groupBy(column)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .join(known, text, "left_anti")
+        .join(known, column, "left_anti")
         .withColumn("_unknown", F.lit(True))
     )
-    joined = join_keyed(df, unknown, text, "_rows")
-    orphan = F.col(text).isNull() | F.col("_unknown").isNotNull()
-    return joined.withColumn(f"_orphan_{column}", orphan).drop(text, "_unknown")
+
+
+def _flag_orphans(df: DataFrame, unknown: DataFrame, column: str) -> DataFrame:
+    """Add _orphan_<column>: no parent has this key, or the key is null. ``column`` is text here."""
+    joined = join_keyed(df, unknown, column, "_rows")
+    orphan = F.col(column).isNull() | F.col("_unknown").isNotNull()
+    return joined.withColumn(f"_orphan_{column}", orphan).drop("_unknown")
 
 
 def foreign_key_check(df: DataFrame, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """The rows whose key no parent has."""
-    return flag_orphans(df, column, parent, parent_key).filter(f"_orphan_{column}").drop(f"_orphan_{column}")
+    """The rows whose key no parent has, with the key as text."""
+    text = df.withColumn(column, F.col(column).cast("string"))
+    flagged = _flag_orphans(text, _unknown_keys(df, column, parent, parent_key), column)
+    return flagged.filter(f"_orphan_{column}").drop(f"_orphan_{column}")
 
 
 def validate(
@@ -202,20 +219,20 @@ def validate(
                 checks.append(check)
                 flags[check.flag] = flag
     present = [r for r in contract.rules if r.name in df.columns]
-    rows = keyed.select(
+    scanned = keyed.select(
         *[coerced(df, rule).alias(rule.name) for rule in present],
         *[flag.alias(name) for name, flag in flags.items()],
         _KEY,
     )
-    rows = flag_duplicates(rows, contract.key)
-
+    # the offending keys are looked up in the scan itself, so each lookup reads its own columns only
+    rows = _flag_duplicates(scanned, _repeated_keys(scanned, contract.key), contract.key)
     parent_checks = []
     for column, parent_name in contract.parents.items():
         parent = (parents or {}).get(parent_name)
         parent_key = contract_of(parent_name).key
         if parent is None or parent_key not in parent.columns:
             continue
-        rows = flag_orphans(rows, column, parent, parent_key)
+        rows = _flag_orphans(rows, _unknown_keys(scanned, column, parent, parent_key), column)
         message = ORPHANS.format(column=column, key=parent_key, parent=parent_name)
         parent_checks.append(_Check(f"_orphan_{column}", f"{column} unknown", message, True))
 

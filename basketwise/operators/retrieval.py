@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from basketwise.functions.durable import BROADCAST_BYTES, durable, measured_size
+from basketwise.functions.durable import measured
 
 #: Queries scored in one pass over the vectors; more are scored block by block.
 QUERY_BLOCK = 512
@@ -129,11 +129,8 @@ def vector_top_k(
 def attach_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with source, chunk_index and text. The hits are broadcast where their measured size
     allows it, so the texts of the corpus are read once and not shuffled."""
-    hits = durable(hits)
-    _, size = measured_size(hits)
-    if size <= BROADCAST_BYTES:
-        hits = F.broadcast(hits)
-    return chunks.join(hits, "id")
+    found, _ = measured(hits)
+    return chunks.join(found, "id")
 
 
 def multi_topic_retrieval(

@@ -8,11 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from basketwise.functions.expressions import as_double, micros, money, round2, whole_days
+from basketwise.functions.expressions import DAY_MICROS, as_double, micros, money, round2, whole_days
 from basketwise.operators.facts import COMPLETED, filter_completed
 
-DAY_MICROS = 86_400_000_000
-
 
 def executive_kpis(facts: DataFrame, customers: DataFrame | None) -> DataFrame:
     """One row: revenue, orders, units, average order value, customers, growth, cancelled and returned lines."""
@@ -49,18 +47,20 @@ def revenue_growth_30d(facts: DataFrame) -> DataFrame:
     Null with fewer than 60 whole days of history or without prior revenue.
     """
     completed = filter_completed(facts)
-    latest = completed.agg(F.max("order_date")).scalar()
-    age = micros(latest) - micros(F.col("order_date"))
+    latest, earliest = F.max("order_date"), F.min("order_date")
+    bounds = completed.agg(F.struct(latest.alias("latest"), whole_days(earliest, latest).alias("span"))).scalar()
+    # the date filter, a day wider than needed, lets the scan skip older data; the exact age decides
+    recent = completed.filter(F.col("order_date") > bounds["latest"] - F.expr("INTERVAL '61' DAY"))
+    age = micros(bounds["latest"]) - micros(F.col("order_date"))
     amount = money(facts, "revenue")
-    sums = completed.agg(
-        whole_days(F.min("order_date"), F.max("order_date")).alias("span"),
+    sums = recent.agg(
         F.sum(F.when(age < 30 * DAY_MICROS, amount)).alias("last"),
         F.sum(F.when((age >= 30 * DAY_MICROS) & (age < 60 * DAY_MICROS), amount)).alias("prior"),
     )
     last = F.coalesce(as_double(F.col("last")), F.lit(0.0))
     prior = as_double(F.col("prior"))
     growth = F.try_divide(last - prior, prior) * 100
-    return sums.select(F.when((F.col("span") >= 60) & (prior > 0), growth).alias("growth_pct"))
+    return sums.select(F.when((bounds["span"] >= 60) & (prior > 0), growth).alias("growth_pct"))
 
 
 def _period_label(freq: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from basketwise.functions.expressions import let
 from basketwise.sources.tables import ROW_SEQ, read_parquet
 
 
@@ -200,7 +201,7 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
 
     def quoted(value):
         """A text as JSON string."""
-        return F.regexp_extract(F.to_json(F.struct(value.alias("t"))), r"(?s)^\{\"t\":(.*)\}$", 1)
+        return let(F.to_json(F.struct(value.alias("t"))), lambda j: F.substring(j, 6, F.length(j) - 6))
 
     def is_one(*names: str):
         return source.isin(*names)

@@ -19,6 +19,7 @@ def build_session(app: str = "basketwise", master: str | None = None, **conf: ob
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        "spark.checkpoint.compress": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
