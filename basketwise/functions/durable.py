@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -54,11 +55,23 @@ def measured_size(df: DataFrame) -> tuple[int, int]:
     return rows, size + 16 * rows * len(df.columns)
 
 
-def measured(df: DataFrame) -> tuple[DataFrame, int]:
-    """The frame, kept, and its number of rows; marked for broadcast if its measured size allows that."""
+class Measured(NamedTuple):
+    frame: DataFrame  # kept
+    rows: int
+    small: bool  # may be broadcast
+
+
+def measured(df: DataFrame) -> Measured:
+    """The frame, kept and measured."""
     kept = durable(df)
     rows, size = measured_size(kept)
-    return (F.broadcast(kept) if size <= BROADCAST_BYTES else kept), rows
+    return Measured(kept, rows, size <= BROADCAST_BYTES)
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """The frame, kept, and marked for broadcast if its measured size allows that."""
+    kept = measured(df)
+    return F.broadcast(kept.frame) if kept.small else kept.frame
 
 
 def join_keyed(left: DataFrame, keyed: DataFrame, on: str, weight: str) -> DataFrame:
@@ -69,20 +82,25 @@ def join_keyed(left: DataFrame, keyed: DataFrame, on: str, weight: str) -> DataF
     large one is joined by shuffle, except for its HOT_KEYS heaviest keys, whose rows are joined by
     broadcast.
     """
-    keyed = durable(keyed)
-    rows, size = measured_size(keyed)
+    keyed, rows, small = measured(keyed)
     if not rows:
-        nulls = [f for f in keyed.schema.fields if f.name not in (on, weight)]
-        return left.withColumns({f.name: F.lit(None).cast(f.dataType) for f in nulls})
-    if size <= BROADCAST_BYTES:
+        return _with_nulls(left, keyed, on, weight)
+    if small:
         return left.join(F.broadcast(keyed.drop(weight)), on, "left")
     return join_split(left, keyed, on, weight)
 
 
 def join_split(left: DataFrame, keyed: DataFrame, on: str, weight: str, hot_keys: int | None = None) -> DataFrame:
-    """Left join with the heaviest keys split off; see join_keyed."""
+    """Left join with the heaviest keys, and the rows without key, split off; see join_keyed."""
     hot = durable(keyed.orderBy(F.desc(weight), on).limit(hot_keys or HOT_KEYS)).drop(weight)
-    rest = keyed.drop(weight)
-    heavy_rows = left.join(F.broadcast(hot), on, "inner")
-    light_rows = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest, on, "left")
-    return heavy_rows.unionByName(light_rows)
+    given = left.filter(F.col(on).isNotNull())
+    heavy_rows = given.join(F.broadcast(hot), on, "inner")
+    light_rows = given.join(F.broadcast(hot.select(on)), on, "left_anti").join(keyed.drop(weight), on, "left")
+    keyless_rows = _with_nulls(left.filter(F.col(on).isNull()), keyed, on, weight)
+    return heavy_rows.unionByName(light_rows).unionByName(keyless_rows)
+
+
+def _with_nulls(left: DataFrame, keyed: DataFrame, on: str, weight: str) -> DataFrame:
+    """``left`` with the columns ``keyed`` would add, all null."""
+    added = [f for f in keyed.schema.fields if f.name not in (on, weight)]
+    return left.withColumns({f.name: F.lit(None).cast(f.dataType) for f in added})

@@ -50,10 +50,9 @@ def apply_status_updates(log: DataFrame, updates: DataFrame, position: str = ROW
         *[F.col(c).alias(f"_new_{c}") for c in fields],
         (F.col("status_checked_at") if "status_checked_at" in updates.columns else utc_now()).alias("_checked"),
     )
-    newest = (
-        log.join(updates.select("reference_id"), "reference_id", "left_semi")
-        .groupBy("reference_id")
-        .agg(F.max(_newest(position)).alias("_newest"), F.count(F.lit(1)).alias("_rows"))
+    # aggregated before it meets the updates, so that an id with very many records stays spread
+    newest = log.groupBy("reference_id").agg(
+        F.max(_newest(position)).alias("_newest"), F.count(F.lit(1)).alias("_rows")
     )
     changes = newest.join(renamed, "reference_id")
     joined = join_keyed(log, changes, "reference_id", "_rows")
@@ -66,7 +65,7 @@ def apply_status_updates(log: DataFrame, updates: DataFrame, position: str = ROW
 
 
 def unmatched_updates(log: DataFrame, updates: DataFrame) -> DataFrame:
-    return updates.join(log.select("reference_id"), "reference_id", "left_anti")
+    return updates.join(log.select("reference_id").distinct(), "reference_id", "left_anti")
 
 
 def log_view(log: DataFrame) -> DataFrame:

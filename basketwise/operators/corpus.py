@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from basketwise.functions.durable import durable
 from basketwise.functions.expressions import WHITESPACE, is_blank, strip
 
 CHUNK_SIZE = 900
@@ -109,11 +110,12 @@ def upsert_chunks(base: DataFrame | None, new: DataFrame, reset: bool = False) -
     """
     if base is None or reset:
         return new
+    new = durable(new)  # read twice; chunking again would cost more
     return base.join(new.select("id"), "id", "left_anti").select(*new.columns).unionByName(new)
 
 
 def ingest_summary(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row: documents by status, chunks made, and whether there is anything to store."""
+    """One row: documents by status, chunks made and stored, and whether there was anything to store."""
     documents = manifest.agg(
         *[
             F.count_if(F.col("status") == status).alias(f"documents_{name}")
@@ -121,13 +123,29 @@ def ingest_summary(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
         ]
     )
     created = chunks.agg(F.count(F.lit(1))).scalar()
-    return documents.select(
-        ((F.col("documents_loaded") > 0) & (created > 0)).alias("is_success"),
+    success = (F.col("documents_loaded") > 0) & (F.col("chunks_created") > 0)
+    return documents.withColumn("chunks_created", created).select(
+        success.alias("is_success"),
         "*",
-        created.alias("chunks_created"),
+        F.when(success, F.col("chunks_created")).otherwise(F.lit(0).cast("long")).alias("chunks_upserted"),
     )
 
 
+def ingest_documents(
+    documents: DataFrame,
+    expected: DataFrame,
+    base: DataFrame | None = None,
+    reset: bool = False,
+    size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
+) -> tuple[DataFrame, DataFrame]:
+    """(snapshot, summary): the expected documents that are there and not blank, chunked and upserted."""
+    wanted = documents.join(expected.select("source").distinct(), "source", "left_semi")
+    chunks = durable(chunk_documents(wanted, size, overlap))
+    summary = ingest_summary(document_manifest(documents, expected), chunks)
+    return upsert_chunks(base, chunks, reset), summary
+
+
 def corpus_stats(chunks: DataFrame | None, spark=None) -> DataFrame:
     """One row: does the corpus exist, and how many chunks has it?"""
     if chunks is None:

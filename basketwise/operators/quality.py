@@ -134,16 +134,18 @@ def _with_order_key(df: DataFrame, order_cols: list[str] | None) -> DataFrame:
 def _repeated_keys(df: DataFrame, key: str) -> DataFrame | None:
     """(key, _first, _rows) of the keys that occur more than once; None if there are none.
 
-    Counting is a hash aggregation; the smallest order key, which needs a sorting one, is then
-    sought among the rows of repeated keys only.
+    Counting is a hash aggregation; the smallest order key needs a sorting one, and is sought among
+    the rows of repeated keys only, unless there are too many such keys to broadcast.
     """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    repeated, found = measured(counts.filter(F.col("_rows") > 1))
-    if not found:
+    given = df.filter(F.col(key).isNotNull())
+    counts = given.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1)
+    repeated = measured(counts)
+    if not repeated.rows:
         return None
-    return df.select(key, _KEY).join(repeated, key).groupBy(key).agg(
-        F.min(_KEY).alias("_first"), F.first("_rows").alias("_rows")
-    )
+    if repeated.small:
+        given = given.join(F.broadcast(repeated.frame.select(key)), key, "left_semi")
+    firsts = given.groupBy(key).agg(F.min(_KEY).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    return firsts.filter(F.col("_rows") > 1)
 
 
 def _flag_duplicates(df: DataFrame, repeated: DataFrame | None, key: str) -> DataFrame:

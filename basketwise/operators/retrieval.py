@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from basketwise.functions.durable import measured
+from basketwise.functions.durable import broadcast_if_small
 
 #: Queries scored in one pass over the vectors; more are scored block by block.
 QUERY_BLOCK = 512
@@ -129,8 +129,17 @@ def vector_top_k(
 def attach_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with source, chunk_index and text. The hits are broadcast where their measured size
     allows it, so the texts of the corpus are read once and not shuffled."""
-    found, _ = measured(hits)
-    return chunks.join(found, "id")
+    return chunks.join(broadcast_if_small(hits), "id")
+
+
+def retrieve_chunks(
+    vectors: DataFrame, queries: DataFrame, chunks: DataFrame, top_k: int = 4, source_filter: str | None = None
+) -> DataFrame:
+    """(query_id, rank, source, chunk_index, text, distance, relevance_score) of the nearest chunks."""
+    hits = vector_top_k(vectors, queries, top_k, source_filter)
+    return attach_chunks(hits, chunks).select(
+        "query_id", "rank", "source", "chunk_index", "text", "distance", "relevance_score"
+    )
 
 
 def multi_topic_retrieval(

@@ -44,23 +44,28 @@ def executive_kpis(facts: DataFrame, customers: DataFrame | None) -> DataFrame:
 def revenue_growth_30d(facts: DataFrame) -> DataFrame:
     """One row: percent change of the last 30 days against the 30 before, seen from the last completed order.
 
-    Null with fewer than 60 whole days of history or without prior revenue.
+    Null with fewer than 60 whole days of history or without prior revenue. The two bounds are
+    computed at once, the sums when the result is asked for.
     """
     completed = filter_completed(facts)
-    latest, earliest = F.max("order_date"), F.min("order_date")
-    bounds = completed.agg(F.struct(latest.alias("latest"), whole_days(earliest, latest).alias("span"))).scalar()
-    # the date filter, a day wider than needed, lets the scan skip older data; the exact age decides
-    recent = completed.filter(F.col("order_date") > bounds["latest"] - F.expr("INTERVAL '61' DAY"))
-    age = micros(bounds["latest"]) - micros(F.col("order_date"))
+    day = F.col("order_date")
+    bounds = completed.agg(
+        F.max(micros(day)).alias("latest"), whole_days(F.min(day), F.max(day)).alias("span")
+    ).first()
+    if bounds["span"] is None or bounds["span"] < 60:
+        return facts.sparkSession.range(1).select(F.lit(None).cast("double").alias("growth_pct"))
+    # the date as a literal reaches the scan, which then skips older data
+    start = F.timestamp_micros(F.lit(bounds["latest"] - 60 * DAY_MICROS)).cast(facts.schema["order_date"].dataType)
+    age = F.lit(bounds["latest"]) - micros(day)
     amount = money(facts, "revenue")
-    sums = recent.agg(
+    sums = completed.filter(day > start).agg(
         F.sum(F.when(age < 30 * DAY_MICROS, amount)).alias("last"),
-        F.sum(F.when((age >= 30 * DAY_MICROS) & (age < 60 * DAY_MICROS), amount)).alias("prior"),
+        F.sum(F.when(age >= 30 * DAY_MICROS, amount)).alias("prior"),
     )
     last = F.coalesce(as_double(F.col("last")), F.lit(0.0))
     prior = as_double(F.col("prior"))
     growth = F.try_divide(last - prior, prior) * 100
-    return sums.select(F.when((bounds["span"] >= 60) & (prior > 0), growth).alias("growth_pct"))
+    return sums.select(F.when(prior > 0, growth).alias("growth_pct"))
 
 
 def _period_label(freq: str) -> Column:

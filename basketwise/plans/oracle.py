@@ -735,10 +735,22 @@ CORPUS = {
         count(*) FILTER (status = 'present') AS documents_loaded,
         count(*) FILTER (status = 'missing') AS documents_missing,
         count(*) FILTER (status = 'empty') AS documents_empty,
-        (SELECT count(*) FROM chunks) AS chunks_created FROM manifest""",
+        (SELECT count(*) FROM chunks) AS chunks_created,
+        (SELECT count(*) FROM chunks) AS chunks_upserted FROM manifest""",
+    ),
+    "ingest_snapshot": _corpus(
+        "present AS (SELECT source, text FROM blanked WHERE source IN (SELECT source FROM expected))",
+        _sections("sections", "docs"), _chunks("old", "sections", 900, 150),
+        _sections("wanted", "present"), _chunks("new", "wanted", 900, 150),
+        select="SELECT * FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new",
     ),
     "vector_top_k": _vectors(4, "SELECT * FROM shown"),
     "vector_top_k_of_source": _vectors(4, "SELECT * FROM shown", "source = 'src7'"),
+    "retrieve_chunks": _vectors(
+        4,
+        """SELECT query_id, rank, source, doc_id::INTEGER AS chunk_index, text, relevance_score
+        FROM shown JOIN documents ON id = doc_id""",
+    ),
     "multi_topic_retrieval": _vectors(3, "SELECT * FROM topic_chunks"),
     "sources_used": _vectors(
         3, "SELECT array_to_string(list_sort(list(DISTINCT source)), ';') AS sources_used FROM topic_chunks"

@@ -315,10 +315,19 @@ def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest_summary(spark: SparkSession, folder: str) -> DataFrame:
-    documents = star.manifest_documents(spark, folder)
-    manifest = corpus.document_manifest(documents, star.expected_sources(spark, folder))
-    present = documents.join(manifest.filter("status = 'present'").select("source"), "source", "left_semi")
-    return corpus.ingest_summary(manifest, corpus.chunk_documents(present))
+    _, summary = corpus.ingest_documents(
+        star.manifest_documents(spark, folder), star.expected_sources(spark, folder)
+    )
+    return summary
+
+
+def ingest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The expected documents written over a snapshot of all documents in their Markdown form."""
+    base = corpus.chunk_documents(star.markdown_documents(spark, folder))
+    snapshot, _ = corpus.ingest_documents(
+        star.manifest_documents(spark, folder), star.expected_sources(spark, folder), base
+    )
+    return snapshot
 
 
 def upsert_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -331,18 +340,23 @@ def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.corpus_stats(document_chunks(spark, folder))
 
 
-def _hits(spark: SparkSession, folder: str, **options) -> DataFrame:
-    queries = star.topics(spark, folder).withColumnRenamed("topic", "query_id")
-    hits = retrieval.vector_top_k(star.vectors(spark, folder), queries, **options)
+def _hits(vectors: DataFrame, topics: DataFrame, **options) -> DataFrame:
+    hits = retrieval.vector_top_k(vectors, topics.withColumnRenamed("topic", "query_id"), **options)
     return hits.withColumn("distance", F.round(F.col("distance").cast("decimal(20,9)"), 6).cast("double"))
 
 
 def vector_top_k(spark: SparkSession, folder: str) -> DataFrame:
-    return _hits(spark, folder)
+    return _hits(star.vectors(spark, folder), star.topics(spark, folder))
 
 
 def vector_top_k_of_source(spark: SparkSession, folder: str) -> DataFrame:
-    return _hits(spark, folder, source_filter="src7")
+    return _hits(star.sourced_vectors(spark, folder), star.topics(spark, folder), source_filter="src7")
+
+
+def retrieve_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    queries = star.topics(spark, folder).withColumnRenamed("topic", "query_id")
+    found = retrieval.retrieve_chunks(star.vectors(spark, folder), queries, star.chunk_table(spark, folder))
+    return found.drop("distance")
 
 
 def multi_topic_retrieval(spark: SparkSession, folder: str) -> DataFrame:
@@ -361,10 +375,12 @@ CORPUS: dict[str, Query] = {
     "document_sections": document_sections,
     "document_chunks": document_chunks,
     "ingest_summary": ingest_summary,
+    "ingest_snapshot": ingest_snapshot,
     "upsert_chunks": upsert_chunks,
     "corpus_stats": corpus_stats,
     "vector_top_k": vector_top_k,
     "vector_top_k_of_source": vector_top_k_of_source,
+    "retrieve_chunks": retrieve_chunks,
     "multi_topic_retrieval": multi_topic_retrieval,
     "sources_used": sources_used,
 }

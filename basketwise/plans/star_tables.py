@@ -160,13 +160,14 @@ def expected_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, embedding)"""
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def sourced_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """(id, source, embedding): a vector belongs to the document of its number."""
-    doc = table(spark, folder, "documents").select("doc_id", "source")
-    return (
-        table(spark, folder, "embeddings")
-        .join(doc, F.col("vec_id") == F.col("doc_id"), "left")
-        .select(F.col("vec_id").alias("id"), "source", "embedding")
-    )
+    doc = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "source")
+    return vectors(spark, folder).join(doc, "id", "left")
 
 
 def chunk_table(spark: SparkSession, folder: str) -> DataFrame:

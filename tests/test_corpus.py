@@ -96,9 +96,12 @@ def test_manifest_and_summary(spark):
     manifest = corpus.document_manifest(docs, expected)
     assert {tuple(r) for r in manifest.collect()} == {("a", "present"), ("b", "empty"), ("c", "missing")}
     made = corpus.chunk_documents(docs.filter("source = 'a'"))
-    assert tuple(corpus.ingest_summary(manifest, made).first()) == (True, 1, 1, 1, 1)
+    assert tuple(corpus.ingest_summary(manifest, made).first()) == (True, 1, 1, 1, 1, 1)
+    snapshot, summary = corpus.ingest_documents(docs, expected, made.withColumn("id", F.lit("old")))
+    assert {r.id for r in snapshot.collect()} == {"old", "a::chunk_0"}
+    assert tuple(summary.first()) == (True, 1, 1, 1, 1, 1)
     nothing = corpus.ingest_summary(manifest.filter("status <> 'present'"), made.limit(0))
-    assert tuple(nothing.first()) == (False, 0, 1, 1, 0)
+    assert tuple(nothing.first()) == (False, 0, 1, 1, 0, 0)
 
 
 def test_upsert(spark, tmp_path):

@@ -132,6 +132,7 @@ def test_order_columns_decide_which_row_is_first(spark):
 def test_null_keys_equal_each_other(spark):
     v = validate(customers(spark, None, None, None, "K1", "K2", "K3", "K4"), "customers")
     r = record(v)
+    assert v.quarantine.count() == 3
     assert r["duplicate_rows_dropped"] == 2 and r["invalid_rows_dropped"] == 3
     assert r["missing_values"] == {"customer_id": 3} and v.clean.count() == 4
 
@@ -176,6 +177,14 @@ def test_duplicates_of_a_hot_key(spark, monkeypatch, limit):
     assert sorted(firsts.select("key", "id").collect()) == sorted(want.collect())
 
 
+def test_join_split_keeps_rows_without_key(spark):
+    left = spark.createDataFrame([("a", 1), (None, 2), (None, 3), ("b", 4)], "key string, x int")
+    keyed = spark.createDataFrame([("a", 9, 1), ("b", 8, 1)], "key string, y int, n long")
+    joined = join_split(left, keyed, "key", "n", hot_keys=1)
+    assert sorted((r.x, r.y) for r in joined.collect() if r.y) == [(1, 9), (4, 8)]
+    assert sorted(r.x for r in joined.collect()) == [1, 2, 3, 4]
+
+
 def test_join_split_keeps_every_row(spark):
     left = skewed(spark)
     keyed = left.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("top"))
