@@ -74,6 +74,16 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(kept.frame) if kept.small else kept.frame
 
 
+def broadcast_table(df: DataFrame) -> DataFrame:
+    """A table that is cheap to read twice, marked for broadcast if its measured size allows that.
+
+    Spark decides by the size of the files and only up to 10 MB; a catalogue of some hundred thousand rows is
+    larger than that, and without the mark every order line would be shuffled to meet it.
+    """
+    _, size = measured_size(df)
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def join_keyed(left: DataFrame, keyed: DataFrame, on: str, weight: str) -> DataFrame:
     """Left-join ``keyed`` (one row per ``on``) to a table that may hold one key very often.
 

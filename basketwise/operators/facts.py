@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from basketwise.functions.durable import broadcast_table
 from basketwise.functions.expressions import money, to_number, to_time
 
 COMPLETED = "Completed"
@@ -42,7 +43,8 @@ def prepare_order_lines(orders: DataFrame) -> DataFrame:
 def prepare_order_facts(orders: DataFrame, products: DataFrame | None) -> DataFrame:
     """Order lines left-joined to their product, with revenue, cost and profit; 17 columns.
 
-    ``products`` holds one row per product_id, as its contract says.
+    ``products`` holds one row per product_id, as its contract says. It is measured when this is
+    called, and broadcast if it is small enough.
     """
     lines = prepare_order_lines(orders)
     if products is None:
@@ -51,7 +53,8 @@ def prepare_order_facts(orders: DataFrame, products: DataFrame | None) -> DataFr
         joined = lines.select("*", *attributes)
     else:
         known = [c for c in PRODUCT_ATTRIBUTES if c in products.columns]
-        joined = lines.join(products.select("product_id", *known), "product_id", "left")
+        catalogue = broadcast_table(products.select("product_id", *known))
+        joined = lines.join(catalogue, "product_id", "left")
         for name in PRODUCT_ATTRIBUTES:
             if name not in known:
                 kind = T.DoubleType() if name.endswith("price") else T.StringType()

@@ -113,7 +113,10 @@ def _unfenced(text: Column) -> Column:
 
 def parse_reports(reports: DataFrame) -> DataFrame:
     """Add ``report`` (the JSON value) and ``error``; code fences around the text are removed."""
-    outcome = let(strip(F.col("raw")), lambda text: let(_unfenced(text), _parsed))
+    raw = F.col("raw")
+    bare = raw.startswith("{") & raw.endswith("}")
+    text = F.when(bare, raw).otherwise(let(strip(raw), _unfenced))
+    outcome = let(text, _parsed)
     return (
         reports.withColumn("_parsed", outcome)
         .withColumns({"report": F.col("_parsed.report"), "error": F.col("_parsed.error")})

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from basketwise.functions.durable import broadcast_table
 from basketwise.functions.expressions import DAY_MICROS, as_double, micros, money, round2, whole_days
 from basketwise.operators.facts import COMPLETED, filter_completed
 
@@ -139,7 +140,8 @@ def revenue_by_channel(facts: DataFrame, customers: DataFrame) -> DataFrame:
         .groupBy("customer_id", "order_id")
         .agg(F.sum(money(facts, "revenue")).alias("amount"))
     )
-    joined = per_order.join(customers.select("customer_id", "acquisition_channel"), "customer_id", "left")
+    channels = broadcast_table(customers.select("customer_id", "acquisition_channel"))
+    joined = per_order.join(channels, "customer_id", "left")
     grouped = (
         joined.filter(customers.select("customer_id").exists())
         .groupBy("acquisition_channel")

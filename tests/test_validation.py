@@ -200,6 +200,15 @@ def test_measured_size(spark):
     assert measured_size(spark.range(0)) == (0, 0)
 
 
+def test_broadcast_only_what_is_small(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    small = spark.range(10).select("id", F.lit("x").alias("t"))
+    assert "strategy=broadcast" in plan(spark.range(5).join(durable_module.broadcast_table(small), "id"))
+    monkeypatch.setattr(durable_module, "BROADCAST_BYTES", 100)
+    assert "strategy=broadcast" not in plan(spark.range(5).join(durable_module.broadcast_table(small), "id"))
+    assert "strategy=broadcast" not in plan(spark.range(5).join(durable_module.broadcast_if_small(small), "id"))
+
+
 def test_csv_reading(spark, tmp_path):
     path = tmp_path / "c.csv"
     path.write_text(
