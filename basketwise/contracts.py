@@ -34,6 +34,7 @@ class Contract:
         return [rule.name for rule in self.rules if rule.required]
 
 
+# The columns of the three datasets and what is allowed in them.
 CONTRACTS: dict[str, Contract] = {
     c.name: c
     for c in (

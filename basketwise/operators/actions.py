@@ -12,6 +12,7 @@ from basketwise.functions.durable import join_keyed
 from basketwise.sources.action_log import utc_now
 from basketwise.sources.tables import ROW_SEQ
 
+# The columns shown of a log, in order.
 VIEW_COLUMNS = (
     "timestamp",
     "recommendation",

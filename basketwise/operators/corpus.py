@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from basketwise.functions.durable import durable
 from basketwise.functions.expressions import WHITESPACE, is_blank, strip
 
+# Characters per chunk, characters repeated, and where a section starts.
 CHUNK_SIZE = 900
 CHUNK_OVERLAP = 150
+SECTION_START = r"(?md)(?=^## )"
 
 
 def document_manifest(documents: DataFrame, expected: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def document_manifest(documents: DataFrame, expected: DataFrame) -> DataFrame:
 
 def split_sections(text: Column) -> Column:
     """Sections of a Markdown text: a new one starts at every line that begins with '## '."""
-    parts = F.transform(F.split(text, r"(?md)(?=^## )"), strip)
+    parts = F.transform(F.split(text, SECTION_START), strip)
     return F.filter(parts, lambda part: F.length(part) > 0)
 
 

@@ -87,6 +87,24 @@ def coerced(df: DataFrame, rule: ColumnRule) -> Column:
     return F.col(rule.name).cast("string")
 
 
+def coerce_columns(df: DataFrame, dataset: str) -> DataFrame:
+    """The contract columns as their declared kinds, and the names of those whose text was unreadable."""
+    present = [r for r in contract_of(dataset).rules if r.name in df.columns]
+    lost = [
+        F.when(F.col(r.name).isNotNull() & coerced(df, r).isNull(), F.lit(r.name)) for r in present
+    ]
+    return df.select(
+        *[coerced(df, r).alias(r.name) for r in present], F.array_compact(F.array(*lost)).alias("unreadable")
+    )
+
+
+def rule_counts(validation: Validation) -> DataFrame:
+    """(rule, rows) of every rule that any row breaks: missing, unreadable, below, outside, orphan."""
+    flags = [c for c in validation.metrics.columns if c.startswith("_")]
+    counts = validation.metrics.unpivot([], flags, "rule", "rows").filter(F.col("rows") > 0)
+    return counts.withColumn("rule", F.ltrim("rule", F.lit("_")))
+
+
 def _rule_checks(df: DataFrame, rule: ColumnRule) -> list[tuple[_Check, Column]]:
     name, value = rule.name, coerced(df, rule)
     given = F.col(name).isNotNull()

@@ -47,6 +47,8 @@ UNKNOWN_CITATIONS = (
     "(possible hallucinated citation): %s"
 )
 INVALID_REPORT = "Validator: strategy report is empty or missing an executive summary — treating as invalid."
+FENCE_START = r"(?U)^```(?:json)?\s*"
+FENCE_END = r"(?U)\s*```$"
 DEFAULT_TITLE = "AI-recommended growth action"
 ACTION_AMOUNT = 499
 DESCRIPTION_LENGTH = 2048
@@ -107,8 +109,8 @@ def _parsed(text: Column) -> Column:
 
 
 def _unfenced(text: Column) -> Column:
-    opened = F.regexp_replace(text, r"(?U)^```(?:json)?\s*", "")
-    return F.when(text.startswith("```"), F.regexp_replace(opened, r"(?U)\s*```$", "")).otherwise(text)
+    opened = F.regexp_replace(text, FENCE_START, "")
+    return F.when(text.startswith("```"), F.regexp_replace(opened, FENCE_END, "")).otherwise(text)
 
 
 def parse_reports(reports: DataFrame) -> DataFrame:

@@ -446,6 +446,23 @@ VALIDATION = {
     "missing_value_profile": _raw_with(
         "SELECT 'discount_pct' AS \"column\", no_discount AS missing FROM counts WHERE no_discount > 0"
     ),
+    "coerce_columns": _raw_with(
+        """SELECT order_id, customer_id, product_id, try_cast(order_date AS TIMESTAMP) AS order_date,
+        quantity::DOUBLE AS quantity, try_cast(unit_price AS DOUBLE) AS unit_price,
+        discount_pct::DOUBLE AS discount_pct, order_status,
+        concat_ws(';', CASE WHEN bad_date THEN 'order_date' END, CASE WHEN bad_price THEN 'unit_price' END)
+          AS unreadable FROM checked"""
+    ),
+    "rule_counts": _raw_with(
+        """SELECT rule, "rows" FROM (
+          SELECT 'unreadable_order_date' AS rule, bad_date AS "rows" FROM counts
+          UNION ALL SELECT 'below_quantity', low_quantity FROM counts
+          UNION ALL SELECT 'unreadable_unit_price', bad_price FROM counts
+          UNION ALL SELECT 'missing_discount_pct', no_discount FROM counts
+          UNION ALL SELECT 'outside_order_status', bad_status FROM counts
+          UNION ALL SELECT 'orphan_customer_id', no_customer FROM counts
+          UNION ALL SELECT 'orphan_product_id', no_product FROM counts) WHERE "rows" > 0"""
+    ),
     "validation_summary": _validation_summary("remark"),
     "csv_round_trip": _validation_summary("remark"),
     "dataset_row_counts": _raw_with(

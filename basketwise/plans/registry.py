@@ -217,6 +217,15 @@ def missing_value_profile(spark: SparkSession, folder: str) -> DataFrame:
     return quality.missing_value_profile(star.raw_orders(spark, folder), "orders")
 
 
+def coerce_columns(spark: SparkSession, folder: str) -> DataFrame:
+    typed = quality.coerce_columns(star.raw_orders(spark, folder), "orders")
+    return typed.withColumn("unreadable", F.array_join("unreadable", ";"))
+
+
+def rule_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.rule_counts(_loaded(spark, folder).validations["orders"])
+
+
 def validation_summary(spark: SparkSession, folder: str) -> DataFrame:
     return _flat_summary(_loaded(spark, folder).summary())
 
@@ -259,6 +268,8 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 VALIDATION: dict[str, Query] = {
     "missing_value_profile": missing_value_profile,
+    "coerce_columns": coerce_columns,
+    "rule_counts": rule_counts,
     "validation_summary": validation_summary,
     "dataset_row_counts": dataset_row_counts,
     "clean_orders": clean_orders,

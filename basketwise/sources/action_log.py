@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from basketwise.functions.expressions import parse_json
 from basketwise.sources.tables import ROW_SEQ
 
-#: Field -> type. Every field may be absent from a record.
+# The fields of a record and their types. Every field may be absent.
 LOG_FIELDS = {
     "reference_id": "string",
     "recommendation": "string",

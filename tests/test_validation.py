@@ -71,6 +71,17 @@ def test_low_quantity_and_unreadable_date(spark):
     assert problems == {"A2": ["quantity below minimum"], "A3": ["order_date unreadable"]}
 
 
+def test_coercion_and_rule_counts(spark):
+    frame = orders(spark, order(), order("A2", date="soon", price="free"), order("A3", qty="0", status="Shipped"))
+    rows = quality.coerce_columns(frame, "orders").orderBy("order_id").collect()
+    assert [r.unreadable for r in rows] == [[], ["order_date", "unit_price"], []]
+    assert rows[1].order_date is None and rows[0].unit_price == 9.5
+    counts = {r["rule"]: r["rows"] for r in quality.rule_counts(validate(frame, "orders")).collect()}
+    assert counts == {
+        "unreadable_order_date": 1, "unreadable_unit_price": 1, "below_quantity": 1, "outside_order_status": 1
+    }
+
+
 def test_exactly_half_invalid_is_still_valid(spark):
     assert validate(orders(spark, order(), order("A2", qty="0")), "orders").is_valid()
 
