@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from basketwise.llm import byte_bpe, exact_dedup, secret_scan, url_filter
+from basketwise.llm import byte_bpe, exact_dedup, ngram_join, secret_scan, url_filter
 
-_MODULES = (secret_scan, exact_dedup, url_filter, byte_bpe)
+_MODULES = (secret_scan, exact_dedup, url_filter, byte_bpe, ngram_join)
 
 #: Every function named op<number>_... of the operators' modules.
 QUERIES = {
