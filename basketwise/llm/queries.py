@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from basketwise.llm import byte_bpe, exact_dedup, ngram_join, secret_scan, url_filter
+from basketwise.llm import byte_bpe, exact_dedup, language_id, ngram_join, secret_scan, url_filter
 
-_MODULES = (secret_scan, exact_dedup, url_filter, byte_bpe, ngram_join)
+_MODULES = (secret_scan, exact_dedup, url_filter, byte_bpe, ngram_join, language_id)
 
 #: Every function named op<number>_... of the operators' modules.
 QUERIES = {
@@ -13,4 +13,5 @@ QUERIES = {
     for name, query in vars(module).items()
     if name.startswith("op") and name[2].isdigit() and callable(query)
 }
+QUERIES["pages_language"] = language_id.pages_language
 SQL = {name: sql for module in _MODULES for name, sql in getattr(module, "SQL", {}).items()}

@@ -26,6 +26,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def byte_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, byte offsets of its texts and their end, all bytes) of slices of a batch. Null counts as empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    first = 0
+    while first < n:
+        last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1
+        last = min(max(last, first + 1), n)
+        yield first, offsets[first : last + 1], data
+        first = last
+
+
 class Slice(NamedTuple):
     """Consecutive units (texts, or lines of texts) of a batch."""
 
@@ -64,19 +81,8 @@ class Words:
 
     def slices(self, texts: pa.Array, lines: bool = False) -> Iterator[Slice]:
         """The words of each text, or of each line of each text. Null counts as empty."""
-        if isinstance(texts, pa.ChunkedArray):
-            texts = texts.combine_chunks()
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        n = len(texts)
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
-        raw = texts.buffers()[2]
-        data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-        first = 0
-        while first < n:
-            last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1
-            last = min(max(last, first + 1), n)
-            yield self._slice(data, offsets[first : last + 1], first, lines)
-            first = last
+        for first, offsets, data in byte_slices(texts):
+            yield self._slice(data, offsets, first, lines)
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray, first: int, lines: bool) -> Slice:
         b = data[offsets[0] : offsets[-1]]
