@@ -312,6 +312,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     )
 
 
+def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One document of each component, the one with the smallest id, with all its columns.
+
+    Rows that share an id are one document: they stay if any of them does.
+    """
+    told = near_duplicates(docs, percent).groupBy("doc_id")
+    told = told.agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    others = broadcast_if_small(told.filter(~F.col("stays")).select(F.col("doc_id").alias("_other")))
+    return docs.join(others, F.col("doc_id").eqNullSafe(F.col("_other")), "left_anti")
+
+
 def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the size of its set and its component of near duplicates."""
     return near_duplicates(table(spark, folder, "documents"))
