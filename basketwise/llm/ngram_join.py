@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketwise.functions.durable import broadcast_if_small
 from basketwise.llm.components import components
+from basketwise.llm.set_links import similar_in_buckets
 from basketwise.llm.store import kept, table
 from basketwise.llm.words import Words, distinct_per_unit, list_array, mix, shingles
 
@@ -147,85 +148,6 @@ def _full_sets(levels: np.ndarray):
     return full
 
 
-class _Probe:
-    """One set, and the walk over the tree of the sets it is compared with, which come in the order of their sequences."""
-
-    BLOCK = 256
-
-    def __init__(self, tokens: np.ndarray, percent: int):
-        self.x, self.percent = tokens, percent
-        self.path = np.zeros(0, dtype=np.int64)  # the last sequence
-        self.overlaps = np.zeros(1, dtype=np.int64)  # overlap with each beginning of it, as far as it was walked
-        self.dead = None  # depth of the node under which nothing can be similar
-
-    def similar(self, y: np.ndarray) -> bool:
-        x, n = self.x, len(y)
-        k = min(len(self.path), n)
-        differ = np.flatnonzero(self.path[:k] != y[:k])
-        shared = int(differ[0]) if len(differ) else k
-        self.path = y
-        if self.dead is not None and shared >= self.dead:
-            return False  # pruned with its subtree
-        self.dead = None
-        done = min(shared, len(self.overlaps) - 1)
-        overlaps = [self.overlaps[: done + 1]]
-        have = int(overlaps[0][-1])
-        while done < n:
-            block = y[done : done + self.BLOCK]
-            at = np.searchsorted(x, block)
-            hit = x[np.minimum(at, len(x) - 1)] == block
-            overlaps.append(have + np.cumsum(hit))
-            have, done = int(overlaps[-1][-1]), done + len(block)
-            left = len(x) - int(at[-1]) - int(hit[-1])
-            if 100 * (have + left) < self.percent * len(x):
-                self.dead = done  # too little of x remains, however long the set
-                break
-            if not self._enough(have + min(left, n - done), n):
-                break
-        self.overlaps = np.concatenate(overlaps)
-        return done == n and self.dead is None and self._enough(have, n)
-
-    def _enough(self, overlap: int, n: int) -> bool:
-        return 100 * overlap >= self.percent * (len(self.x) + n - overlap)
-
-
-def _walk(percent: int):
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by a: the probe's own row (b is null) first, then its candidates in the order of their tokens."""
-        probe, now = None, None
-        for batch in batches:
-            lists = batch.column("tokens")
-            values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            found: tuple[list[int], list[int]] = ([], [])
-            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
-                tokens = values[offsets[i] : offsets[i + 1]]
-                if b is None:
-                    probe, now = _Probe(tokens, percent), a
-                elif a == now and probe.similar(tokens):
-                    found[0].append(a)
-                    found[1].append(b)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
-
-    return walk
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar; a has its row among the candidates, before them."""
-    probes = pairs.select("a").distinct().join(sets, F.col("a") == F.col("key"))
-    probes = probes.select("a", F.lit(None).cast("long").alias("b"), "tokens")
-    others = pairs.join(sets, F.col("b") == F.col("key")).select("a", "b", "tokens")
-    rows = probes.unionByName(others).repartition("a")
-    return rows.sortWithinPartitions("a", F.col("b").isNotNull(), "tokens").mapInArrow(_walk(percent), "a long, b long")
-
-
-def _may_link(x: tuple[Column, Column], y: tuple[Column, Column], percent: int) -> Column:
-    """Size and position bounds for (n, position) of a shared token; a similar pair meets them at its first one."""
-    (n, p), (m, q) = x, y
-    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    most = F.least(n - p, m - q)
-    return sizes & ((100 + percent) * most >= percent * (n + m))
-
-
 def similar_sets(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(members, links): each row's (row, n, key), and the links (a, b) that connect keys of similar sets.
 
@@ -242,39 +164,14 @@ def similar_sets(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
         .agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     )
 
-    # who meets whom: sets with a common token in their prefixes, next to each other in order of size
     posted = distinct.select("key", "row", "n", F.posexplode("prefix").alias("p", "token"))
-    bucket = Window.partitionBy("token").orderBy("n", "key")
-    previous = F.lag(F.struct("key", "n", "p")).over(bucket)
-    met = posted.withColumns({"prev": previous, "more": F.lead("key").over(bucket)})
-    met = kept(met.filter(F.col("prev").isNotNull() | F.col("more").isNotNull()).drop("more"), "meetings")
-    here, there = (F.col("n"), F.col("p")), (F.col("prev.n"), F.col("prev.p"))
-    chain = met.filter(F.col("prev").isNotNull() & _may_link(here, there, percent))
-    chain = kept(chain.select(F.least("key", "prev.key").alias("a"), F.greatest("key", "prev.key").alias("b")).distinct(), "chain")
-
-    rows_of = met.select("key", "row").distinct()
-    first_links = kept(_verified(chain, _sets_of(chain, rows_of, texts, levels), percent), "links")
-
-    # what is left: pairs in a bucket whose components differ
-    label = components(first_links).select(F.col("node").alias("key"), "component")
-    labelled = met.select("token", "key", "n", "p").join(label, "key", "left")
-    labelled = kept(labelled.withColumn("component", F.coalesce("component", "key")), "labelled")
-    shares = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = shares.groupBy("token").agg(F.max_by("component", "n").alias("major"), F.count(F.lit(1)).alias("kinds"))
-    mixed = mixed.filter(F.col("kinds") > 1).select("token", "major")
-    open_rows = labelled.join(mixed, "token")
-    minor = open_rows.filter(F.col("component") != F.col("major")).select(
-        "token", *[F.col(c).alias(f"m_{c}") for c in ("key", "n", "p", "component")]
-    )
-    cross = minor.join(open_rows, "token").filter(
-        (F.col("m_component") != F.col("component"))
-        & ((F.col("component") == F.col("major")) | (F.col("m_key") < F.col("key")))
-        & _may_link((F.col("m_n"), F.col("m_p")), (F.col("n"), F.col("p")), percent)
-    )
-    cross = cross.select(F.least("m_key", "key").alias("a"), F.greatest("m_key", "key").alias("b")).distinct()
-    cross = kept(cross.join(chain, ["a", "b"], "left_anti"), "cross")
-    more_links = kept(_verified(cross, _sets_of(cross, rows_of, texts, levels), percent), "links")
-    return members.drop("prefix"), first_links.unionByName(more_links)
+
+    def sets_of(keys_and_rows: DataFrame) -> DataFrame:
+        some = texts.join(keys_and_rows, F.col("row").eqNullSafe(F.col("_row"))).select("text")
+        return some.mapInArrow(_full_sets(levels), "key long, n long, tokens array<long>")
+
+    links = similar_in_buckets(posted, sets_of, percent)
+    return members.drop("prefix"), links
 
 
 def _arrow_type(texts: DataFrame) -> pa.DataType:
@@ -283,15 +180,6 @@ def _arrow_type(texts: DataFrame) -> pa.DataType:
     return to_arrow_type(texts.schema["row"].dataType)
 
 
-def _sets_of(pairs: DataFrame, rows_of: DataFrame, texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """The full sets of all keys in the pairs, made again from the texts of one row each."""
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = broadcast_if_small(rows_of.join(keys, "key").select(F.col("row").alias("_row")).distinct())
-    some = texts.join(wanted, F.col("row").eqNullSafe(F.col("_row"))).select("text")
-    sets = some.mapInArrow(_full_sets(levels), "key long, n long, tokens array<long>")
-    return kept(sets.dropDuplicates(["key"]), "sets")
-
-
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (id, n_shingles, component_id), the smallest id reachable by links of ``percent`` or more.
 
