@@ -17,6 +17,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from basketwise.llm.chunks import deal, words_of_chunks
 from basketwise.llm.store import table
 
 #: Bytes of text in a chunk, about; a chunk and its dictionary are held by one task.
@@ -42,29 +43,6 @@ class Vocabulary:
         return tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks(), special_tokens={})
 
 
-def _words_of_chunks(pattern: str):
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct words of each chunk of the task; rows of a chunk come one after another."""
-        split, now, seen = regex.compile(pattern).findall, None, set()
-
-        def rows():
-            found = list(seen)
-            for i in range(0, len(found), 100_000):
-                part = found[i : i + 100_000]
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([now] * len(part), pa.int64()), "word": pa.array(part)})
-
-        for batch in batches:
-            texts = batch.column("text")
-            for i, chunk in enumerate(batch.column("chunk").to_pylist()):
-                if chunk != now:
-                    yield from rows()
-                    now, seen = chunk, set()
-                seen.update(split(texts[i].as_py()))
-        yield from rows()
-
-    return words
-
-
 def _encode_words(vocabulary: Vocabulary):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by word: each word is encoded once, its ids go to every chunk that asked."""
@@ -123,13 +101,9 @@ def encode_texts(
     to. Null and empty texts have no ids. Repeated rows and repeated or null ids give a row each. An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    whole = docs.select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = int(size // CHUNK_BYTES) + 1
-    # dealt by content too, so that rows with one id don't meet in one chunk
-    dealt = whole.withColumn("chunk", F.pmod(F.xxhash64("row", "text"), F.lit(chunks))).repartition("chunk")
-    # all columns are kept here, so that the shuffle of the texts is the one that the cogroup below reads
-    words = dealt.sortWithinPartitions("chunk").mapInArrow(_words_of_chunks(vocabulary.pattern), "chunk long, word string")
+    dealt = deal(docs, id_col, text_col, CHUNK_BYTES)
+    pattern = vocabulary.pattern
+    words = words_of_chunks(dealt, lambda: regex.compile(pattern).findall)
     asked = words.repartition("word").sortWithinPartitions("word")
     dictionary = asked.mapInArrow(_encode_words(vocabulary), "chunk long, word string, ids string")
     schema = f"row {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
