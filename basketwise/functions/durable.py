@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side is broadcast only when its measured size stays under this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
-#: Keys split off as "hot" when a side is too large to broadcast; every other key then
-#: holds less than 1/HOT_KEYS of the rows.
-HOT_KEYS = 1000
+#: Partitions over which the rows without key of a large join are spread.
+NULL_SALT = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +54,15 @@ def measured_size(df: DataFrame) -> tuple[int, int]:
     return rows, size + 16 * rows * len(df.columns)
 
 
+def kept_table(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, written once as Parquet in the shared folder: later reads prune columns and push filters."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._kept = True
+    return kept
+
+
 class Measured(NamedTuple):
     frame: DataFrame  # kept
     rows: int
@@ -84,33 +92,17 @@ def broadcast_table(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def join_keyed(left: DataFrame, keyed: DataFrame, on: str, weight: str) -> DataFrame:
+def join_keyed(left: DataFrame, keyed: DataFrame, on: str) -> DataFrame:
     """Left-join ``keyed`` (one row per ``on``) to a table that may hold one key very often.
 
-    ``weight`` is the number of ``left`` rows per key, known from the aggregation that made ``keyed``.
-    An empty ``keyed`` is not joined. A small one is broadcast, so ``left`` is not shuffled at all. A
-    large one is joined by shuffle, except for its HOT_KEYS heaviest keys, whose rows are joined by
-    broadcast.
+    A small ``keyed`` is broadcast, so ``left`` is not shuffled at all. A large one is joined by one shuffle: a hot key
+    is split there by the session's skew handling, and rows without key are spread over many partitions,
+    as they meet nothing.
     """
-    keyed, rows, small = measured(keyed)
-    if not rows:
-        return _with_nulls(left, keyed, on, weight)
+    keyed, _, small = measured(keyed)
     if small:
-        return left.join(F.broadcast(keyed.drop(weight)), on, "left")
-    return join_split(left, keyed, on, weight)
-
-
-def join_split(left: DataFrame, keyed: DataFrame, on: str, weight: str, hot_keys: int | None = None) -> DataFrame:
-    """Left join with the heaviest keys, and the rows without key, split off; see join_keyed."""
-    hot = durable(keyed.orderBy(F.desc(weight), on).limit(hot_keys or HOT_KEYS)).drop(weight)
-    given = left.filter(F.col(on).isNotNull())
-    heavy_rows = given.join(F.broadcast(hot), on, "inner")
-    light_rows = given.join(F.broadcast(hot.select(on)), on, "left_anti").join(keyed.drop(weight), on, "left")
-    keyless_rows = _with_nulls(left.filter(F.col(on).isNull()), keyed, on, weight)
-    return heavy_rows.unionByName(light_rows).unionByName(keyless_rows)
-
-
-def _with_nulls(left: DataFrame, keyed: DataFrame, on: str, weight: str) -> DataFrame:
-    """``left`` with the columns ``keyed`` would add, all null."""
-    added = [f for f in keyed.schema.fields if f.name not in (on, weight)]
-    return left.withColumns({f.name: F.lit(None).cast(f.dataType) for f in added})
+        return left.join(F.broadcast(keyed), on, "left")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(NULL_SALT)).cast("string")
+    met = F.when(F.col(on).isNull(), F.concat(F.lit("n"), salt)).otherwise(F.concat(F.lit("k"), F.col(on).cast("string")))
+    right = keyed.select(F.concat(F.lit("k"), F.col(on).cast("string")).alias("_met"), *[c for c in keyed.columns if c != on])
+    return left.withColumn("_met", met).join(right, "_met", "left").drop("_met")

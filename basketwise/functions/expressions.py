@@ -12,7 +12,14 @@ WHITESPACE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-END_MARK = "end of the only value"
+# The forms of dates that are read beside ISO; of 01/02/2024 the month comes first.
+DATE_FORMATS = (
+    "M/d/yyyy", "M/d/yyyy H:mm[:ss]", "yyyy/M/d", "yyyy/M/d H:mm[:ss]", "MMM d yyyy", "MMM d, yyyy", "MMMM d yyyy",
+    "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy",
+)
+#: Numbers from here on can't be added up exactly as money, and count as unreadable.
+NUMBER_LIMIT = 1e14
+
 DAY_MICROS = 86_400_000_000
 MONEY = T.DecimalType(18, 4)
 
@@ -27,15 +34,17 @@ def is_blank(text: Column) -> Column:
 
 
 def to_number(df: DataFrame, name: str) -> Column:
-    """A column as DOUBLE; what is no finite number in digits becomes null."""
+    """A column as DOUBLE; what is no number in digits, or beyond NUMBER_LIMIT, becomes null."""
     value = F.col(name)
     if isinstance(df.schema[name].dataType, T.StringType):
-        # the cast would also read "1.5d", "1.5f", "NaN" and "Infinity"
-        return F.translate(value, "dDfFnN", "??????").try_cast("double")
-    return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+        # the cast would also read "1.5d", "1.5f", "NaN" and "Infinity", and makes "1e400" infinite
+        number = F.translate(value, "dDfFnN", "??????").try_cast("double")
+    else:
+        number = value.cast("double")
+    return F.when(F.abs(number) < NUMBER_LIMIT, number)  # NaN and infinity are above it
 
 
-def to_time(df: DataFrame, name: str, formats: tuple[str, ...] = ()) -> Column:
+def to_time(df: DataFrame, name: str, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     """A column as a timestamp; ISO text is read as it is, other text by ``formats``; the rest becomes null."""
     kind = df.schema[name].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -58,10 +67,10 @@ def whole_days(start: Column, end: Column) -> Column:
 
 
 def money(df: DataFrame, name: str) -> Column:
-    """An amount as an exact decimal, so that sums do not depend on their order."""
+    """An amount as an exact decimal, so that sums do not depend on their order; null where it has more than 14 digits."""
     if isinstance(df.schema[name].dataType, T.DecimalType):
         return F.col(name)
-    return F.col(name).cast(MONEY)
+    return F.col(name).try_cast(MONEY)
 
 
 def as_double(amount: Column) -> Column:
@@ -82,15 +91,16 @@ def parse_json(text: Column) -> Column:
     """The JSON value of a text as VARIANT, or null where the text is not exactly one JSON value.
 
     Spark's parser stops after the first value. Inside an array whose last item must be the end
-    mark, anything that follows the value makes the whole fail.
+    mark, anything that follows the value makes the whole fail. The mark is the digest of the text, which no text holds.
     """
+    mark = F.sha2(text.cast("binary"), 256)
 
     def only_value(pair: Column) -> Column:
-        ends = F.try_variant_get(pair, "$[1]", "string") == END_MARK
+        ends = F.try_variant_get(pair, "$[1]", "string") == mark
         alone = F.try_variant_get(pair, "$[2]", "variant").isNull()
         return F.when(ends & alone, F.variant_get(pair, "$[0]", "variant"))
 
-    return let(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END_MARK}"]'))), only_value)
+    return let(F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))), only_value)
 
 
 def python_list(names) -> str:

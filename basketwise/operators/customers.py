@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from basketwise.functions.durable import durable
 from basketwise.functions.expressions import DAY_MICROS, as_double, micros, money, round2
-from basketwise.functions.ranking import SMALL_ROWS, quantile, quartile_scores
+from basketwise.functions.ranking import quantile, quartile_scores
 from basketwise.operators.facts import filter_completed
 
 
@@ -59,7 +59,6 @@ def rfm_segment(r: Column, f: Column, m: Column) -> Column:
 def rfm_segmentation(
     facts: DataFrame,
     reference_date: datetime.datetime | None = None,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Recency, frequency, monetary value, their quartile scores and the segment of every customer.
 
@@ -92,16 +91,15 @@ def rfm_segmentation(
             "m_score": ("monetary", True),
         },
         "customer_id",
-        small_rows,
     )
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     return scored.select("*", (r + f + m).alias("rfm_score"), rfm_segment(r, f, m).alias("segment"))
 
 
-def high_value_customers(rfm: DataFrame, top_pct: float = 0.15, small_rows: int = SMALL_ROWS) -> DataFrame:
+def high_value_customers(rfm: DataFrame, top_pct: float = 0.15) -> DataFrame:
     """Customers whose monetary value reaches the (1 - top_pct) quantile; highest first."""
     rfm = durable(rfm)
-    cutoff = quantile(rfm, "monetary", "customer_id", 1 - top_pct, small_rows)
+    cutoff = quantile(rfm, "monetary", "customer_id", 1 - top_pct)
     return rfm.filter(F.col("monetary") >= F.lit(cutoff).cast("double")).orderBy(
         F.desc("monetary"), "customer_id"
     )

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from basketwise.functions.durable import broadcast_table
-from basketwise.functions.expressions import money, to_number, to_time
+from basketwise.functions.expressions import DATE_FORMATS, money, to_number, to_time
 
 COMPLETED = "Completed"
 
 PRODUCT_ATTRIBUTES = ("product_name", "category", "sub_category", "cost_price", "selling_price")
 
 
-def prepare_order_lines(orders: DataFrame) -> DataFrame:
+def prepare_order_lines(orders: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
     """Typed order lines with revenue and month, without product attributes.
 
     Whatever needs no product attribute reads this and so avoids the product join.
     """
     typed = orders.withColumns(
         {
-            "order_date": to_time(orders, "order_date"),
+            "order_date": to_time(orders, "order_date", formats),
             **{
                 name: F.coalesce(to_number(orders, name), F.lit(0.0))
                 for name in ("quantity", "unit_price", "discount_pct")
@@ -40,13 +40,15 @@ def prepare_order_lines(orders: DataFrame) -> DataFrame:
     )
 
 
-def prepare_order_facts(orders: DataFrame, products: DataFrame | None) -> DataFrame:
+def prepare_order_facts(
+    orders: DataFrame, products: DataFrame | None, formats: tuple[str, ...] = DATE_FORMATS
+) -> DataFrame:
     """Order lines left-joined to their product, with revenue, cost and profit; 17 columns.
 
     ``products`` holds one row per product_id, as its contract says. It is measured when this is
     called, and broadcast if it is small enough.
     """
-    lines = prepare_order_lines(orders)
+    lines = prepare_order_lines(orders, formats)
     if products is None:
         attributes = [F.lit(None).cast("string").alias(c) for c in PRODUCT_ATTRIBUTES[:3]]
         attributes += [F.lit(0.0).alias("cost_price"), F.lit(None).cast("double").alias("selling_price")]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from basketwise.functions.durable import durable
 from basketwise.functions.expressions import as_double, money, round2, to_number
-from basketwise.functions.ranking import SMALL_ROWS, quantile
+from basketwise.functions.ranking import quantile
 from basketwise.operators.facts import filter_completed
 
 
@@ -65,14 +65,13 @@ def high_margin_low_volume(
     margin_threshold_pct: float = 50.0,
     volume_percentile: float = 0.25,
     approx: bool = False,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Products with at least the given margin whose units are at or below the given quantile of all units."""
     if approx:
         low = F.col("units_sold") <= table.agg(F.percentile_approx("units_sold", volume_percentile)).scalar()
     else:
         table = durable(table)
-        cutoff = quantile(table, "units_sold", "product_id", volume_percentile, small_rows)
+        cutoff = quantile(table, "units_sold", "product_id", volume_percentile)
         low = F.col("units_sold") <= F.lit(cutoff).cast("double")
     return table.filter((F.col("margin_pct") >= margin_threshold_pct) & low).orderBy(
         F.desc("margin_pct"), "units_sold", "product_id"

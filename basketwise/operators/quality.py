@@ -1,8 +1,8 @@
 """Validation of a table against its contract: flags per row, counts per rule, clean rows and quarantine.
 
-Flags are plain column expressions over one scan. The two checks that look beyond the row, duplicate
-keys and foreign keys, first reduce to the offending keys alone (aggregated before any shuffle), so
-the wide rows are joined to a small broadcast table instead of being shuffled or windowed by key.
+The source is scanned once: coerced columns and flags are plain expressions, and are kept as Parquet. The two checks
+that look beyond the row, duplicate keys and foreign keys, reduce to the offending keys (aggregated before
+any shuffle) and are joined to the rows. The flagged table is kept too; clean rows, quarantine and counts are read from it.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from basketwise.contracts import ColumnRule, Contract, contract_of
-from basketwise.functions.durable import durable, join_keyed, measured
-from basketwise.functions.expressions import python_list, to_number, to_time
+from basketwise.functions.durable import broadcast_if_small, join_keyed, kept_table
+from basketwise.functions.expressions import DATE_FORMATS, python_list, to_number, to_time
 from basketwise.sources.tables import ROW_SEQ
 
 # The sentences of a validation summary.
@@ -43,7 +43,7 @@ class _Check:
 
 @dataclass(frozen=True)
 class Validation:
-    """Outcome for one dataset. Everything but ``is_valid`` is lazy."""
+    """Outcome for one dataset; all frames read the flagged table that was kept."""
 
     dataset: str
     flagged: DataFrame | None  # contract columns, flags, _problems, _invalid, _duplicate
@@ -78,12 +78,12 @@ def missing_value_profile(df: DataFrame, dataset: str) -> DataFrame:
     return counts.unpivot([], columns, "column", "missing").filter(F.col("missing") > 0)
 
 
-def coerced(df: DataFrame, rule: ColumnRule) -> Column:
+def coerced(df: DataFrame, rule: ColumnRule, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     """The column as its declared kind; unreadable values become null."""
     if rule.numeric:
         return to_number(df, rule.name)
     if rule.kind == "date":
-        return to_time(df, rule.name)
+        return to_time(df, rule.name, formats)
     return F.col(rule.name).cast("string")
 
 
@@ -105,8 +105,8 @@ def rule_counts(validation: Validation) -> DataFrame:
     return counts.withColumn("rule", F.ltrim("rule", F.lit("_")))
 
 
-def _rule_checks(df: DataFrame, rule: ColumnRule) -> list[tuple[_Check, Column]]:
-    name, value = rule.name, coerced(df, rule)
+def _rule_checks(df: DataFrame, rule: ColumnRule, formats: tuple[str, ...]) -> list[tuple[_Check, Column]]:
+    name, value = rule.name, coerced(df, rule, formats)
     given = F.col(name).isNotNull()
     checks = [
         (
@@ -143,38 +143,34 @@ def _holds(rule: ColumnRule) -> Column:
 
 
 def _with_order_key(df: DataFrame, order_cols: list[str] | None) -> DataFrame:
-    """Add the key that tells which of two rows comes first; it must be unique."""
+    """Add the key that tells which of two rows comes first; it is unique.
+
+    A table without row position gets one here, which is only sure to be the same on every read once the
+    rows are kept.
+    """
     if ROW_SEQ not in df.columns:
-        df = durable(df.withColumn(ROW_SEQ, F.monotonically_increasing_id()))
+        df = df.withColumn(ROW_SEQ, F.monotonically_increasing_id())
     return df.withColumn(_KEY, F.struct(*[F.col(c) for c in order_cols or []], F.col(ROW_SEQ)))
 
 
-def _repeated_keys(df: DataFrame, key: str) -> DataFrame | None:
-    """(key, _first, _rows) of the keys that occur more than once; None if there are none.
+def _repeated_keys(df: DataFrame, key: str) -> DataFrame:
+    """(key, _first) of the keys that occur more than once.
 
-    Counting is a hash aggregation; the smallest order key needs a sorting one, and is sought among
-    the rows of repeated keys only, unless there are too many such keys to broadcast.
+    Counting is a hash aggregation that combines before its shuffle; the smallest order key is then sought among the
+    rows of repeated keys, which few rows are.
     """
-    given = df.filter(F.col(key).isNotNull())
-    counts = given.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1)
-    repeated = measured(counts)
-    if not repeated.rows:
-        return None
-    if repeated.small:
-        given = given.join(F.broadcast(repeated.frame.select(key)), key, "left_semi")
-    firsts = given.groupBy(key).agg(F.min(_KEY).alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    return firsts.filter(F.col("_rows") > 1)
-
-
-def _flag_duplicates(df: DataFrame, repeated: DataFrame | None, key: str) -> DataFrame:
+    given = df.select(key, _KEY).filter(F.col(key).isNotNull())
+    repeated = given.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1).select(key)
+    return given.join(broadcast_if_small(repeated), key, "left_semi").groupBy(key).agg(F.min(_KEY).alias("_first"))
+
+
+def _flag_duplicates(df: DataFrame, key: str) -> DataFrame:
     """Add _duplicate: the row is not the first of its key, by the unique order key.
 
     Keys seen once never leave the aggregation. Rows without key are not compared; they count as
     duplicates of each other in the metrics.
     """
-    if repeated is None:
-        return df.withColumn("_duplicate", F.lit(False))
-    joined = join_keyed(df, repeated, key, "_rows")
+    joined = join_keyed(df, _repeated_keys(df, key), key)
     later = F.col("_first").isNotNull() & ~F.col(_KEY).eqNullSafe(F.col("_first"))
     return joined.withColumn("_duplicate", later).drop("_first")
 
@@ -182,17 +178,18 @@ def _flag_duplicates(df: DataFrame, repeated: DataFrame | None, key: str) -> Dat
 def duplicate_key_check(df: DataFrame, key: str, order_cols: list[str] | None = None) -> DataFrame:
     """The table with _duplicate set on every row but the first of its key."""
     keyed = _with_order_key(df, order_cols)
-    return _flag_duplicates(keyed, _repeated_keys(keyed, key), key).drop(_KEY)
+    if ROW_SEQ not in df.columns:
+        keyed = kept_table(keyed, "keyed").drop(ROW_SEQ)
+    return _flag_duplicates(keyed, key).drop(_KEY)
 
 
 def _unknown_keys(df: DataFrame, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """(column, _unknown, _rows) of the non-null keys that no parent has, compared as text."""
+    """(column, _unknown) of the non-null keys that no parent has, compared as text."""
     known = parent.select(F.col(parent_key).cast("string").alias(column)).distinct()
     return (
         df.select(F.col(column).cast("string").alias(column))
         .filter(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        .distinct()
         .join(known, column, "left_anti")
         .withColumn("_unknown", F.lit(True))
     )
@@ -200,7 +197,7 @@ def _unknown_keys(df: DataFrame, column: str, parent: DataFrame, parent_key: str
 
 def _flag_orphans(df: DataFrame, unknown: DataFrame, column: str) -> DataFrame:
     """Add _orphan_<column>: no parent has this key, or the key is null. ``column`` is text here."""
-    joined = join_keyed(df, unknown, column, "_rows")
+    joined = join_keyed(df, unknown, column)
     orphan = F.col(column).isNull() | F.col("_unknown").isNotNull()
     return joined.withColumn(f"_orphan_{column}", orphan).drop("_unknown")
 
@@ -218,11 +215,13 @@ def validate(
     parents: dict[str, DataFrame] | None = None,
     drop_invalid: bool = True,
     order_cols: list[str] | None = None,
+    formats: tuple[str, ...] = DATE_FORMATS,
 ) -> Validation:
     """Check a table against the contract of ``dataset``.
 
     ``parents`` are already cleaned datasets for the foreign-key checks. ``order_cols`` say which of
     two rows with one key comes first; without them the row position of the source decides.
+    ``formats`` are the forms of dates that are read beside ISO.
     """
     contract = contract_of(dataset)
     absent = check_required_columns(df, dataset)
@@ -235,17 +234,18 @@ def validate(
     flags: dict[str, Column] = {}
     for rule in contract.rules:
         if rule.name in df.columns:
-            for check, flag in _rule_checks(df, rule):
+            for check, flag in _rule_checks(df, rule, formats):
                 checks.append(check)
                 flags[check.flag] = flag
     present = [r for r in contract.rules if r.name in df.columns]
     scanned = keyed.select(
-        *[coerced(df, rule).alias(rule.name) for rule in present],
+        *[coerced(df, rule, formats).alias(rule.name) for rule in present],
         *[flag.alias(name) for name, flag in flags.items()],
         _KEY,
     )
-    # the offending keys are looked up in the scan itself, so each lookup reads its own columns only
-    rows = _flag_duplicates(scanned, _repeated_keys(scanned, contract.key), contract.key)
+    # typed and flagged once; the offending keys are then looked up in what was kept, each reading its own columns
+    scanned = kept_table(scanned, f"{dataset}-scanned")
+    rows = _flag_duplicates(scanned, contract.key)
     parent_checks = []
     for column, parent_name in contract.parents.items():
         parent = (parents or {}).get(parent_name)
@@ -269,6 +269,7 @@ def validate(
     flagged = rows.withColumns(
         {"_invalid": invalid, "_problems": F.array_compact(F.array(*reasons))}
     ).drop(_KEY)
+    flagged = kept_table(flagged, f"{dataset}-flagged")
 
     bad = F.col("_invalid") | F.col("_duplicate")
     names = [rule.name for rule in present]

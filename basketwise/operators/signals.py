@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketwise.functions.expressions import as_double, money, round2
-from basketwise.functions.ranking import SMALL_ROWS
 from basketwise.operators.customers import churn_risk_customers, rfm_segmentation
 from basketwise.operators.facts import filter_completed
 from basketwise.operators.products import high_margin_low_volume, product_performance
@@ -106,11 +105,10 @@ def high_margin_low_volume_signals(
     margin_threshold_pct: float = 50.0,
     volume_percentile: float = 0.25,
     top_n: int = 10,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """The first rows of high_margin_low_volume as signals."""
     products = high_margin_low_volume(
-        table, margin_threshold_pct, volume_percentile, small_rows=small_rows
+        table, margin_threshold_pct, volume_percentile
     ).limit(top_n)
     return products.select(
         F.lit("high_margin_low_volume_product").alias("signal_type"),

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketwise.contracts import LOAD_ORDER
+from basketwise.functions.expressions import DATE_FORMATS
 from basketwise.operators.quality import Validation, validate
 from basketwise.sources.tables import read_dataset
 
@@ -37,18 +38,27 @@ class LoadedTables:
         return reduce(DataFrame.unionByName, parts)
 
 
-def load_tables(tables: dict[str, DataFrame], order_cols: dict[str, list[str]] | None = None) -> LoadedTables:
+def load_tables(
+    tables: dict[str, DataFrame],
+    order_cols: dict[str, list[str]] | None = None,
+    formats: tuple[str, ...] = DATE_FORMATS,
+) -> LoadedTables:
     """Validate tables already at hand, parents first; the foreign keys see the cleaned parents."""
     loaded = LoadedTables()
     for name in LOAD_ORDER:
         validation = validate(
-            tables[name], name, parents=loaded.tables, order_cols=(order_cols or {}).get(name)
+            tables[name], name, parents=loaded.tables, order_cols=(order_cols or {}).get(name), formats=formats
         )
         loaded.tables[name] = tables[name] if validation.clean is None else validation.clean
         loaded.validations[name] = validation
     return loaded
 
 
-def load_all(spark: SparkSession, paths: dict[str, str | list[str]], multi_line: bool = True) -> LoadedTables:
+def load_all(
+    spark: SparkSession,
+    paths: dict[str, str | list[str]],
+    multi_line: bool = False,
+    formats: tuple[str, ...] = DATE_FORMATS,
+) -> LoadedTables:
     """The same from files: {dataset: path}."""
-    return load_tables({name: read_dataset(spark, paths[name], multi_line) for name in LOAD_ORDER})
+    return load_tables({name: read_dataset(spark, paths[name], multi_line) for name in LOAD_ORDER}, formats=formats)

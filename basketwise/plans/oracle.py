@@ -443,6 +443,21 @@ def _problem(flag: str, text: str) -> str:
 
 
 VALIDATION = {
+    "validate_formats": """
+SELECT l_orderkey || '-' || l_linenumber AS order_id, l_shipdate::TIMESTAMP AS order_date,
+       CASE WHEN round(l_tax * 100) NOT IN (7, 8) THEN 12.5::DOUBLE END AS unit_price,
+       round(l_tax * 100) IN (7, 8) AS is_invalid
+FROM lineitem""",
+    "required_columns": """
+SELECT 'customers' AS dataset, false AS is_valid, count(*) AS total_rows, 0::BIGINT AS invalid_rows_dropped,
+       0::BIGINT AS duplicate_rows_dropped, '' AS missing_values,
+       'Missing required columns: [''signup_date'', ''city'', ''age_group'']' AS errors, '' AS warnings
+FROM customer""",
+    "validate_keeping_invalid": _raw_with(
+        """SELECT count(*) AS total_rows,
+        count(*) FILTER (signup_date = 'not-a-date' OR age_group IS NULL) AS invalid_rows,
+        0::BIGINT AS duplicate_rows, count(*) AS clean_rows, count(*) AS kept_rows FROM raw_customers"""
+    ),
     "missing_value_profile": _raw_with(
         "SELECT 'discount_pct' AS \"column\", no_discount AS missing FROM counts WHERE no_discount > 0"
     ),
@@ -891,16 +906,19 @@ log AS (
   SELECT user_id::VARCHAR AS reference_id, 'Offer ' || event_type AS recommendation, props AS reason,
          event_type <> 'error' AS merchant_approved, 499 AS amount_inr,
          CASE WHEN event_type = 'purchase' THEN 'link_' || event_id::VARCHAR END AS payment_link_id,
-         event_type AS result, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS "timestamp", event_id
+         event_type AS result,
+         CASE WHEN event_id % 2 = 1 THEN strftime(ts + INTERVAL '5 hours 30 minutes', '%Y-%m-%dT%H:%M:%S.%f') || '+05:30'
+              ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' END AS "timestamp", event_id
   FROM events
 ),
 updates AS (
   SELECT c_custkey::VARCHAR AS reference_id, CASE WHEN c_acctbal >= 0 THEN 'paid' END AS result,
-         'link_of_' || c_name AS payment_link_id, '2024-06-01T00:00:00+00:00' AS status_checked_at
+         'link_of_' || c_name AS payment_link_id, '2024-06-01T00:00:00+00:00' AS status_checked_at,
+         'card' AS payment_method
   FROM customer
 ),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY reference_id ORDER BY "timestamp" DESC, event_id DESC) AS place FROM log
+  SELECT *, row_number() OVER (PARTITION BY reference_id ORDER BY "timestamp"::TIMESTAMPTZ DESC, event_id DESC) AS place FROM log
 )
 """
 
@@ -916,14 +934,14 @@ ACTIONS = {
     "apply_status_updates": _log(
         """SELECT p.reference_id, recommendation, reason, merchant_approved, amount_inr,
         coalesce(u.payment_link_id, p.payment_link_id) AS payment_link_id, coalesce(u.result, p.result) AS result,
-        "timestamp", event_id, u.status_checked_at
+        "timestamp", event_id, u.status_checked_at, u.payment_method
         FROM placed p LEFT JOIN updates u ON p.reference_id = u.reference_id AND place = 1"""
     ),
     "unmatched_updates": _log("SELECT * FROM updates WHERE reference_id NOT IN (SELECT reference_id FROM log)"),
     "log_view": _log(f"SELECT {_VIEW} FROM log"),
-    "log_round_trip": _log(f"SELECT {_VIEW} FROM log"),
+    "log_round_trip": _log(f"""SELECT {_VIEW}, '{{"id":' || event_id || '}}' AS batch FROM log"""),
     "latest_open_action": _log(
-        'SELECT * FROM log WHERE payment_link_id IS NOT NULL ORDER BY "timestamp" DESC, event_id DESC LIMIT 1'
+        'SELECT * FROM log WHERE payment_link_id IS NOT NULL ORDER BY "timestamp"::TIMESTAMPTZ DESC, event_id DESC LIMIT 1'
     ),
 }
 

@@ -257,16 +257,43 @@ def foreign_key_check(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """The raw tables written as CSV into the shared folder, read back and validated."""
+    """The raw tables written as CSV into the shared folder, in files of two column orders, read back and validated."""
     target = scratch_path(spark, "csv")
     paths = {}
     for name, raw in _raw(spark, folder).items():
         paths[name] = f"{target}/{name}"
-        raw.drop(ROW_SEQ).write.option("header", True).option("escape", '"').csv(paths[name])
+        rows = raw.drop(ROW_SEQ)
+        odd = F.pmod(F.xxhash64(rows.columns[0]), F.lit(2)) == 1
+        for half, columns in ((rows.filter(~odd), rows.columns), (rows.filter(odd), rows.columns[::-1])):
+            half.select(*columns).write.mode("append").option("header", True).option("escape", '"').csv(paths[name])
     return _flat_summary(load_all(spark, paths).summary())
 
 
+def validate_formats(spark: SparkSession, folder: str) -> DataFrame:
+    """Dates in several forms, and prices too large to be added up."""
+    flagged = quality.validate(star.uploaded_orders(spark, folder), "orders").flagged
+    return flagged.select("order_id", "order_date", "unit_price", F.col("_invalid").alias("is_invalid"))
+
+
+def required_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """The summary of customers without three of their columns."""
+    few = star.raw_customers(spark, folder).drop("city", "age_group", "signup_date")
+    return _flat_summary(quality.validate(few, "customers").summary)
+
+
+def validate_keeping_invalid(spark: SparkSession, folder: str) -> DataFrame:
+    """The summary and kept rows of customers where invalid rows are only reported."""
+    checked = quality.validate(star.raw_customers(spark, folder), "customers", drop_invalid=False)
+    kept = checked.clean.agg(F.count(F.lit(1)).alias("kept_rows"))
+    return checked.metrics.select("total_rows", "invalid_rows", "duplicate_rows", "clean_rows").join(
+        F.broadcast(kept), F.col("clean_rows") == F.col("kept_rows"), "left"
+    )
+
+
 VALIDATION: dict[str, Query] = {
+    "validate_formats": validate_formats,
+    "required_columns": required_columns,
+    "validate_keeping_invalid": validate_keeping_invalid,
     "missing_value_profile": missing_value_profile,
     "coerce_columns": coerce_columns,
     "rule_counts": rule_counts,
@@ -482,10 +509,13 @@ def latest_open_action(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def log_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """The log appended as JSON lines in the shared folder, and read back."""
-    path = scratch_path(spark, "log")
-    append_log(star.action_log(spark, folder).drop("event_id"), path)
-    return actions.log_view(read_log(spark, path)).drop("status_checked_at")
+    """The log appended as JSON lines in the shared folder, read, appended to another log and read back, with an extra field."""
+    first, second = scratch_path(spark, "log"), scratch_path(spark, "log")
+    log = star.action_log(spark, folder)
+    append_log(log.withColumn("batch", F.struct(F.col("event_id").alias("id"))).drop("event_id"), first)
+    append_log(read_log(spark, first), second)
+    again = read_log(spark, second)
+    return again.select(*actions.log_view(again).drop("status_checked_at").columns, F.element_at("other_fields", "batch").alias("batch"))
 
 
 ACTIONS: dict[str, Query] = {

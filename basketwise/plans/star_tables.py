@@ -123,6 +123,26 @@ def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def uploaded_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines as users write them: four forms of dates, and prices that are no amounts."""
+    day, tax, number = F.col("l_shipdate"), F.round(F.col("l_tax") * 100), F.col("l_linenumber")
+    return read_parquet(spark, f"{folder}/lineitem.parquet").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("order_id"),
+        F.col("l_suppkey").cast("string").alias("customer_id"),
+        F.col("l_partkey").cast("string").alias("product_id"),
+        F.when(number % 4 == 1, F.date_format(day, "MM/dd/yyyy"))
+        .when(number % 4 == 2, F.date_format(day, "yyyy/MM/dd"))
+        .when(number % 4 == 3, F.date_format(day, "MMM d yyyy"))
+        .otherwise(F.date_format(day, "yyyy-MM-dd"))
+        .alias("order_date"),
+        F.lit("1").alias("quantity"),
+        F.when(tax == 8, "1e400").when(tax == 7, "1e300").otherwise("12.5").alias("unit_price"),
+        F.lit("0").alias("discount_pct"),
+        F.lit("Completed").alias("order_status"),
+        ROW_SEQ,
+    )
+
+
 #: Which of two lines with one order_id comes first.
 RAW_ORDER_COLS = ["product_id", "quantity", "unit_price", "discount_pct", "order_status"]
 
@@ -234,16 +254,17 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
     raw = (
         F.when(is_one("src1"), F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .when(is_one("src2"), F.concat(F.lit("Here it is: "), body, F.lit(" Hope it helps.")))
-        .when(is_one("src3"), F.concat(F.lit("No report: "), F.lit("{"), F.substring_index(F.col("text"), "{", 1)))
+        .when(is_one("src3"), F.concat(F.lit("No report: {"), F.substring_index(F.col("text"), "{", 1)))
         .when(is_one("src9"), F.concat(F.lit("["), body, F.lit("]")))
         .otherwise(body)
     )
-    known = F.array(F.lit("en_policy"), F.lit("de_policy"), F.concat(F.lit("src"), F.lit("10")))
+    known = F.array(F.lit("en_policy"), F.lit("de_policy"), F.lit("src10"))
     return doc.select(F.col("doc_id").alias("report_id"), raw.alias("raw"), known.alias("known_sources"))
 
 
 def action_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as action records; event_id is the position in the log."""
+    """Events as action records; event_id is the position in the log. Odd ones are written in another zone."""
+    there = F.date_format(F.col("ts") + F.expr("INTERVAL 5 HOURS 30 MINUTES"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+05:30'")
     return table(spark, folder, "events").select(
         F.col("user_id").cast("string").alias("reference_id"),
         F.concat(F.lit("Offer "), F.col("event_type")).alias("recommendation"),
@@ -253,7 +274,8 @@ def action_log(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("event_type") == "purchase", F.concat(F.lit("link_"), F.col("event_id").cast("string")))
         .alias("payment_link_id"),
         F.col("event_type").alias("result"),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("timestamp"),
+        F.when(F.col("event_id") % 2 == 1, there)
+        .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")).alias("timestamp"),
         "event_id",
     )
 
@@ -265,4 +287,5 @@ def status_updates(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("c_acctbal") >= 0, "paid").alias("result"),
         F.concat(F.lit("link_of_"), F.col("c_name")).alias("payment_link_id"),
         F.lit("2024-06-01T00:00:00+00:00").alias("status_checked_at"),
+        F.lit("card").alias("payment_method"),  # a field the log doesn't have
     )

@@ -30,16 +30,32 @@ def utc_now() -> Column:
     return F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
 
+#: The fields of a record that have no column of their own, or a value their column can't hold, as JSON by name.
+OTHER_FIELDS = "other_fields"
+
+
 def append_log(records: DataFrame, path: str) -> None:
-    """Append records, stamped with the time where they have none. Null fields are not written."""
+    """Append records, stamped with the time where they have none. Null fields are not written.
+
+    Every column is a field of the record; those in ``other_fields`` are written beside them.
+    """
     given = F.col("timestamp") if "timestamp" in records.columns else F.lit(None).cast("string")
-    stamped = records.withColumn("timestamp", F.coalesce(given, utc_now()))
-    stamped.drop(ROW_SEQ).write.mode("append").option("ignoreNullFields", True).json(path)
+    stamped = records.withColumn("timestamp", F.coalesce(given, utc_now())).drop(ROW_SEQ)
+    line = F.to_json(F.struct(*[c for c in stamped.columns if c != OTHER_FIELDS]))
+    if OTHER_FIELDS in stamped.columns:
+        values = F.transform_values(OTHER_FIELDS, lambda _, v: F.try_parse_json(v))
+        others = F.to_json(values)
+        some = F.coalesce(F.size(OTHER_FIELDS), F.lit(0)) > 0
+        # the timestamp is always there, so neither part is empty
+        line = F.when(some, F.concat(F.substring(line, F.lit(1), F.length(line) - 1), F.lit(","), F.substring(others, 2, 1 << 30))).otherwise(line)
+    stamped.select(line.alias("value")).write.mode("append").text(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """All records with their position in the log; blank and corrupt lines are skipped, and a log that
-    does not exist is empty. Sort by timestamp and position for oldest first."""
+    does not exist is empty. Sort by time and position for oldest first.
+
+    No field is lost: those without a column, and values their column can't hold, are in ``other_fields``."""
     try:
         lines = spark.read.text(path)
     except AnalysisException as error:
@@ -47,7 +63,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
             raise
         columns = ", ".join(f"`{name}` {kind}" for name, kind in LOG_FIELDS.items())
         return spark.createDataFrame(
-            [], f"{columns}, {ROW_SEQ} struct<file: string, block: bigint, row: bigint>"
+            [], f"{columns}, {OTHER_FIELDS} map<string, string>, {ROW_SEQ} struct<file: string, block: bigint, row: bigint>"
         )
     place = F.struct(
         F.col("_metadata.file_path").alias("file"),
@@ -58,8 +74,18 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     fields = [
         F.try_variant_get("record", f"$.{name}", kind).alias(name) for name, kind in LOG_FIELDS.items()
     ]
+    unreadable = F.array_compact(
+        F.array(*[F.when(F.try_variant_get("record", f"$.{n}", k).isNull(), F.lit(n)) for n, k in LOG_FIELDS.items()])
+    )
+    named = F.array(*[F.lit(name) for name in LOG_FIELDS])
+    given = F.map_filter(
+        F.try_variant_get("record", "$", "map<string, variant>"),
+        lambda name, value: ~F.is_variant_null(value)
+        & (~F.array_contains(named, name) | F.array_contains(unreadable, name)),
+    )
+    others = F.transform_values(given, lambda _, value: F.to_json(value))
     return (
         lines.select(record.alias("record"), place.alias(ROW_SEQ))
         .filter(F.col("record").isNotNull())
-        .select(*fields, ROW_SEQ)
+        .select(*fields, F.when(F.size(others) > 0, others).alias(OTHER_FIELDS), ROW_SEQ)
     )

@@ -23,22 +23,20 @@ def qcut_scores(values, higher=True):
     return [int(b if higher else 5 - b) for b in bucket]
 
 
-@pytest.mark.parametrize("small_rows", [1000, 0])
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 7, 10, 11, 50, 203])
-def test_quartile_scores_equal_qcut_of_ranks(spark, n, small_rows):
+def test_quartile_scores_equal_qcut_of_ranks(spark, n):
     rng = random.Random(n)
     data = [(f"k{i:04}", rng.randrange(max(2, n // 3)), rng.random()) for i in range(n)]
     df = spark.createDataFrame(data, "k string, a int, b double").repartition(3)
-    scored = quartile_scores(df, {"sa": ("a", False), "sb": ("b", True)}, "k", small_rows)
+    scored = quartile_scores(df, {"sa": ("a", False), "sb": ("b", True)}, "k")
     rows = scored.orderBy("k").collect()
     assert [r.sa for r in rows] == qcut_scores([d[1] for d in data], higher=False)
     assert [r.sb for r in rows] == qcut_scores([d[2] for d in data])
 
 
-@pytest.mark.parametrize("small_rows", [1000, 0])
-def test_one_value_scores_two(spark, small_rows):
+def test_one_value_scores_two(spark):
     df = spark.range(9).select("id", F.lit(3).alias("v"))
-    scored = quartile_scores(df, {"up": ("v", True), "down": ("v", False)}, "id", small_rows)
+    scored = quartile_scores(df, {"up": ("v", True), "down": ("v", False)}, "id")
     assert {(r.up, r.down) for r in scored.collect()} == {(2, 2)}
 
 
@@ -51,14 +49,13 @@ def test_keys_at_ranks_of_a_hot_value(spark):
     assert {k: tuple(v)[:2] for k, v in found.items()} == {k: want[k - 1] for k in ranks}
 
 
-@pytest.mark.parametrize("small_rows", [1000, 0])
-def test_quantile(spark, small_rows):
+def test_quantile(spark):
     rng = random.Random(5)
     values = [rng.choice([0.0, 0.0, rng.random() * 100]) for _ in range(157)]
     df = spark.createDataFrame(list(enumerate(values)), "id int, v double")
     for p in (0.0, 0.25, 0.5, 0.85, 1.0):
-        assert quantile(df, "v", "id", p, small_rows) == pytest.approx(pd.Series(values).quantile(p), abs=1e-12)
-    assert quantile(df.limit(0), "v", "id", 0.5, small_rows) is None
+        assert quantile(df, "v", "id", p) == pytest.approx(pd.Series(values).quantile(p), abs=1e-12)
+    assert quantile(df.limit(0), "v", "id", 0.5) is None
 
 
 def label(r, f, m):
@@ -110,10 +107,9 @@ def test_customer_table(lines, expected):
     assert [r.first_order_date for r in rows] == [t.to_pydatetime() for t in expected["first"]]
 
 
-@pytest.mark.parametrize("small_rows", [1000, 0])
-def test_rfm(lines, expected, small_rows):
+def test_rfm(lines, expected):
     for view in (lines, fact.order_rollup(lines)):
-        rows = cust.rfm_segmentation(view, small_rows=small_rows).orderBy("customer_id").collect()
+        rows = cust.rfm_segmentation(view).orderBy("customer_id").collect()
         assert [r.recency_days for r in rows] == list(expected.recency)
         assert [r.r_score for r in rows] == qcut_scores(list(expected.recency), higher=False)
         assert [r.f_score for r in rows] == qcut_scores(list(expected.orders))
@@ -128,11 +124,10 @@ def test_rfm_with_a_reference_date(lines):
     assert all(r.recency_days > base[r.customer_id] for r in late.collect())
 
 
-@pytest.mark.parametrize("small_rows", [1000, 0])
-def test_high_value(lines, small_rows):
+def test_high_value(lines):
     rfm = cust.rfm_segmentation(lines)
     cut = pd.Series([r.monetary for r in rfm.collect()]).quantile(0.85)
-    found = [r.monetary for r in cust.high_value_customers(rfm, small_rows=small_rows).collect()]
+    found = [r.monetary for r in cust.high_value_customers(rfm).collect()]
     assert found == sorted((r.monetary for r in rfm.collect() if r.monetary >= cut), reverse=True)
 
 

@@ -206,14 +206,13 @@ def test_rankings(spark):
             rank(t, by="price")
 
 
-@pytest.mark.parametrize("small_rows", [1000, 0])
-def test_high_margin_low_volume(spark, small_rows):
+def test_high_margin_low_volume(spark):
     # units 0, 10, 20, 30, 40, 50: the lower quartile is 12.5
     t = table(spark, [(f"P{i}", "n", "c", m, 10 * i, 1.0) for i, m in enumerate([50.0, 70.0, 90.0, 80.0, 60.0, 55.0])])
-    found = prod.high_margin_low_volume(t, small_rows=small_rows)
+    found = prod.high_margin_low_volume(t)
     assert [r.product_id for r in found.collect()] == ["P1", "P0"]
-    assert prod.high_margin_low_volume(t, 50.0, 0.5, small_rows=small_rows).count() == 3
-    assert prod.high_margin_low_volume(t.limit(0), small_rows=small_rows).count() == 0
+    assert prod.high_margin_low_volume(t, 50.0, 0.5).count() == 3
+    assert prod.high_margin_low_volume(t.limit(0)).count() == 0
     assert prod.high_margin_low_volume(t, approx=True).count() == 2
 
 

@@ -2,9 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketwise.functions import durable as durable_module
-from basketwise.functions.durable import join_split, measured_size
+from basketwise.functions.durable import join_keyed, measured_size
+from basketwise.functions.expressions import money
 from basketwise.operators import quality
+from basketwise.operators.facts import prepare_order_lines
 from basketwise.operators.quality import validate
+from basketwise.plans import registry
 from basketwise.plans.load import load_all
 from basketwise.sources.tables import ROW_SEQ, read_csv, read_dataset
 
@@ -180,7 +183,6 @@ def skewed(spark):
 @pytest.mark.parametrize("limit", [64 * 1024 * 1024, 0])
 def test_duplicates_of_a_hot_key(spark, monkeypatch, limit):
     monkeypatch.setattr(durable_module, "BROADCAST_BYTES", limit)
-    monkeypatch.setattr(durable_module, "HOT_KEYS", 2)
     flagged = quality.duplicate_key_check(skewed(spark), "key", ["id"])
     firsts = flagged.filter(~F.col("_duplicate"))
     want = skewed(spark).groupBy("key").agg(F.min("id").alias("id"))
@@ -188,21 +190,26 @@ def test_duplicates_of_a_hot_key(spark, monkeypatch, limit):
     assert sorted(firsts.select("key", "id").collect()) == sorted(want.collect())
 
 
-def test_join_split_keeps_rows_without_key(spark):
-    left = spark.createDataFrame([("a", 1), (None, 2), (None, 3), ("b", 4)], "key string, x int")
-    keyed = spark.createDataFrame([("a", 9, 1), ("b", 8, 1)], "key string, y int, n long")
-    joined = join_split(left, keyed, "key", "n", hot_keys=1)
-    assert sorted((r.x, r.y) for r in joined.collect() if r.y) == [(1, 9), (4, 8)]
-    assert sorted(r.x for r in joined.collect()) == [1, 2, 3, 4]
+@pytest.mark.parametrize("limit", [64 * 1024 * 1024, 0])
+def test_join_keyed_keeps_every_row(spark, monkeypatch, limit):
+    monkeypatch.setattr(durable_module, "BROADCAST_BYTES", limit)
+    left = skewed(spark).unionByName(spark.range(500).select(F.lit(None).cast("string").alias("key"), "id"))
+    keyed = left.groupBy("key").agg(F.max("id").alias("top")).filter("key <> 'k5'")
+    joined = join_keyed(left, keyed, "key").select("key", "id", "top")
+    plain = left.join(keyed, "key", "left").select("key", "id", "top")
+    assert sorted(map(repr, joined.collect())) == sorted(map(repr, plain.collect()))
+    assert joined.filter("key is null and top is null").count() == 500
 
 
-def test_join_split_keeps_every_row(spark):
-    left = skewed(spark)
-    keyed = left.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("top"))
-    plain = left.join(keyed.drop("n"), "key", "left")
-    split = join_split(left, keyed.filter("key <> 'k5'"), "key", "n", hot_keys=1)
-    assert sorted(split.filter("key <> 'k5'").collect()) == sorted(plain.filter("key <> 'k5'").collect())
-    assert split.filter("key = 'k5'").filter("top is null").count() == left.filter("key = 'k5'").count()
+@pytest.mark.parametrize("limit", [64 * 1024 * 1024, 0])
+def test_validation_reads_its_source_once(spark, monkeypatch, limit):
+    monkeypatch.setattr(durable_module, "BROADCAST_BYTES", limit)
+    loaded = registry._loaded(spark, "/root/testdata/sf0.001")
+    clean = loaded.tables["orders"]
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem") <= 3 and plan.count("Exchange") <= 10
+    counts = loaded.validations["orders"].metrics.first()
+    assert clean.count() == counts.clean_rows > 0
 
 
 def test_measured_size(spark):
@@ -227,7 +234,7 @@ def test_csv_reading(spark, tmp_path):
         '001,2024-01-01,"New\nTown, ""East""",NA,Email\n'
         '002,,null,25-34, None\n'
     )
-    rows = read_csv(spark, str(path)).orderBy(ROW_SEQ).collect()
+    rows = read_csv(spark, str(path), multi_line=True).orderBy(ROW_SEQ).collect()
     assert [r.customer_id for r in rows] == ["001", "002"]  # text stays text
     assert rows[0].city == 'New\nTown, "East"' and rows[0].age_group is None
     assert rows[1].signup_date is None and rows[1].city is None and rows[1].acquisition_channel == " None"
@@ -258,3 +265,32 @@ def test_load_all(spark, tmp_path):
     }
     assert loaded.summary().count() == 3
     assert ROW_SEQ in read_dataset(spark, paths["products"]).columns
+
+
+def test_csv_columns_are_told_by_name(spark, tmp_path):
+    folder = tmp_path / "c"
+    folder.mkdir()
+    (folder / "a.csv").write_text("customer_id,city\nK1,Delhi\n")
+    (folder / "b.csv").write_text("city,customer_id,note\nPune,K2,x\n")
+    (folder / "c.csv").write_text("")
+    rows = read_dataset(spark, str(folder)).orderBy("customer_id").collect()
+    assert [(r.customer_id, r.city, r.note) for r in rows] == [("K1", "Delhi", None), ("K2", "Pune", "x")]
+
+
+def test_the_form_of_a_dataset_is_not_guessed(spark, tmp_path):
+    customers(spark, "K1").write.parquet(f"{tmp_path}/plain")
+    assert read_dataset(spark, f"{tmp_path}/plain").count() == 1
+    (tmp_path / "odd.txt").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError, match="form"):
+        read_dataset(spark, f"{tmp_path}/odd.txt")
+    assert read_dataset(spark, f"{tmp_path}/odd.txt", form="csv").columns[:2] == ["a", "b"]
+
+
+def test_uploaded_dates_and_numbers(spark):
+    dates = ["2024-01-15", "01/15/2024", "2024/01/16", "Jan 17 2024", "17 January 2024", "15.1", "1/15/2024 10:30"]
+    rows = [order(f"A{i}", date=d) for i, d in enumerate(dates)] + [order("B1", price="1e400"), order("B2", price="1e300")]
+    v = validate(orders(spark, *rows), "orders")
+    assert {r.order_id for r in v.quarantine.collect()} == {"A5", "B1", "B2"}
+    lines = prepare_order_lines(orders(spark, *rows))
+    assert {r.order_id for r in lines.collect()} == {f"A{i}" for i in range(7) if i != 5} | {"B1", "B2"}
+    assert lines.agg(F.sum(money(lines, "revenue"))).first()[0] is not None
