@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from basketwise.functions.durable import durable
-from basketwise.functions.expressions import WHITESPACE, is_blank, strip
+from basketwise.functions.expressions import WHITESPACE, is_blank, let, strip
 
 # Characters per chunk, characters repeated, and where a section starts.
 CHUNK_SIZE = 900
@@ -32,9 +32,21 @@ def split_sections(text: Column) -> Column:
 
 
 def _hard_split(paragraph: Column, size: int, overlap: int) -> Column:
-    """Windows of ``size`` characters, each starting ``size - overlap`` after the one before."""
-    starts = F.sequence(F.lit(0), F.length(paragraph) - 1, F.lit(size - overlap))
-    return F.transform(starts, lambda start: F.substring(paragraph, start + 1, F.lit(size)))
+    """Windows of ``size`` characters, each starting ``size - overlap`` after the one before.
+
+    The text is cut once into steps; a window is a step and the beginning of what follows.
+    """
+    step = size - overlap
+    steps = F.regexp_extract_all(paragraph, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    more = -(-size // step)
+    return let(
+        steps,
+        lambda cut: F.transform(cut, lambda _, i: F.substring(F.array_join(F.slice(cut, i + 1, more), ""), 1, size)),
+    )
+
+
+#: Paragraphs folded together before their chunks are handed on, so that a step copies few of them.
+FOLD = 64
 
 
 def _pack_section(section: Column, size: int, overlap: int) -> Column:
@@ -47,7 +59,9 @@ def _pack_section(section: Column, size: int, overlap: int) -> Column:
     paragraphs = F.filter(
         F.transform(F.split(section, "\n\n"), strip), lambda paragraph: F.length(paragraph) > 0
     )
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buffer"))
+
+    def state_of(chunks: Column, text: Column) -> Column:
+        return F.struct(chunks.alias("done"), text.alias("buffer"))
 
     def add(state: Column, paragraph: Column) -> Column:
         done, buffer = state["done"], state["buffer"]
@@ -56,26 +70,31 @@ def _pack_section(section: Column, size: int, overlap: int) -> Column:
         joined = F.when(empty, paragraph).otherwise(F.concat(buffer, F.lit("\n\n"), paragraph))
         tail = F.ltrim(F.right(buffer, F.lit(overlap)), F.lit(WHITESPACE))
         reopened = F.concat(tail, F.lit("\n\n"), paragraph) if overlap else paragraph
-
         separator = F.when(empty, 0).otherwise(2)
         fits = F.length(buffer) + separator + F.length(paragraph) <= size
-
-        def state_of(chunks: Column, text: Column) -> Column:
-            return F.struct(chunks.alias("done"), text.alias("buffer"))
-
         return (
             F.when(fits, state_of(done, joined))
             .when(empty, state_of(F.concat(done, _hard_split(paragraph, size, overlap)), F.lit("")))
             .otherwise(state_of(F.concat(done, F.array(buffer)), reopened))
         )
 
+    def add_block(state: Column, block: Column) -> Column:
+        inner = F.aggregate(block, state_of(F.array().cast("array<string>"), state["buffer"]), add)
+        return let(inner, lambda folded: state_of(F.concat(state["done"], F.array(folded["done"])), folded["buffer"]))
+
     def finish(state: Column) -> Column:
         rest = F.when(state["buffer"] != "", F.array(state["buffer"])).otherwise(
             F.array().cast("array<string>")
         )
-        return F.concat(state["done"], rest)
+        return F.concat(F.flatten(state["done"]), rest)
+
+    def blocks_of(all_paragraphs: Column) -> Column:
+        count = F.ceil(F.size(all_paragraphs) / FOLD).cast("int")
+        numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda b: F.slice(all_paragraphs, b * FOLD + 1, FOLD))
 
-    packed = F.aggregate(paragraphs, start, add, finish)
+    start = state_of(F.array().cast("array<array<string>>"), F.lit(""))
+    packed = F.aggregate(let(paragraphs, blocks_of), start, add_block, finish)
     return F.when(F.length(section) <= size, F.array(section)).otherwise(packed)
 
 

@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from basketwise.functions.durable import broadcast_if_small
+from basketwise.functions.durable import BROADCAST_BYTES, broadcast_if_small
 
-#: Queries scored in one pass over the vectors; more are scored block by block.
+#: Queries scored by one matrix product; a task goes through all queries block by block.
 QUERY_BLOCK = 512
 #: Distances are compared to this many decimals, then by id, so ranks do not depend on batch layout.
 DISTANCE_DECIMALS = 9
@@ -29,10 +29,11 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(values) != len(column) * dims:
-        raise ValueError(f"every vector must have {dims} components, as the queries have")
-    return values.reshape(len(column), dims)
+    """One row per vector; missing components are NaN."""
+    lengths = np.diff(column.offsets.to_numpy())
+    if (lengths != dims).any():
+        raise ValueError(f"every vector must have {dims} components, as the queries have; one has {lengths[lengths != dims][0]}")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dims)
 
 
 def _local_best(query_ids: list, unit_queries: np.ndarray, k: int, id_type: pa.DataType, query_type: pa.DataType):
@@ -43,19 +44,21 @@ def _local_best(query_ids: list, unit_queries: np.ndarray, k: int, id_type: pa.D
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(0).to_pylist()
-            vectors = _unit_rows(_matrix(batch.column(1), unit_queries.shape[1]))
-            distances = np.round(1.0 - vectors @ unit_queries.T, DISTANCE_DECIMALS)
-            for q in range(len(query_ids)):
-                column = distances[:, q]
-                if len(column) > k:
-                    bound = np.partition(column, k - 1)[k - 1]
-                    if len(kept[q]) == k:
-                        bound = min(bound, kept[q][-1][0])
-                    near = np.flatnonzero(column <= bound)
-                else:
-                    near = range(len(column))
-                kept[q] = sorted(kept[q] + [(float(column[i]), ids[i]) for i in near])[:k]
+            matrix = _matrix(batch.column(1), unit_queries.shape[1])
+            usable = np.isfinite(matrix).all(axis=1)
+            ids = batch.column(0).filter(pa.array(usable)).to_pylist()
+            vectors = _unit_rows(matrix[usable])
+            for first in range(0, len(query_ids) if ids else 0, QUERY_BLOCK):
+                distances = np.round(1.0 - vectors @ unit_queries[first : first + QUERY_BLOCK].T, DISTANCE_DECIMALS)
+                for q, column in enumerate(distances.T, start=first):
+                    if len(column) > k:
+                        bound = np.partition(column, k - 1)[k - 1]
+                        if len(kept[q]) == k:
+                            bound = min(bound, kept[q][-1][0])
+                        near = np.flatnonzero(column <= bound)
+                    else:
+                        near = range(len(column))
+                    kept[q] = sorted(kept[q] + [(float(column[i]), ids[i]) for i in near])[:k]
         rows = [(query_ids[q], i, d) for q in range(len(query_ids)) for d, i in kept[q]]
         if rows:
             queries, found, dists = zip(*rows)
@@ -70,6 +73,8 @@ def _local_best(query_ids: list, unit_queries: np.ndarray, k: int, id_type: pa.D
 def _score_block(vectors: DataFrame, block: list[Row], k: int, query_type: T.DataType) -> DataFrame:
     if any(row["embedding"] is None or len(row["embedding"]) == 0 for row in block):
         raise ValueError("a query must not be empty")
+    if len({len(row["embedding"]) for row in block}) > 1 or not np.isfinite([x for r in block for x in r["embedding"]]).all():
+        raise ValueError("queries must have the same number of components, all finite")
     unit = _unit_rows(np.array([row["embedding"] for row in block], dtype=np.float64))
     id_type = vectors.schema["id"].dataType
     schema = T.StructType(
@@ -90,12 +95,13 @@ def vector_top_k(
     queries: DataFrame,
     top_k: int = 4,
     source_filter: str | None = None,
-    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """(query_id, rank, id, distance, relevance_score): the ``top_k`` nearest vectors of every query.
 
     ``vectors`` has id and embedding (and source, for the filter), ``queries`` query_id and
-    embedding. Queries are read in blocks of about ``query_block``; each block is one pass.
+    embedding. The queries go to every task, and the vectors are read once; queries beyond the size for broadcasts
+    are dealt into as many passes as it takes. Vectors with a missing or infinite component are near to
+    nothing (unusable_vectors has them); one of another length is an error.
     """
     if top_k < 1:
         raise ValueError("top_k must be positive")
@@ -103,8 +109,8 @@ def vector_top_k(
         vectors = vectors.filter(F.col("source") == source_filter)
     queries = queries.select("query_id", "embedding")
     query_type = queries.schema["query_id"].dataType
-    total = queries.count()
-    blocks = max(1, -(-total // query_block))
+    size = queries.agg(F.sum(8 * F.size("embedding") + 32)).first()[0] or 0
+    blocks = int(size // BROADCAST_BYTES) + 1
     block_of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     passes = []
     for b in range(blocks):
@@ -126,6 +132,12 @@ def vector_top_k(
     )
 
 
+def unusable_vectors(vectors: DataFrame) -> DataFrame:
+    """The vectors that no query can find: null, or with a missing, infinite or undefined component."""
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    return vectors.filter(F.col("embedding").isNull() | odd)
+
+
 def attach_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with source, chunk_index and text. The hits are broadcast where their measured size
     allows it, so the texts of the corpus are read once and not shuffled."""

@@ -8,15 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from basketwise.functions.durable import broadcast_table
+from basketwise.functions.durable import broadcast_table, kept_table
 from basketwise.functions.expressions import DAY_MICROS, as_double, micros, money, round2, whole_days
-from basketwise.operators.facts import COMPLETED, filter_completed
+from basketwise.operators.facts import COMPLETED, filter_completed, order_rollup
 
 
 def executive_kpis(facts: DataFrame, customers: DataFrame | None) -> DataFrame:
-    """One row: revenue, orders, units, average order value, customers, growth, cancelled and returned lines."""
+    """One row: revenue, orders, units, average order value, customers, growth, cancelled and returned lines.
+
+    Lines are summed per order first, and the roll-up is kept: all numbers, the growth among them, come from it.
+    """
+    if "line_count" not in facts.columns:
+        facts = kept_table(order_rollup(facts), "by-order")
     done = F.col("order_status") == COMPLETED
-    lines = F.col("line_count") if "line_count" in facts.columns else F.lit(1).cast("long")
+    lines = F.col("line_count")
     totals = facts.agg(
         F.sum(F.when(done, money(facts, "revenue"))).alias("revenue"),
         F.count_distinct(F.when(done, F.col("order_id"))).alias("orders"),

@@ -2,49 +2,83 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from basketwise.functions.durable import durable
+from basketwise.functions.durable import kept_table
 from basketwise.operators import customers as cust, facts as fact, products as prod, sales, signals
+from basketwise.plans.load import LoadedTables
 from basketwise.sources.tables import write_tables
 
 
-def full_analysis(customers: DataFrame, products: DataFrame, orders: DataFrame) -> dict[str, DataFrame]:
-    """All results by name; signals under ``growth_signals`` and ``signals:<detector>``.
+def full_analysis(
+    customers: DataFrame, products: DataFrame, orders: DataFrame, names: tuple[str, ...] | None = None
+) -> dict[str, DataFrame]:
+    """All results by name, or those asked for; signals under ``growth_signals`` and ``signals:<detector>``.
 
-    The order lines are read three times, whatever the number of results: once into a roll-up per
-    order and once into a roll-up per product and month, both kept in the shared folder, and once for
-    the distinct orders per category. Everything else is computed from the roll-ups.
+    The order lines are read three times at most, whatever the number of results: once into a roll-up per
+    order and once into a roll-up per product and month, both kept as Parquet in the shared folder, and once for
+    the distinct orders per category. Everything else is computed from the roll-ups. What no result asked for needs isn't made.
     """
     lines = fact.prepare_order_lines(orders)
-    by_order = durable(fact.order_rollup(lines))
-    by_product = durable(fact.product_rollup(lines))
-    category_months = by_product.join(products.select("product_id", "category"), "product_id", "left")
-
-    product_table = durable(prod.product_performance(by_product, products))
-    rfm = durable(cust.rfm_segmentation(by_order))
-    found = signals.signals_from(by_order, customers, product_table, rfm, category_months)
-    return {
-        "executive_kpis": sales.executive_kpis(by_order, customers),
-        "revenue_by_month": sales.revenue_by_period(by_order, "M"),
-        "revenue_by_day": sales.revenue_by_period(by_order, "D"),
-        "monthly_growth": sales.monthly_growth(by_order),
-        "revenue_by_category": sales.revenue_by_category(fact.prepare_order_facts(orders, products)),
-        "revenue_by_channel": sales.revenue_by_channel(by_order, customers),
+
+    @cache
+    def by_order() -> DataFrame:
+        return kept_table(fact.order_rollup(lines), "by-order")
+
+    @cache
+    def by_product() -> DataFrame:
+        return kept_table(fact.product_rollup(lines), "by-product")
+
+    @cache
+    def product_table() -> DataFrame:
+        return kept_table(prod.product_performance(by_product(), products), "product-table")
+
+    @cache
+    def rfm() -> DataFrame:
+        return kept_table(cust.rfm_segmentation(by_order()), "rfm")
+
+    def category_months() -> DataFrame:
+        return by_product().join(products.select("product_id", "category"), "product_id", "left")
+
+    detectors = {
+        "seasonal_category_spikes": lambda: signals.seasonal_category_spikes(category_months()),
+        "high_aov_channels": lambda: signals.high_aov_channels(by_order(), customers),
+        "high_margin_low_volume_products": lambda: signals.high_margin_low_volume_signals(product_table()),
+        "churn_risk_customers": lambda: signals.churn_risk_signals(rfm()),
+    }
+    makers = {
+        "executive_kpis": lambda: sales.executive_kpis(by_order(), customers),
+        "revenue_by_month": lambda: sales.revenue_by_period(by_order(), "M"),
+        "revenue_by_day": lambda: sales.revenue_by_period(by_order(), "D"),
+        "monthly_growth": lambda: sales.monthly_growth(by_order()),
+        "revenue_by_category": lambda: sales.revenue_by_category(fact.prepare_order_facts(orders, products)),
+        "revenue_by_channel": lambda: sales.revenue_by_channel(by_order(), customers),
         "product_table": product_table,
-        "top_products": prod.top_n_products(product_table),
-        "bottom_products": prod.bottom_n_products(product_table),
-        "high_margin_low_volume_products": prod.high_margin_low_volume(product_table),
-        "customer_table": cust.customer_performance(by_order),
+        "top_products": lambda: prod.top_n_products(product_table()),
+        "bottom_products": lambda: prod.bottom_n_products(product_table()),
+        "high_margin_low_volume_products": lambda: prod.high_margin_low_volume(product_table()),
+        "customer_table": lambda: cust.customer_performance(by_order()),
         "rfm_table": rfm,
-        "high_value_customers": cust.high_value_customers(rfm),
-        "churn_risk_customers": cust.churn_risk_customers(rfm),
-        "segment_counts": cust.segment_counts(rfm),
-        "growth_signals": signals.union_signals(found),
-        **{f"signals:{name}": table for name, table in found.items()},
+        "high_value_customers": lambda: cust.high_value_customers(rfm()),
+        "churn_risk_customers": lambda: cust.churn_risk_customers(rfm()),
+        "segment_counts": lambda: cust.segment_counts(rfm()),
+        "growth_signals": lambda: signals.union_signals({name: make() for name, make in detectors.items()}),
+        **{f"signals:{name}": make for name, make in detectors.items()},
     }
+    return {name: makers[name]() for name in (makers if names is None else names)}
+
+
+def validated_analysis(loaded: LoadedTables, names: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """full_analysis over the clean tables of a load; an error where any dataset failed its validation.
+
+    The clean tables were kept when they were validated, so the sources aren't read again.
+    """
+    failed = [row.dataset for row in loaded.summary().filter(~F.col("is_valid")).select("dataset").collect()]
+    if failed:
+        raise ValueError(f"validation failed for {failed}")
+    return full_analysis(*[loaded.tables[name] for name in ("customers", "products", "orders")], names)
 
 
 def write_analysis(results: dict[str, DataFrame], folder: str) -> dict[str, str]:
@@ -52,6 +86,13 @@ def write_analysis(results: dict[str, DataFrame], folder: str) -> dict[str, str]
     return write_tables({name.replace(":", "_"): table for name, table in results.items()}, folder)
 
 
+#: The results that business_context reads.
+CONTEXT_RESULTS = (
+    "executive_kpis", "revenue_by_category", "revenue_by_channel", "top_products", "bottom_products", "segment_counts",
+    "signals:seasonal_category_spikes", "signals:high_aov_channels", "signals:high_margin_low_volume_products",
+    "signals:churn_risk_customers",
+)
+
 PRODUCT_FIELDS = ["product_id", "product_name", "category", "revenue", "units_sold", "margin_pct"]
 
 

@@ -571,15 +571,31 @@ def _context(section: str, source: str, order: str, fields: dict[str, str], n: i
 _PRODUCT = {"product_id": "int", "product_name": "text", "category": "text", "revenue": "money",
             "units_sold": "int", "margin_pct": "money"}
 
+_TOTALS = "\nUNION ALL ".join(
+    f"""SELECT '{name}' AS result, count(*) AS "rows",
+    {f'sum({amount}::DECIMAL(28,2))::DOUBLE' if amount else 'NULL::DOUBLE'} AS amount FROM {source}"""
+    for name, (source, amount) in _RESULTS.items()
+)
+
+#: The tables of LINES as validation leaves them.
+VALIDATED = """
+lines AS (
+  SELECT order_id, customer_id, product_id, order_date::TIMESTAMP AS order_date, quantity::DOUBLE AS quantity,
+         unit_price::DOUBLE AS unit_price, discount_pct::DOUBLE AS discount_pct, order_status,
+         unit_price::DOUBLE * quantity::DOUBLE * (1 - discount_pct::DOUBLE / 100) AS revenue,
+         strftime(order_date::TIMESTAMP, '%Y-%m') AS year_month
+  FROM judged WHERE NOT invalid AND NOT again
+),
+products AS (
+  SELECT product_id, product_name, category, sub_category, cost_price::DOUBLE AS cost_price,
+         selling_price::DOUBLE AS selling_price FROM ok_products
+),
+customers AS (SELECT customer_id, city, acquisition_channel FROM ok_customers),
+""" + LINES[LINES.index("facts AS (") :]
+
 BUNDLE = {
-    "full_analysis": _with(
-        *_EVERYTHING,
-        select="\nUNION ALL ".join(
-            f"""SELECT '{name}' AS result, count(*) AS "rows",
-            {f'sum({amount}::DECIMAL(28,2))::DOUBLE' if amount else 'NULL::DOUBLE'} AS amount FROM {source}"""
-            for name, (source, amount) in _RESULTS.items()
-        ),
-    ),
+    "full_analysis": _with(*_EVERYTHING, select=_TOTALS),
+    "validated_analysis": "WITH " + ",\n".join(p.strip() for p in (RAW, VALIDATED, *_EVERYTHING)) + "\n" + _TOTALS,
     "business_context": _with(
         *_EVERYTHING,
         select="\nUNION ALL ".join(

@@ -310,20 +310,29 @@ VALIDATION: dict[str, Query] = {
 # --- bundle ---------------------------------------------------------------------------------
 
 
-def _analysis(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def _analysis(spark: SparkSession, folder: str, names: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
     return bundle.full_analysis(
-        star.customers(spark, folder), star.products(spark, folder), star.orders(spark, folder)
+        star.customers(spark, folder), star.products(spark, folder), star.orders(spark, folder), names
     )
 
 
 def business_context(spark: SparkSession, folder: str) -> DataFrame:
-    return bundle.business_context(_analysis(spark, folder))
+    return bundle.business_context(_analysis(spark, folder, bundle.CONTEXT_RESULTS))
 
 
 def full_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    return _totals(_analysis(spark, folder))
+
+
+def validated_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    """Load, validate, gate, analyse."""
+    return _totals(bundle.validated_analysis(_loaded(spark, folder)))
+
+
+def _totals(results: dict[str, DataFrame]) -> DataFrame:
     """Rows and total revenue (or monetary value) of every result in the bundle."""
     parts = []
-    for name, result in _analysis(spark, folder).items():
+    for name, result in results.items():
         amount = next((c for c in ("revenue", "total_revenue", "monetary") if c in result.columns), None)
         total = F.sum(F.col(amount).cast("decimal(28,2)")) if amount else F.lit(None)
         parts.append(
@@ -334,7 +343,7 @@ def full_analysis(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-BUNDLE: dict[str, Query] = {"business_context": business_context, "full_analysis": full_analysis}
+BUNDLE: dict[str, Query] = {"business_context": business_context, "full_analysis": full_analysis, "validated_analysis": validated_analysis}
 
 
 # --- corpus ---------------------------------------------------------------------------------

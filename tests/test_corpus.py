@@ -166,12 +166,13 @@ def found(hits):
 
 
 @pytest.mark.parametrize("block", [512, 2])
-def test_top_k_equals_brute_force(spark, block):
+def test_top_k_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(300, 8)).astype(np.float32).astype(np.float64)
     queries = rng.normal(size=(7, 8)).astype(np.float32).astype(np.float64)
     hits = retrieval.vector_top_k(
-        vector_frame(spark, vectors).repartition(5), query_frame(spark, queries), 5, query_block=block
+        vector_frame(spark, vectors).repartition(5), query_frame(spark, queries), 5
     )
     want, got = brute(vectors, queries, 5), found(hits)
     assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
@@ -215,6 +216,41 @@ def test_bad_queries(spark):
         retrieval.vector_top_k(frame, query_frame(spark, [[1, 0, 0]])).collect()
 
 
+def test_vectors_of_another_length_are_an_error(spark):
+    frame = vector_frame(spark, [[1.0], [1.0, 2.0, 3.0]]).coalesce(1)
+    with pytest.raises(Exception, match="components"):
+        retrieval.vector_top_k(frame, query_frame(spark, [[1, 0]])).collect()
+
+
+def test_undefined_vectors_are_near_to_nothing(spark):
+    frame = vector_frame(spark, [[1.0, 0.0], [float("nan"), 1.0], [float("inf"), 0.0], [0.5, 0.5]])
+    hits = retrieval.vector_top_k(frame, query_frame(spark, [[1, 0]]), 4).collect()
+    assert [r.id for r in sorted(hits, key=lambda r: r["rank"])] == [0, 3]
+    assert {r.id for r in retrieval.unusable_vectors(frame).collect()} == {1, 2}
+
+
+def test_more_queries_than_one_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 64)
+    frame, queries = vector_frame(spark, [[1, 0], [0, 1]]), query_frame(spark, [[1, 0], [0, 1], [1, 1], [2, 1], [1, 3]])
+    hits = retrieval.vector_top_k(frame, queries, 1).collect()
+    assert len(hits) == 5
+
+
+def test_chunking_takes_time_in_proportion(spark):
+    import time
+
+    def seconds(df):
+        began = time.perf_counter()
+        corpus.chunk_documents(df).count()
+        return time.perf_counter() - began
+
+    one = spark.createDataFrame([("a",)], "source string")
+    for unit, n in (("abcdefghi ", 100_000), ("word " * 30 + "\n\n", 4_000)):
+        frames = [one.withColumn("text", F.repeat(F.lit(unit), times)) for times in (n, n, 2 * n)]
+        warm, single, double = (seconds(f) for f in frames)
+        assert double < 2.5 * single + 1
+
+
 def test_topics_keep_the_first(spark):
     frame = vector_frame(spark, [[1, 0], [0.9, 0.1], [0, 1]])
     texts = spark.createDataFrame(
