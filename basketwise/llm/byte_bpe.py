@@ -12,16 +12,17 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketwise.llm.chunks import deal, words_of_chunks
+from basketwise.llm.chunks import deal, unpacker, words_of_chunks
 from basketwise.llm.store import table
 
 #: Bytes of text in a chunk, about; a chunk and its dictionary are held by one task.
-CHUNK_BYTES = 64 << 20
+CHUNK_BYTES = 48 << 20
 
 
 class Vocabulary:
@@ -38,6 +39,10 @@ class Vocabulary:
         """The token-byte table."""
         return {rank: token for token, rank in self.ranks().items()}
 
+    def id_type(self) -> str:
+        """The smallest integer that holds every rank."""
+        return "<u2" if max(self.ranks().values()) < 1 << 16 else "<u4"
+
     def piece_encoder(self) -> tiktoken.Encoding:
         """Encodes its whole input as one piece: the pattern was applied before."""
         return tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks(), special_tokens={})
@@ -46,17 +51,17 @@ class Vocabulary:
 def _encode_words(vocabulary: Vocabulary):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by word: each word is encoded once, its ids go to every chunk that asked."""
-        encoder = vocabulary.piece_encoder()
+        encoder, kind = vocabulary.piece_encoder(), vocabulary.id_type()
         last, last_ids = None, None
         for batch in batches:
             words = batch.column("word").dictionary_encode()
             ids = [
-                last_ids if word == last else " ".join(map(str, encoder.encode_ordinary(word)))
+                last_ids if word == last else np.array(encoder.encode_ordinary(word), dtype=kind).tobytes()
                 for word in words.dictionary.to_pylist()
             ]
             if len(words):
                 last, last_ids = words[-1].as_py(), ids[words.indices[-1].as_py()]
-            encoded = pa.array(ids, pa.string()).take(words.indices)
+            encoded = pa.array(ids, pa.binary()).take(words.indices)
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("word"), encoded], ["chunk", "word", "ids"])
 
     return encode
@@ -65,17 +70,18 @@ def _encode_words(vocabulary: Vocabulary):
 def _reassemble(vocabulary: Vocabulary, with_ids: bool):
     def reassemble(texts: pa.Table, dictionary: pa.Table) -> pa.Table:
         """Ids of each text by position, and the bytes they stand for."""
-        split, table_of = regex.compile(vocabulary.pattern).findall, vocabulary.token_bytes()
+        split, table_of, kind = regex.compile(vocabulary.pattern).findall, vocabulary.token_bytes(), vocabulary.id_type()
+        restore = unpacker()
         encoded: dict[str, tuple[str, int, bytes]] = {}
         for batch in dictionary.select(["word", "ids"]).to_batches(max_chunksize=50_000):
             for word, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                numbers = ids.split(" ")
-                encoded[word] = (ids, len(numbers), b"".join([table_of[int(i)] for i in numbers]))
+                numbers = np.frombuffer(ids, dtype=kind).tolist()
+                encoded[word] = (" ".join(map(str, numbers)), len(numbers), b"".join([table_of[i] for i in numbers]))
         rows, counts, id_digests, byte_digests, lists = [], [], [], [], []
-        for batch in texts.select(["row", "text"]).to_batches(max_chunksize=1_000):
+        for batch in texts.select(["row", "packed"]).to_batches(max_chunksize=1_000):
             rows.extend(batch.column(0).to_pylist())
-            for text in batch.column(1):
-                found = [encoded[word] for word in split(text.as_py())]
+            for packed in batch.column(1):
+                found = [encoded[word] for word in split(restore(packed).decode())]
                 ids = " ".join([f[0] for f in found])
                 counts.append(sum([f[1] for f in found]))
                 id_digests.append(hashlib.sha256(ids.encode()).hexdigest())
@@ -105,7 +111,7 @@ def encode_texts(
     pattern = vocabulary.pattern
     words = words_of_chunks(dealt, lambda: regex.compile(pattern).findall)
     asked = words.repartition("word").sortWithinPartitions("word")
-    dictionary = asked.mapInArrow(_encode_words(vocabulary), "chunk long, word string, ids string")
+    dictionary = asked.mapInArrow(_encode_words(vocabulary), "chunk long, word string, ids binary")
     schema = f"row {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     encoded = dealt.groupBy("chunk").cogroup(dictionary.groupBy("chunk")).applyInArrow(_reassemble(vocabulary, with_ids), schema)
     return encoded.withColumnRenamed("row", id_col)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketwise.llm.chunks import deal, words_of_chunks
+from basketwise.llm.chunks import deal, unpack, words_of_chunks
 from basketwise.llm.store import kept, table
 from basketwise.llm.words import Slice, Words, mix
 
@@ -262,8 +262,8 @@ def _score(model: Model, totals: _Totals):
         hashes, counts = hashes[order], dictionary.column("c").to_numpy()[order]
         base_norm = np.log10(totals.tokens + totals.types + 1)
         out = []
-        for batch in texts.select(["row", "held_out", "text"]).to_batches():
-            for part in words.slices(batch.column("text")):
+        for batch in texts.select(["row", "held_out", "packed"]).to_batches(max_chunksize=2_000):
+            for part in words.slices(unpack(batch.column("packed"))):
                 c = np.zeros(len(part.hashes), dtype=np.int64)
                 if len(hashes):
                     at = np.minimum(np.searchsorted(hashes, part.hashes), len(hashes) - 1)
