@@ -24,7 +24,7 @@ def _per_customer(facts: DataFrame) -> DataFrame:
         .agg(
             F.sum(money(facts, "revenue")).alias("amount"),
             F.count_distinct("order_id").alias("orders"),
-            F.sum("quantity").alias("units_sold"),
+            as_double(F.sum(money(facts, "quantity"))).alias("units_sold"),
             F.min("order_date").alias("first_order_date"),
             F.max("order_date").alias("last_order_date"),
         )

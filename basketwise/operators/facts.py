@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from basketwise.functions.durable import broadcast_table
-from basketwise.functions.expressions import DATE_FORMATS, money, to_number, to_time
+from basketwise.functions.expressions import DATE_FORMATS, as_double, money, to_number, to_time
 
 COMPLETED = "Completed"
 
@@ -95,7 +95,7 @@ def order_rollup(lines: DataFrame) -> DataFrame:
     return (
         lines.groupBy("order_id", "customer_id", "order_date", "order_status")
         .agg(
-            F.sum("quantity").alias("quantity"),
+            as_double(F.sum(money(lines, "quantity"))).alias("quantity"),
             F.sum(money(lines, "revenue")).alias("revenue"),
             F.count(F.lit(1)).alias("line_count"),
         )
@@ -110,7 +110,7 @@ def product_rollup(lines: DataFrame, products: DataFrame | None = None) -> DataF
     """
     completed = filter_completed(lines)
     summed = completed.groupBy("product_id", "year_month", "order_status").agg(
-        F.sum("quantity").alias("quantity"), F.sum(money(lines, "revenue")).alias("revenue")
+        as_double(F.sum(money(lines, "quantity"))).alias("quantity"), F.sum(money(lines, "revenue")).alias("revenue")
     )
     if products is None:
         return summed

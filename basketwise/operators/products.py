@@ -18,7 +18,7 @@ def product_performance(facts: DataFrame, products: DataFrame) -> DataFrame:
     """
     completed = filter_completed(facts)
     sales = completed.groupBy("product_id").agg(
-        F.sum("quantity").alias("units"),
+        as_double(F.sum(money(facts, "quantity"))).alias("units"),
         F.sum(money(facts, "revenue")).alias("amount"),
     )
     base = products.select(

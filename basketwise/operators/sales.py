@@ -25,7 +25,7 @@ def executive_kpis(facts: DataFrame, customers: DataFrame | None) -> DataFrame:
     totals = facts.agg(
         F.sum(F.when(done, money(facts, "revenue"))).alias("revenue"),
         F.count_distinct(F.when(done, F.col("order_id"))).alias("orders"),
-        F.sum(F.when(done, F.col("quantity"))).alias("units"),
+        as_double(F.sum(F.when(done, money(facts, "quantity")))).alias("units"),
         F.count_distinct(F.when(done, F.col("customer_id"))).alias("active"),
         F.sum(F.when(F.col("order_status") == "Cancelled", lines).otherwise(0)).alias("cancelled"),
         F.sum(F.when(F.col("order_status") == "Returned", lines).otherwise(0)).alias("returned"),
@@ -94,7 +94,7 @@ def revenue_by_period(facts: DataFrame, freq: str = "M") -> DataFrame:
         .agg(
             F.sum(money(facts, "revenue")).alias("amount"),
             F.count_distinct("order_id").alias("orders"),
-            F.sum("quantity").alias("units_sold"),
+            as_double(F.sum(money(facts, "quantity"))).alias("units_sold"),
         )
         .select("period", as_double(F.round("amount", 2)).alias("revenue"), "orders", "units_sold")
         .orderBy("period")
@@ -118,7 +118,7 @@ def revenue_by_category(facts: DataFrame) -> DataFrame:
         .agg(
             F.sum(money(facts, "revenue")).alias("amount"),
             F.count_distinct("order_id").alias("orders"),
-            F.sum("quantity").alias("units_sold"),
+            as_double(F.sum(money(facts, "quantity"))).alias("units_sold"),
         )
     )
     # one row per category from here on
