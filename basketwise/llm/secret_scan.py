@@ -92,7 +92,7 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.read.schema(LEDGER).parquet(path)
-    return spark.createDataFrame([], LEDGER)
+    return spark.range(0).select(F.from_json(F.lit(None).cast("string"), LEDGER).alias("row")).select("row.*")
 
 
 def update_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> None:

@@ -143,7 +143,7 @@ RULES = (
 
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's url with the rule that decides and the verdict."""
-    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {_VALUES} AS rules(host, path, verdict)")
     return judge_urls(table(spark, folder, "pages"), rules, "page_id")
 
 
