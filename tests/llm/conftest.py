@@ -15,11 +15,3 @@ def documents(spark):
         return df.withColumns({name: F.lit(name) for name in CLASHING})
 
     return make
-
-
-def prose(seed: int, words: int, vocabulary: int = 400) -> str:
-    """Invented text, the same for a seed."""
-    import random
-
-    rng = random.Random(seed)
-    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(words))

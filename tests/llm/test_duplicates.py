@@ -5,7 +5,8 @@ import re
 from collections import defaultdict
 
 import pytest
-from conftest import prose
+
+from texts import prose
 
 from basketwise.llm import exact_dedup as exact, ngram_join as ngram, paragraph_dedup as para, set_links
 from basketwise.llm.components import components

@@ -7,9 +7,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import prose
 from pyspark.sql import functions as F
 
+from texts import prose
+
 from basketwise.llm import hidden_markov as hmm, language_id as lang
 from basketwise.llm.words import Words
 

@@ -5,7 +5,8 @@ import hashlib
 import random
 
 import pytest
-from conftest import prose
+
+from texts import prose
 
 from basketwise.llm import byte_bpe as bpe, chunks, decontaminate as leaks, page_text as pages
 
