@@ -51,12 +51,14 @@ CLOSED_BY = {
 }
 #: Words of class names and ids that mark something beside the content.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adbox|banner|sponsor|sponsored|promo|promotion|cookie|cookies"
+    r"(?:^|[\s_-])(?:ad|ads|adsbygoogle|advert|adverts|advertisement|advertising|adbox|banner|sponsor|sponsored|promo|promotion|cookie|cookies"
     r"|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|nav|navbar|navigation|menu|breadcrumb|breadcrumbs"
     r"|sidebar|side|widget|footer|masthead|site-header|page-header|topbar|toolbar|share|sharing|social|related|recommended|comment|comments"
-    r"|disqus|reply|replies|respond|pagination|pager|skip|copyright|legal)(?:$|[\s_-])",
+    r"|disqus|discussion|reply|replies|respond|pagination|pager|skip|copyright|legal)\d*(?:$|[\s_-])",
     re.IGNORECASE,
 )
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 MAIN_ROLES = frozenset(["main", "article"])
 SPACE = re.compile(r"\s+")
 MAIN, OTHER, UNMARKED = 2, 1, 0
@@ -107,9 +109,10 @@ class PageReader(HTMLParser):
         named = {k: v or "" for k, v in attrs}
         outer = self.open[-1] if self.open else Element("", True, UNMARKED)
         roles = set(named.get("role", "").lower().split())
-        seen = outer.seen and tag not in UNSEEN and "hidden" not in named and named.get("aria-hidden", "").lower() != "true"
+        hidden = "hidden" in named or named.get("aria-hidden", "").lower() == "true" or HIDDEN.search(named.get("style", ""))
+        seen = outer.seen and tag not in UNSEEN and not hidden
         mark = outer.mark
-        beside = tag in ELSEWHERE or roles & ROLES or bool(NAMES.search(f"{named.get('class', '')} {named.get('id', '')}"))
+        beside = tag in ELSEWHERE or roles & ROLES or bool(NAMES.search(HUMP.sub("-", f"{named.get('class', '')} {named.get('id', '')}")))
         if tag == "header" and mark != MAIN:
             beside = True
         if mark == OTHER or (beside and tag not in ("html", "body")):

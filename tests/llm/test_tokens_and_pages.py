@@ -81,7 +81,7 @@ BODY = (
     "<nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='cookie-banner'>We use cookies</div><main><article><header><h1>Head &amp line</h1>"
     "</header><p>First&nbsp; <i>para</i>graph<br>goes on<p>Second<script>var t='</p>';</script> one<div class='ad'>Buy</div>"
     "<form><input><button>Go</button></form><ul><li>a<li>b</ul><table><tr><td>x<td>y</table></article>"
-    "<section id=comments><p>Reader says</p></section></main><aside>Side</aside><footer>&copy; Site</footer>"
+    "<section id=readerComments><p>Reader says</p></section><div class='ad300'>Ad</div><p style='display: none'>no</p></main><aside>Side</aside><footer>&copy; Site</footer>"
 )
 
 
