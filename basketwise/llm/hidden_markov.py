@@ -30,7 +30,7 @@ CLASSES = 1 << 14
 BLOCK = 64
 #: Training texts that give the starting values, about, and rounds over them; then come rounds over all training texts.
 WARM_TEXTS, WARM_ROUNDS, ROUNDS = 2_000, 12, 2
-CHUNK_BYTES = 48 << 20
+CHUNK_BYTES = 32 << 20
 
 
 class Model(NamedTuple):
