@@ -2,9 +2,9 @@
 
 Passages are overlapping windows of words, twice as long as the longest item, so that an item that stands in a
 text lies within one of them. Impacts are normalised so that 1 is the threshold of each item: then the largest
-impact of a term in a block of items bounds what any of them can gain from it. A window is opened only if these bounds
-reach 1, first over all blocks together, then block by block, and only the items of such blocks are scored (block-max WAND). All
-items above the threshold are retrieved; those whose shingles stand in the window are reported.
+impact of a term in a block of items bounds what any of them can gain from it. For a window and a block these bounds are
+summed, and only where they reach 1 the items of the block are scored (block-max WAND). All items above the threshold are
+retrieved; those whose shingles stand in the window are reported. The windows of a slice are worked on together.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from basketwise.llm.store import kept, table
 from basketwise.llm.words import Words, shingles
 
 K1, B = 1.2, 0.75
-#: Items of one block, alike in length.
-BLOCK = 16
+#: Blocks of the items, alike in length.
+BLOCKS = 16
 #: Share of the score that an item has for its own words from which a window is verified.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.6
 #: Shares of the item's, its question's and its answer's parts that must stand in the window.
 LEAST_OVERLAP, LEAST_ANSWER = 0.8, 0.5
 SHINGLE = 5
@@ -72,13 +72,10 @@ class ItemIndex:
         impact = impact / (LEAST_SCORE * own[pairs[1]])
         self.items, self.impacts = pairs[1], impact
         self.first = np.searchsorted(pairs[0], np.arange(len(self.terms) + 1))
-        # the largest impact of each term in each block, and in all
-        codes = pairs[0] * (n // BLOCK + 1) + pairs[1] // BLOCK
-        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-        self.block_max = np.maximum.reduceat(impact, starts) if len(starts) else np.zeros(0)
-        self.blocks = (pairs[1] // BLOCK)[starts]
-        self.block_first = np.searchsorted(pairs[0][starts], np.arange(len(self.terms) + 1))
-        self.term_max = np.maximum.reduceat(impact, self.first[:-1]) if len(self.terms) else np.zeros(0)
+        # the largest impact of each term in each block
+        self.block = np.arange(n) * BLOCKS // max(1, n)
+        self.block_max = np.zeros((len(self.terms), BLOCKS))
+        np.maximum.at(self.block_max, (pairs[0], self.block[pairs[1]]), impact)
 
     @staticmethod
     def _hashes(words: Words, text: str) -> np.ndarray:
@@ -91,29 +88,33 @@ class ItemIndex:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at, -1)
 
-    @staticmethod
-    def _gather(first: np.ndarray, terms: np.ndarray) -> np.ndarray:
-        counts = first[terms + 1] - first[terms]
-        ends = np.cumsum(counts)
-        return np.arange(ends[-1]) - np.repeat(ends - counts, counts) + np.repeat(first[terms], counts)
-
-    def search(self, places: np.ndarray) -> Iterator[tuple[int, float]]:
-        """(item, score) of all items above the threshold 1 for a window's distinct terms."""
-        terms = np.unique(places[places >= 0])
-        if not len(terms) or self.term_max[terms].sum() < 1:
-            return
-        at = self._gather(self.block_first, terms)
-        blocks, inverse = np.unique(self.blocks[at], return_inverse=True)
-        bound = np.bincount(inverse, weights=self.block_max[at])
-        opened = blocks[bound >= 1 - 1e-9]
-        if not len(opened):
-            return
-        at = self._gather(self.first, terms)
-        at = at[np.isin(self.items[at] // BLOCK, opened)]
-        items, inverse = np.unique(self.items[at], return_inverse=True)
-        scores = np.bincount(inverse, weights=self.impacts[at])
-        for i in np.flatnonzero(scores >= 1 - 1e-9):
-            yield int(items[i]), float(scores[i])
+    def search(self, places: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, score) of all items above the threshold 1; window i holds the words start[i] to stop[i]."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        counts = stop - start
+        window = np.repeat(np.arange(len(start)), counts)
+        term = places[np.repeat(start - np.cumsum(counts) + counts, counts) + np.arange(len(window))]
+        pairs = np.unique(window[term >= 0] * len(self.terms) + term[term >= 0])  # a word counts once
+        if not len(pairs):
+            return none
+        window, term = np.divmod(pairs, len(self.terms))
+        first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
+        bound = np.add.reduceat(self.block_max[term], first, axis=0)
+        opened = np.zeros((len(start), BLOCKS), dtype=bool)
+        opened[window[first]] = bound >= 1 - 1e-9
+        some = opened.any(axis=1)[window]
+        window, term = window[some], term[some]
+        counts = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        window, item = np.repeat(window, counts), self.items[at]
+        scored = opened[window, self.block[item]]
+        codes, inverse = np.unique(window[scored] * len(self.ids) + item[scored], return_inverse=True)
+        if not len(codes):
+            return none
+        scores = np.bincount(inverse, weights=self.impacts[at[scored]])
+        above = scores >= 1 - 1e-9
+        window, item = np.divmod(codes[above], len(self.ids))
+        return window, item, scores[above]
 
     def overlaps(self, item: int, window: np.ndarray) -> tuple[float, float]:
         """Shares of the item's shingles and of its answer's words that stand in the window."""
@@ -130,22 +131,17 @@ def _query(index: ItemIndex, id_type: pa.DataType, item_type: pa.DataType):
             ids, hits = batch.column("row"), []
             for part in words.slices(batch.column("text")):
                 places = index.places(part.hashes)
-                gain = np.where(places >= 0, index.term_max[places] if len(index.term_max) else 0.0, 0.0)
-                total = np.concatenate([[0.0], np.cumsum(gain)])
                 lengths = np.diff(part.bounds)
                 windows = np.maximum(1, -(-(lengths - step) // step))  # the last one reaches the end
                 unit = np.repeat(np.arange(len(lengths)), windows)
                 start = part.bounds[:-1][unit] + step * (np.arange(len(unit)) - np.repeat(np.cumsum(windows) - windows, windows))
                 stop = np.minimum(start + 2 * step, part.bounds[1:][unit])
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                # repeated words count each time here, so this bound is never too low
-                for w in np.flatnonzero(total[stop] - total[start] >= 1 - 1e-6):
-                    lo, hi = start[w], stop[w]
-                    for item, score in index.search(places[lo:hi]):
-                        share, answer = index.overlaps(item, part.hashes[lo:hi])
-                        if share >= LEAST_OVERLAP and answer >= LEAST_ANSWER:
-                            key = (int(part.rows[unit[w]]), item)
-                            best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, answer, score * LEAST_SCORE))
+                for w, item, score in zip(*index.search(places, start, stop)):
+                    share, answer = index.overlaps(item, part.hashes[start[w] : stop[w]])
+                    if share >= LEAST_OVERLAP and answer >= LEAST_ANSWER:
+                        key = (int(part.rows[unit[w]]), int(item))
+                        best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, answer, float(score) * LEAST_SCORE))
                 hits.extend((*key, *value) for key, value in best.items())
             rows, items, shares, answers, scores = zip(*hits) if hits else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
