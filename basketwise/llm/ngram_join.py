@@ -22,7 +22,7 @@ from basketwise.functions.durable import broadcast_if_small
 from basketwise.llm.components import components
 from basketwise.llm.set_links import similar_in_buckets
 from basketwise.llm.store import kept, table
-from basketwise.llm.words import Words, distinct_per_unit, list_array, mix, shingles
+from basketwise.llm.words import MARK_WORDS, Words, distinct_per_unit, list_array, mix, parity_marks, shingles
 
 SHINGLE = 5
 #: Counters of the frequency sketch, whose size doesn't depend on the input. They only set the global order; any
@@ -107,7 +107,7 @@ def _set_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _prefixes(levels: np.ndarray, percent: int, kind: pa.DataType):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(row, n, key, prefix) of each text."""
+        """(row, n, key, mark, prefix) of each text."""
         words = Words()
         for batch in batches:
             ids = batch.column("row")
@@ -123,9 +123,10 @@ def _prefixes(levels: np.ndarray, percent: int, kind: pa.DataType):
                         ids.slice(part.rows[0], len(part.rows)).cast(kind),
                         pa.array(n.astype(np.int64)),
                         pa.array(_set_keys(tokens, bounds), mask=n == 0),
+                        list_array(parity_marks(tokens, bounds).ravel().view(np.int64), np.arange(len(n) + 1) * MARK_WORDS),
                         list_array(tokens[inside].view(np.int64), starts),
                     ],
-                    ["row", "n", "key", "prefix"],
+                    ["row", "n", "key", "mark", "prefix"],
                 )
 
     return prefixes
@@ -156,7 +157,7 @@ def similar_sets(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     texts = docs.select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     field = docs.schema[id_col].dataType
     levels = frequency_levels(texts)
-    schema = f"row {field.simpleString()}, n long, key long, prefix array<long>"
+    schema = f"row {field.simpleString()}, n long, key long, mark array<long>, prefix array<long>"
     members = kept(texts.mapInArrow(_prefixes(levels, percent, _arrow_type(texts)), schema), "members")
     distinct = (
         members.filter(F.col("n") > 0)
@@ -170,8 +171,9 @@ def similar_sets(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
         some = texts.join(keys_and_rows, F.col("row").eqNullSafe(F.col("_row"))).select("text")
         return some.mapInArrow(_full_sets(levels), "key long, n long, tokens array<long>")
 
-    links = similar_in_buckets(posted, sets_of, percent)
-    return members.drop("prefix"), links
+    marks = members.filter(F.col("n") > 0).groupBy("key").agg(F.first("mark").alias("mark"))
+    links = similar_in_buckets(posted, marks, sets_of, percent)
+    return members.drop("prefix", "mark"), links
 
 
 def _arrow_type(texts: DataFrame) -> pa.DataType:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from basketwise.llm.components import components
 from basketwise.llm.set_links import similar_in_buckets
 from basketwise.llm.store import kept, table
-from basketwise.llm.words import Words, distinct_per_unit, list_array, mix, shingles
+from basketwise.llm.words import MARK_WORDS, Words, distinct_per_unit, list_array, mix, parity_marks, shingles
 
 SHINGLE = 5
 BANDS, ROWS = 16, 4
@@ -63,7 +63,7 @@ def mix_high(x: np.ndarray) -> np.ndarray:
 
 def _paragraphs(least_words: int, kind: pa.DataType):
     def paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(row, line, start, stop, n_words, n, key, bands) of each paragraph; start and stop in code points of the text."""
+        """(row, line, start, stop, n_words, n, key, mark, bands) of each paragraph; start and stop in code points of the text."""
         words = Words()
         for batch in batches:
             ids = batch.column("row")
@@ -85,9 +85,10 @@ def _paragraphs(least_words: int, kind: pa.DataType):
                         pa.array(np.diff(part.bounds)[units].astype(np.int64)),
                         pa.array(np.diff(bounds).astype(np.int64)),
                         pa.array(_set_keys(tokens, bounds)),
+                        list_array(parity_marks(tokens, bounds).ravel().view(np.int64), np.arange(len(units) + 1) * MARK_WORDS),
                         list_array(bands.ravel().view(np.int64), np.arange(len(units) + 1) * BANDS),
                     ],
-                    ["row", "line", "start", "stop", "n_words", "n", "key", "bands"],
+                    ["row", "line", "start", "stop", "n_words", "n", "key", "mark", "bands"],
                 )
 
     return paragraphs
@@ -122,11 +123,11 @@ def repeated_paragraphs(
 
     texts = docs.select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     field = texts.schema["row"].dataType
-    ddl = f"row {field.simpleString()}, line int, start long, stop long, n_words long, n long, key long, bands array<long>"
+    ddl = f"row {field.simpleString()}, line int, start long, stop long, n_words long, n long, key long, mark array<long>, bands array<long>"
     found = kept(texts.mapInArrow(_paragraphs(least_words, to_arrow_type(field)), ddl), "paragraphs")
     place = F.struct(F.col("row").isNull().alias("no_id"), "row", "line")
     distinct = found.groupBy("key").agg(
-        F.min(place).alias("place"), F.count(F.lit(1)).alias("places"), F.first("n").alias("n"), F.first("bands").alias("bands")
+        F.min(place).alias("place"), F.count(F.lit(1)).alias("places"), F.first("n").alias("n"), F.first("mark").alias("mark"), F.first("bands").alias("bands")
     )
     distinct = kept(distinct, "distinct")
     posted = distinct.select("key", F.col("place.row").alias("row"), "n", F.posexplode("bands").alias("band", "value"))
@@ -136,7 +137,7 @@ def repeated_paragraphs(
         some = texts.join(rows, F.col("row").eqNullSafe(F.col("_row"))).select("text")
         return some.mapInArrow(_full_sets(least_words), "key long, n long, tokens array<long>")
 
-    label = components(similar_in_buckets(posted, sets_of, percent)).select(F.col("node").alias("key"), "component")
+    label = components(similar_in_buckets(posted, distinct.select("key", "mark"), sets_of, percent)).select(F.col("node").alias("key"), "component")
     labelled = distinct.select("key", "place", "places").join(label, "key", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "key"))
     clusters = labelled.groupBy("component").agg(F.min("place").alias("first"), F.sum("places").alias("places"))

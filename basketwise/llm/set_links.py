@@ -14,6 +14,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from basketwise.functions.durable import broadcast_if_small
 from basketwise.llm.components import components
 from basketwise.llm.store import kept
+from basketwise.llm.words import MARK_WORDS
+
+
+#: Members of a bucket that each one is compared with before components are known.
+NEIGHBOURS, HUBS = 8, 16
 
 
 class Probe:
@@ -95,48 +100,99 @@ def _may_link(x: tuple[Column, Column], y: tuple[Column, Column], percent: int)
     return sizes & ((100 + percent) * most >= percent * (n + m))
 
 
-def similar_in_buckets(posted: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def _marks_near(x: tuple[Column, Column], y: tuple[Column, Column], percent: int) -> Column:
+    """Parity marks differ in no more bits than similar sets may differ in tokens; for (n, mark) of two sets."""
+    (n, a), (m, b) = x, y
+    differ = F.lit(0)
+    for word in range(MARK_WORDS):
+        differ = differ + F.bit_count(a[word].bitwiseXOR(b[word]))
+    return (100 + percent) * differ <= (100 - percent) * (n + m)
+
+
+def similar_in_buckets(posted: DataFrame, marks: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Links (a, b) between keys of similar sets that share a bucket.
 
     ``posted``: (token, key, row, n, p), a row for each bucket (token) a set is in; ``row`` finds its text again, ``n``
-    is its size and ``p`` the position of the token in it (0 where positions mean nothing). ``sets_of`` makes
+    is its size and ``p`` the position of the token in it (0 where positions mean nothing). ``marks``: (key, mark), the
+    parity marks of the sets. ``sets_of`` makes
     (key, n, tokens) from frames of ``_row``. All links are found except such as join two sets that others connect.
 
-    In each bucket neighbours in order of size are compared first. What these links connect need not be compared
-    again: then only members outside the largest component of their bucket are held against all of other
-    components. So a bucket of near copies costs its size, not its square.
+    First each member of a bucket is compared with its NEIGHBOURS next ones in a random order that all buckets share, then
+    with the HUBS members of its bucket that have most links so far. What these links connect need not be compared again:
+    then only members outside the largest component of their bucket are held against those of other components, as far as
+    their parity marks don't rule the pair out. So a bucket of near copies costs its size, not its square.
     """
-    bucket = Window.partitionBy("token").orderBy("n", "key")
-    previous = F.lag(F.struct("key", "n", "p")).over(bucket)
-    met = posted.withColumns({"prev": previous, "more": F.lead("key").over(bucket)})
-    met = kept(met.filter(F.col("prev").isNotNull() | F.col("more").isNotNull()).drop("more"), "meetings")
-    here, there = (F.col("n"), F.col("p")), (F.col("prev.n"), F.col("prev.p"))
-    chain = met.filter(F.col("prev").isNotNull() & _may_link(here, there, percent))
-    chain = kept(chain.select(F.least("key", "prev.key").alias("a"), F.greatest("key", "prev.key").alias("b")).distinct(), "chain")
-
+    bucket = Window.partitionBy("token").orderBy("key")
+    met = posted.withColumns({"prev": F.lag("key").over(bucket), "more": F.lead("key").over(bucket)})
+    met = met.filter(F.col("prev").isNotNull() | F.col("more").isNotNull())
+    met = kept(met.select("token", "key", "row", "n", "p"), "meetings")
     rows_of = met.select("key", "row").distinct()
-    first_links = kept(_verified(chain, _wanted_sets(chain, rows_of, sets_of), percent), "links")
+    rows = met.select("token", "key", "n", "p", F.col("key").alias("component"))
+    links = done = None
+    for nearby in (_neighbours, _hubs):
+        pairs = nearby(rows, links, percent)
+        pairs = kept(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        done = pairs if done is None else done.unionByName(pairs)
+        more = kept(_verified(pairs, _wanted_sets(pairs, rows_of, sets_of), percent), "links")
+        links = more if links is None else links.unionByName(more)
+        rows = _mixed_buckets(met, components(links))
+    cross = kept(_across(rows.join(marks, "key"), percent).join(done, ["a", "b"], "left_anti"), "cross")
+    return links.unionByName(kept(_verified(cross, _wanted_sets(cross, rows_of, sets_of), percent), "links"))
+
+
+def _neighbours(rows: DataFrame, links: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b) next to each other in a random order of each bucket."""
+    order = Window.partitionBy("token").orderBy(F.xxhash64("key", F.lit(1)), "key")
+    here = F.struct("key", "n", "p", "component")
+    others = F.array(*[F.lead(here, i + 1).over(order) for i in range(NEIGHBOURS)])
+    beside = rows.withColumn("others", others)
+    return _pairs(beside.withColumn("other", F.explode("others")), percent)
+
+
+def _hubs(rows: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components, b or a being among the members of the bucket with most links."""
+    ends = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key")))
+    degree = ends.groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
+    ranked = rows.join(degree, "key", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    order = Window.partitionBy("token").orderBy(F.desc("degree"), "key")
+    first = ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= HUBS)
+    hubs = first.groupBy("token").agg(F.collect_list(F.struct("key", "n", "p", "component")).alias("others"))
+    return _pairs(rows.join(hubs, "token").withColumn("other", F.explode("others")), percent)
+
+
+def _pairs(beside: DataFrame, percent: int) -> DataFrame:
+    beside = beside.filter(
+        (F.col("other.component") != F.col("component"))
+        & _may_link((F.col("n"), F.col("p")), (F.col("other.n"), F.col("other.p")), percent)
+    )
+    return beside.select(F.least("key", "other.key").alias("a"), F.greatest("key", "other.key").alias("b")).distinct()
+
 
-    # what is left: pairs in a bucket whose components differ
-    label = components(first_links).select(F.col("node").alias("key"), "component")
+def _mixed_buckets(met: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold several components, with their component."""
+    label = label.select(F.col("node").alias("key"), "component")
     labelled = met.select("token", "key", "n", "p").join(label, "key", "left")
     labelled = kept(labelled.withColumn("component", F.coalesce("component", "key")), "labelled")
-    shares = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = shares.groupBy("token").agg(F.max_by("component", "n").alias("major"), F.count(F.lit(1)).alias("kinds"))
-    mixed = mixed.filter(F.col("kinds") > 1).select("token", "major")
-    open_rows = labelled.join(mixed, "token")
+    kinds = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = kinds.filter(F.col("low") != F.col("high")).select("token")
+    return kept(labelled.join(mixed, "token"), "mixed")
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket, of which one isn't in the bucket's largest component."""
+    shares = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    major = shares.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
+    open_rows = rows.join(major, "token")
     minor = open_rows.filter(F.col("component") != F.col("major")).select(
-        "token", *[F.col(c).alias(f"m_{c}") for c in ("key", "n", "p", "component")]
+        "token", *[F.col(c).alias(f"m_{c}") for c in ("key", "n", "p", "component", "mark")]
     )
     cross = minor.join(open_rows, "token").filter(
         (F.col("m_component") != F.col("component"))
         & ((F.col("component") == F.col("major")) | (F.col("m_key") < F.col("key")))
         & _may_link((F.col("m_n"), F.col("m_p")), (F.col("n"), F.col("p")), percent)
+        & _marks_near((F.col("m_n"), F.col("m_mark")), (F.col("n"), F.col("mark")), percent)
     )
-    cross = cross.select(F.least("m_key", "key").alias("a"), F.greatest("m_key", "key").alias("b")).distinct()
-    cross = kept(cross.join(chain, ["a", "b"], "left_anti"), "cross")
-    more_links = kept(_verified(cross, _wanted_sets(cross, rows_of, sets_of), percent), "links")
-    return first_links.unionByName(more_links)
+    return cross.select(F.least("m_key", "key").alias("a"), F.greatest("m_key", "key").alias("b")).distinct()
 
 
 def _wanted_sets(pairs: DataFrame, rows_of: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
