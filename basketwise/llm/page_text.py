@@ -60,7 +60,6 @@ NAMES = re.compile(
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 MAIN_ROLES = frozenset(["main", "article"])
-SPACE = re.compile(r"\s+")
 MAIN, OTHER, UNMARKED = 2, 1, 0
 
 
@@ -80,12 +79,15 @@ class PageReader(HTMLParser):
         self.parts: list[str] = []
         self.block_mark = UNMARKED
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers aren't needed
+
     def mark(self) -> int:
         return self.open[-1].mark if self.open else UNMARKED
 
     def end_block(self) -> None:
         if self.parts:
-            text = SPACE.sub(" ", "".join(self.parts)).strip()
+            text = " ".join("".join(self.parts).split())
             if text:
                 self.blocks.append((text, self.block_mark))
             self.parts = []
@@ -106,25 +108,30 @@ class PageReader(HTMLParser):
             self.end_block()
         if tag in VOID:
             return
-        named = {k: v or "" for k, v in attrs}
         outer = self.open[-1] if self.open else Element("", True, UNMARKED)
-        roles = set(named.get("role", "").lower().split())
-        hidden = "hidden" in named or named.get("aria-hidden", "").lower() == "true" or HIDDEN.search(named.get("style", ""))
-        seen = outer.seen and tag not in UNSEEN and not hidden
-        mark = outer.mark
-        beside = tag in ELSEWHERE or roles & ROLES or bool(NAMES.search(HUMP.sub("-", f"{named.get('class', '')} {named.get('id', '')}")))
+        seen, mark = outer.seen and tag not in UNSEEN, outer.mark
+        beside, roles = tag in ELSEWHERE, ()
+        if attrs:
+            named = {k: v or "" for k, v in attrs}
+            if "role" in named:
+                roles = set(named["role"].lower().split())
+                beside = beside or bool(roles & ROLES)
+            if "class" in named or "id" in named:
+                beside = beside or bool(NAMES.search(HUMP.sub("-", f"{named.get('class', '')} {named.get('id', '')}")))
+            if "hidden" in named or named.get("aria-hidden", "").lower() == "true" or HIDDEN.search(named.get("style", "")):
+                seen = False
         if tag == "header" and mark != MAIN:
             beside = True
         if mark == OTHER or (beside and tag not in ("html", "body")):
             mark = OTHER
-        elif tag in ("article", "main") or roles & MAIN_ROLES:
+        elif tag in ("article", "main") or (roles and roles & MAIN_ROLES):
             mark = MAIN
         self.open.append(Element(tag, seen, mark))
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k].tag == tag:
-                if any(e.tag in BLOCKS for e in self.open[k:]):
+                if tag in BLOCKS or any(e.tag in BLOCKS for e in self.open[k + 1 :]):
                     self.end_block()
                 del self.open[k:]
                 return
