@@ -1,8 +1,13 @@
-"""Substring deduplication: paragraphs that repeat, found by MinHash bands and verified by their exact Jaccard.
+"""Substring deduplication: lines that nearly repeat and runs of words that repeat wherever they stand.
 
-A paragraph is a line of a text. 64 minima in 16 bands of four let a pair of Jaccard 0.8 meet with a probability
+Lines are found by MinHash bands and verified by their exact Jaccard. 64 minima in 16 bands of four let a pair of Jaccard 0.8 meet with a probability
 of 0.9998. Equal paragraphs are one from the first shuffle on; those that meet are verified on their whole
 shingle sets, and all but the first place of each component are removals.
+
+Runs take no notice of line breaks. Each window of LEAST_WORDS words is keyed by the least hash of its ANCHOR-word
+shingles, so equal windows have equal keys, and neighbouring windows mostly share theirs: what is shuffled is one row per
+stretch of windows with one key. Where all stretches of a key are equal they repeat as they are; where they differ (at the
+ends of a shared run) their windows are compared one by one. Windows that follow each other in a text and in their first place are one run.
 """
 
 from __future__ import annotations
@@ -11,8 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from basketwise.functions.durable import broadcast_if_small
 from basketwise.llm.components import components
 from basketwise.llm.set_links import similar_in_buckets
 from basketwise.llm.store import kept, table
@@ -20,8 +26,10 @@ from basketwise.llm.words import MARK_WORDS, Words, distinct_per_unit, list_arra
 
 SHINGLE = 5
 BANDS, ROWS = 16, 4
-#: Words from which on a paragraph is compared; shorter lines repeat by chance or by custom.
+#: Words from which on a line or a run is compared; shorter ones repeat by chance or by custom.
 LEAST_WORDS = 50
+#: Words of the shingles that key a window.
+ANCHOR = 16
 PERCENT = 80
 
 
@@ -112,7 +120,7 @@ def _full_sets(least_words: int):
 def repeated_paragraphs(
     docs: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Every place of every paragraph that repeats: (id, line, start, stop, n_words, cluster_id, first_id, first_line, places, removed).
+    """Every place of every paragraph that repeats: (id, line, start, stop, n_words, cluster_id, first_id, first_line, places, removed, kind).
 
     ``start`` and ``stop`` are code points of the text, ``line`` counts from 0. The first place of a cluster (by id, then line)
     stays, the others are removed; ``places`` counts both. Paragraphs below ``least_words`` words, null and
@@ -155,18 +163,175 @@ def repeated_paragraphs(
         F.col("first.line").alias("first_line"),
         "places",
         (~same).alias("removed"),
+        F.lit("line").alias("kind"),
     )
 
 
+def _least_over(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` values in a row."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = np.minimum(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def _windows(least_words: int, kind: pa.DataType, each: bool):
+    """Stretches of windows with one anchor; or, with ``each``, every window whose anchor is in the row's list."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(row, doc, at, n, start, stop, line, anchor, key): n windows from word ``at`` on; start and stop in code points of the text."""
+        words = Words()
+        size = min(ANCHOR, least_words)
+        for batch in batches:
+            wanted = batch.column("anchors") if each else None
+            for part in words.slices(batch.column("text")):
+                count = len(part.hashes)
+                if count < least_words:
+                    continue
+                total = np.concatenate([[np.uint64(0)], np.cumsum(part.hashes * words.up[:count], dtype=np.uint64)])
+
+                def hashed(a, b, total=total):
+                    return mix((total[b] - total[a]) * words.down[a] + (b - a).astype(np.uint64))
+
+                at = np.arange(count - size + 1)
+                least = _least_over(hashed(at, at + size), least_words - size + 1)
+                lengths = np.diff(part.bounds)
+                unit = np.repeat(np.arange(len(lengths)), lengths)[: len(least)]
+                at = np.flatnonzero(np.arange(len(least)) + least_words <= part.bounds[1:][unit])
+                least, unit = least[at].view(np.int64), unit[at]
+                if each:
+                    ends = np.searchsorted(unit, np.arange(len(lengths) + 1))
+                    some = [np.isin(least[a:b], wanted[int(part.rows[k])].values.to_numpy()) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+                    some = np.concatenate(some) if some else np.zeros(0, dtype=bool)
+                    at, least, unit = at[some], least[some], unit[some]
+                    last = at
+                else:
+                    new = np.ones(len(at), dtype=bool)
+                    new[1:] = (least[1:] != least[:-1]) | (unit[1:] != unit[:-1])
+                    lengths = np.diff(np.append(np.flatnonzero(new), len(at)))
+                    new |= np.repeat(lengths > least_words - size + 1, lengths)  # the least shingle stands there twice, so windows may repeat within
+                    first = np.flatnonzero(new)
+                    last = at[np.append(first[1:], len(at)) - 1] if len(at) else at
+                    at, least, unit = at[first], least[first], unit[first]
+                if not len(at):
+                    continue
+                points = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80)])
+                breaks = np.concatenate([[0], np.cumsum(part.data == 10)])
+                begin = part.offsets[:-1][unit]
+                owner = pa.array(part.rows[unit])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("row").take(owner).cast(kind),
+                        batch.column("doc").take(owner),
+                        pa.array(at - part.bounds[:-1][unit]),
+                        pa.array(last - at + 1),
+                        pa.array(points[part.starts[at]] - points[begin]),
+                        pa.array(points[part.ends[last + least_words - 1]] - points[begin]),
+                        pa.array((breaks[part.starts[at]] - breaks[begin]).astype(np.int32)),
+                        pa.array(least),
+                        pa.array(hashed(at, last + least_words).view(np.int64)),
+                    ],
+                    ["row", "doc", "at", "n", "start", "stop", "line", "anchor", "key"],
+                )
+
+    return windows
+
+
+def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every place of every run of ``least_words`` words or more that repeats; columns as repeated_paragraphs, kind is ``run``.
+
+    Words are equal but for A-Z and a-z, what is between them doesn't matter. A run is as long as it and its first place (by id, then
+    position) go on alike; ``line`` is where it starts, ``places`` are those of its most frequent window, ``cluster_id``
+    tells the first place. A window that overlaps its first place is no place of its own. Rows that share id and text are one document
+    in the result and count as places of their own.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    texts = docs.select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.withColumn("doc", F.xxhash64("row", "text"))
+    field = texts.schema["row"].dataType
+    ddl = f"row {field.simpleString()}, doc long, at long, n long, start long, stop long, line int, anchor long, key long"
+    found = kept(texts.mapInArrow(_windows(least_words, to_arrow_type(field), False), ddl), "stretches")
+    anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("low"), F.max("key").alias("high"))
+    anchors = anchors.filter(F.col("c") > 1).select("anchor", (F.col("low") == F.col("high")).alias("alike"))
+    met = kept(found.join(anchors, "anchor"), "met")
+    differing = met.filter(~F.col("alike")).groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
+    differing = broadcast_if_small(kept(differing.withColumnRenamed("row", "_row"), "differing"))
+    again = texts.join(differing, F.col("row").eqNullSafe(F.col("_row"))).select("row", "doc", "text", "anchors")
+    singles = again.mapInArrow(_windows(least_words, to_arrow_type(field), True), ddl)
+    rows = kept(met.filter("alike").select(found.columns).unionByName(singles).drop("anchor"), "windows")
+
+    place = F.struct(F.col("row").isNull().alias("no_id"), "row", "at", "doc", "line")
+    firsts = rows.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).drop("c")
+    apart = F.col("at") - F.col("first.at")
+    overlaps = (F.col("doc") == F.col("first.doc")) & (apart > 0) & (apart < least_words)
+    here = kept(rows.join(firsts, "key").filter(~overlaps), "places")
+    places = here.groupBy("key").agg(F.count(F.lit(1)).alias("places")).filter(F.col("places") > 1)
+    here = here.join(places, "key").withColumns({"of": F.col("first.doc"), "apart": apart}).drop("key")
+    here = here.dropDuplicates(["doc", "of", "apart", "at"])
+    along = Window.partitionBy("doc", "of", "apart").orderBy("at")
+    here = here.withColumn("before", F.max(F.col("at") + F.col("n")).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    here = here.withColumn("run", F.sum(F.when(F.col("at") <= F.col("before"), 0).otherwise(1)).over(along))
+    runs = here.groupBy("doc", "of", "apart", "run").agg(
+        F.first("row").alias(id_col),
+        F.min("line").alias("line"),
+        F.min("start").alias("start"),
+        F.max("stop").alias("stop"),
+        (F.max(F.col("at") + F.col("n")) - F.min("at") + least_words - 1).alias("n_words"),
+        F.min(F.struct("at", "first")).getField("first").alias("first"),
+        F.max("places").alias("places"),
+    )
+    return runs.select(
+        id_col,
+        "line",
+        "start",
+        "stop",
+        "n_words",
+        F.xxhash64("of", "first.at").alias("cluster_id"),
+        F.col("first.row").alias("first_id"),
+        F.col("first.line").alias("first_line"),
+        "places",
+        (~(F.col(id_col).eqNullSafe(F.col("first.row")) & (F.col("apart") == 0))).alias("removed"),
+        F.lit("run").alias("kind"),
+    )
+
+
+def _without(text: str, lines: list[int], starts: list[int], stops: list[int]) -> str:
+    """The text without these lines, and without these stretches of the others; a line that goes whole takes its break along."""
+    gone, spans, left, at = set(lines), sorted(zip(starts, stops)), [], 0
+    for number, line in enumerate(text.split("\n")):
+        parts, done = [], 0
+        for a, b in spans:
+            a, b = max(a - at, done), min(b - at, len(line))
+            if a < b:
+                parts.append(line[done:a])
+                done = b
+        parts.append(line[done:])
+        rest = "".join(parts)
+        if number not in gone and (rest.strip() or not line.strip()):
+            left.append(rest)
+        at += len(line) + 1
+    return "\n".join(left)
+
+
 def remove_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
-    """The documents with all their columns, without the lines that ``repeats`` (from repeated_paragraphs) removes."""
-    lines = repeats.filter("removed").groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("line").alias("_lines"))
-    joined = docs.join(lines, F.col("doc_id").eqNullSafe(F.col("_of")), "left")
-    left = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col("_lines"), i))
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    """The documents with all their columns, without the lines and runs that ``repeats`` (from repeated_paragraphs, repeated_runs or both) removes."""
+    line, run = F.col("kind") == "line", F.col("kind") == "run"
+    cuts = repeats.filter("removed").groupBy(F.col("doc_id").alias("_of")).agg(
+        F.collect_set(F.when(line, F.col("line"))).alias("_lines"),
+        F.collect_list(F.when(run, F.col("start"))).alias("_starts"),
+        F.collect_list(F.when(run, F.col("stop"))).alias("_stops"),
+    )
+    joined = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("_of")), "left")
+    cut = F.udf(_without, "string", useArrow=False)
+    changed = F.col("_lines").isNotNull() & F.col("text").isNotNull()
+    safe = [F.coalesce("text", F.lit("")), *[F.coalesce(c, F.array().cast(f"array<{t}>")) for c, t in (("_lines", "int"), ("_starts", "long"), ("_stops", "long"))]]
+    return joined.withColumn("text", F.when(changed, cut(*safe)).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op7_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every place of every paragraph of 50 words or more that repeats in the documents."""
-    return repeated_paragraphs(table(spark, folder, "documents"))
+    """Every place of every line of 50 words or more that nearly repeats, and of every run of 50 words or more that repeats, in the documents."""
+    docs = table(spark, folder, "documents")
+    return repeated_paragraphs(docs).unionByName(repeated_runs(docs))

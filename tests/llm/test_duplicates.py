@@ -161,3 +161,41 @@ def test_repeated_paragraphs(spark, documents):
     left = {r.doc_id: r.text for r in para.remove_repeats(df, para.repeated_paragraphs(df)).collect()}
     assert left[21] == f"\n\n{other}" and left[22] == "short line" and left[23] is None and left[25] == "a b c"
     assert para.repeated_paragraphs(df.limit(0)).count() == 0
+
+
+def test_repeated_runs_cross_and_sit_inside_lines(spark, documents):
+    """Every 50 words that stand elsewhere too, against all windows of all texts."""
+    shared, other = prose(21, 70, 10**6).split(), prose(22, 54, 10**6).split()
+    own = lambda i, n: prose(700 + i, n, 10**6)
+    rows = [(i, f"é {own(i, 20)}\n{own(50 + i, 30)} {' '.join(shared[:25])}\n{' '.join(shared[25:])} {own(90 + i, 40)}\nend") for i in range(4)]
+    rows += [(10, f"{own(200, 300)} {' '.join(shared)} {own(201, 200)}"), (11, " ".join(shared[5:60])), (12, " ".join(shared[:49])),
+             (13, "\n".join(other[i : i + 9] and " ".join(other[i : i + 9]) for i in range(0, 54, 9))), (14, f"{own(202, 60)} {' '.join(other).upper()} tail"),
+             (15, f"{own(203, 60)}\n{' '.join(other)} {own(204, 60)} {' '.join(other)}"), (16, "x " * 180), (None, " ".join(shared)), (17, None), (18, ""),
+             (19, own(200, 300)), (20, "\n".join(own(i, 20) for i in range(8))), (20, "\n".join(own(i, 20) for i in range(8)))]
+    df = documents(rows)
+    got = para.repeated_runs(df).collect()
+    words = {i: [(m.start(), m.end()) for m in re.finditer("[^\x20\x09-\x0d]+", t or "")] for i, t in rows}
+    texts = dict(rows)
+    windows = defaultdict(list)
+    for i in texts:
+        low = [texts[i][a:b].lower() for a, b in words[i]]
+        for k in range(len(low) - 49):
+            windows[tuple(low[k : k + 50])].append((i is None, i or 0, k))
+    want = {False: defaultdict(set), True: defaultdict(set)}
+    for found in windows.values():
+        first = min(found)
+        apart = [p for p in found if p == first or p[:2] != first[:2] or p[2] - first[2] >= 50]
+        for no_id, i, k in apart if len(apart) > 1 or first[1] == 20 else []:
+            want[(no_id, i, k) != first][None if no_id else i].update(range(k, k + 50))
+    for removed in (False, True):
+        covered = defaultdict(set)
+        for r in (r for r in got if r.removed == removed):
+            inside = {k for k, (a, b) in enumerate(words[r.doc_id]) if a >= r.start and b <= r.stop}
+            assert len(inside) == r.n_words >= 50 and texts[r.doc_id].count("\n", 0, r.start) == r.line
+            covered[r.doc_id] |= inside
+        assert covered == want[removed]
+    across = [r for r in got if r.doc_id in (0, 1, 2, 3, 10, 11, None) and r.first_id == 0]
+    assert {(r.doc_id, r.n_words, r.places) for r in across} >= {(0, 70, 7), (1, 70, 7), (10, 70, 7), (11, 55, 7), (None, 70, 7)}
+    left = {r.doc_id: r.text for r in para.remove_repeats(df, para.repeated_runs(df)).collect()}
+    assert left[11] == "" and left[14].split() == [*own(202, 60).split(), "tail"] and left[1].split() == [*rows[1][1].split()[:51], *rows[1][1].split()[121:]]
+    assert left[0] == texts[0] and left[17] is None and left[18] == "" and para.repeated_runs(df.limit(0)).count() == 0
