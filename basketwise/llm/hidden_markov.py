@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from basketwise.functions.durable import scratch_path
 from basketwise.llm.chunks import deal, unpack, words_of_chunks
 from basketwise.llm.store import kept, table
 from basketwise.llm.words import Slice, Words, mix
@@ -28,8 +29,10 @@ STATES = 6
 CLASSES = 1 << 14
 #: Tokens of a block of the recursion.
 BLOCK = 64
-#: Training texts that give the starting values, about, and rounds over them; then come rounds over all training texts.
-WARM_TEXTS, WARM_ROUNDS, ROUNDS = 2_000, 12, 2
+#: Shards of the training texts, each read by one of the first rounds; then come rounds over all training texts.
+WARM_ROUNDS, ROUNDS = 12, 2
+#: What the counts of earlier shards weigh beside those of the next one.
+KEEP = 0.5
 CHUNK_BYTES = 32 << 20
 
 
@@ -173,8 +176,8 @@ def _columns(model: Model) -> list[str]:
     return [f"s{i}" for i in range(len(model.start))]
 
 
-def baum_welch(texts: DataFrame, model: Model) -> Model:
-    """One round over all texts: expected counts per task, summed by class, then normalised."""
+def gather_counts(texts: DataFrame, model: Model) -> Model:
+    """Expected counts over all texts: made per task, summed by class."""
     names = _columns(model)
     parts = texts.select("text").mapInArrow(_expected_counts(model), "class long, " + ", ".join(f"{c} double" for c in names))
     summed = parts.groupBy("class").agg(*[F.sum(c).alias(c) for c in names])
@@ -187,21 +190,43 @@ def baum_welch(texts: DataFrame, model: Model) -> Model:
             counts.start[:] = values
         else:
             counts.move[-2 - key] = values
+    return counts
+
+
+def fitted(counts: Model, model: Model) -> Model:
+    """The counts, smoothed and normalised; without any the model stays, as equal emissions of all states could never part again."""
+    if not counts.emit.any():
+        return model
     share = (counts.emit.sum(axis=1, keepdims=True) + 0.1) / (counts.emit.sum() + 0.1 * len(counts.emit))
     emit = counts.emit + share * 2.0 + 1e-6
     start, move = counts.start + 0.1, counts.move + 0.1
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def train(texts: DataFrame, states: int = STATES, warm_texts: int = WARM_TEXTS, warm_rounds: int = WARM_ROUNDS, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over ``texts`` (text). Starting values come from a sample by hash, every round after that reads all."""
+def _in_shards(texts: DataFrame, shards: int) -> list[DataFrame]:
+    """The texts, written once, as frames that together hold every row; rows are dealt by id and text."""
+    path = scratch_path(texts.sparkSession, "shards")
+    dealt = texts.select("text", F.pmod(F.xxhash64("row", "text"), F.lit(shards)).cast("int").alias("shard"))
+    dealt.write.partitionBy("shard").parquet(path)
+    stored = texts.sparkSession.read.schema("text string, shard int").parquet(path)
+    return [stored.filter(F.col("shard") == k).select("text") for k in range(shards)]
+
+
+def train(texts: DataFrame, states: int = STATES, warm_rounds: int = WARM_ROUNDS, rounds: int = ROUNDS) -> Model:
+    """Baum-Welch over ``texts`` (row, text).
+
+    The first rounds read one shard each, all texts together, and step on with the counts so far (stepwise EM): the model
+    changes ``warm_rounds`` times in one reading, at every size. Every round after that reads all.
+    """
     model = starting_model(states)
-    every = max(1, texts.count() // warm_texts)
-    sample = kept(texts.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text"), "warm")
-    for _ in range(warm_rounds):
-        model = baum_welch(sample, model)
+    counts = Model(*[np.zeros_like(x) for x in model])
+    for shard in _in_shards(texts, warm_rounds) if warm_rounds else []:
+        more = gather_counts(shard, model)
+        if more.emit.any():
+            counts = Model(*[KEEP * old + new for old, new in zip(counts, more)])
+            model = fitted(counts, model)
     for _ in range(rounds):
-        model = baum_welch(texts, model)
+        model = fitted(gather_counts(texts, model), model)
     return model
 
 
@@ -307,7 +332,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     held_out = F.pmod(F.crc32(id_text.cast("binary")), F.lit(7)) == 2
     whole = docs.select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    training = docs.filter(~held_out).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    training = docs.filter(~held_out).select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = kept(count_words(training), "counts")
     n_texts = training.count()
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()

@@ -134,3 +134,21 @@ def test_without_training_rows(spark, documents):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = hmm.score_texts(documents([(only, "a b")])).first()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (True, 3, 0, 0) and math.isfinite(row.score)
+
+
+def test_training_reads_every_text_and_keeps_its_states_apart(spark, monkeypatch):
+    """Many copies of few texts too, whichever way their hashes fall."""
+    texts = spark.createDataFrame([(f"{prose(i, 20)} z{i}",) for i in range(40)], "text string")
+    texts = texts.filter("pmod(xxhash64(text), 3) <> 0").limit(2).crossJoin(spark.range(6_000 // 2).withColumnRenamed("id", "row")).select("row", "text")
+    read, gather = [], hmm.gather_counts
+
+    def counted(some, model):
+        read.append(some.count())
+        return gather(some, model)
+
+    monkeypatch.setattr(hmm, "gather_counts", counted)
+    model = hmm.train(texts, states=2, rounds=1)
+    assert sum(read[:-1]) == read[-1] == 6_000 and len(read) == hmm.WARM_ROUNDS + 1 and min(read) > 0
+    assert abs(model.emit[:, 0] - model.emit[:, 1]).max() > 0.01
+    empty = hmm.train(texts.limit(0), states=2, rounds=1)
+    assert all((a == b).all() for a, b in zip(empty, hmm.starting_model(2)))
