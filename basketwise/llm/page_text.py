@@ -211,7 +211,7 @@ def _same_start(a: str, b: str) -> int:
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page, drop): which compared lines the page shares with the nearer of its neighbours."""
+    """(page, drop): which compared lines the page shares with the nearer of its neighbours, none of which is a copy."""
     for batch in batches:
         rows = {c: batch.column(c) for c in ("page", "path", "lines", "prev_path", "prev_lines", "next_path", "next_lines")}
         pages, drops = [], []
@@ -226,8 +226,6 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             mine = np.array(rows["lines"][i].as_py(), dtype=np.int64)
             theirs = np.array(rows[f"{near}_lines"][i].as_py(), dtype=np.int64)
-            if np.array_equal(mine, theirs):
-                continue  # a copy of the page tells nothing about the site
             shared = np.flatnonzero(common_lines(mine, theirs))
             if len(shared):
                 pages.append(rows["page"][i].as_py())
@@ -247,7 +245,27 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     ranges = Window.orderBy("_part")  # as many rows as ranges
     ends = ends.select("_part", F.lag("last").over(ranges).alias("from_left"), F.lead("first").over(ranges).alias("from_right"))
     beside = sorted_pages.join(F.broadcast(ends), "_part", "left").withColumns(
-        {"prev": F.coalesce(F.lag(here).over(within), "from_left"), "next": F.coalesce(F.lead(here).over(within), "from_right")}
+        {"left": F.coalesce(F.lag(here).over(within), "from_left"), "right": F.coalesce(F.lead(here).over(within), "from_right")}
+    )
+    # a copy of the page tells nothing about the site: the neighbour is the next page in line with other lines
+    differs = lambda side: F.when((F.col(f"{side}.host") != F.col("host")) | (F.col(f"{side}.lines") != F.col("lines")), F.col(side))
+    beside = beside.withColumns({"left": differs("left"), "right": differs("right")})
+    key = F.struct(*order)
+    past = beside.groupBy("_part").agg(
+        F.max_by("left", F.when(F.col("left").isNotNull(), key)).alias("left"), F.min_by("right", F.when(F.col("right").isNotNull(), key)).alias("right")
+    )
+    back, unbounded = Window.orderBy(F.desc("_part")), Window.unboundedPreceding
+    past = past.select(
+        "_part",
+        F.last("left", ignorenulls=True).over(ranges.rowsBetween(unbounded, -1)).alias("before"),
+        F.last("right", ignorenulls=True).over(back.rowsBetween(unbounded, -1)).alias("after"),
+    )
+    backward = Window.partitionBy("_part").orderBy(*[F.desc(c) for c in order])
+    beside = beside.join(F.broadcast(past), "_part", "left").withColumns(
+        {
+            "prev": F.coalesce(F.last("left", ignorenulls=True).over(within.rowsBetween(unbounded, 0)), "before"),
+            "next": F.coalesce(F.last("right", ignorenulls=True).over(backward.rowsBetween(unbounded, 0)), "after"),
+        }
     )
     beside = beside.select(
         "page",
@@ -267,10 +285,9 @@ def _texts(kind: pa.DataType):
                 blocks, gone = read_blocks(html.as_py()), set(drop or ())
                 compared = -1
                 kept_blocks = []
-                marked = any(mark == MAIN for _, mark in blocks)
                 for text, mark in blocks:
                     compared += mark != MAIN
-                    if mark == MAIN or (mark == UNMARKED and not marked and compared not in gone):
+                    if mark == MAIN or (mark == UNMARKED and compared not in gone):
                         kept_blocks.append(text)
                 out.append("\n".join(kept_blocks))
             yield pa.RecordBatch.from_arrays(
@@ -283,10 +300,10 @@ def _texts(kind: pa.DataType):
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: (id, url, text, n_chars).
 
-    Marked main content (article, main and their roles) is the text where a page has any, without what is marked as something else
-    within it; other pages give their unmarked lines less those shared with the nearest page of the host.
-    Null and empty pages have an empty text. Pages without host, alone on their host, or whose nearest page has
-    the same lines lose none by comparison. Repeated rows are rows of their own, equal paths are next to each other in order of a
+    The text is the marked main content (article, main and their roles), without what is marked as something else within it, and
+    the unmarked lines less those shared with the nearest page of the host that has other lines.
+    Null and empty pages have an empty text. Pages without host, alone on their host, or whose host has nothing but copies
+    lose none by comparison. Repeated rows are rows of their own, equal paths are next to each other in order of a
     hash of the row. White space is what Unicode counts as such. An empty table gives no rows.
     """
     from pyspark.sql.pandas.types import to_arrow_type

@@ -110,6 +110,26 @@ def test_unmarked_pages_lose_what_their_neighbour_has(spark):
     assert pages.main_texts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_comparison_passes_over_copies_and_serves_marked_pages(spark, parts):
+    def html(own, teaser=""):
+        return f"<div>My site</div><div>Go to top</div><div>{own}</div>{teaser}<div>All rights reserved</div>"
+
+    rows = [(i, f"http://h.org/a/{i:02}", html("copied")) for i in range(12)]
+    rows += [(20, "http://h.org/b/1", html("plain text", "<article>teaser</article>")), (21, "http://h.org/b/2", html("another"))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    text = {r.page_id: r.text for r in got}
+    assert [text[i] for i in range(12)] == ["copied"] * 12
+    assert text[20] == "plain text\nteaser" and text[21] == "another"
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     import numpy as np
 
