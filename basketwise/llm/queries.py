@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from basketwise.llm import byte_bpe, decontaminate, exact_dedup, hidden_markov, language_id, ngram_join, page_text, paragraph_dedup, secret_scan, url_filter
+from basketwise.llm import (
+    byte_bpe, decontaminate, exact_dedup, hidden_markov, language_id, ngram_join, packing, page_text, paragraph_dedup, secret_scan, url_filter,
+)
 
-_MODULES = (secret_scan, exact_dedup, url_filter, byte_bpe, ngram_join, language_id, decontaminate, paragraph_dedup, hidden_markov, page_text)
+_MODULES = (secret_scan, exact_dedup, url_filter, byte_bpe, ngram_join, language_id, decontaminate, paragraph_dedup, hidden_markov, page_text, packing)
 
 #: Every function named op<number>_... of the operators' modules.
 QUERIES = {

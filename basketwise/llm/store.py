@@ -45,6 +45,28 @@ def running_sum(parts: DataFrame, order: list[str], value: str, to: str) -> Data
     return _with_carry(parts, carry).withColumn(to, F.sum(value).over(within) + F.col("_carry")).drop("_carry")
 
 
+def numbered(df: DataFrame, group: str, order: list[str], to: str) -> DataFrame:
+    """The rows, kept, with their position from 0 among the rows of their ``group``, along ``order`` (nulls first).
+
+    Rows are sorted by range over (group, order), so a group of any size is spread over tasks; rows alike in all of
+    these come in any order. ``df`` is read twice.
+    """
+    order = [*order, "_tie"]  # unique: no range outgrows the others
+    parts = range_parts(df.withColumn("_tie", F.monotonically_increasing_id()), [group, *order])
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy("_part", group).agg(F.count(F.lit(1)).alias("_rows"))
+    carry = counts.select("_part", F.col(group).alias("_group"), F.sum("_rows").over(before).alias("_before"))
+    carry = carry.filter(F.col("_before") > 0)  # only the first group of a range can have begun before it
+    within = Window.partitionBy("_part", group).orderBy(*_keys(order))
+    placed = parts.withColumn("_row", F.row_number().over(within) - 1).alias("rows").join(
+        F.broadcast(carry.withColumnRenamed("_part", "_range")),
+        (F.col("_part") == F.col("_range")) & F.col(group).eqNullSafe(F.col("_group")),
+        "left",
+    )
+    place = (F.coalesce("_before", F.lit(0)) + F.col("_row")).cast("long")
+    return kept(placed.select(*df.columns, place.alias(to)), "numbered")
+
+
 def last_seen(parts: DataFrame, order: list[str], value: str, to: str) -> DataFrame:
     """Add the last ``value`` that isn't null up to each row of the whole sorted table."""
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
