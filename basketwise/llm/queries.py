@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from basketwise.llm import (
-    byte_bpe, decontaminate, exact_dedup, hidden_markov, language_id, merkle, ngram_join, packing, page_text, paragraph_dedup, secret_scan, url_filter,
+    byte_bpe, collocations, decontaminate, exact_dedup, hidden_markov, language_id, merkle, ngram_join, packing, page_text, paragraph_dedup, secret_scan, url_filter,
 )
 
-_MODULES = (secret_scan, exact_dedup, url_filter, byte_bpe, ngram_join, language_id, decontaminate, paragraph_dedup, hidden_markov, page_text, merkle, packing)
+_MODULES = (secret_scan, exact_dedup, url_filter, byte_bpe, ngram_join, language_id, decontaminate, paragraph_dedup, hidden_markov, page_text, merkle, collocations, packing)
 
 #: Every function named op<number>_... of the operators' modules.
 QUERIES = {
