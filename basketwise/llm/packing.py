@@ -15,6 +15,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -136,7 +137,8 @@ class WordIds:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_str(definition)
-        self.marks = [token for token in self.whole.get_added_tokens_decoder().values()]
+        marks = [re.escape(token.content) for token in self.whole.get_added_tokens_decoder().values()]
+        self.marks = re.compile("|".join(marks) or "(?!)")
         self.bare = Tokenizer.from_str(definition)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence(
@@ -159,13 +161,12 @@ class WordIds:
         return b"".join(map(self.words.__getitem__, words))
 
     def _learn(self, words: list[str]) -> None:
-        cut, other = {}, []
+        marked = self.marks.search("\n".join(words)) is not None  # hardly ever: the words aren't searched one by one
+        plain, other = [], []
         for word in words:
-            if PLAIN.fullmatch(word) and not any(mark.content in word for mark in self.marks):
-                cut[word] = PLAIN_PIECES.findall(word.lower())
-            else:
-                other.append(word)
-        pieces = list({piece for parts in cut.values() for piece in parts}.difference(self.pieces))
+            (plain if PLAIN.fullmatch(word) and not (marked and self.marks.search(word)) else other).append(word)
+        cut = [PLAIN_PIECES.findall(word.lower()) for word in plain]
+        pieces = list(set(chain.from_iterable(cut)).difference(self.pieces))
         for i in range(0, len(pieces), 1000):
             some = pieces[i : i + 1000]
             ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -173,7 +174,7 @@ class WordIds:
             data = ids.tobytes()
             self.pieces.update(zip(some, [data[a:b] for a, b in zip([0, *bounds], bounds)], strict=True))
         known = self.pieces.__getitem__
-        self.words.update((word.encode(), b"".join(map(known, parts))) for word, parts in cut.items())
+        self.words.update(zip(map(str.encode, plain), [known(p[0]) if len(p) == 1 else b"".join(map(known, p)) for p in cut]))
         found = self.whole.encode_batch_fast(other, add_special_tokens=False) if other else []
         self.words.update((word.encode(), np.array(f.ids, dtype="<u4").tobytes()) for word, f in zip(other, found))
 
