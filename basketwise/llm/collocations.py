@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -30,7 +31,7 @@ TOP = 2000
 NO_LANGUAGE = "und"
 
 #: Bytes of text in a block, about; a block and its words are held by one task.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Ids below this are counted by direct address.
 HEAD = 1024
 #: Entries of a sparse tile held before they are merged.
@@ -130,6 +131,11 @@ class _Corner:
         side = (FIRST_RANKS // 8) << octave
         return (FIRST_RANKS << octave) + eighth * side, side
 
+    @property
+    def kind(self) -> str:
+        """The numbers that hold its addresses."""
+        return "<u4" if self.rows * self.columns <= 1 << 32 else "<u8"
+
     @property
     def dense(self) -> bool:
         return self.left < HEAD and self.right < HEAD
@@ -164,9 +170,13 @@ def _tiles(name: str, block: int, left: np.ndarray, right: np.ndarray) -> pa.Tab
     first = np.flatnonzero(np.diff(tile, prepend=-1))
     bounds = np.append(first, len(tile))
     n = len(first)
+    kinds = [_Corner(t).kind for t in tile[first].tolist()]
+    addresses = _binary(address.astype("<u4"), bounds)
+    if "<u8" in kinds:  # ids beyond some hundred thousands
+        addresses = pa.array([address[a:b].astype(kind).tobytes() for a, b, kind in zip(bounds, bounds[1:], kinds)], pa.binary())
     return pa.table(
         [pa.array([name] * n, pa.string()), pa.array(tile[first], pa.int64()), pa.array([block] * n, pa.int64()),
-         _binary(address.astype("<u8"), bounds), _binary(counts.astype("<u4"), bounds)],
+         addresses, _binary(counts.astype("<u4"), bounds)],
         ["list", "tile", "block", "addresses", "counts"],
     )
 
@@ -195,10 +205,10 @@ def _count(longest_known: int):
     def count(sequences: pa.Table, dictionary: pa.Table) -> pa.Table:
         block, lang, packed = (sequences.column(name)[0].as_py() for name in ("block", "lang", "codes"))
         codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype="<u4").astype(np.int64)
-        size, key, rank = (dictionary.column(name).to_numpy() for name in ("size", "key", "id"))
         known = {}
         for k in range(1, longest_known + 1):
-            keys, ids = key[size == k], rank[size == k]
+            packed = dictionary.filter(pc.equal(dictionary.column("size"), k))
+            keys, ids = (np.frombuffer(b"".join(packed.column(n).to_pylist()), dtype=kind).astype(np.int64) for n, kind in (("keys", "<u8"), ("ids", "<u4")))
             order = np.argsort(keys)
             known[k] = keys[order], ids[order]
         table = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
@@ -253,7 +263,7 @@ def _sum_tiles(least: int):
                     yield from done()
                     now, corner, waiting, held = (name, tile), _Corner(tile), [], 0
                     dense = np.zeros(corner.rows * corner.columns, np.int64) if corner.dense else None
-                addresses = np.frombuffer(addresses, dtype="<u8").astype(np.int64)
+                addresses = np.frombuffer(addresses, dtype=corner.kind).astype(np.int64)
                 counts = np.frombuffer(counts, dtype="<u4").astype(np.int64)
                 if corner.dense:
                     dense[addresses] += counts
@@ -283,6 +293,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by tile, its frequent pairs before the blocks that ask: the ids of those a block has."""
     now, known, arrays = None, [], None
     for batch in batches:
+        out = []
         for name, tile, block, addresses, address, rank in zip(*[batch.column(c).to_pylist() for c in ("list", "tile", "block", "addresses", "address", "id")]):
             if (name, tile) != now:
                 now, known, arrays = (name, tile), [], None
@@ -293,16 +304,25 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if arrays is None:
                 arrays = np.array(sorted(known), dtype=np.int64).T
-            asked = np.frombuffer(addresses, dtype="<u8").astype(np.int64)
+            corner = _Corner(tile)
+            asked = np.frombuffer(addresses, dtype=corner.kind).astype(np.int64)
             ids = _ids_at(asked, *arrays)
-            left, right = _Corner(tile).ids(asked[ids > 0])
-            ids = ids[ids > 0]
-            n = len(ids)
-            columns = [[block] * n, [int(name.split(":", 1)[0])] * n, ((left + 1) << 32) | (right + 1), ids]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["block", "size", "key", "id"])
+            left, right = corner.ids(asked[ids > 0])
+            if len(left):
+                out.append((block, int(name.split(":", 1)[0]), (((left + 1) << 32) | (right + 1)).astype("<u8").tobytes(), ids[ids > 0].astype("<u4").tobytes()))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        columns = list(zip(*out)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["block", "size", "keys", "ids"])
+
+
+_KNOWN = "block long, size int, keys binary, ids binary"
 
 
-_KNOWN = "block long, size long, key long, id long"
+def _packed_words(words: pa.Table) -> pa.Table:
+    """One block's words: their codes and ids."""
+    arrays = [words.column(name).to_numpy().astype(kind).tobytes() for name, kind in (("code", "<u8"), ("id", "<u4"))]
+    columns = [pa.array([words.column("block")[0].as_py()], pa.int64()), pa.array([1], pa.int32()), *[pa.array([a], pa.binary()) for a in arrays]]
+    return pa.table(columns, ["block", "size", "keys", "ids"])
 
 
 def _return_ids(frequent: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -372,11 +392,14 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     block_words = coded.filter(F.col("word").isNotNull()).select("block", "lang", "code", "word", "n")
     sequences = coded.filter(F.col("codes").isNotNull()).select("block", "lang", "codes")
     totals = block_words.groupBy("lang").agg(F.sum("n").alias("n"))
-    counts = block_words.groupBy("lang", "word").agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
-    ordered = kept(counts.withColumn("order", -F.col("total")), "words")
+    # a word has one row per block: with its total put beside each of them, only frequent words are shuffled again
+    total = F.sum("n").over(Window.partitionBy("lang", "word"))
+    common = kept(block_words.withColumn("total", total).filter(F.col("total") >= least).drop("n"), "words")
+    distinct = common.groupBy("lang", "word").agg(F.max("total").alias("total"))
+    ordered = kept(distinct.withColumn("order", -F.col("total")), "words")
     words = numbered(ordered, "lang", ["order", "word"], "id").withColumn("id", F.col("id") + 1)
-    ids = block_words.join(words.select("lang", "word", "id"), ["lang", "word"])
-    known = kept(ids.select("block", F.lit(1).cast("long").alias("size"), F.col("code").alias("key"), "id"), "known")
+    ids = common.join(words.select("lang", "word", "id"), ["lang", "word"])
+    known = kept(ids.select("block", "code", "id").groupBy("block").applyInArrow(_packed_words, _KNOWN), "known")
 
     def count(longest_known: int) -> DataFrame:
         counted = sequences.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_count(longest_known), _TILES)

@@ -20,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from basketwise.llm.slices import slices
@@ -30,6 +31,8 @@ WINDOW = 4096
 END_ID = 2
 #: Words whose ids a task remembers; beyond that it starts anew, which changes no result.
 REMEMBERED = 1 << 19
+#: Bytes of text worked on together, about.
+GROUP_BYTES = 4 << 20
 _PIECE = 1 << 44  # numbers within a length stay below this
 
 
@@ -148,17 +151,26 @@ class WordIds:
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(end)]] = True
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def of(self, words: list[bytes]) -> bytes:
-        """The ids of the words, one after the other."""
-        new = set(words).difference(self.words)
+    def of(self, texts: list[bytes]) -> list[memoryview]:
+        """The ids of each text. Only its distinct words become Python objects."""
+        parts = [list(slices(text)) for text in texts]
+        words = pc.ascii_split_whitespace(pa.array([p for part in parts for p in part], pa.large_binary()).cast(pa.large_string()))
+        flat = words.flatten().dictionary_encode()
+        distinct = flat.dictionary.to_pylist()
+        new = [word for word in distinct if word not in self.words]
         if new:
             if len(self.words) > REMEMBERED:
-                self.words, self.pieces, new = {}, {}, set(words)
-            self._learn([word.decode() for word in new])
-        return b"".join(map(self.words.__getitem__, words))
+                self.words, self.pieces, new = {}, {}, distinct
+            self._learn(new)
+        ids = pa.array(map(self.words.__getitem__, distinct), pa.large_binary()).take(flat.indices)
+        offsets, data = ids.buffers()[1:]
+        bounds = np.frombuffer(offsets, dtype=np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        bounds = bounds[words.offsets.to_numpy()][np.cumsum([0, *map(len, parts)])].tolist()
+        view = memoryview(data) if data is not None else memoryview(b"")
+        return [view[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def _learn(self, words: list[str]) -> None:
         marked = self.marks.search("\n".join(words)) is not None  # hardly ever: the words aren't searched one by one
@@ -174,9 +186,9 @@ class WordIds:
             data = ids.tobytes()
             self.pieces.update(zip(some, [data[a:b] for a, b in zip([0, *bounds], bounds)], strict=True))
         known = self.pieces.__getitem__
-        self.words.update(zip(map(str.encode, plain), [known(p[0]) if len(p) == 1 else b"".join(map(known, p)) for p in cut]))
+        self.words.update(zip(plain, [known(p[0]) if len(p) == 1 else b"".join(map(known, p)) for p in cut]))
         found = self.whole.encode_batch_fast(other, add_special_tokens=False) if other else []
-        self.words.update((word.encode(), np.array(f.ids, dtype="<u4").tobytes()) for word, f in zip(other, found))
+        self.words.update((word, np.array(f.ids, dtype="<u4").tobytes()) for word, f in zip(other, found))
 
 
 def _cut(definition: str, window: int, end_id: int, with_ids: bool):
@@ -185,31 +197,35 @@ def _cut(definition: str, window: int, end_id: int, with_ids: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
         known = WordIds(definition)
         end = np.array([end_id], dtype="<u4").tobytes()
+        columns = ["start", "length", "ids_crc32", "doc_tokens"]
 
-        def ids_of(text: bytes) -> bytes:
-            return b"".join([*[known.of(part.split()) for part in slices(text)], end])
-
-        for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
-            row, start, length, crc, whole, ids = [], [], [], [], [], []
-            for i, text in enumerate(texts):
-                data = memoryview(ids_of(text.as_py()))
+        def pieces(rows: list[int], texts: list[bytes], column: pa.Array) -> pa.RecordBatch:
+            row, numbers, ids = [], [], []
+            for i, found in zip(rows, known.of(texts)):
+                data = b"".join([found, end])
                 tokens = len(data) // 4
                 for at in range(0, tokens, window):
                     piece = data[4 * at : 4 * (at + window)]
                     row.append(i)
-                    start.append(at)
-                    length.append(len(piece) // 4)
-                    crc.append(zlib.crc32(piece))
-                    whole.append(tokens)
+                    numbers.append((at, len(piece) // 4, zlib.crc32(piece), tokens))
                     if with_ids:
                         ids.append(np.frombuffer(piece, dtype="<u4").astype(np.int32))
-            columns = [batch.column("row").take(pa.array(row, pa.int64())), *[pa.array(c, pa.int64()) for c in (start, length, crc, whole)]]
-            names = ["row", "start", "length", "ids_crc32", "doc_tokens"]
+            out = [column.take(pa.array(row, pa.int64())), *[pa.array(c, pa.int64()) for c in zip(*numbers)]]
             if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                out.append(pa.array(ids, pa.list_(pa.int32())))
+            return pa.RecordBatch.from_arrays(out, ["row", *columns] + (["ids"] if with_ids else []))
+
+        for batch in batches:
+            texts, rows, size = [], [], 0
+            for i, text in enumerate(batch.column("text").cast(pa.large_binary())):
+                texts.append(text.as_py())
+                rows.append(i)
+                size += len(texts[-1])
+                if size >= GROUP_BYTES:
+                    yield pieces(rows, texts, batch.column("row"))
+                    texts, rows, size = [], [], 0
+            if texts:
+                yield pieces(rows, texts, batch.column("row"))
 
     return cut
 

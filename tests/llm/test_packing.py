@@ -65,6 +65,7 @@ def test_slices_join_to_the_text():
 @pytest.mark.parametrize("window,remembered", [(16, 1 << 19), (64, 5), (4096, 1 << 19)])
 def test_pieces_hold_every_id_once(spark, documents, monkeypatch, window, remembered):
     monkeypatch.setattr(packing, "REMEMBERED", remembered)
+    monkeypatch.setattr(packing, "GROUP_BYTES", window * 20)
     definition = packing.given_tokenizer()
     whole = tokenizers.Tokenizer.from_str(definition)
     rng = random.Random(4)
