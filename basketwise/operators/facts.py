@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from basketwise.functions.durable import broadcast_table
-from basketwise.functions.expressions import DATE_FORMATS, as_double, money, to_number, to_time
+from basketwise.functions.dates import read_dates
+from basketwise.functions.expressions import as_double, money, to_number, to_time
 
 COMPLETED = "Completed"
 
 PRODUCT_ATTRIBUTES = ("product_name", "category", "sub_category", "cost_price", "selling_price")
 
 
-def prepare_order_lines(orders: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
+def prepare_order_lines(orders: DataFrame, formats: tuple[str, ...] | None = None) -> DataFrame:
     """Typed order lines with revenue and month, without product attributes.
 
-    Whatever needs no product attribute reads this and so avoids the product join.
+    Whatever needs no product attribute reads this and so avoids the product join. Dates given as text are read in the
+    order that the column tells, for which the column is read when this is called, or by ``formats`` beside ISO.
     """
-    typed = orders.withColumns(
-        {
-            "order_date": to_time(orders, "order_date", formats),
-            **{
-                name: F.coalesce(to_number(orders, name), F.lit(0.0))
-                for name in ("quantity", "unit_price", "discount_pct")
-            },
-        }
+    dated = (
+        read_dates(orders, ["order_date"])
+        if formats is None
+        else orders.withColumn("order_date", to_time(orders, "order_date", formats))
+    )
+    typed = dated.withColumns(
+        {name: F.coalesce(to_number(orders, name), F.lit(0.0)) for name in ("quantity", "unit_price", "discount_pct")}
     )
     return typed.filter(F.col("order_date").isNotNull()).select(
         "order_id",
@@ -41,7 +42,7 @@ def prepare_order_lines(orders: DataFrame, formats: tuple[str, ...] = DATE_FORMA
 
 
 def prepare_order_facts(
-    orders: DataFrame, products: DataFrame | None, formats: tuple[str, ...] = DATE_FORMATS
+    orders: DataFrame, products: DataFrame | None, formats: tuple[str, ...] | None = None
 ) -> DataFrame:
     """Order lines left-joined to their product, with revenue, cost and profit; 17 columns.
 

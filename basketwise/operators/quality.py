@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from basketwise.contracts import ColumnRule, Contract, contract_of
 from basketwise.functions.durable import broadcast_if_small, join_keyed, kept_table
-from basketwise.functions.expressions import DATE_FORMATS, python_list, to_number, to_time
+from basketwise.functions.dates import DAY_FIRST, MONTH_FIRST, ORDERS, decided, in_any_order, in_order, is_text, read_dates, votes
+from basketwise.functions.expressions import python_list, to_number, to_time
 from basketwise.sources.tables import ROW_SEQ
 
 # The sentences of a validation summary.
@@ -22,6 +23,7 @@ EXTRA_COLUMNS = "Ignoring unexpected extra columns: {}"
 MISSING_VALUES = "Column '{column}' has %s missing value(s)."
 UNREADABLE = "Column '{column}': %s value(s) could not be parsed as {kind} and were flagged invalid."
 BELOW_MINIMUM = "Column '{column}': %s value(s) below minimum allowed value ({minimum})."
+UNDECIDED_ORDER = "Column '{column}': %s date(s) could have day or month first; the {taken} was assumed."
 NOT_ALLOWED = "Column '{column}': %s value(s) outside allowed set {allowed}."
 DUPLICATES = "%s duplicate '{key}' value(s) found; keeping first occurrence only."
 ORPHANS = "Column '{column}': %s value(s) do not match any '{key}' in {parent}."
@@ -78,23 +80,33 @@ def missing_value_profile(df: DataFrame, dataset: str) -> DataFrame:
     return counts.unpivot([], columns, "column", "missing").filter(F.col("missing") > 0)
 
 
-def coerced(df: DataFrame, rule: ColumnRule, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """The column as its declared kind; unreadable values become null."""
+def coerced(df: DataFrame, rule: ColumnRule, formats: tuple[str, ...] | None = None) -> Column:
+    """The column as its declared kind; unreadable values become null. Without ``formats``, dates in digits are left to
+    the order that their column tells, and are null here."""
     if rule.numeric:
         return to_number(df, rule.name)
     if rule.kind == "date":
-        return to_time(df, rule.name, formats)
+        return in_any_order(df, rule.name) if formats is None else to_time(df, rule.name, formats)
     return F.col(rule.name).cast("string")
 
 
+def _open_dates(df: DataFrame, rules: list[ColumnRule], formats: tuple[str, ...] | None) -> list[str]:
+    """The columns of dates whose order of day and month is to be told by their values."""
+    return [r.name for r in rules if r.kind == "date" and formats is None and is_text(df, r.name)]
+
+
 def coerce_columns(df: DataFrame, dataset: str) -> DataFrame:
-    """The contract columns as their declared kinds, and the names of those whose text was unreadable."""
+    """The contract columns as their declared kinds, and the names of those whose text was unreadable.
+
+    Columns of dates are read once more when this is called, for the order of day and month in each.
+    """
     present = [r for r in contract_of(dataset).rules if r.name in df.columns]
-    lost = [
-        F.when(F.col(r.name).isNotNull() & coerced(df, r).isNull(), F.lit(r.name)) for r in present
-    ]
-    return df.select(
-        *[coerced(df, r).alias(r.name) for r in present], F.array_compact(F.array(*lost)).alias("unreadable")
+    raw = {r.name: f"_raw_{r.name}" for r in present}
+    dates = read_dates(df.withColumns({raw[r.name]: F.col(r.name) for r in present}), _open_dates(df, present, None))
+    values = {r.name: F.col(r.name) if r.kind == "date" and is_text(df, r.name) else coerced(df, r) for r in present}
+    lost = [F.when(F.col(raw[name]).isNotNull() & value.isNull(), F.lit(name)) for name, value in values.items()]
+    return dates.select(
+        *[value.alias(name) for name, value in values.items()], F.array_compact(F.array(*lost)).alias("unreadable")
     )
 
 
@@ -105,7 +117,7 @@ def rule_counts(validation: Validation) -> DataFrame:
     return counts.withColumn("rule", F.ltrim("rule", F.lit("_")))
 
 
-def _rule_checks(df: DataFrame, rule: ColumnRule, formats: tuple[str, ...]) -> list[tuple[_Check, Column]]:
+def _rule_checks(df: DataFrame, rule: ColumnRule, formats: tuple[str, ...] | None) -> list[tuple[_Check, Column]]:
     name, value = rule.name, coerced(df, rule, formats)
     given = F.col(name).isNotNull()
     checks = [
@@ -215,13 +227,14 @@ def validate(
     parents: dict[str, DataFrame] | None = None,
     drop_invalid: bool = True,
     order_cols: list[str] | None = None,
-    formats: tuple[str, ...] = DATE_FORMATS,
+    formats: tuple[str, ...] | None = None,
 ) -> Validation:
     """Check a table against the contract of ``dataset``.
 
     ``parents`` are already cleaned datasets for the foreign-key checks. ``order_cols`` say which of
     two rows with one key comes first; without them the row position of the source decides.
-    ``formats`` are the forms of dates that are read beside ISO.
+    Whether dates in digits have the day or the month first is told by their column, see ``functions/dates.py``;
+    ``formats`` in its place are the forms of dates that are read beside ISO.
     """
     contract = contract_of(dataset)
     absent = check_required_columns(df, dataset)
@@ -238,13 +251,17 @@ def validate(
                 checks.append(check)
                 flags[check.flag] = flag
     present = [r for r in contract.rules if r.name in df.columns]
+    open_dates = _open_dates(df, present, formats)
+    readings = {name: {order: f"_{order}_{name}".replace(" ", "_") for order in ORDERS} for name in open_dates}
     scanned = keyed.select(
         *[coerced(df, rule, formats).alias(rule.name) for rule in present],
         *[flag.alias(name) for name, flag in flags.items()],
+        *[in_order(F.col(name), order).alias(to) for name, by_order in readings.items() for order, to in by_order.items()],
         _KEY,
     )
     # typed and flagged once; the offending keys are then looked up in what was kept, each reading its own columns
     scanned = kept_table(scanned, f"{dataset}-scanned")
+    scanned, undecided = _settle_dates(scanned, readings)
     rows = _flag_duplicates(scanned, contract.key)
     parent_checks = []
     for column, parent_name in contract.parents.items():
@@ -290,21 +307,38 @@ def validate(
         too_many, F.format_string(TOO_MANY_INVALID, *text)
     )
     metrics = metrics.withColumn("error", error)
-    summary = _summary(metrics, contract, extra, checks, parent_checks)
+    summary = _summary(metrics, contract, extra, checks, parent_checks, undecided)
     return Validation(dataset, flagged, clean, quarantine, metrics, summary)
 
 
+def _settle_dates(scanned: DataFrame, readings: dict[str, dict[str, str]]) -> tuple[DataFrame, list[str]]:
+    """Both readings of the columns of dates turned into the one their column tells, and what to say of undecided columns."""
+    if not readings:
+        return scanned, []
+    columns = {name: {order: F.col(to) for order, to in by_order.items()} for name, by_order in readings.items()}
+    said, settled = [], {}
+    for row in decided(votes(scanned, columns)).collect():  # one row per column
+        name = row["column"]
+        settled[name] = F.coalesce(F.col(name), columns[name][row["taken"]])
+        settled[f"_unreadable_{name}"] = ~F.col(f"_missing_{name}") & settled[name].isNull()
+        if row["undecided"]:
+            first = {MONTH_FIRST: "month", DAY_FIRST: "day"}[row["taken"]]
+            said.append(UNDECIDED_ORDER.format(column=name, taken=first) % row["differ"])
+    return scanned.withColumns(settled).drop(*[to for by_order in readings.values() for to in by_order.values()]), said
+
+
 def _counted(flag: str, message: str) -> Column:
     return F.when(F.col(flag) > 0, F.format_string(message, F.col(flag).cast("string")))
 
 
 def _summary(
-    metrics: DataFrame, contract: Contract, extra: list[str], checks: list[_Check], parent_checks: list[_Check]
+    metrics: DataFrame, contract: Contract, extra: list[str], checks: list[_Check], parent_checks: list[_Check], undecided: list[str]
 ) -> DataFrame:
     warnings = [F.lit(EXTRA_COLUMNS.format(python_list(extra)))] if extra else []
     warnings += [_counted(c.flag, c.message) for c in checks if c.message]
     warnings.append(_counted("duplicate_rows", DUPLICATES.format(key=contract.key)))
     warnings += [_counted(c.flag, c.message) for c in parent_checks]
+    warnings += [F.lit(text) for text in undecided]
     missing = F.map_filter(
         F.create_map(
             *[

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketwise.contracts import LOAD_ORDER
-from basketwise.functions.expressions import DATE_FORMATS
 from basketwise.operators.quality import Validation, validate
 from basketwise.sources.tables import read_dataset
 
@@ -41,7 +40,7 @@ class LoadedTables:
 def load_tables(
     tables: dict[str, DataFrame],
     order_cols: dict[str, list[str]] | None = None,
-    formats: tuple[str, ...] = DATE_FORMATS,
+    formats: tuple[str, ...] | None = None,
 ) -> LoadedTables:
     """Validate tables already at hand, parents first; the foreign keys see the cleaned parents."""
     loaded = LoadedTables()
@@ -58,7 +57,7 @@ def load_all(
     spark: SparkSession,
     paths: dict[str, str | list[str]],
     multi_line: bool = False,
-    formats: tuple[str, ...] = DATE_FORMATS,
+    formats: tuple[str, ...] | None = None,
 ) -> LoadedTables:
     """The same from files: {dataset: path}."""
     return load_tables({name: read_dataset(spark, paths[name], multi_line) for name in LOAD_ORDER}, formats=formats)

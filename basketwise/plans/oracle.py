@@ -442,7 +442,72 @@ def _problem(flag: str, text: str) -> str:
     return f"CASE WHEN {flag} THEN '{text}' END"
 
 
+_DATED = """
+dated AS (
+  SELECT l_orderkey, l_linenumber,
+         CASE WHEN l_linenumber = 7 THEN strftime(l_shipdate, '%Y-%m-%d') ELSE strftime(l_shipdate, '%d/%m/%Y') END AS day_first,
+         CASE WHEN l_linenumber = 6 THEN '31-31-2024' ELSE strftime(l_shipdate, '%-m-%-d-%Y') END AS month_first,
+         CASE WHEN day(l_shipdate) <= 12 THEN strftime(l_shipdate, '%-d.%-m.%Y') END AS either
+  FROM lineitem
+),
+texts AS (
+  SELECT l_linenumber, name, translate(value, '.-', '//') AS value
+  FROM (UNPIVOT dated ON day_first, month_first, either INTO NAME name VALUE value) WHERE NOT regexp_matches(value, '^[0-9]{4}-')
+)
+"""
+
+
+def _date_votes(group: str) -> str:
+    groups, on = ("name", "name") if not group else (f"{group}, name", f"{group}, name")
+    return "WITH " + _DATED.strip() + f""",
+every AS (SELECT DISTINCT {groups} FROM (SELECT l_linenumber, unnest(['day_first', 'month_first', 'either']) AS name FROM dated)),
+counted AS (
+  SELECT {groups}, count(try_strptime(value, '%m/%d/%Y')) AS month_first, count(try_strptime(value, '%d/%m/%Y')) AS day_first,
+         count(*) FILTER (try_strptime(value, '%m/%d/%Y') <> try_strptime(value, '%d/%m/%Y')) AS differ
+  FROM texts GROUP BY {groups}
+)
+SELECT {groups}, coalesce(month_first, 0) AS month_first, coalesce(day_first, 0) AS day_first, coalesce(differ, 0) AS differ,
+       CASE WHEN day_first > month_first THEN 'day first' ELSE 'month first' END AS taken,
+       coalesce(month_first = day_first AND differ > 0, false) AS undecided
+FROM every LEFT JOIN counted USING ({on})"""
+
+
+def _day_first_summary() -> str:
+    missing = "CASE WHEN {0} > 0 THEN '{1}=' || {0} ELSE '' END"
+    return (
+        "WITH " + RAW.strip() + ",\n" + ",\n".join(_SUMMARY) + "\n"
+        + _summary_sql(
+            "customers", "customer_counts", missing.format("no_age", "age_group"),
+            [
+                "'Ignoring unexpected extra columns: [''remark'']'",
+                _warn("bad_date", "Column 'signup_date': %s value(s) could not be parsed as date "
+                      "and were flagged invalid."),
+                _warn("no_age", "Column 'age_group' has %s missing value(s)."),
+            ],
+        )
+        + "\nUNION ALL\n"
+        + _summary_sql(
+            "products", "product_counts", missing.format("no_price", "selling_price"),
+            [
+                _warn("low_cost", "Column 'cost_price': %s value(s) below minimum allowed value (0)."),
+                _warn("no_price", "Column 'selling_price' has %s missing value(s)."),
+                _warn("total", "Column 'launch_date': %s date(s) could have day or month first; the month was assumed."),
+            ],
+        )
+    )
+
+
 VALIDATION = {
+    "date_orders": _date_votes(""),
+    "date_orders_by_line": _date_votes("l_linenumber"),
+    "read_dates": """
+SELECT l_orderkey, l_linenumber, l_shipdate::TIMESTAMP AS day_first,
+       CASE WHEN l_linenumber <> 6 THEN l_shipdate::TIMESTAMP END AS month_first,
+       CASE WHEN day(l_shipdate) <= 12 THEN make_timestamp(year(l_shipdate), day(l_shipdate), month(l_shipdate), 0, 0, 0) END AS either
+FROM lineitem""",
+    "validate_day_first": _day_first_summary(),
+    "clean_day_first": _raw_with("""SELECT customer_id, signup_date::TIMESTAMP AS signup_date, city, age_group, acquisition_channel
+        FROM raw_customers WHERE age_group IS NOT NULL AND signup_date <> 'not-a-date'"""),
     "validate_formats": """
 SELECT l_orderkey || '-' || l_linenumber AS order_id, l_shipdate::TIMESTAMP AS order_date,
        CASE WHEN round(l_tax * 100) NOT IN (7, 8) THEN 12.5::DOUBLE END AS unit_price,
@@ -775,6 +840,23 @@ CORPUS = {
         _chunks("new", "sections", 1500, 150),
         select="SELECT * FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new",
     ),
+    "stored_chunks": _corpus(
+        _sections("sections", "docs"), _chunks("old", "sections", 900, 150),
+        "renewed AS (SELECT * FROM sections WHERE source IN (SELECT source FROM docs WHERE contains(text, E'\\n## src7\\n')))",
+        _chunks("new", "renewed", 1500, 150),
+        select="SELECT * FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new",
+    ),
+    "stored_chunks_reset": _corpus(
+        _sections("sections", "docs"), _chunks("old", "sections", 900, 150),
+        "renewed AS (SELECT * FROM sections WHERE source IN (SELECT source FROM docs WHERE contains(text, E'\\n## src7\\n')))",
+        _chunks("new", "renewed", 1500, 150),
+        """upserted AS (SELECT * FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new),
+        few AS (SELECT * FROM old WHERE source IN (SELECT source FROM renewed))""",
+        select="\nUNION ALL ".join(
+            f"SELECT {v} AS version, count(*) AS chunks, sum(length(text))::BIGINT AS characters FROM {name}"
+            for v, name in enumerate(("old", "upserted", "few"), 1)
+        ),
+    ),
     "ingest_summary": _corpus(
         """present AS (SELECT source, text FROM blanked
            WHERE source IN (SELECT source FROM manifest WHERE status = 'present'))""",
@@ -945,7 +1027,39 @@ def _log(select: str) -> str:
 
 _VIEW = '"timestamp", recommendation, reason, merchant_approved, amount_inr, payment_link_id, result'
 
+_STORED = """
+refunds AS (
+  SELECT c_custkey::VARCHAR AS reference_id, 'refunded' AS result, '2024-07-01T00:00:00+00:00' AS status_checked_at,
+         '{"nation":' || c_nationkey || '}' AS refund FROM customer WHERE c_acctbal < 1000
+),
+first_half AS (
+  SELECT event_id, row_number() OVER (PARTITION BY reference_id ORDER BY "timestamp"::TIMESTAMPTZ DESC, event_id DESC) AS place
+  FROM log WHERE event_id % 2 = 0
+),
+stored AS (
+  SELECT p.reference_id, "timestamp", recommendation, reason, merchant_approved, amount_inr,
+         coalesce(u.payment_link_id, p.payment_link_id) AS payment_link_id, coalesce(r.result, u.result, p.result) AS result,
+         coalesce(r.status_checked_at, u.status_checked_at) AS status_checked_at, p.event_id::VARCHAR AS event_id,
+         '"' || u.payment_method || '"' AS payment_method, r.refund, p.place
+  FROM placed p LEFT JOIN first_half f USING (event_id)
+  LEFT JOIN updates u ON p.reference_id = u.reference_id AND f.place = 1
+  LEFT JOIN refunds r ON p.reference_id = r.reference_id AND p.place = 1
+)
+"""
+
+
+def _stored(select: str) -> str:
+    return "WITH " + LOG.strip() + ",\n" + _STORED.strip() + "\n" + select
+
+
 ACTIONS = {
+    "stored_log": _stored("SELECT * EXCLUDE (place) FROM stored"),
+    "compacted_log": _stored(
+        """SELECT * EXCLUDE (place) REPLACE (
+          CASE WHEN place = 1 AND reference_id IN (SELECT reference_id FROM updates) THEN 'settled' ELSE result END AS result,
+          CASE WHEN place = 1 AND reference_id IN (SELECT reference_id FROM updates) THEN '2024-06-01T00:00:00+00:00'
+               ELSE status_checked_at END AS status_checked_at) FROM stored"""
+    ),
     "latest_status": _log('SELECT reference_id, "timestamp", result FROM placed WHERE place = 1'),
     "apply_status_updates": _log(
         """SELECT p.reference_id, recommendation, reason, merchant_approved, amount_inr,

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from basketwise.functions.durable import scratch_path
+from basketwise.functions import dates
 from basketwise.functions.expressions import as_double, round2
 from basketwise.operators import (
     actions,
@@ -24,6 +25,8 @@ from basketwise.operators import (
 from basketwise.plans import bundle, star_tables as star
 from basketwise.plans.load import LoadedTables, load_all, load_tables
 from basketwise.sources.action_log import append_log, read_log
+from basketwise.sources.chunk_store import ChunkStore
+from basketwise.sources.log_store import ActionLog
 from basketwise.sources.tables import ROW_SEQ
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -275,6 +278,36 @@ def validate_formats(spark: SparkSession, folder: str) -> DataFrame:
     return flagged.select("order_id", "order_date", "unit_price", F.col("_invalid").alias("is_invalid"))
 
 
+_DATED = ("day_first", "month_first", "either")
+
+
+def date_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """How many values of three columns are read with the day first and with the month first, and what is taken."""
+    return dates.date_orders(star.dated_lines(spark, folder), _DATED).withColumnRenamed("column", "name")
+
+
+def date_orders_by_line(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for each line number, as if each were a file of its own."""
+    return dates.date_orders_by(star.dated_lines(spark, folder), "l_linenumber", _DATED).withColumnRenamed("column", "name")
+
+
+def read_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Three columns of dates, each read in its own order."""
+    return dates.read_dates(star.dated_lines(spark, folder), _DATED)
+
+
+def validate_day_first(spark: SparkSession, folder: str) -> DataFrame:
+    """The summaries of customers whose dates have the day first, and of products whose dates tell no order."""
+    customers = quality.validate(star.day_first_customers(spark, folder), "customers").summary
+    products = quality.validate(star.undecided_products(spark, folder), "products").summary
+    return _flat_summary(customers.unionByName(products))
+
+
+def clean_day_first(spark: SparkSession, folder: str) -> DataFrame:
+    """The customers that are left, with the dates that were read."""
+    return quality.validate(star.day_first_customers(spark, folder), "customers").clean
+
+
 def required_columns(spark: SparkSession, folder: str) -> DataFrame:
     """The summary of customers without three of their columns."""
     few = star.raw_customers(spark, folder).drop("city", "age_group", "signup_date")
@@ -291,6 +324,11 @@ def validate_keeping_invalid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 VALIDATION: dict[str, Query] = {
+    "date_orders": date_orders,
+    "date_orders_by_line": date_orders_by_line,
+    "read_dates": read_dates,
+    "validate_day_first": validate_day_first,
+    "clean_day_first": clean_day_first,
     "validate_formats": validate_formats,
     "required_columns": required_columns,
     "validate_keeping_invalid": validate_keeping_invalid,
@@ -383,6 +421,31 @@ def upsert_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.upsert_chunks(corpus.chunk_documents(documents), corpus.chunk_documents(documents, size=1500))
 
 
+def stored_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored corpus after two upserts: all documents, then those of one source in larger chunks."""
+    documents, store = star.markdown_documents(spark, folder), ChunkStore(spark, scratch_path(spark, "chunks"))
+    store.upsert(corpus.chunk_documents(documents))
+    renewed = documents.filter(F.col("text").contains("\n## src7\n"))
+    store.upsert(corpus.chunk_documents(renewed, size=1500))
+    return store.read()
+
+
+def stored_chunks_reset(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of every version of a store: two upserts and a reset, the earlier ones as they were read before."""
+    documents, store = star.markdown_documents(spark, folder), ChunkStore(spark, scratch_path(spark, "chunks"))
+    store.upsert(corpus.chunk_documents(documents))
+    first = store.read()
+    renewed = documents.filter(F.col("text").contains("\n## src7\n"))
+    store.upsert(corpus.chunk_documents(renewed, size=1500))
+    second = store.read()
+    store.upsert(corpus.chunk_documents(renewed), reset=True)
+    counts = [
+        chunks.agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("characters")).select(F.lit(v).alias("version"), "*")
+        for v, chunks in enumerate((first, second, store.read()), 1)
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.corpus_stats(document_chunks(spark, folder))
 
@@ -424,6 +487,8 @@ CORPUS: dict[str, Query] = {
     "ingest_summary": ingest_summary,
     "ingest_snapshot": ingest_snapshot,
     "upsert_chunks": upsert_chunks,
+    "stored_chunks": stored_chunks,
+    "stored_chunks_reset": stored_chunks_reset,
     "corpus_stats": corpus_stats,
     "vector_top_k": vector_top_k,
     "vector_top_k_of_source": vector_top_k_of_source,
@@ -527,7 +592,38 @@ def log_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return again.select(*actions.log_view(again).drop("status_checked_at").columns, F.element_at("other_fields", "batch").alias("batch"))
 
 
+def _stored_log(spark: SparkSession, folder: str) -> ActionLog:
+    """Half of the events, status updates, the other half, and further updates; nothing is rewritten."""
+    log, updates = star.action_log(spark, folder), star.status_updates(spark, folder)
+    stored = ActionLog(spark, scratch_path(spark, "log"))
+    stored.append(log.filter("event_id % 2 = 0"))
+    stored.update(updates)
+    stored.append(log.filter("event_id % 2 = 1"))
+    stored.update(star.refunds(spark, folder))
+    return stored
+
+
+def _shown(log: DataFrame) -> DataFrame:
+    others = {name: F.element_at("other_fields", name).alias(name) for name in ("event_id", "payment_method", "refund")}
+    return log.select("reference_id", *actions.log_view(log).columns, *others.values())
+
+
+def stored_log(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored log with its changes merged on reading."""
+    return _shown(_stored_log(spark, folder).read())
+
+
+def compacted_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The same log, compacted, changed once more and read."""
+    stored = _stored_log(spark, folder)
+    stored.compact()
+    stored.update(star.status_updates(spark, folder).select("reference_id", F.lit("settled").alias("result"), "status_checked_at"))
+    return _shown(stored.read())
+
+
 ACTIONS: dict[str, Query] = {
+    "stored_log": stored_log,
+    "compacted_log": compacted_log,
     "latest_status": latest_status,
     "apply_status_updates": apply_status_updates,
     "unmatched_updates": unmatched_updates,

@@ -143,6 +143,30 @@ def uploaded_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def dated_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Ship dates as text in three columns: the day first, the month first, and days up to the twelfth only."""
+    day = F.col("l_shipdate")
+    return table(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(F.col("l_linenumber") == 7, F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "dd/MM/yyyy")).alias("day_first"),
+        F.when(F.col("l_linenumber") == 6, "31-31-2024").otherwise(F.date_format(day, "M-d-yyyy")).alias("month_first"),
+        F.when(F.dayofmonth(day) <= 12, F.date_format(day, "d.M.yyyy")).alias("either"),
+    )
+
+
+def day_first_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """raw_customers as a European export has them."""
+    raw = raw_customers(spark, folder)
+    day = F.try_to_timestamp(F.col("signup_date"), F.lit("yyyy-MM-dd"))
+    return raw.withColumn("signup_date", F.coalesce(F.date_format(day, "dd.MM.yyyy"), F.col("signup_date")))
+
+
+def undecided_products(spark: SparkSession, folder: str) -> DataFrame:
+    """raw_products with a date that could be in June or in January."""
+    return raw_products(spark, folder).withColumn("launch_date", F.lit("06/01/2019"))
+
+
 #: Which of two lines with one order_id comes first.
 RAW_ORDER_COLS = ["product_id", "quantity", "unit_price", "discount_pct", "order_status"]
 
@@ -289,3 +313,13 @@ def status_updates(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("2024-06-01T00:00:00+00:00").alias("status_checked_at"),
         F.lit("card").alias("payment_method"),  # a field the log doesn't have
     )
+
+
+def refunds(spark: SparkSession, folder: str) -> DataFrame:
+    """Later updates of customers in debt: another result and a field of their own, and no other field."""
+    return table(spark, folder, "customer").filter("c_acctbal < 1000").select(
+        F.col("c_custkey").cast("string").alias("reference_id"),
+        F.lit("refunded").alias("result"),
+        F.lit("2024-07-01T00:00:00+00:00").alias("status_checked_at"),
+        F.struct(F.col("c_nationkey").alias("nation")).alias("refund"),
+    )

@@ -34,6 +34,23 @@ def utc_now() -> Column:
 OTHER_FIELDS = "other_fields"
 
 
+def as_fields(records: DataFrame) -> DataFrame:
+    """Records in the columns of a log: a field they lack is null, and further columns go to ``other_fields`` as JSON.
+
+    An entry of ``other_fields`` gives way to a column of its name."""
+    own = [c for c in records.columns if c not in LOG_FIELDS and c not in (OTHER_FIELDS, ROW_SEQ)]
+    given = F.col(OTHER_FIELDS) if OTHER_FIELDS in records.columns else F.lit(None).cast("map<string, string>")
+    others = F.coalesce(given, F.create_map().cast("map<string, string>"))
+    if own:
+        values = F.try_variant_get(F.parse_json(F.to_json(F.struct(*own))), "$", "map<string, variant>")
+        named = F.transform_values(values, lambda _, value: F.to_json(value))
+        others = F.map_concat(F.map_filter(others, lambda name, _: ~F.map_contains_key(named, name)), named)
+    fields = [
+        (F.col(name) if name in records.columns else F.lit(None)).cast(kind).alias(name) for name, kind in LOG_FIELDS.items()
+    ]
+    return records.select(*fields, F.when(F.size(others) > 0, others).alias(OTHER_FIELDS))
+
+
 def append_log(records: DataFrame, path: str) -> None:
     """Append records, stamped with the time where they have none. Null fields are not written.
 
