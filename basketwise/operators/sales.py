@@ -6,8 +6,11 @@ by revenue_by_category only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from basketwise.functions import id_sets
 from basketwise.functions.durable import broadcast_table, kept_table
 from basketwise.functions.expressions import DAY_MICROS, as_double, micros, money, round2, whole_days
 from basketwise.operators.facts import COMPLETED, filter_completed, order_rollup
@@ -74,6 +77,37 @@ def revenue_growth_30d(facts: DataFrame) -> DataFrame:
     return sums.select(F.when(prior > 0, growth).alias("growth_pct"))
 
 
+#: What day_sets counts, and the column of its distinct counts.
+_SETS = {"order_id": "orders", "customer_id": "customers"}
+
+
+def day_sets(facts: DataFrame) -> DataFrame:
+    """(counted, day, _bucket, _members): the exact sets of order and customer ids of every day.
+
+    Each day's set is made from that day alone; coarser periods are merged from them, see distinct_by_period. Ids are numbered by
+    the first day they occur on, so that a day's ids share few buckets.
+    """
+    dated = facts.withColumn("day", F.col("order_date").cast("date"))
+    parts = []
+    for column, counted in _SETS.items():
+        seen = kept_table(dated.filter(F.col(column).isNotNull()).groupBy(column, "day").agg(F.count(F.lit(1)).alias("_rows")), "seen")
+        numbers = id_sets.number_ids(seen, column, ["day", column])
+        sets = id_sets.id_sets(seen.join(numbers, column), ["day"])
+        parts.append(sets.select(F.lit(counted).alias("counted"), "*"))
+    return kept_table(reduce(DataFrame.unionByName, parts), "day-sets")
+
+
+def distinct_by_period(sets: DataFrame, period: Column) -> DataFrame:
+    """(period, orders, customers): distinct ids by any period that is made of whole days; ``period`` is an expression of ``day``.
+
+    No line and no id is read: the days' sets are merged bit by bit. Equal to count(DISTINCT) over the lines.
+    """
+    merged = id_sets.merge_sets(sets, ["counted", period.alias("period")])
+    counts = id_sets.count_members(merged, ["counted", "period"], "n")
+    named = [F.coalesce(F.sum(F.when(F.col("counted") == c, F.col("n"))), F.lit(0)).alias(c) for c in _SETS.values()]
+    return counts.groupBy("period").agg(*named)
+
+
 def _period_label(freq: str) -> Column:
     day = F.col("order_date")
     if freq == "M":

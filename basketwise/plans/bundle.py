@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -22,14 +23,21 @@ def full_analysis(
     the distinct orders per category. Everything else is computed from the roll-ups. What no result asked for needs isn't made.
     """
     lines = fact.prepare_order_lines(orders)
-
-    @cache
-    def by_order() -> DataFrame:
-        return kept_table(fact.order_rollup(lines), "by-order")
-
-    @cache
-    def by_product() -> DataFrame:
-        return kept_table(fact.product_rollup(lines), "by-product")
+    by_order = cache(lambda: kept_table(fact.order_rollup(lines), "by-order"))
+    by_product = cache(lambda: kept_table(fact.product_rollup(lines), "by-product"))
+    return analysis_of(by_order, by_product, lambda: fact.prepare_order_facts(orders, products), customers, products, names)
+
+
+def analysis_of(
+    by_order: Callable[[], DataFrame],
+    by_product: Callable[[], DataFrame],
+    by_category: Callable[[], DataFrame],
+    customers: DataFrame,
+    products: DataFrame,
+    names: tuple[str, ...] | None = None,
+) -> dict[str, DataFrame]:
+    """The results of full_analysis from roll-ups, each made when a result first needs it: per order, per product and
+    month, and whatever has order and category of completed lines."""
 
     @cache
     def product_table() -> DataFrame:
@@ -53,7 +61,7 @@ def full_analysis(
         "revenue_by_month": lambda: sales.revenue_by_period(by_order(), "M"),
         "revenue_by_day": lambda: sales.revenue_by_period(by_order(), "D"),
         "monthly_growth": lambda: sales.monthly_growth(by_order()),
-        "revenue_by_category": lambda: sales.revenue_by_category(fact.prepare_order_facts(orders, products)),
+        "revenue_by_category": lambda: sales.revenue_by_category(by_category()),
         "revenue_by_channel": lambda: sales.revenue_by_channel(by_order(), customers),
         "product_table": product_table,
         "top_products": lambda: prod.top_n_products(product_table()),

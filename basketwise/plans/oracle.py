@@ -658,7 +658,38 @@ products AS (
 customers AS (SELECT customer_id, city, acquisition_channel FROM ok_customers),
 """ + LINES[LINES.index("facts AS (") :]
 
+def _actives(period: str) -> str:
+    return _with(
+        select=f"""SELECT {period} AS period, count(DISTINCT order_id) AS orders, count(DISTINCT customer_id) AS customers
+        FROM lines WHERE order_status = 'Completed' GROUP BY 1"""
+    )
+
+
+#: Results merged from stored days are the results over all lines.
+_DAYS = {
+    "days_kpis": "executive_kpis",
+    "days_revenue_by_month": "revenue_by_month",
+    "days_revenue_by_day": "revenue_by_day",
+    "days_monthly_growth": "monthly_growth",
+    "days_revenue_by_category": "revenue_by_category",
+    "days_revenue_by_channel": "revenue_by_channel",
+    "days_product_table": "product_performance",
+    "days_top_products": "top_products",
+    "days_bottom_products": "bottom_products",
+    "days_high_margin_low_volume": "high_margin_low_volume",
+    "days_customer_table": "customer_performance",
+    "days_rfm_table": "rfm_segmentation",
+    "days_high_value_customers": "high_value_customers",
+    "days_churn_risk_customers": "churn_risk_customers",
+    "days_segment_counts": "segment_counts",
+    "days_growth_signals": "growth_signals",
+}
+
 BUNDLE = {
+    **{name: COMMERCE[same] for name, same in _DAYS.items()},
+    "weekly_actives": _actives("date_trunc('week', order_date)::DATE::VARCHAR"),
+    "monthly_actives": _actives("strftime(order_date, '%Y-%m')"),
+    "actives_so_far": _actives("'all'"),
     "full_analysis": _with(*_EVERYTHING, select=_TOTALS),
     "validated_analysis": "WITH " + ",\n".join(p.strip() for p in (RAW, VALIDATED, *_EVERYTHING)) + "\n" + _TOTALS,
     "business_context": _with(

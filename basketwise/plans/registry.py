@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from datetime import timedelta
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -23,6 +24,7 @@ from basketwise.operators import (
     signals,
 )
 from basketwise.plans import bundle, star_tables as star
+from basketwise.plans.rollups import DayRollups, within
 from basketwise.plans.load import LoadedTables, load_all, load_tables
 from basketwise.sources.action_log import append_log, read_log
 from basketwise.sources.chunk_store import ChunkStore
@@ -381,7 +383,78 @@ def _totals(results: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-BUNDLE: dict[str, Query] = {"business_context": business_context, "full_analysis": full_analysis, "validated_analysis": validated_analysis}
+@cache
+def _stored_days(spark: SparkSession, folder: str) -> DayRollups:
+    """Roll-ups by day in the shared folder: all days but the last thirty at first, then these as they arrive."""
+    orders, products = star.orders(spark, folder), star.products(spark, folder)
+    last = orders.agg(F.max(F.col("order_date").cast("date"))).first()[0]
+    new = [last - timedelta(days=k) for k in range(30)] if last else []
+    stored = DayRollups(spark, scratch_path(spark, "days"))
+    stored.refresh(orders.filter(~within(F.col("order_date"), new)), products)
+    stored.refresh(orders, products, new)
+    return stored
+
+
+def _from_days(result: str) -> Query:
+    """One result of the full analysis, whole, from the stored days."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return _stored_days(spark, folder).analysis(star.customers(spark, folder), star.products(spark, folder), (result,))[result]
+
+    return query
+
+
+#: Results that are compared row by row, and the name of their query.
+DAY_RESULTS = {
+    "executive_kpis": "days_kpis",
+    "revenue_by_month": "days_revenue_by_month",
+    "revenue_by_day": "days_revenue_by_day",
+    "monthly_growth": "days_monthly_growth",
+    "revenue_by_category": "days_revenue_by_category",
+    "revenue_by_channel": "days_revenue_by_channel",
+    "product_table": "days_product_table",
+    "top_products": "days_top_products",
+    "bottom_products": "days_bottom_products",
+    "high_margin_low_volume_products": "days_high_margin_low_volume",
+    "customer_table": "days_customer_table",
+    "rfm_table": "days_rfm_table",
+    "high_value_customers": "days_high_value_customers",
+    "churn_risk_customers": "days_churn_risk_customers",
+    "segment_counts": "days_segment_counts",
+    "growth_signals": "days_growth_signals",
+}
+
+
+def _day_sets(spark: SparkSession, folder: str, period: Column) -> DataFrame:
+    """Revenue-bearing orders and customers by period, merged from the sets of single days."""
+    done = fact.filter_completed(_stored_days(spark, folder).read("by_order"))
+    return sales.distinct_by_period(sales.day_sets(done), period)
+
+
+def weekly_actives(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct orders and customers of every week, from the sets of its days."""
+    return _day_sets(spark, folder, F.date_trunc("week", "day").cast("date").cast("string"))
+
+
+def monthly_actives(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct orders and customers of every month, from the sets of its days."""
+    return _day_sets(spark, folder, F.date_format("day", "yyyy-MM"))
+
+
+def actives_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct orders and customers of all days together."""
+    return _day_sets(spark, folder, F.lit("all"))
+
+
+BUNDLE: dict[str, Query] = {
+    "business_context": business_context,
+    "full_analysis": full_analysis,
+    "validated_analysis": validated_analysis,
+    **{name: _from_days(result) for result, name in DAY_RESULTS.items()},
+    "weekly_actives": weekly_actives,
+    "monthly_actives": monthly_actives,
+    "actives_so_far": actives_so_far,
+}
 
 
 # --- corpus ---------------------------------------------------------------------------------
