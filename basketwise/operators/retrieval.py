@@ -2,13 +2,13 @@
 
 Every task scores its vectors against all queries with one matrix product per Arrow batch and lets
 only its own best k per query out, so what is shuffled is tasks x queries x k rows, whatever the
-size of the corpus. Vectors and queries are never paired as rows.
+size of the corpus. Vectors and queries are never paired as rows. Query sets beyond the size for broadcasts are joined
+with the vectors block by block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -90,17 +90,65 @@ def _score_block(vectors: DataFrame, block: list[Row], k: int, query_type: T.Dat
     return vectors.select("id", "embedding").filter(F.col("embedding").isNotNull()).mapInArrow(best, schema)
 
 
+def _in_blocks(vectors: DataFrame, queries: DataFrame, k: int, block_bytes: int) -> DataFrame:
+    """The best k of every pair of a block of queries and a block of vectors; neither passes through the driver.
+
+    Both sides are dealt into blocks of about ``block_bytes`` by a hash of their id. A block of queries goes to the tasks of all blocks
+    of vectors and the other way round, and each such task scores its two blocks like any batch.
+    """
+    sizes = F.size("embedding")
+    empty = F.col("embedding").isNull() | (sizes <= 0)
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    told = queries.agg(F.count_if(empty).alias("empty"), F.count_if(odd).alias("odd"), F.min(sizes).alias("least"), F.max(sizes).alias("most")).first()
+    if told["empty"]:
+        raise ValueError("a query must not be empty")
+    if told["odd"] or told["least"] != told["most"]:
+        raise ValueError("queries must have the same number of components, all finite")
+    vectors = vectors.select("id", "embedding").filter(F.col("embedding").isNotNull())
+
+    def blocks(df: DataFrame) -> int:
+        return int((df.agg(F.sum(8 * F.size("embedding") + 32)).first()[0] or 0) // block_bytes) + 1
+
+    query_blocks, vector_blocks = blocks(queries), blocks(vectors)
+
+    def block_of(key: str, count: int):
+        return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+
+    def every(count: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    asked = queries.withColumn("query_block", block_of("query_id", query_blocks)).withColumn("vector_block", every(vector_blocks))
+    held = vectors.withColumn("vector_block", block_of("id", vector_blocks)).withColumn("query_block", every(query_blocks))
+    id_type, query_type = vectors.schema["id"].dataType, queries.schema["query_id"].dataType
+    id_arrow, query_arrow = to_arrow_type(id_type), to_arrow_type(query_type)
+    empty_result = pa.schema([("query_id", query_arrow), ("id", id_arrow), ("distance", pa.float64())]).empty_table()
+    dims = told["least"]
+
+    def score(block: pa.Table, content: pa.Table) -> pa.Table:
+        if not len(block) or not len(content):
+            return empty_result
+        unit = _unit_rows(_matrix(block.column("embedding").combine_chunks(), dims))
+        best = _local_best(block.column("query_id").to_pylist(), unit, k, id_arrow, query_arrow)
+        found = list(best(iter(content.select(["id", "embedding"]).to_batches(max_chunksize=10_000))))
+        return pa.Table.from_batches(found) if found else empty_result
+
+    keys = ["query_block", "vector_block"]
+    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("distance", T.DoubleType())])
+    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(score, schema)
+
+
 def vector_top_k(
     vectors: DataFrame,
     queries: DataFrame,
     top_k: int = 4,
     source_filter: str | None = None,
+    block_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(query_id, rank, id, distance, relevance_score): the ``top_k`` nearest vectors of every query.
 
     ``vectors`` has id and embedding (and source, for the filter), ``queries`` query_id and
-    embedding. The queries go to every task, and the vectors are read once; queries beyond the size for broadcasts
-    are dealt into as many passes as it takes. Vectors with a missing or infinite component are near to
+    embedding. Queries of no more than ``block_bytes`` go to every task, and the vectors are read once; more of them stay on the
+    cluster, where blocks of queries meet blocks of vectors. Vectors with a missing or infinite component are near to
     nothing (unusable_vectors has them); one of another length is an error.
     """
     if top_k < 1:
@@ -108,18 +156,13 @@ def vector_top_k(
     if source_filter is not None:
         vectors = vectors.filter(F.col("source") == source_filter)
     queries = queries.select("query_id", "embedding")
-    query_type = queries.schema["query_id"].dataType
-    size = queries.agg(F.sum(8 * F.size("embedding") + 32)).first()[0] or 0
-    blocks = int(size // BROADCAST_BYTES) + 1
-    block_of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    passes = []
-    for b in range(blocks):
-        block = (queries if blocks == 1 else queries.filter(block_of == b)).collect()
-        if block:
-            passes.append(_score_block(vectors, block, top_k, query_type))
-    if not passes:
+    count, size = queries.agg(F.count(F.lit(1)), F.sum(8 * F.size("embedding") + 32)).first()
+    if not count:
         raise ValueError("there must be at least one query")
-    candidates = reduce(DataFrame.unionByName, passes)
+    if size <= block_bytes:
+        candidates = _score_block(vectors, queries.collect(), top_k, queries.schema["query_id"].dataType)
+    else:
+        candidates = _in_blocks(vectors, queries, top_k, block_bytes)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     relevance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distance") / 2))
     return (

@@ -906,6 +906,15 @@ CORPUS = {
         select="SELECT * FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new",
     ),
     "vector_top_k": _vectors(4, "SELECT * FROM shown"),
+    "vector_neighbours": """
+WITH unit AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings),
+scored AS (
+  SELECT q.vec_id AS query_id, u.vec_id AS id, round(1 - list_dot_product(u.v, q.v) / (u.norm * q.norm), 9) AS distance
+  FROM unit u, unit q WHERE q.vec_id % 100 = 0
+),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM scored QUALIFY rank <= 5)
+SELECT query_id, rank::INTEGER AS rank, id, round(distance::DECIMAL(20,9), 6)::DOUBLE AS distance,
+  round(greatest(0.0, least(1.0, 1 - distance / 2))::DECIMAL(20,12), 4)::DOUBLE AS relevance_score FROM hits""",
     "vector_top_k_of_source": _vectors(4, "SELECT * FROM shown", "source = 'src7'"),
     "retrieve_chunks": _vectors(
         4,

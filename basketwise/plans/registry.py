@@ -532,6 +532,14 @@ def vector_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return _hits(star.vectors(spark, folder), star.topics(spark, folder))
 
 
+def vector_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest vectors of every hundredth one, itself among them; in blocks as query sets too large for broadcasts are."""
+    vectors = star.vectors(spark, folder)
+    queries = vectors.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    hits = retrieval.vector_top_k(vectors, queries, top_k=5, block_bytes=1 << 12)
+    return hits.withColumn("distance", F.round(F.col("distance").cast("decimal(20,9)"), 6).cast("double"))
+
+
 def vector_top_k_of_source(spark: SparkSession, folder: str) -> DataFrame:
     return _hits(star.sourced_vectors(spark, folder), star.topics(spark, folder), source_filter="src7")
 
@@ -564,6 +572,7 @@ CORPUS: dict[str, Query] = {
     "stored_chunks_reset": stored_chunks_reset,
     "corpus_stats": corpus_stats,
     "vector_top_k": vector_top_k,
+    "vector_neighbours": vector_neighbours,
     "vector_top_k_of_source": vector_top_k_of_source,
     "retrieve_chunks": retrieve_chunks,
     "multi_topic_retrieval": multi_topic_retrieval,

@@ -265,3 +265,23 @@ def test_topics_keep_the_first(spark):
     all_hits = retrieval.multi_topic_retrieval(frame, topics, texts, 3)
     assert retrieval.sources_used(all_hits).first()[0] == ["a.md", "p.md"]
     assert {r.topic for r in all_hits.collect()} == {"early"}
+
+
+def test_many_queries_stay_on_the_cluster(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = np.random.default_rng(5)
+    vectors = vector_frame(spark, rng.normal(size=(300, 8)).tolist()).repartition(5)
+    queries = query_frame(spark, rng.normal(size=(90, 8)).tolist())
+    want = sorted(map(tuple, retrieval.vector_top_k(vectors, queries, 4).collect()))
+    received, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: received.append(df.columns) or collect(df))
+    blocks = retrieval.vector_top_k(vectors, queries, 4, block_bytes=1_000)
+    monkeypatch.undo()
+    assert not any("embedding" in columns for columns in received)
+    assert "Cartesian" not in blocks._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, blocks.collect())) == want
+    assert retrieval.vector_top_k(vectors.limit(0), queries, block_bytes=1_000).count() == 0
+    for bad in ([[]], [[1.0, float("nan")]], [[1.0], [1.0, 2.0]]):
+        with pytest.raises(ValueError):
+            retrieval.vector_top_k(vectors, query_frame(spark, bad), block_bytes=1)
