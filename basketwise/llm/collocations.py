@@ -437,17 +437,17 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents),
-w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), x -> x <> '') AS words FROM pieces),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM pieces),
 n AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY 1),
-places AS (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS at FROM (SELECT lang, words, unnest(range(1, 6)) AS size FROM w) WHERE len(words) >= size),
-f AS (SELECT lang, size, array_to_string(words[at:at + size - 1], ' ') AS phrase, count(*) AS a FROM places GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+places AS (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS pos FROM (SELECT lang, words, unnest(range(1, 6)) AS size FROM w) WHERE len(words) >= size),
+f AS (SELECT lang, size, array_to_string(words[pos:pos + size - 1], ' ') AS phrase, count(*) AS a FROM places GROUP BY 1, 2, 3 HAVING count(*) >= 100),
 c AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS words FROM f WHERE size > 1),
 cuts AS (SELECT *, unnest(range(1, size)) AS k FROM c),
 scored AS (
   SELECT cuts.lang, cuts.phrase, cuts.a, k, x.a AS l, y.a AS r, n.n, CAST(CAST(1000 AS HUGEINT) * cuts.a * n.n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
   FROM cuts JOIN n USING (lang)
   JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(cuts.words[1:k], ' ')
-  JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(cuts.words[k + 1:size], ' ')),
+  JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(cuts.words[k + 1:cuts.size], ' ')),
 weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 spans AS (SELECT *, unnest(range(1, size)) AS s FROM c),
 inner_spans AS (SELECT lang, words, a, s, size, unnest(range(2, size - s + 2)) AS len FROM spans),

@@ -305,3 +305,51 @@ def manifest_of_documents(docs: DataFrame) -> DataFrame:
 def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's place in the tree, with planted changes."""
     return manifest_of_documents(table(spark, folder, "documents"))
+
+
+def _hashed(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen(({f})::VARCHAR) || ':' || ({f})::VARCHAR, '-')" for f in fields) + ")"
+
+
+#: DuckDB has no CRC-32: one step per byte and bit, by the polynomial of zlib.
+_CRC32 = """xor(4294967295, list_reduce(
+  [4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT] || [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])),
+  lambda crc, step: CASE WHEN step >= 0 THEN xor(crc, step) WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END))"""
+
+SQL = {
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS list, {_hashed("n_chars")} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {_CRC32} % 7 = 0 THEN {_hashed("n_chars + 1")} ELSE {_hashed("n_chars")} END AS changed
+  FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS k FROM d),
+tree AS (
+  SELECT list, 0 AS lvl, pos, leaf AS h, count(*) OVER (PARTITION BY list) AS n FROM leaves
+  UNION ALL
+  SELECT list, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY list, lvl, n, pos // 2),
+subroots AS (SELECT list, h AS subroot, row_number() OVER (ORDER BY list) - 1 AS pos FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, pos, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, n, pos // 2),
+sizes AS (SELECT DISTINCT list, lvl, n FROM tree),
+top_sizes AS (SELECT DISTINCT lvl, n FROM top),
+climb AS (
+  SELECT k, list, 0 AS lvl, pos, changed AS cur, '' AS siblings FROM leaves
+  UNION ALL
+  SELECT c.k, c.list, c.lvl + 1, c.pos // 2,
+         sha256(CASE WHEN s.h IS NULL THEN cur WHEN c.pos % 2 = 0 THEN cur || s.h ELSE s.h || cur END), siblings || coalesce(s.h, '')
+  FROM climb c JOIN sizes z ON z.list = c.list AND z.lvl = c.lvl AND z.n > 1
+  LEFT JOIN tree s ON s.list = c.list AND s.lvl = c.lvl AND s.pos = xor(c.pos, 1)),
+up AS (
+  SELECT c.k, 0 AS lvl, r.pos, c.cur, c.siblings
+  FROM climb c JOIN sizes z ON z.list = c.list AND z.lvl = c.lvl AND z.n = 1 JOIN subroots r ON r.list = c.list
+  UNION ALL
+  SELECT u.k, u.lvl + 1, u.pos // 2,
+         sha256(CASE WHEN s.h IS NULL THEN cur WHEN u.pos % 2 = 0 THEN cur || s.h ELSE s.h || cur END), siblings || coalesce(s.h, '')
+  FROM up u JOIN top_sizes z ON z.lvl = u.lvl AND z.n > 1 LEFT JOIN top s ON s.lvl = u.lvl AND s.pos = xor(u.pos, 1))
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(u.siblings) AS proof_sha256, u.cur AS folded_root, u.cur = t.h AS verified
+FROM leaves JOIN subroots USING (list) JOIN up u USING (k) JOIN top_sizes z ON z.lvl = u.lvl AND z.n = 1 JOIN top t ON t.n = 1
+"""
+}
