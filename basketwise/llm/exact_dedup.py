@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from basketwise.functions.durable import scratch_path
 from basketwise.llm.store import kept, table
+from basketwise.sources.versions import Versions, VersionTaken
 
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
@@ -26,10 +27,20 @@ class DigestIndex:
     """Digests seen so far, each with the id that stays and the number of rows seen."""
 
     def __init__(self, spark: SparkSession, name: str, path: str, buckets: int | None = None):
-        """``buckets`` is fixed when the table is made; by default the session's number of shuffle partitions."""
+        """Open the index at ``path``, or make it.
+
+        ``buckets`` is fixed when the index is made, by default as the session's number of shuffle partitions, and stored beside the data:
+        another session or table name takes it from there, whatever its own settings are. A table of this name must lie at ``path``.
+        """
         self.spark, self.name = spark, name
+        settings = Versions(spark, f"{path.rstrip('/')}.settings")
+        if not settings.latest():
+            try:
+                settings.commit(1, {"buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))})
+            except VersionTaken:  # another session made it first
+                pass
+        buckets = settings.read(1)["buckets"]
         if not spark.catalog.tableExists(name):
-            buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
             spark.sql(
                 f"CREATE TABLE {name} (digest STRING, keep_id BIGINT, seen BIGINT) USING parquet "
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"

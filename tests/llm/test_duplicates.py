@@ -199,3 +199,18 @@ def test_repeated_runs_cross_and_sit_inside_lines(spark, documents):
     left = {r.doc_id: r.text for r in para.remove_repeats(df, para.repeated_runs(df)).collect()}
     assert left[11] == "" and left[14].split() == [*own(202, 60).split(), "tail"] and left[1].split() == [*rows[1][1].split()[:51], *rows[1][1].split()[121:]]
     assert left[0] == texts[0] and left[17] is None and left[18] == "" and para.repeated_runs(df.limit(0)).count() == 0
+
+
+def test_an_index_opened_by_another_session_keeps_its_buckets(spark, documents, tmp_path):
+    from basketwise.llm.exact_dedup import DigestIndex, exact_dedup
+
+    docs = documents([(i, f"text {i % 30}") for i in range(40)])
+    first = DigestIndex(spark, "digests_first", f"{tmp_path}/index", buckets=4)
+    before = sorted(map(tuple, exact_dedup(docs, first).collect()))
+    assert first.rows().count() == 30
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", 7)
+    again = DigestIndex(other, "digests_again", f"{tmp_path}/index", buckets=9)
+    same = other.createDataFrame([(i, f"text {i % 30}") for i in range(40)], "doc_id long, text string")
+    after = sorted(map(tuple, exact_dedup(same, again).collect()))
+    assert after == before and again.rows().count() == 30
