@@ -107,7 +107,7 @@ def _set_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _prefixes(levels: np.ndarray, percent: int, kind: pa.DataType):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(row, n, key, mark, prefix) of each text."""
+        """(row, code, n, key, mark, prefix) of each text."""
         words = Words()
         for batch in batches:
             ids = batch.column("row")
@@ -121,30 +121,26 @@ def _prefixes(levels: np.ndarray, percent: int, kind: pa.DataType):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(part.rows[0], len(part.rows)).cast(kind),
+                        batch.column("code").slice(part.rows[0], len(part.rows)),
                         pa.array(n.astype(np.int64)),
                         pa.array(_set_keys(tokens, bounds), mask=n == 0),
                         list_array(parity_marks(tokens, bounds).ravel().view(np.int64), np.arange(len(n) + 1) * MARK_WORDS),
                         list_array(tokens[inside].view(np.int64), starts),
                     ],
-                    ["row", "n", "key", "mark", "prefix"],
+                    ["row", "code", "n", "key", "mark", "prefix"],
                 )
 
     return prefixes
 
 
 def _full_sets(levels: np.ndarray):
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, n, tokens) of each text that has words."""
+    def full(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The set of each text that has words, see ``set_links.Sets``."""
         words = Words()
-        for batch in batches:
-            for part in words.slices(batch.column("text")):
-                tokens, bounds = _ordered_sets(part, levels)
-                n = np.diff(bounds)
-                some = pa.RecordBatch.from_arrays(
-                    [pa.array(_set_keys(tokens, bounds)), pa.array(n.astype(np.int64)), list_array(tokens.view(np.int64), bounds)],
-                    ["key", "n", "tokens"],
-                )
-                yield some.filter(pa.array(n > 0))
+        for part in words.slices(texts):
+            tokens, bounds = _ordered_sets(part, levels)
+            some = np.diff(bounds) > 0  # the others take no tokens
+            yield part.rows[some], _set_keys(tokens, bounds)[some], tokens, np.append(bounds[:-1][some], bounds[-1])
 
     return full
 
@@ -154,26 +150,20 @@ def similar_sets(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
 
     Links between all similar sets are found, except such as join two sets that other links connect already.
     """
-    texts = docs.select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("row"), F.xxhash64(text).alias("code"), text.alias("text"))
     field = docs.schema[id_col].dataType
     levels = frequency_levels(texts)
-    schema = f"row {field.simpleString()}, n long, key long, mark array<long>, prefix array<long>"
+    schema = f"row {field.simpleString()}, code long, n long, key long, mark array<long>, prefix array<long>"
     members = kept(texts.mapInArrow(_prefixes(levels, percent, _arrow_type(texts)), schema), "members")
-    distinct = (
-        members.filter(F.col("n") > 0)
-        .groupBy("key")
-        .agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    )
-
-    posted = distinct.select("key", "row", "n", F.posexplode("prefix").alias("p", "token"))
-
-    def sets_of(keys_and_rows: DataFrame) -> DataFrame:
-        some = texts.join(keys_and_rows, F.col("row").eqNullSafe(F.col("_row"))).select("text")
-        return some.mapInArrow(_full_sets(levels), "key long, n long, tokens array<long>")
-
-    marks = members.filter(F.col("n") > 0).groupBy("key").agg(F.first("mark").alias("mark"))
-    links = similar_in_buckets(posted, marks, sets_of, percent)
-    return members.drop("prefix", "mark"), links
+    sets = members.filter(F.col("n") > 0).groupBy("key")
+    posted = sets.agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    posted = posted.select("key", "n", F.posexplode("prefix").alias("p", "token"))
+    found_in = F.min(F.struct(F.col("row").isNull().alias("no_id"), "row", "code")).alias("place")
+    known = sets.agg(found_in, F.first("n").alias("n"), F.first("mark").alias("mark"))
+    known = known.select("key", "place.row", "place.code", "n", "mark")
+    links = similar_in_buckets(posted, known, texts, _full_sets(levels), percent)
+    return members.drop("code", "prefix", "mark"), links
 
 
 def _arrow_type(texts: DataFrame) -> pa.DataType:

@@ -71,7 +71,7 @@ def mix_high(x: np.ndarray) -> np.ndarray:
 
 def _paragraphs(least_words: int, kind: pa.DataType):
     def paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(row, line, start, stop, n_words, n, key, mark, bands) of each paragraph; start and stop in code points of the text."""
+        """(row, code, line, start, stop, n_words, n, key, mark, bands) of each paragraph; start and stop in code points of the text."""
         words = Words()
         for batch in batches:
             ids = batch.column("row")
@@ -87,6 +87,7 @@ def _paragraphs(least_words: int, kind: pa.DataType):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(part.rows[units])).cast(kind),
+                        batch.column("code").take(pa.array(part.rows[units])),
                         pa.array((units - first_unit[units]).astype(np.int32)),
                         pa.array(points[part.offsets[:-1][units]] - text_start[units]),
                         pa.array(points[stops[units]] - text_start[units]),
@@ -96,23 +97,20 @@ def _paragraphs(least_words: int, kind: pa.DataType):
                         list_array(parity_marks(tokens, bounds).ravel().view(np.int64), np.arange(len(units) + 1) * MARK_WORDS),
                         list_array(bands.ravel().view(np.int64), np.arange(len(units) + 1) * BANDS),
                     ],
-                    ["row", "line", "start", "stop", "n_words", "n", "key", "mark", "bands"],
+                    ["row", "code", "line", "start", "stop", "n_words", "n", "key", "mark", "bands"],
                 )
 
     return paragraphs
 
 
 def _full_sets(least_words: int):
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def full(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The set of each line long enough, see ``set_links.Sets``."""
         words = Words()
-        for batch in batches:
-            for part in words.slices(batch.column("text"), lines=True):
-                units, tokens, bounds = _long_paragraphs(part, least_words)
-                if len(units):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(_set_keys(tokens, bounds)), pa.array(np.diff(bounds).astype(np.int64)), list_array(tokens.view(np.int64), bounds)],
-                        ["key", "n", "tokens"],
-                    )
+        for part in words.slices(texts, lines=True):
+            units, tokens, bounds = _long_paragraphs(part, least_words)
+            if len(units):
+                yield part.rows[units], _set_keys(tokens, bounds), tokens, bounds
 
     return full
 
@@ -129,23 +127,21 @@ def repeated_paragraphs(
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    texts = docs.select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("row"), F.xxhash64(text).alias("code"), text.alias("text"))
     field = texts.schema["row"].dataType
-    ddl = f"row {field.simpleString()}, line int, start long, stop long, n_words long, n long, key long, mark array<long>, bands array<long>"
+    ddl = f"row {field.simpleString()}, code long, line int, start long, stop long, n_words long, n long, key long, mark array<long>, bands array<long>"
     found = kept(texts.mapInArrow(_paragraphs(least_words, to_arrow_type(field)), ddl), "paragraphs")
-    place = F.struct(F.col("row").isNull().alias("no_id"), "row", "line")
+    place = F.struct(F.col("row").isNull().alias("no_id"), "row", "line", "code")
     distinct = found.groupBy("key").agg(
         F.min(place).alias("place"), F.count(F.lit(1)).alias("places"), F.first("n").alias("n"), F.first("mark").alias("mark"), F.first("bands").alias("bands")
     )
     distinct = kept(distinct, "distinct")
-    posted = distinct.select("key", F.col("place.row").alias("row"), "n", F.posexplode("bands").alias("band", "value"))
-    posted = posted.select(F.xxhash64("band", "value").alias("token"), "key", "row", "n", F.lit(0).alias("p"))
-
-    def sets_of(rows: DataFrame) -> DataFrame:
-        some = texts.join(rows, F.col("row").eqNullSafe(F.col("_row"))).select("text")
-        return some.mapInArrow(_full_sets(least_words), "key long, n long, tokens array<long>")
-
-    label = components(similar_in_buckets(posted, distinct.select("key", "mark"), sets_of, percent)).select(F.col("node").alias("key"), "component")
+    posted = distinct.select("key", "n", F.posexplode("bands").alias("band", "value"))
+    posted = posted.select(F.xxhash64("band", "value").alias("token"), "key", "n", F.lit(0).alias("p"))
+    known = distinct.select("key", "place.row", "place.code", "n", "mark")
+    links = similar_in_buckets(posted, known, texts, _full_sets(least_words), percent)
+    label = components(links).select(F.col("node").alias("key"), "component")
     labelled = distinct.select("key", "place", "places").join(label, "key", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "key"))
     clusters = labelled.groupBy("component").agg(F.min("place").alias("first"), F.sum("places").alias("places"))

@@ -14,11 +14,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from basketwise.functions.durable import broadcast_if_small
 from basketwise.llm.components import components
 from basketwise.llm.store import kept
-from basketwise.llm.words import MARK_WORDS
+from basketwise.llm.words import MARK_WORDS, list_array
 
 
-#: Members of a bucket that each one is compared with before components are known.
+#: Members of a bucket that each one is compared with before the last round.
 NEIGHBOURS, HUBS = 8, 16
+#: Candidates that a task gets for one probe at a time, and requests that go with one reading of a text.
+SLOT_ROWS = 256
+#: Tokens in one batch of sets.
+SENT_TOKENS = 1 << 18
+#: Makes the sets of a batch of texts: (row in the batch of each set, its key, tokens, bounds of each set's tokens), part by part.
+Sets = Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
 
 
 class Probe:
@@ -83,13 +89,69 @@ def _walk(percent: int):
     return walk
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar; a has its row among the candidates, before them."""
-    probes = pairs.select("a").distinct().join(sets, F.col("a") == F.col("key"))
-    probes = probes.select("a", F.lit(None).cast("long").alias("b"), "tokens")
-    others = pairs.join(sets, F.col("b") == F.col("key")).select("a", "b", "tokens")
-    rows = probes.unionByName(others).repartition("a")
-    return rows.sortWithinPartitions("a", F.col("b").isNotNull(), "tokens").mapInArrow(_walk(percent), "a long, b long")
+def _sends(sets: Sets):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, slot, b, tokens) for everything that is wanted of each text, a bounded number of tokens at a time."""
+        given = set()  # repeated rows of a task send nothing twice
+        for batch in batches:
+            wanted, shares = batch.column("wanted"), batch.column("share").to_pylist()
+            bounds = wanted.offsets.to_numpy()
+            asked = [wanted.values.field(c) for c in ("key", "a", "slot", "b")]
+            keys_asked = asked[0].to_numpy(zero_copy_only=False)
+            out, size = [], 0
+            for rows, keys, tokens, ends in sets(batch.column("text")):
+                for unit, (row, key) in enumerate(zip(rows.tolist(), keys.tolist())):
+                    lo, hi = bounds[row], bounds[row + 1]
+                    at = lo + np.flatnonzero(keys_asked[lo:hi] == key)
+                    if not len(at) or (key, shares[row]) in given:
+                        continue
+                    given.add((key, shares[row]))
+                    values = tokens[ends[unit] : ends[unit + 1]]
+                    for place in at:
+                        out.append((place, values))
+                        size += len(values)
+                        if size >= SENT_TOKENS:
+                            yield _sent(out, asked)
+                            out, size = [], 0
+            if out:
+                yield _sent(out, asked)
+
+    return send
+
+
+def _sent(out: list[tuple[int, np.ndarray]], asked: list[pa.Array]) -> pa.RecordBatch:
+    places = pa.array([place for place, _ in out], pa.int64())
+    ends = np.concatenate([[0], np.cumsum([len(values) for _, values in out])])
+    tokens = list_array(np.concatenate([values for _, values in out]).view(np.int64), ends)
+    return pa.RecordBatch.from_arrays([*[column.take(places) for column in asked[1:]], tokens], ["a", "slot", "b", "tokens"])
+
+
+def _in_slots(rows: DataFrame, of: list[str], other: str, most: int, to: str) -> DataFrame:
+    """Number the rows of each group ``of`` with slots of about ``most`` rows, so that no group stays in one task."""
+    large = rows.groupBy(*of).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > most)
+    large = large.select(*[F.col(c).alias(f"_{c}") for c in of], F.ceil(F.col("_rows") / most).cast("long").alias("_slots"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in of]
+    slot = F.pmod(F.xxhash64(other), F.coalesce("_slots", F.lit(1)))
+    return rows.join(large, same, "left").withColumn(to, slot).select(*rows.columns, to)
+
+
+def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar.
+
+    Sets aren't stored: each text is read with the list of the probes that want a set of it, and sends the set there. A probe with
+    many candidates is dealt into slots, each of which gets the probe's own set before its candidates.
+    """
+    dealt = _in_slots(pairs, ["a"], "b", SLOT_ROWS, "slot")
+    probes = dealt.select(F.col("a").alias("key"), "a", "slot", F.lit(None).cast("long").alias("b")).distinct()
+    asked = probes.unionByName(dealt.select(F.col("b").alias("key"), "a", "slot", "b"))
+    asked = asked.join(known.select("key", "row", "code"), "key")
+    asked = _in_slots(asked, ["row", "code"], "a", SLOT_ROWS, "share")
+    wanted = asked.groupBy("row", "code", "share").agg(F.collect_list(F.struct("key", "a", "slot", "b")).alias("wanted"))
+    wanted = broadcast_if_small(wanted.select(F.col("row").alias("_row"), F.col("code").alias("_code"), "share", "wanted"))
+    here = texts.join(wanted, F.col("row").eqNullSafe(F.col("_row")) & (F.col("code") == F.col("_code")))
+    sent = here.select("text", "share", "wanted").mapInArrow(_sends(sets), "a long, slot long, b long, tokens array<long>")
+    sent = sent.repartition("a", "slot").sortWithinPartitions("a", "slot", F.col("b").isNotNull(), "tokens")
+    return sent.select("a", "b", "tokens").mapInArrow(_walk(percent), "a long, b long")
 
 
 def _may_link(x: tuple[Column, Column], y: tuple[Column, Column], percent: int) -> Column:
@@ -109,47 +171,52 @@ def _marks_near(x: tuple[Column, Column], y: tuple[Column, Column], percent: int
     return (100 + percent) * differ <= (100 - percent) * (n + m)
 
 
-def similar_in_buckets(posted: DataFrame, marks: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def similar_in_buckets(posted: DataFrame, known: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """Links (a, b) between keys of similar sets that share a bucket.
 
-    ``posted``: (token, key, row, n, p), a row for each bucket (token) a set is in; ``row`` finds its text again, ``n``
-    is its size and ``p`` the position of the token in it (0 where positions mean nothing). ``marks``: (key, mark), the
-    parity marks of the sets. ``sets_of`` makes
-    (key, n, tokens) from frames of ``_row``. All links are found except such as join two sets that others connect.
+    ``posted``: (token, key, n, p), a row for each bucket (token) a set is in; ``n`` is its size and ``p`` the position of the
+    token in it (0 where positions mean nothing). ``known``: (key, row, code, n, mark), one row per set with its parity mark; ``row``
+    and ``code`` find a text that has it in ``texts`` (row, code, text), of which ``sets`` makes the sets again.
+    All links are found except such as join two sets that others connect.
 
-    First each member of a bucket is compared with its NEIGHBOURS next ones in a random order that all buckets share, then
-    with the HUBS members of its bucket that have most links so far. What these links connect need not be compared again:
-    then only members outside the largest component of their bucket are held against those of other components, as far as
-    their parity marks don't rule the pair out. So a bucket of near copies costs its size, not its square.
+    First each member of a bucket is compared with the next one in a random order that all buckets share, then with its
+    NEIGHBOURS next ones, then with the HUBS members of its bucket that have most links so far. What these links connect
+    need not be compared again: then only members outside the largest component of their bucket are held against those
+    of other components. So a bucket of near copies costs its size, not its square, and its sets are sent about twice.
+    Pairs that their parity marks rule out are never sent.
     """
     bucket = Window.partitionBy("token").orderBy("key")
     met = posted.withColumns({"prev": F.lag("key").over(bucket), "more": F.lead("key").over(bucket)})
     met = met.filter(F.col("prev").isNotNull() | F.col("more").isNotNull())
-    met = kept(met.select("token", "key", "row", "n", "p"), "meetings")
-    rows_of = met.select("key", "row").distinct()
+    met = kept(met.select("token", "key", "n", "p"), "meetings")
+    known = kept(known.join(met.select("key").distinct(), "key"), "known")
     rows = met.select("token", "key", "n", "p", F.col("key").alias("component"))
     links = done = None
-    for nearby in (_neighbours, _hubs):
-        pairs = nearby(rows, links, percent)
-        pairs = kept(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    for nearby in (_next(1), _next(NEIGHBOURS), _hubs, _across):
+        if links is not None:
+            rows = _mixed_buckets(met, components(links))
+        pairs = nearby(rows, links, known, percent)
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = kept(_not_ruled_out(pairs, known, percent), "pairs")
+        more = kept(_verified(pairs, known, texts, sets, percent), "links")
         done = pairs if done is None else done.unionByName(pairs)
-        more = kept(_verified(pairs, _wanted_sets(pairs, rows_of, sets_of), percent), "links")
         links = more if links is None else links.unionByName(more)
-        rows = _mixed_buckets(met, components(links))
-    cross = kept(_across(rows.join(marks, "key"), percent).join(done, ["a", "b"], "left_anti"), "cross")
-    return links.unionByName(kept(_verified(cross, _wanted_sets(cross, rows_of, sets_of), percent), "links"))
+    return links
 
 
-def _neighbours(rows: DataFrame, links: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs (a, b) next to each other in a random order of each bucket."""
-    order = Window.partitionBy("token").orderBy(F.xxhash64("key", F.lit(1)), "key")
-    here = F.struct("key", "n", "p", "component")
-    others = F.array(*[F.lead(here, i + 1).over(order) for i in range(NEIGHBOURS)])
-    beside = rows.withColumn("others", others)
-    return _pairs(beside.withColumn("other", F.explode("others")), percent)
+def _next(neighbours: int):
+    def beside(rows: DataFrame, links: DataFrame | None, known: DataFrame, percent: int) -> DataFrame:
+        """Pairs (a, b) next to each other in a random order of each bucket."""
+        order = Window.partitionBy("token").orderBy(F.xxhash64("key", F.lit(1)), "key")
+        here = F.struct("key", "n", "p", "component")
+        others = F.array(*[F.lead(here, i + 1).over(order) for i in range(neighbours)])
+        return _pairs(rows.withColumn("others", others).withColumn("other", F.explode("others")), percent)
 
+    return beside
 
-def _hubs(rows: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+
+def _hubs(rows: DataFrame, links: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components, b or a being among the members of the bucket with most links."""
     ends = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key")))
     degree = ends.groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
@@ -160,6 +227,14 @@ def _hubs(rows: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     return _pairs(rows.join(hubs, "token").withColumn("other", F.explode("others")), percent)
 
 
+def _not_ruled_out(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the parity marks of their sets leave."""
+    for end in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("key").alias(end), F.struct("n", "mark").alias(f"of_{end}")), end)
+    x, y = F.col("of_a"), F.col("of_b")
+    return pairs.filter(_marks_near((x["n"], x["mark"]), (y["n"], y["mark"]), percent)).select("a", "b")
+
+
 def _pairs(beside: DataFrame, percent: int) -> DataFrame:
     beside = beside.filter(
         (F.col("other.component") != F.col("component"))
@@ -178,11 +253,11 @@ def _mixed_buckets(met: DataFrame, label: DataFrame) -> DataFrame:
     return kept(labelled.join(mixed, "token"), "mixed")
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
+def _across(rows: DataFrame, links: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components in a bucket, of which one isn't in the bucket's largest component."""
     shares = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
     major = shares.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
-    open_rows = rows.join(major, "token")
+    open_rows = rows.join(major, "token").join(known.select("key", "mark"), "key")
     minor = open_rows.filter(F.col("component") != F.col("major")).select(
         "token", *[F.col(c).alias(f"m_{c}") for c in ("key", "n", "p", "component", "mark")]
     )
@@ -193,10 +268,3 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
         & _marks_near((F.col("m_n"), F.col("m_mark")), (F.col("n"), F.col("mark")), percent)
     )
     return cross.select(F.least("m_key", "key").alias("a"), F.greatest("m_key", "key").alias("b")).distinct()
-
-
-def _wanted_sets(pairs: DataFrame, rows_of: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The full sets of all keys in the pairs, made again from the texts of one row each."""
-    keys = kept(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "keys")
-    rows = broadcast_if_small(rows_of.join(keys, "key").select(F.col("row").alias("_row")).distinct())
-    return kept(sets_of(rows).join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
