@@ -7,6 +7,8 @@ appends them, and joins the findings back to all paths. Expressions only, no Pyt
 
 from __future__ import annotations
 
+import hashlib
+import json
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -95,17 +97,23 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.range(0).select(F.from_json(F.lit(None).cast("string"), LEDGER).alias("row")).select("row.*")
 
 
+def rules_address(rules: tuple[Rule, ...], label: str = RULE_VERSION) -> str:
+    """The version that the ledger files findings under: the label and a digest of the rules, so changed rules never meet old findings."""
+    return f"{label}-{hashlib.sha256(json.dumps(rules).encode()).hexdigest()[:32]}"
+
+
 def update_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> None:
     """Scan what the ledger lacks. ``versions``: (blob, text), any number of rows per blob.
 
     Blobs without finding are kept too (found is empty), so they aren't scanned again. A run that is repeated
-    after a failure scans the same pairs and appends them once.
+    after a failure scans the same pairs and appends them once. Changed rules scan every blob again, whatever ``rule_version`` says.
     """
+    version = rules_address(rules, rule_version)
     ledger = open_ledger(versions.sparkSession, path)
-    seen = ledger.filter(F.col("rule_version") == rule_version).select("blob")
+    seen = ledger.filter(F.col("rule_version") == version).select("blob")
     unseen = versions.join(seen, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
     found = findings_of_all(unseen, rules)
-    found.withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(path)
+    found.withColumn("rule_version", F.lit(version)).write.mode("append").partitionBy("rule_version").parquet(path)
 
 
 def findings_of_all(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -135,7 +143,7 @@ def secret_scan(
         blob_address(F.col(text_col)).alias("blob"),
     )
     update_ledger(addressed.select("blob", "text"), ledger_path, rules, rule_version)
-    ledger = open_ledger(versions.sparkSession, ledger_path).filter(F.col("rule_version") == rule_version)
+    ledger = open_ledger(versions.sparkSession, ledger_path).filter(F.col("rule_version") == rules_address(rules, rule_version))
     # only blobs with findings are worth a join; most rows then meet nothing
     hits = ledger.filter(F.col("n_found") > 0).select("blob", "found")
     return addressed.select("path", "blob").join(hits, "blob", "left").select("path", "blob", "found")

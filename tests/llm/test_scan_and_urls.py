@@ -61,6 +61,11 @@ def test_only_unseen_pairs_are_scanned(spark, documents, tmp_path):
     rows = scan.secret_scan(first.unionByName(documents([(4, "passwd=abcdefgh2")])), path, "doc_id", "text", strict, "strict-1").collect()
     assert {r.path: len(r.found or []) for r in rows} == {1: 0, 2: 0, 3: 0, 4: 1}
     assert len(ledger()) == 6
+    # so does a further rule under an old version
+    more = (*scan.RULES, scan.Rule("plain", r"plain", 0, 5))
+    rows = scan.secret_scan(first, path, "doc_id", rules=more).collect()
+    assert {r.path: [s.kind for s in r.found or []] for r in rows} == {1: ["assign"], 2: ["plain"], 3: ["assign"]}
+    assert len(ledger()) == 8
 
 
 def test_empty_table(spark, documents, tmp_path):
