@@ -4,7 +4,7 @@ Every result of the full analysis is computed from three roll-ups: per order, pe
 belongs to one day, and sums, distinct orders and extreme dates over days are those over the lines. So a stored day stays as it is until its
 own lines change: a refresh reads the lines of the days it names, puts their rows in place of what was stored for these days, and
 commits one manifest. Days are filed by month, so that files stay few; the months a refresh doesn't touch keep their
-files. All three roll-ups change together or not at all.
+files. All roll-ups of a store change together or not at all.
 """
 
 from __future__ import annotations
@@ -23,6 +23,25 @@ from basketwise.sources.versions import Versions, VersionTaken
 
 _DAY, _MONTH = "day", "_month"
 
+ROLLUPS = ("by_order", "by_product", "by_category")
+#: The roll-ups that a result of the full analysis is computed from; all others come from the roll-up per order.
+_ROLLUPS_OF = {
+    "product_table": ("by_product",),
+    "top_products": ("by_product",),
+    "bottom_products": ("by_product",),
+    "high_margin_low_volume_products": ("by_product",),
+    "revenue_by_category": ("by_category",),
+    "growth_signals": ("by_order", "by_product"),
+    "signals:seasonal_category_spikes": ("by_product",),
+    "signals:high_margin_low_volume_products": ("by_product",),
+}
+
+
+def rollups_of(results: Iterable[str]) -> tuple[str, ...]:
+    """The roll-ups that these results of the full analysis need."""
+    needed = {rollup for result in results for rollup in _ROLLUPS_OF.get(result, ("by_order",))}
+    return tuple(name for name in ROLLUPS if name in needed)
+
 
 def _summed(lines: DataFrame, *keys: str) -> DataFrame:
     return lines.groupBy(*keys, _DAY, "year_month", "order_status").agg(
@@ -30,16 +49,21 @@ def _summed(lines: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def day_rollups(lines: DataFrame, products: DataFrame) -> dict[str, DataFrame]:
-    """The roll-ups of order lines, with the ``day`` of each row. Products and categories count completed lines only."""
+def day_rollups(lines: DataFrame, products: DataFrame, names: Iterable[str] = ROLLUPS) -> dict[str, DataFrame]:
+    """The named roll-ups of order lines, with the ``day`` of each row. Products and categories count completed lines only."""
     day = F.col("order_date").cast("date")
     completed = fact.filter_completed(lines).withColumn(_DAY, day)
-    categories = broadcast_table(products.select("product_id", "category"))
-    return {
-        "by_order": fact.order_rollup(lines).withColumn(_DAY, day),
-        "by_product": _summed(completed, "product_id"),
-        "by_category": _summed(completed.join(categories, "product_id", "left"), "order_id", "category"),
+
+    def by_category() -> DataFrame:
+        categories = broadcast_table(products.select("product_id", "category"))
+        return _summed(completed.join(categories, "product_id", "left"), "order_id", "category")
+
+    makers = {
+        "by_order": lambda: fact.order_rollup(lines).withColumn(_DAY, day),
+        "by_product": lambda: _summed(completed, "product_id"),
+        "by_category": by_category,
     }
+    return {name: makers[name]() for name in names}
 
 
 def spans(days: Iterable[dt.date]) -> list[tuple[dt.date, dt.date]]:
@@ -60,10 +84,11 @@ def within(column: Column, days: Iterable[dt.date]) -> Column:
 
 
 class DayRollups:
-    """The roll-ups stored at ``path``."""
+    """The roll-ups stored at ``path``; ``names`` are those that this store keeps, the same at every refresh."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, names: Iterable[str] = ROLLUPS):
         self.spark, self.path, self.versions = spark, path.rstrip("/"), Versions(spark, path)
+        self.names = tuple(names)
 
     def manifest(self, version: int | None = None) -> dict:
         """{"schemas": {roll-up: schema}, "months": {roll-up: {month: folder}}}"""
@@ -81,12 +106,14 @@ class DayRollups:
         if days is not None:
             days = sorted(set(days))
             lines = lines.filter(within(F.col("order_date"), days))
-        fresh = day_rollups(lines, products)
+        fresh = day_rollups(lines, products, self.names)
         if days is not None:
             fresh = {name: kept_table(rollup, "days") for name, rollup in fresh.items()}  # read again if another writer comes first
         while True:
             number = self.versions.latest()
             manifest = self.manifest(number) if days is not None else {"schemas": {}, "months": {}}
+            if manifest["schemas"] and set(manifest["schemas"]) != set(self.names):
+                raise ValueError(f"{sorted(manifest['schemas'])} are stored at {self.path}, not {sorted(self.names)}")
             schemas = {name: rollup.schema.jsonValue() for name, rollup in fresh.items()}
             months = {name: self._merged(manifest, name, rollup, days) for name, rollup in fresh.items()}
             try:

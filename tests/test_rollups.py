@@ -118,3 +118,27 @@ def test_merged_sets_count_distinct_ids(spark, by_day):
     counts = id_sets.count_members(id_sets.id_sets(many.join(numbers, "id"), ["k"]), ["k"], "n")
     assert {r.k: r.n for r in counts.collect()} == {0: 33_334, 1: 33_333, 2: 33_333}
     assert sales.distinct_by_period(sales.day_sets(orders.limit(0)), F.lit("all")).count() == 0
+
+
+def test_a_query_costs_and_sees_the_same_whatever_ran_before(spark, tmp_path):
+    from basketwise.plans import registry
+
+    lineitem = star.table(spark, FOLDER, "lineitem")
+    for name in ("orders", "customer", "nation", "part"):
+        star.table(spark, FOLDER, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    lineitem.filter("l_orderkey % 2 = 0").write.parquet(f"{tmp_path}/lineitem.parquet")
+    query = registry.QUERIES["days_kpis"]
+    first = query(spark, str(tmp_path)).first()
+    lineitem.filter("l_orderkey % 2 = 1").write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    assert query(spark, str(tmp_path)).first() == query(spark, FOLDER).first() != first
+
+
+def test_a_store_keeps_the_roll_ups_it_is_asked_for(spark, by_day, tmp_path):
+    _, orders, products = by_day
+    assert rollups.rollups_of(["growth_signals", "customer_table"]) == ("by_order", "by_product")
+    assert rollups.rollups_of(["revenue_by_category"]) == ("by_category",)
+    store = rollups.DayRollups(spark, f"{tmp_path}/r", ("by_order",))
+    store.refresh(orders, products)
+    assert set(store.manifest()["months"]) == {"by_order"}
+    with pytest.raises(ValueError):  # the other roll-ups would lack the days before
+        rollups.DayRollups(spark, f"{tmp_path}/r").refresh(orders, products, [dt.date(2024, 1, 31)])
