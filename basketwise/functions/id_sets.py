@@ -40,6 +40,13 @@ def id_sets(df: DataFrame, keys: list[str], number: str = NUMBER) -> DataFrame:
     )
 
 
+def is_member(number: str = NUMBER) -> Column:
+    """Is the number in the set joined to its row by bucket? False without a set."""
+    place = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring(MEMBERS, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+
+
 def merge_sets(sets: DataFrame, keys: list[str | Column]) -> DataFrame:
     """The sets of coarser groups: ``keys`` are columns of ``sets``, or made of them."""
     return sets.groupBy(*keys, BUCKET).agg(F.bitmap_or_agg(MEMBERS).alias(MEMBERS))

@@ -1,8 +1,8 @@
 """Validation of a table against its contract: flags per row, counts per rule, clean rows and quarantine.
 
 The source is scanned once: coerced columns and flags are plain expressions, and are kept as Parquet. The two checks
-that look beyond the row, duplicate keys and foreign keys, reduce to the offending keys (aggregated before
-any shuffle) and are joined to the rows. The flagged table is kept too; clean rows, quarantine and counts are read from it.
+that look beyond the row reduce to one bit for each first row of a key, and to the foreign keys without parent (aggregated before
+any shuffle), and are joined to the rows. The flagged table is kept too; clean rows, quarantine and counts are read from it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from basketwise.contracts import ColumnRule, Contract, contract_of
-from basketwise.functions.durable import broadcast_if_small, join_keyed, kept_table
+from basketwise.functions import id_sets
+from basketwise.functions.durable import join_keyed, kept_table
 from basketwise.functions.dates import DAY_FIRST, MONTH_FIRST, ORDERS, decided, in_any_order, in_order, is_text, read_dates, votes
 from basketwise.functions.expressions import python_list, to_number, to_time
 from basketwise.sources.tables import ROW_SEQ
@@ -30,7 +31,7 @@ ORPHANS = "Column '{column}': %s value(s) do not match any '{key}' in {parent}."
 NO_ROWS = "No valid rows remained after validation."
 TOO_MANY_INVALID = "More than 50%% of rows (%s/%s) failed validation."
 
-_KEY = "_order_key"
+_KEY, _ROW = "_order_key", "_row"
 
 
 @dataclass(frozen=True)
@@ -165,34 +166,32 @@ def _with_order_key(df: DataFrame, order_cols: list[str] | None) -> DataFrame:
     return df.withColumn(_KEY, F.struct(*[F.col(c) for c in order_cols or []], F.col(ROW_SEQ)))
 
 
-def _repeated_keys(df: DataFrame, key: str) -> DataFrame:
-    """(key, _first) of the keys that occur more than once.
+def _first_rows(df: DataFrame, key: str) -> DataFrame:
+    """(_bucket, _members): the numbers of the rows that are the first of their key, as bits.
 
-    Counting is a hash aggregation that combines before its shuffle; the smallest order key is then sought among the
-    rows of repeated keys, which few rows are.
+    One aggregation that combines before its shuffle, so a key with many rows stays spread; only the key, its least order
+    key and that row's number are shuffled.
     """
-    given = df.select(key, _KEY).filter(F.col(key).isNotNull())
-    repeated = given.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1).select(key)
-    return given.join(broadcast_if_small(repeated), key, "left_semi").groupBy(key).agg(F.min(_KEY).alias("_first"))
+    first = F.min(F.struct(_KEY, _ROW))[_ROW]
+    return id_sets.id_sets(df.filter(F.col(key).isNotNull()).groupBy(key).agg(first.alias(_ROW)), [], _ROW)
 
 
 def _flag_duplicates(df: DataFrame, key: str) -> DataFrame:
-    """Add _duplicate: the row is not the first of its key, by the unique order key.
+    """Add _duplicate: the row is not the first of its key, by the unique order key. ``df`` is kept, with numbered rows.
 
-    Keys seen once never leave the aggregation. Rows without key are not compared; they count as
-    duplicates of each other in the metrics.
+    The first rows come back as one bit per row, small enough to be broadcast where keys are not: the rows themselves aren't shuffled.
+    Rows without key are not compared; they count as duplicates of each other in the metrics.
     """
-    joined = join_keyed(df, _repeated_keys(df, key), key)
-    later = F.col("_first").isNotNull() & ~F.col(_KEY).eqNullSafe(F.col("_first"))
-    return joined.withColumn("_duplicate", later).drop("_first")
+    joined = join_keyed(df.withColumn(id_sets.BUCKET, F.bitmap_bucket_number(_ROW)), _first_rows(df, key), id_sets.BUCKET)
+    later = F.col(key).isNotNull() & ~id_sets.is_member(_ROW)
+    return joined.withColumn("_duplicate", later).drop(id_sets.BUCKET, id_sets.MEMBERS, _ROW)
 
 
 def duplicate_key_check(df: DataFrame, key: str, order_cols: list[str] | None = None) -> DataFrame:
-    """The table with _duplicate set on every row but the first of its key."""
-    keyed = _with_order_key(df, order_cols)
-    if ROW_SEQ not in df.columns:
-        keyed = kept_table(keyed, "keyed").drop(ROW_SEQ)
-    return _flag_duplicates(keyed, key).drop(_KEY)
+    """The table with _duplicate set on every row but the first of its key; its rows are kept with their numbers."""
+    numbered = df if ROW_SEQ in df.columns else df.withColumn(ROW_SEQ, F.monotonically_increasing_id())
+    numbered = kept_table(numbered.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    return _flag_duplicates(_with_order_key(numbered, order_cols), key).select(*df.columns, "_duplicate")
 
 
 def _unknown_keys(df: DataFrame, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -258,6 +257,7 @@ def validate(
         *[flag.alias(name) for name, flag in flags.items()],
         *[in_order(F.col(name), order).alias(to) for name, by_order in readings.items() for order, to in by_order.items()],
         _KEY,
+        F.monotonically_increasing_id().alias(_ROW),
     )
     # typed and flagged once; the offending keys are then looked up in what was kept, each reading its own columns
     scanned = kept_table(scanned, f"{dataset}-scanned")

@@ -294,3 +294,24 @@ def test_uploaded_dates_and_numbers(spark):
     lines = prepare_order_lines(orders(spark, *rows))
     assert {r.order_id for r in lines.collect()} == {f"A{i}" for i in range(7) if i != 5} | {"B1", "B2"}
     assert lines.agg(F.sum(money(lines, "revenue"))).first()[0] is not None
+
+
+def test_first_rows_are_told_by_bits(spark, tmp_path):
+    """Half of the keys repeat: the rows are neither joined by key nor shuffled with all their columns."""
+    from basketwise.functions import durable
+
+    rows = spark.range(100_000).select(
+        F.when(F.col("id") % 10 > 0, F.concat(F.lit("k"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40_000))).alias("key"),
+        (-F.col("id")).alias("n"),
+        F.col("id").alias("_row_seq"),
+    )
+    limit, durable.BROADCAST_BYTES = durable.BROADCAST_BYTES, 1 << 20  # far less than the repeated keys
+    try:
+        flagged = quality.duplicate_key_check(rows, "key", ["n"])
+    finally:
+        durable.BROADCAST_BYTES = limit
+    assert "SortMergeJoin" not in flagged._jdf.queryExecution().executedPlan().toString()
+    firsts = rows.filter("key is not null").groupBy("key").agg(F.min("n").alias("n")).withColumn("first", F.lit(True))
+    wrong = flagged.join(firsts, ["key", "n"], "left").filter("_duplicate != (key is not null and first is null)")
+    assert wrong.count() == 0 and flagged.count() == 100_000
+    assert flagged.filter("not _duplicate").count() == firsts.count() + rows.filter("key is null").count()
