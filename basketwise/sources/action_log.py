@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
-from basketwise.functions.expressions import parse_json
+from basketwise.functions.expressions import let, parse_json
 from basketwise.sources.tables import ROW_SEQ
 
 # The fields of a record and their types. Every field may be absent.
@@ -87,22 +87,20 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    record = parse_json(F.col("value"))
-    fields = [
-        F.try_variant_get("record", f"$.{name}", kind).alias(name) for name, kind in LOG_FIELDS.items()
-    ]
-    unreadable = F.array_compact(
-        F.array(*[F.when(F.try_variant_get("record", f"$.{n}", k).isNull(), F.lit(n)) for n, k in LOG_FIELDS.items()])
-    )
-    named = F.array(*[F.lit(name) for name in LOG_FIELDS])
-    given = F.map_filter(
-        F.try_variant_get("record", "$", "map<string, variant>"),
-        lambda name, value: ~F.is_variant_null(value)
-        & (~F.array_contains(named, name) | F.array_contains(unreadable, name)),
-    )
+    # a generator is evaluated once per row, where a projection would be repeated in every expression that reads it
+    parsed = lines.select(F.array(parse_json(F.col("value"))).alias("parsed"), place.alias(ROW_SEQ))
+    records = parsed.select(F.explode("parsed").alias("record"), ROW_SEQ).filter(F.col("record").isNotNull())
+    fields = {name: F.try_variant_get("record", f"$.{name}", kind) for name, kind in LOG_FIELDS.items()}
+    readable = F.array_compact(F.array(*[F.when(value.isNotNull(), F.lit(name)) for name, value in fields.items()]))
+    entries = F.try_variant_get("record", "$", "map<string, variant>")
+
+    def left_over(taken: Column) -> Column:
+        return F.map_filter(entries, lambda name, value: ~F.is_variant_null(value) & ~F.array_contains(taken, name))
+
+    given = let(readable, left_over)  # the names are told once, not for each entry
     others = F.transform_values(given, lambda _, value: F.to_json(value))
-    return (
-        lines.select(record.alias("record"), place.alias(ROW_SEQ))
-        .filter(F.col("record").isNotNull())
-        .select(*fields, F.when(F.size(others) > 0, others).alias(OTHER_FIELDS), ROW_SEQ)
+    return records.select(
+        *[value.alias(name) for name, value in fields.items()],
+        let(others, lambda found: F.when(F.size(found) > 0, found)).alias(OTHER_FIELDS),
+        ROW_SEQ,
     )

@@ -247,3 +247,14 @@ def test_latest(spark):
     assert actions.latest_open_action(log, "pos").first().pos == 195
     assert actions.latest_open_action(log.filter("payment_link_id is null"), "pos").count() == 0
     assert actions.log_view(log).columns == ["timestamp", "payment_link_id", "result"]
+
+
+def test_a_record_is_parsed_once(spark, tmp_path):
+    path = tmp_path / "log.jsonl"
+    path.write_text('{"reference_id": "a", "amount_inr": "many", "note": {"x": 1}, "reason": null}\n{"reference_id": "b"}\n\n{"c"\n')
+    log = read_log(spark, str(path))
+    assert [(r.reference_id, r.amount_inr, r.other_fields) for r in log.orderBy("reference_id").collect()] == [
+        ("a", None, {"amount_inr": '"many"', "note": '{"x":1}'}), ("b", None, None)
+    ]
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 2  # the end mark, written and compared
