@@ -19,6 +19,9 @@ from basketwise.functions.durable import BROADCAST_BYTES, broadcast_if_small
 
 #: Queries scored by one matrix product; a task goes through all queries block by block.
 QUERY_BLOCK = 512
+#: Bytes of a block of queries, or of vectors, that one task holds where queries are too many for broadcasts; and of the least
+#: block that vectors are cut into for the sake of more tasks.
+GRID_BYTES, LEAST_BYTES = 16 << 20, 1 << 20
 #: Distances are compared to this many decimals, then by id, so ranks do not depend on batch layout.
 DISTANCE_DECIMALS = 9
 TINY = 1e-30
@@ -50,7 +53,7 @@ def _local_best(query_ids: list, unit_queries: np.ndarray, k: int, id_type: pa.D
             vectors = _unit_rows(matrix[usable])
             for first in range(0, len(query_ids) if ids else 0, QUERY_BLOCK):
                 distances = np.round(1.0 - vectors @ unit_queries[first : first + QUERY_BLOCK].T, DISTANCE_DECIMALS)
-                for q, column in enumerate(distances.T, start=first):
+                for q, column in enumerate(np.ascontiguousarray(distances.T), start=first):
                     if len(column) > k:
                         bound = np.partition(column, k - 1)[k - 1]
                         if len(kept[q]) == k:
@@ -90,10 +93,21 @@ def _score_block(vectors: DataFrame, block: list[Row], k: int, query_type: T.Dat
     return vectors.select("id", "embedding").filter(F.col("embedding").isNotNull()).mapInArrow(best, schema)
 
 
-def _in_blocks(vectors: DataFrame, queries: DataFrame, k: int, block_bytes: int) -> DataFrame:
+def _grid(query_bytes: int, vector_bytes: int) -> tuple[int, int]:
+    """How many blocks queries and vectors are dealt into.
+
+    Every vector is sent to each block of queries and every query to each block of vectors, so blocks are as large as a task may
+    hold. Vectors are cut further, for more tasks, only as long as the copies of the queries weigh no more than the vectors.
+    """
+    query_blocks, vector_blocks = query_bytes // GRID_BYTES + 1, vector_bytes // GRID_BYTES + 1
+    spread = min(vector_bytes // LEAST_BYTES, vector_bytes // max(query_bytes, 1))
+    return query_blocks, max(vector_blocks, spread)
+
+
+def _in_blocks(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The best k of every pair of a block of queries and a block of vectors; neither passes through the driver.
 
-    Both sides are dealt into blocks of about ``block_bytes`` by a hash of their id. A block of queries goes to the tasks of all blocks
+    Both sides are dealt into blocks of bounded size by a hash of their id. A block of queries goes to the tasks of all blocks
     of vectors and the other way round, and each such task scores its two blocks like any batch.
     """
     sizes = F.size("embedding")
@@ -106,10 +120,10 @@ def _in_blocks(vectors: DataFrame, queries: DataFrame, k: int, block_bytes: int)
         raise ValueError("queries must have the same number of components, all finite")
     vectors = vectors.select("id", "embedding").filter(F.col("embedding").isNotNull())
 
-    def blocks(df: DataFrame) -> int:
-        return int((df.agg(F.sum(8 * F.size("embedding") + 32)).first()[0] or 0) // block_bytes) + 1
+    def bytes_of(df: DataFrame) -> int:
+        return df.agg(F.sum(8 * F.size("embedding") + 32)).first()[0] or 0
 
-    query_blocks, vector_blocks = blocks(queries), blocks(vectors)
+    query_blocks, vector_blocks = _grid(bytes_of(queries), bytes_of(vectors))
 
     def block_of(key: str, count: int):
         return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
@@ -148,7 +162,7 @@ def vector_top_k(
 
     ``vectors`` has id and embedding (and source, for the filter), ``queries`` query_id and
     embedding. Queries of no more than ``block_bytes`` go to every task, and the vectors are read once; more of them stay on the
-    cluster, where blocks of queries meet blocks of vectors. Vectors with a missing or infinite component are near to
+    cluster, where blocks of queries meet blocks of vectors, see _grid. Vectors with a missing or infinite component are near to
     nothing (unusable_vectors has them); one of another length is an error.
     """
     if top_k < 1:
@@ -162,7 +176,7 @@ def vector_top_k(
     if size <= block_bytes:
         candidates = _score_block(vectors, queries.collect(), top_k, queries.schema["query_id"].dataType)
     else:
-        candidates = _in_blocks(vectors, queries, top_k, block_bytes)
+        candidates = _in_blocks(vectors, queries, top_k)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     relevance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distance") / 2))
     return (

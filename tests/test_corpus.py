@@ -285,3 +285,17 @@ def test_many_queries_stay_on_the_cluster(spark, monkeypatch):
     for bad in ([[]], [[1.0, float("nan")]], [[1.0], [1.0, 2.0]]):
         with pytest.raises(ValueError):
             retrieval.vector_top_k(vectors, query_frame(spark, bad), block_bytes=1)
+
+
+def test_blocks_of_queries_and_vectors(spark, monkeypatch):
+    for n in (1, 10, 1_000):  # a hundredth of the vectors as queries: what is sent grows with the vectors
+        vectors = n << 20
+        query_blocks, vector_blocks = retrieval._grid(vectors // 100, vectors)
+        assert vectors * query_blocks + vectors // 100 * vector_blocks <= 2 * vectors
+        assert vectors / vector_blocks <= retrieval.GRID_BYTES
+    rng = np.random.default_rng(6)
+    vectors, queries = vector_frame(spark, rng.normal(size=(200, 8)).tolist()), query_frame(spark, rng.normal(size=(60, 8)).tolist())
+    want = sorted(map(tuple, retrieval.vector_top_k(vectors, queries, 4).collect()))
+    monkeypatch.setattr(retrieval, "GRID_BYTES", 2_000)
+    assert retrieval._grid(60 * 96, 200 * 96) == (3, 10)
+    assert sorted(map(tuple, retrieval.vector_top_k(vectors, queries, 4, block_bytes=1_000).collect())) == want
