@@ -29,6 +29,8 @@ STATES = 6
 CLASSES = 1 << 14
 #: Tokens of a block of the recursion.
 BLOCK = 64
+#: Steps between two scalings of a block's matrix; a step shrinks it by the least emission at most, some 1e-17.
+SCALE_STEPS = 8
 #: Shards of the training texts, each read by one of the first rounds; then come rounds over all training texts.
 WARM_ROUNDS, ROUNDS = 12, 2
 #: What the counts of earlier shards weigh beside those of the next one.
@@ -55,36 +57,58 @@ def word_classes(part: Slice) -> np.ndarray:
 
 
 class Blocks:
-    """The class sequences of a slice's texts, each with its end, cut into blocks (rows) of BLOCK steps (columns)."""
+    """The class sequences of a slice's texts, each with its end, cut into blocks (columns) of BLOCK steps (rows).
+
+    Longer blocks stand before shorter ones, so those that still go on at a step are the first columns. Arrays have a
+    block's or text's values in their last axis, the states before it.
+    """
 
     def __init__(self, classes: np.ndarray, bounds: np.ndarray):
         lengths = np.diff(bounds) + 1
         self.texts = len(lengths)
         self.per_text = -(-lengths // BLOCK)
-        self.first = np.concatenate([[0], np.cumsum(self.per_text)])
-        n = int(self.first[-1])
-        self.grid = np.full(n * BLOCK, -1, dtype=np.int64)  # -1: after the end
+        first = np.concatenate([[0], np.cumsum(self.per_text)])
+        n = int(first[-1])
+        grid = np.full(n * BLOCK, -1, dtype=np.int64)  # -1: after the end
         text = np.repeat(np.arange(self.texts), lengths - 1)
-        self.grid[self.first[:-1][text] * BLOCK + np.arange(len(classes)) - (bounds[:-1] - bounds[0])[text]] = classes
-        self.grid[self.first[:-1] * BLOCK + lengths - 1] = CLASSES
-        self.grid = np.ascontiguousarray(self.grid.reshape(n, BLOCK).T)
-        self.block = np.arange(n) - np.repeat(self.first[:-1], self.per_text)  # number within its text
+        grid[first[:-1][text] * BLOCK + np.arange(len(classes)) - (bounds[:-1] - bounds[0])[text]] = classes
+        grid[first[:-1] * BLOCK + lengths - 1] = CLASSES
+        grid = grid.reshape(n, BLOCK)
+        sizes = np.full(n, BLOCK)
+        sizes[first[1:] - 1] = lengths - (self.per_text - 1) * BLOCK
+        columns = np.argsort(-sizes, kind="stable")
+        self.grid = np.ascontiguousarray(grid[columns].T)
+        self.live = np.searchsorted(-sizes[columns], -np.arange(BLOCK), side="left")  # columns that have step t
+        self.column = np.empty(n, dtype=np.int64)  # of the blocks, text by text
+        self.column[columns] = np.arange(n)
+        self.first = first
         self.steps = int(self.per_text.max()) if self.texts else 0
         self.order = np.argsort(-self.per_text, kind="stable")
-        self.active = [int(np.searchsorted(-self.per_text[self.order], -k, side="left")) for k in range(self.steps)]
 
-    def matrices(self, m: Model) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled product over each block of move and emission, from every state, and its log scale."""
+    def emissions(self, m: Model) -> list[np.ndarray]:
+        """What each state gives for each step of the blocks that have it."""
+        emit = np.ascontiguousarray(m.emit.T)
+        return [emit.take(classes[:live], axis=1) for classes, live in zip(self.grid, self.live)]
+
+    def matrices(self, m: Model, emissions: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled product over each block of move and emission, from every state (first axis), and its log scale."""
         n, s = self.grid.shape[1], len(m.start)
-        product = np.broadcast_to(np.eye(s), (n, s, s)).copy()
-        scale = np.zeros(n)
-        for classes in self.grid:
-            live = np.flatnonzero(classes >= 0)
-            some = slice(None) if len(live) == n else live
-            step = (product[some].reshape(-1, s) @ m.move).reshape(-1, s, s) * m.emit[classes[some]][:, None, :]
-            norm = step.max(axis=(1, 2))
-            product[some] = step / norm[:, None, None]
-            scale[some] += np.log(norm)
+        product = np.repeat(np.eye(s)[:, :, None], n, axis=2)
+        scale, move = np.zeros(n), np.ascontiguousarray(m.move.T)
+        for t, given in enumerate(self.emissions(m) if emissions is None else emissions):
+            live = given.shape[1]
+            if not live:
+                break
+            step = np.matmul(move, product[:, :, :live])
+            step *= given
+            if t % SCALE_STEPS == SCALE_STEPS - 1:  # what a shorter block lacks, the text's recursion scales
+                norm = step.max(axis=(0, 1))
+                step /= norm
+                scale[:live] += np.log(norm)
+            if live == n:
+                product = step
+            else:
+                product[:, :, :live] = step
         return product, scale
 
     def _texts_at(self, k: int) -> np.ndarray:
@@ -93,56 +117,64 @@ class Blocks:
 
     def forward(self, m: Model, product: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(state distribution before each block, log likelihood of each text)."""
-        state = np.broadcast_to(m.start, (self.texts, len(m.start))).copy()
+        state = np.repeat(m.start[:, None], self.texts, axis=1)
         logs = np.zeros(self.texts)
-        before = np.zeros((len(scale), len(m.start)))
+        before = np.zeros((len(m.start), len(scale)))
         for k in range(self.steps):
             texts = self._texts_at(k)
-            block = self.first[texts] + k
-            before[block] = state[texts]
-            after = np.matmul(state[texts][:, None, :], product[block])[:, 0, :]
-            norm = after.sum(axis=1)
-            state[texts] = after / norm[:, None]
+            block = self.column[self.first[texts] + k]
+            here = state[:, texts]
+            before[:, block] = here
+            after = np.einsum("in,ijn->jn", here, product[:, :, block])
+            norm = after.sum(axis=0)
+            state[:, texts] = after / norm
             logs[texts] += np.log(norm) + scale[block]
         return before, logs
 
     def backward(self, m: Model, product: np.ndarray) -> np.ndarray:
         """Scaled likelihood of what follows each block, by the state at its end."""
-        rest = np.ones((self.texts, len(m.start)))
-        after = np.zeros((product.shape[0], len(m.start)))
+        rest = np.ones((len(m.start), self.texts))
+        after = np.zeros((len(m.start), product.shape[2]))
         for k in range(self.steps - 1, -1, -1):
             texts = self._texts_at(k)
-            block = self.first[texts] + k
-            after[block] = rest[texts]
-            back = np.matmul(product[block], rest[texts][:, :, None])[:, :, 0]
-            rest[texts] = back / back.sum(axis=1, keepdims=True)
+            block = self.column[self.first[texts] + k]
+            here = rest[:, texts]
+            after[:, block] = here
+            back = np.einsum("ijn,jn->in", product[:, :, block], here)
+            rest[:, texts] = back / back.sum(axis=0)
         return after
 
     def expected(self, m: Model, counts: Model) -> float:
         """Add the expected counts of starts, moves and emissions; the log likelihood."""
-        product, scale = self.matrices(m)
+        emissions = self.emissions(m)
+        product, scale = self.matrices(m, emissions)
         before, logs = self.forward(m, product, scale)
         beta = self.backward(m, product)
+        move = np.ascontiguousarray(m.move.T)
         alphas = [before]
-        for classes in self.grid:
-            alpha = alphas[-1] @ m.move * m.emit[np.maximum(classes, 0)]
-            alpha = np.where((classes >= 0)[:, None], alpha / alpha.sum(axis=1, keepdims=True), alphas[-1])
+        for given in emissions:
+            alpha = move @ alphas[-1][:, : given.shape[1]]
+            alpha *= given
+            alpha /= alpha.sum(axis=0)
             alphas.append(alpha)
         for t in range(BLOCK - 1, -1, -1):
-            classes = self.grid[t]
-            live = np.flatnonzero(classes >= 0)
-            of = classes[live]
-            both = alphas[t + 1][live] * beta[live]
-            both /= both.sum(axis=1, keepdims=True)
-            for s in range(len(m.start)):
-                counts.emit[:, s] += np.bincount(of, weights=both[:, s], minlength=CLASSES + 1)
-            onward = m.emit[of] * beta[live]
-            norm = np.einsum("ni,ij,nj->n", alphas[t][live], m.move, onward)
-            counts.move[:] += m.move * (alphas[t][live].T @ (onward / norm[:, None]))
-            back = onward @ m.move.T
-            beta[live] = back / back.sum(axis=1, keepdims=True)
-        firsts = before[self.first[:-1]] * beta[self.first[:-1]]
-        counts.start[:] += (firsts / firsts.sum(axis=1, keepdims=True)).sum(axis=0)
+            live = int(self.live[t])
+            if not live:
+                continue
+            alpha, later = alphas[t][:, :live], beta[:, :live]
+            onward = emissions[t] * later
+            both = np.multiply(alphas[t + 1], later, out=emissions[t])  # its emissions are done with
+            both /= both.sum(axis=0)
+            back = m.move @ onward
+            onward /= (alpha * back).sum(axis=0)
+            counts.move[:] += m.move * (alpha @ onward.T)
+            beta[:, :live] = back / back.sum(axis=0)
+        seen = np.concatenate([classes[:live] for classes, live in zip(self.grid, self.live)])
+        for s, weights in enumerate(np.concatenate(emissions, axis=1)):
+            counts.emit[:, s] += np.bincount(seen, weights=weights, minlength=CLASSES + 1)
+        opening = self.column[self.first[:-1]]
+        firsts = before[:, opening] * beta[:, opening]
+        counts.start[:] += (firsts / firsts.sum(axis=0)).sum(axis=1)
         return float(logs.sum())
 
 

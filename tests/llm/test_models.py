@@ -94,6 +94,24 @@ def test_forward_and_counts_are_exact():
             assert np.allclose(got, exact)
 
 
+def test_the_least_emissions_are_scaled_in_time():
+    """Blocks of all lengths, in columns by length; emissions as small as a model of 30 GB has them."""
+    model = hmm.starting_model(3)
+    model = model._replace(emit=model.emit * 1e-17 / model.emit.max())
+    for part in Words().slices(pa.array(["w " * n for n in (0, 1, 7, 8, 62, 63, 64, 200, 500)])):
+        classes = hmm.word_classes(part)
+        blocks = hmm.Blocks(classes, part.bounds)
+        assert blocks.live.tolist() == [int((row >= 0).sum()) for row in blocks.grid] == sorted(blocks.live, reverse=True)
+        _, logs = blocks.forward(model, *blocks.matrices(model))
+        for i in range(len(logs)):
+            state, log = model.start, 0.0
+            for o in [*classes[part.bounds[i] : part.bounds[i + 1]], hmm.CLASSES]:
+                state = state @ model.move * model.emit[o]
+                log += math.log(state.sum())
+                state = state / state.sum()
+            assert logs[i] == pytest.approx(log)
+
+
 def test_probabilities_add_up():
     """Over all words a class can give, and over all classes a state can."""
     model = hmm.starting_model(4)
