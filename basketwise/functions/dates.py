@@ -23,6 +23,8 @@ OTHER_FORMATS = (
 
 #: Three numbers, the year last, between equal slashes, points or hyphens; perhaps a time.
 IN_DIGITS = r"^\d{1,2}([/.-])\d{1,2}\1\d{4}( |$)"
+#: What every form of OTHER_FORMATS holds: a year.
+A_YEAR = r"\d{4}"
 
 
 def is_text(df: DataFrame, name: str) -> bool:
@@ -40,7 +42,7 @@ def in_any_order(df: DataFrame, name: str) -> Column:
         return to_time(df, name)
     text = F.col(name)
     # most values are ISO; the forms are tried only on texts that have their shape
-    other = F.when(~text.rlike(IN_DIGITS), F.coalesce(*[F.try_to_timestamp(text, F.lit(form)) for form in OTHER_FORMATS]))
+    other = F.when(text.rlike(A_YEAR) & ~text.rlike(IN_DIGITS), F.coalesce(*[F.try_to_timestamp(text, F.lit(form)) for form in OTHER_FORMATS]))
     return F.coalesce(F.try_to_timestamp(text), other)
 
 

@@ -38,7 +38,7 @@ def to_number(df: DataFrame, name: str) -> Column:
     value = F.col(name)
     if isinstance(df.schema[name].dataType, T.StringType):
         # the cast would also read "1.5d", "1.5f", "NaN" and "Infinity", and makes "1e400" infinite
-        number = F.translate(value, "dDfFnN", "??????").try_cast("double")
+        number = F.when(~value.rlike("[dDfFnN]"), value.try_cast("double"))
     else:
         number = value.cast("double")
     return F.when(F.abs(number) < NUMBER_LIMIT, number)  # NaN and infinity are above it

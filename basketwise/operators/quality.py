@@ -118,8 +118,9 @@ def rule_counts(validation: Validation) -> DataFrame:
     return counts.withColumn("rule", F.ltrim("rule", F.lit("_")))
 
 
-def _rule_checks(df: DataFrame, rule: ColumnRule, formats: tuple[str, ...] | None) -> list[tuple[_Check, Column]]:
-    name, value = rule.name, coerced(df, rule, formats)
+def _rule_checks(rule: ColumnRule, value: Column) -> list[tuple[_Check, Column]]:
+    """The checks of one column from its text and its coerced ``value``."""
+    name = rule.name
     given = F.col(name).isNotNull()
     checks = [
         (
@@ -242,18 +243,20 @@ def validate(
     extra = unexpected_columns(df, dataset)
     keyed = _with_order_key(df, order_cols)
 
+    present = [r for r in contract.rules if r.name in df.columns]
+    # numbers and dates are read in a projection of their own, once for the value and all checks on it
+    read = {r.name: f"_value_{r.name}" for r in present if r.numeric or r.kind == "date"}
+    values = {r.name: F.col(read[r.name]) if r.name in read else coerced(df, r, formats) for r in present}
     checks: list[_Check] = []
     flags: dict[str, Column] = {}
-    for rule in contract.rules:
-        if rule.name in df.columns:
-            for check, flag in _rule_checks(df, rule, formats):
-                checks.append(check)
-                flags[check.flag] = flag
-    present = [r for r in contract.rules if r.name in df.columns]
+    for rule in present:
+        for check, flag in _rule_checks(rule, values[rule.name]):
+            checks.append(check)
+            flags[check.flag] = flag
     open_dates = _open_dates(df, present, formats)
     readings = {name: {order: f"_{order}_{name}".replace(" ", "_") for order in ORDERS} for name in open_dates}
-    scanned = keyed.select(
-        *[coerced(df, rule, formats).alias(rule.name) for rule in present],
+    scanned = keyed.withColumns({read[r.name]: coerced(df, r, formats) for r in present if r.name in read}).select(
+        *[value.alias(name) for name, value in values.items()],
         *[flag.alias(name) for name, flag in flags.items()],
         *[in_order(F.col(name), order).alias(to) for name, by_order in readings.items() for order, to in by_order.items()],
         _KEY,

@@ -315,3 +315,22 @@ def test_first_rows_are_told_by_bits(spark, tmp_path):
     wrong = flagged.join(firsts, ["key", "n"], "left").filter("_duplicate != (key is not null and first is null)")
     assert wrong.count() == 0 and flagged.count() == 100_000
     assert flagged.filter("not _duplicate").count() == firsts.count() + rows.filter("key is null").count()
+
+
+def test_numbers_and_dates_are_read_once(spark, monkeypatch):
+    """The scan that is kept names each reading of a text once, however many checks look at it."""
+    plans, keep = {}, quality.kept_table
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(df, label)
+
+    monkeypatch.setattr(quality, "kept_table", noted)
+    rows = [("o1", "c", "p", "2024-01-02", "1", "1.5", "0", "Completed"), ("o2", "c", "p", "Jan 3 2024", "1", "1.5d", "0", "Completed"),
+            ("o3", "c", "p", "never", "1", "x", "0", "Completed")]
+    names = "order_id customer_id product_id order_date quantity unit_price discount_pct order_status".split()
+    flagged = quality.validate(spark.createDataFrame(rows, names), "orders").flagged.orderBy("order_id").collect()
+    assert [(r.unit_price, r._unreadable_unit_price, r._unreadable_order_date) for r in flagged] == [
+        (1.5, False, False), (None, True, False), (None, True, True)
+    ]
+    assert plans["orders-scanned"].count("MMMM d yyyy") == 1
