@@ -21,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = kept(large.filter(F.col("u") != F.col("v")).distinct(), "large")
+        large = kept(large.filter(F.col("u") != F.col("v")), "large")  # as many rows as edges at most
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         met = large.join(small, "u").select("u", "v", "m")
         pairs = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v")))

@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketwise.functions.durable import broadcast_if_small
-from basketwise.llm.components import components
 from basketwise.llm.set_links import similar_in_buckets
 from basketwise.llm.store import kept, table
 from basketwise.llm.words import MARK_WORDS, Words, distinct_per_unit, list_array, mix, parity_marks, shingles
@@ -145,8 +144,8 @@ def _full_sets(levels: np.ndarray):
     return full
 
 
-def similar_sets(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links): each row's (row, n, key), and the links (a, b) that connect keys of similar sets.
+def similar_sets(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, label): each row's (row, n, key), the links (a, b) that connect keys of similar sets, and the components (node, component) they make.
 
     Links between all similar sets are found, except such as join two sets that other links connect already.
     """
@@ -162,8 +161,8 @@ def similar_sets(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     found_in = F.min(F.struct(F.col("row").isNull().alias("no_id"), "row", "code")).alias("place")
     known = sets.agg(found_in, F.first("n").alias("n"), F.first("mark").alias("mark"))
     known = known.select("key", "place.row", "place.code", "n", "mark")
-    links = similar_in_buckets(posted, known, texts, _full_sets(levels), percent)
-    return members.drop("code", "prefix", "mark"), links
+    links, label = similar_in_buckets(posted, known, texts, _full_sets(levels), percent)
+    return members.drop("code", "prefix", "mark"), links, label
 
 
 def _arrow_type(texts: DataFrame) -> pa.DataType:
@@ -179,8 +178,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     with nothing: their component is their own id. Repeated rows and equal texts are in one component. Null ids
     come after all others: a component of which no row has an id has none. An empty table gives no rows.
     """
-    members, links = similar_sets(docs, percent, id_col, text_col)
-    label = components(links).select(F.col("node").alias("key"), "component")
+    members, _, label = similar_sets(docs, percent, id_col, text_col)
+    label = label.select(F.col("node").alias("key"), "component")
     smallest = members.filter(F.col("n") > 0).groupBy("key").agg(F.min("row").alias("least"))
     smallest = smallest.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
     reach = smallest.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from basketwise.functions.durable import broadcast_if_small
-from basketwise.llm.components import components
 from basketwise.llm.set_links import similar_in_buckets
 from basketwise.llm.store import kept, table
 from basketwise.llm.words import MARK_WORDS, Words, distinct_per_unit, list_array, mix, parity_marks, shingles
@@ -140,8 +139,8 @@ def repeated_paragraphs(
     posted = distinct.select("key", "n", F.posexplode("bands").alias("band", "value"))
     posted = posted.select(F.xxhash64("band", "value").alias("token"), "key", "n", F.lit(0).alias("p"))
     known = distinct.select("key", "place.row", "place.code", "n", "mark")
-    links = similar_in_buckets(posted, known, texts, _full_sets(least_words), percent)
-    label = components(links).select(F.col("node").alias("key"), "component")
+    _, label = similar_in_buckets(posted, known, texts, _full_sets(least_words), percent)
+    label = label.select(F.col("node").alias("key"), "component")
     labelled = distinct.select("key", "place", "places").join(label, "key", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "key"))
     clusters = labelled.groupBy("component").agg(F.min("place").alias("first"), F.sum("places").alias("places"))

@@ -171,8 +171,8 @@ def _marks_near(x: tuple[Column, Column], y: tuple[Column, Column], percent: int
     return (100 + percent) * differ <= (100 - percent) * (n + m)
 
 
-def similar_in_buckets(posted: DataFrame, known: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
-    """Links (a, b) between keys of similar sets that share a bucket.
+def similar_in_buckets(posted: DataFrame, known: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, label): links (a, b) between keys of similar sets that share a bucket, and the components (node, component) they make.
 
     ``posted``: (token, key, n, p), a row for each bucket (token) a set is in; ``n`` is its size and ``p`` the position of the
     token in it (0 where positions mean nothing). ``known``: (key, row, code, n, mark), one row per set with its parity mark; ``row``
@@ -185,24 +185,45 @@ def similar_in_buckets(posted: DataFrame, known: DataFrame, texts: DataFrame, se
     of other components. So a bucket of near copies costs its size, not its square, and its sets are sent about twice.
     Pairs that their parity marks rule out are never sent.
     """
-    bucket = Window.partitionBy("token").orderBy("key")
-    met = posted.withColumns({"prev": F.lag("key").over(bucket), "more": F.lead("key").over(bucket)})
-    met = met.filter(F.col("prev").isNotNull() | F.col("more").isNotNull())
-    met = kept(met.select("token", "key", "n", "p"), "meetings")
+    met = kept(_distinct_buckets(posted), "meetings")
     known = kept(known.join(met.select("key").distinct(), "key"), "known")
     rows = met.select("token", "key", "n", "p", F.col("key").alias("component"))
-    links = done = None
+    links = done = label = None
     for nearby in (_next(1), _next(NEIGHBOURS), _hubs, _across):
         if links is not None:
-            rows = _mixed_buckets(met, components(links))
+            rows = _mixed_buckets(met, label)
         pairs = nearby(rows, links, known, percent)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = kept(_not_ruled_out(pairs, known, percent), "pairs")
         more = kept(_verified(pairs, known, texts, sets, percent), "links")
         done = pairs if done is None else done.unionByName(pairs)
+        label = _joined(label, more)
         links = more if links is None else links.unionByName(more)
-    return links
+    return links, label
+
+
+def _joined(label: DataFrame | None, more: DataFrame) -> DataFrame:
+    """The components after ``more`` links. Those so far stand in for the links that made them."""
+    if label is None:
+        return components(more)
+    if more.isEmpty():
+        return label
+    return components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
+def _distinct_buckets(posted: DataFrame) -> DataFrame:
+    """The rows of the buckets with two members or more; of buckets with the same members, those of the least token.
+
+    Near copies share most of their tokens, so they meet in many buckets that say the same. The least token of these is the first one that any
+    two of its members share, and positions rule a pair out by no other; where positions mean nothing, one bucket is as good as another.
+    """
+    bucket = Window.partitionBy("token")
+    members = {"size": F.count(F.lit(1)), "low": F.min("key"), "code": F.bit_xor(F.xxhash64("key"))}
+    met = posted.withColumns({name: value.over(bucket) for name, value in members.items()}).filter("size > 1")
+    met = kept(met, "buckets")
+    first = met.filter("key = low").groupBy(*members).agg(F.min("token").alias("token")).select("token")
+    return met.join(first, "token", "left_semi").select("token", "key", "n", "p")
 
 
 def _next(neighbours: int):

@@ -114,6 +114,35 @@ def test_near_duplicates_edges(spark, documents):
     assert stay.columns == df.columns and {r.doc_id for r in stay.collect()} == {1, 3, None}
 
 
+def test_buckets_of_the_same_members_are_one(spark, documents, monkeypatch):
+    text = prose(11, 300)
+    seen = {}
+
+    def kept(frame, label, keep=set_links.kept):
+        seen[label] = keep(frame, label)
+        return seen[label]
+
+    monkeypatch.setattr(set_links, "kept", kept)
+    docs = documents([(1, text), (2, text + " end"), (3, prose(12, 300))])
+    got = {r.doc_id: r.component_id for r in ngram.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    assert [r["count"] for r in seen["meetings"].groupBy("token").count().collect()] == [2]
+
+    posted = [(5, 1), (5, 2), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3), (9, 1), (9, 2), (9, 3), (7, 3)]
+    folded = set_links._distinct_buckets(spark.createDataFrame([(t, k, 10, t) for t, k in posted], "token long, key long, n long, p int"))
+    assert sorted((r.token, r.key) for r in folded.collect()) == [(3, 1), (3, 2), (4, 1), (4, 2), (4, 3)]
+
+
+def test_components_go_on_from_those_so_far(spark):
+    def links(*pairs):
+        return spark.createDataFrame(list(pairs), "a long, b long")
+
+    label = set_links._joined(None, links((1, 2), (3, 2), (5, 6)))
+    assert set_links._joined(label, links()) is label
+    label = set_links._joined(label, links((6, 3), (8, 9)))
+    assert {(r.node, r.component) for r in label.collect()} == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (8, 8), (9, 8)}
+
+
 def test_probe_walks_the_tree(spark):
     import numpy as np
 
