@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from basketwise.functions.durable import broadcast_if_small
 from basketwise.llm.set_links import similar_in_buckets
 from basketwise.llm.store import kept, table
-from basketwise.llm.words import MARK_WORDS, Words, distinct_per_unit, list_array, mix, parity_marks, shingles
+from basketwise.llm.words import MARK_WORDS, Words, distinct_per_unit, list_array, mix, parity_marks, shingles, wide_marks
 
 SHINGLE = 5
 #: Counters of the frequency sketch, whose size doesn't depend on the input. They only set the global order; any
@@ -106,7 +106,7 @@ def _set_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _prefixes(levels: np.ndarray, percent: int, kind: pa.DataType):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(row, code, n, key, mark, prefix) of each text."""
+        """(row, code, n, key, mark, wide, prefix) of each text."""
         words = Words()
         for batch in batches:
             ids = batch.column("row")
@@ -117,6 +117,7 @@ def _prefixes(levels: np.ndarray, percent: int, kind: pa.DataType):
                 unit = np.repeat(np.arange(len(n)), n)
                 inside = np.arange(len(tokens)) - bounds[:-1][unit] < first[unit]
                 starts = np.concatenate([[0], np.cumsum(first)])
+                wide, wide_ends = wide_marks(tokens, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(part.rows[0], len(part.rows)).cast(kind),
@@ -124,9 +125,10 @@ def _prefixes(levels: np.ndarray, percent: int, kind: pa.DataType):
                         pa.array(n.astype(np.int64)),
                         pa.array(_set_keys(tokens, bounds), mask=n == 0),
                         list_array(parity_marks(tokens, bounds).ravel().view(np.int64), np.arange(len(n) + 1) * MARK_WORDS),
+                        list_array(wide.view(np.int64), wide_ends),
                         list_array(tokens[inside].view(np.int64), starts),
                     ],
-                    ["row", "code", "n", "key", "mark", "prefix"],
+                    ["row", "code", "n", "key", "mark", "wide", "prefix"],
                 )
 
     return prefixes
@@ -153,16 +155,16 @@ def similar_sets(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     texts = docs.select(F.col(id_col).alias("row"), F.xxhash64(text).alias("code"), text.alias("text"))
     field = docs.schema[id_col].dataType
     levels = frequency_levels(texts)
-    schema = f"row {field.simpleString()}, code long, n long, key long, mark array<long>, prefix array<long>"
+    schema = f"row {field.simpleString()}, code long, n long, key long, mark array<long>, wide array<long>, prefix array<long>"
     members = kept(texts.mapInArrow(_prefixes(levels, percent, _arrow_type(texts)), schema), "members")
     sets = members.filter(F.col("n") > 0).groupBy("key")
     posted = sets.agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     posted = posted.select("key", "n", F.posexplode("prefix").alias("p", "token"))
     found_in = F.min(F.struct(F.col("row").isNull().alias("no_id"), "row", "code")).alias("place")
-    known = sets.agg(found_in, F.first("n").alias("n"), F.first("mark").alias("mark"))
-    known = known.select("key", "place.row", "place.code", "n", "mark")
+    known = sets.agg(found_in, F.first("n").alias("n"), F.first("mark").alias("mark"), F.first("wide").alias("wide"))
+    known = known.select("key", "place.row", "place.code", "n", "mark", "wide")
     links, label = similar_in_buckets(posted, known, texts, _full_sets(levels), percent)
-    return members.drop("code", "prefix", "mark"), links, label
+    return members.drop("code", "prefix", "mark", "wide"), links, label
 
 
 def _arrow_type(texts: DataFrame) -> pa.DataType:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from basketwise.functions.durable import broadcast_if_small
 from basketwise.llm.set_links import similar_in_buckets
 from basketwise.llm.store import kept, table
-from basketwise.llm.words import MARK_WORDS, Words, distinct_per_unit, list_array, mix, parity_marks, shingles
+from basketwise.llm.words import MARK_WORDS, Words, distinct_per_unit, list_array, mix, parity_marks, shingles, wide_marks
 
 SHINGLE = 5
 BANDS, ROWS = 16, 4
@@ -70,7 +70,7 @@ def mix_high(x: np.ndarray) -> np.ndarray:
 
 def _paragraphs(least_words: int, kind: pa.DataType):
     def paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(row, code, line, start, stop, n_words, n, key, mark, bands) of each paragraph; start and stop in code points of the text."""
+        """(row, code, line, start, stop, n_words, n, key, mark, wide, bands) of each paragraph; start and stop in code points of the text."""
         words = Words()
         for batch in batches:
             ids = batch.column("row")
@@ -83,6 +83,7 @@ def _paragraphs(least_words: int, kind: pa.DataType):
                 text_start = points[part.offsets[:-1][first_unit]]
                 stops = part.offsets[1:] - (np.append(part.data, 0)[np.maximum(part.offsets[1:] - 1, 0)] == 10)
                 bands = _bands(tokens, bounds)
+                wide, wide_ends = wide_marks(tokens, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(part.rows[units])).cast(kind),
@@ -94,9 +95,10 @@ def _paragraphs(least_words: int, kind: pa.DataType):
                         pa.array(np.diff(bounds).astype(np.int64)),
                         pa.array(_set_keys(tokens, bounds)),
                         list_array(parity_marks(tokens, bounds).ravel().view(np.int64), np.arange(len(units) + 1) * MARK_WORDS),
+                        list_array(wide.view(np.int64), wide_ends),
                         list_array(bands.ravel().view(np.int64), np.arange(len(units) + 1) * BANDS),
                     ],
-                    ["row", "code", "line", "start", "stop", "n_words", "n", "key", "mark", "bands"],
+                    ["row", "code", "line", "start", "stop", "n_words", "n", "key", "mark", "wide", "bands"],
                 )
 
     return paragraphs
@@ -129,16 +131,16 @@ def repeated_paragraphs(
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("row"), F.xxhash64(text).alias("code"), text.alias("text"))
     field = texts.schema["row"].dataType
-    ddl = f"row {field.simpleString()}, code long, line int, start long, stop long, n_words long, n long, key long, mark array<long>, bands array<long>"
+    ddl = f"row {field.simpleString()}, code long, line int, start long, stop long, n_words long, n long, key long, mark array<long>, wide array<long>, bands array<long>"
     found = kept(texts.mapInArrow(_paragraphs(least_words, to_arrow_type(field)), ddl), "paragraphs")
     place = F.struct(F.col("row").isNull().alias("no_id"), "row", "line", "code")
     distinct = found.groupBy("key").agg(
-        F.min(place).alias("place"), F.count(F.lit(1)).alias("places"), F.first("n").alias("n"), F.first("mark").alias("mark"), F.first("bands").alias("bands")
+        F.min(place).alias("place"), F.count(F.lit(1)).alias("places"), F.first("n").alias("n"), F.first("mark").alias("mark"), F.first("wide").alias("wide"), F.first("bands").alias("bands")
     )
     distinct = kept(distinct, "distinct")
     posted = distinct.select("key", "n", F.posexplode("bands").alias("band", "value"))
     posted = posted.select(F.xxhash64("band", "value").alias("token"), "key", "n", F.lit(0).alias("p"))
-    known = distinct.select("key", "place.row", "place.code", "n", "mark")
+    known = distinct.select("key", "place.row", "place.code", "n", "mark", "wide")
     _, label = similar_in_buckets(posted, known, texts, _full_sets(least_words), percent)
     label = label.select(F.col("node").alias("key"), "component")
     labelled = distinct.select("key", "place", "places").join(label, "key", "left")

@@ -171,11 +171,25 @@ def _marks_near(x: tuple[Column, Column], y: tuple[Column, Column], percent: int
     return (100 + percent) * differ <= (100 - percent) * (n + m)
 
 
+def _wide_marks_near(x: tuple[Column, Column], y: tuple[Column, Column], percent: int) -> Column:
+    """As _marks_near, for wide marks; the wider one is folded to the width of the other."""
+    (n, a), (m, b) = x, y
+    words = F.least(F.size(a), F.size(b))
+
+    def folded(mark: Column, at: Column) -> Column:
+        parts = F.sequence(F.lit(0), (F.size(mark) / words).cast("int") - 1)
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda bits, part: bits.bitwiseXOR(F.get(mark, at + part * words)))
+
+    each = F.sequence(F.lit(0), words - 1)
+    differ = F.aggregate(each, F.lit(0), lambda sum_, at: sum_ + F.bit_count(folded(a, at).bitwiseXOR(folded(b, at))))
+    return (100 + percent) * differ <= (100 - percent) * (n + m)
+
+
 def similar_in_buckets(posted: DataFrame, known: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> tuple[DataFrame, DataFrame]:
     """(links, label): links (a, b) between keys of similar sets that share a bucket, and the components (node, component) they make.
 
     ``posted``: (token, key, n, p), a row for each bucket (token) a set is in; ``n`` is its size and ``p`` the position of the
-    token in it (0 where positions mean nothing). ``known``: (key, row, code, n, mark), one row per set with its parity mark; ``row``
+    token in it (0 where positions mean nothing). ``known``: (key, row, code, n, mark, wide), one row per set with its parity marks; ``row``
     and ``code`` find a text that has it in ``texts`` (row, code, text), of which ``sets`` makes the sets again.
     All links are found except such as join two sets that others connect.
 
@@ -183,15 +197,16 @@ def similar_in_buckets(posted: DataFrame, known: DataFrame, texts: DataFrame, se
     NEIGHBOURS next ones, then with the HUBS members of its bucket that have most links so far. What these links connect
     need not be compared again: then only members outside the largest component of their bucket are held against those
     of other components. So a bucket of near copies costs its size, not its square, and its sets are sent about twice.
+    A bucket of so few members that a round holds each against each goes no further: most meet by chance in twos and threes.
     Pairs that their parity marks rule out are never sent.
     """
     met = kept(_distinct_buckets(posted), "meetings")
     known = kept(known.join(met.select("key").distinct(), "key"), "known")
     rows = met.select("token", "key", "n", "p", F.col("key").alias("component"))
     links = done = label = None
-    for nearby in (_next(1), _next(NEIGHBOURS), _hubs, _across):
+    for nearby, settled in ((_next(1), 1), (_next(NEIGHBOURS), 2), (_hubs, 1 + NEIGHBOURS), (_across, max(1 + NEIGHBOURS, HUBS))):
         if links is not None:
-            rows = _mixed_buckets(met, label)
+            rows = _mixed_buckets(met.filter(F.col("size") > settled), label)
         pairs = nearby(rows, links, known, percent)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -223,7 +238,7 @@ def _distinct_buckets(posted: DataFrame) -> DataFrame:
     met = posted.withColumns({name: value.over(bucket) for name, value in members.items()}).filter("size > 1")
     met = kept(met, "buckets")
     first = met.filter("key = low").groupBy(*members).agg(F.min("token").alias("token")).select("token")
-    return met.join(first, "token", "left_semi").select("token", "key", "n", "p")
+    return met.join(first, "token", "left_semi").select("token", "key", "n", "p", "size")
 
 
 def _next(neighbours: int):
@@ -249,11 +264,17 @@ def _hubs(rows: DataFrame, links: DataFrame, known: DataFrame, percent: int) ->
 
 
 def _not_ruled_out(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the parity marks of their sets leave."""
-    for end in ("a", "b"):
-        pairs = pairs.join(known.select(F.col("key").alias(end), F.struct("n", "mark").alias(f"of_{end}")), end)
+    """The pairs (a, b) that the parity marks of their sets leave. Wide marks are fetched for those only that the short ones leave."""
     x, y = F.col("of_a"), F.col("of_b")
-    return pairs.filter(_marks_near((x["n"], x["mark"]), (y["n"], y["mark"]), percent)).select("a", "b")
+    for mark, near in (("mark", _marks_near), ("wide", _wide_marks_near)):
+        if mark == "wide":
+            pairs = kept(pairs, "near")
+            ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+            known = known.join(broadcast_if_small(ends), "key", "left_semi")
+        for end in ("a", "b"):
+            pairs = pairs.join(known.select(F.col("key").alias(end), F.struct("n", mark).alias(f"of_{end}")), end)
+        pairs = pairs.filter(near((x["n"], x[mark]), (y["n"], y[mark]), percent)).select("a", "b")
+    return pairs
 
 
 def _pairs(beside: DataFrame, percent: int) -> DataFrame:

@@ -174,6 +174,23 @@ def parity_marks(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return marks
 
 
+def wide_marks(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity marks of as many bits as a unit has tokens, up to the next power of two, and the bounds of each unit's 64-bit numbers.
+
+    The place of a token in a mark is the one in a wider mark without its highest bits, so the two halves of a mark, added bit by bit, are the mark
+    of half its width, and the first MARK_WORDS that remain are the one that ``parity_marks`` makes.
+    """
+    n = np.diff(bounds)
+    size = np.full(len(n), MARK_WORDS, dtype=np.int64)
+    while (short := 64 * size < n).any():
+        size[short] *= 2
+    ends = np.concatenate([[0], np.cumsum(size)])
+    unit = np.repeat(np.arange(len(n)), n)
+    place = (mix(tokens + np.uint64(0x5851F42D4C957F2D)) & (64 * size - 1)[unit].astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(64 * ends[unit] + place, minlength=64 * ends[-1]) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64), ends
+
+
 def list_array(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """One list per unit."""
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))

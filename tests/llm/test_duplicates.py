@@ -133,6 +133,46 @@ def test_buckets_of_the_same_members_are_one(spark, documents, monkeypatch):
     assert sorted((r.token, r.key) for r in folded.collect()) == [(3, 1), (3, 2), (4, 1), (4, 2), (4, 3)]
 
 
+def test_wide_marks_fold_and_never_rule_out_what_is_similar(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from basketwise.llm.words import MARK_WORDS, parity_marks, wide_marks
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 1100).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[:k], rng.integers(0, 1 << 62, extra).astype(np.uint64)])) for k, extra in ((1100, 0), (1000, 0), (990, 0), (1000, 150), (700, 400), (0, 1000), (3, 0))]
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    values, ends = wide_marks(np.concatenate(sets), bounds)
+    wide = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    assert [len(w) for w in wide] == [32, 16, 16, 32, 32, 16, MARK_WORDS]
+    folded = [np.bitwise_xor.reduce(w.reshape(-1, MARK_WORDS), axis=0).tolist() for w in wide]
+    assert folded == parity_marks(np.concatenate(sets), bounds).tolist()
+
+    pairs = [(i, j, len(sets[i]), wide[i].view(np.int64).tolist(), len(sets[j]), wide[j].view(np.int64).tolist()) for i in range(6) for j in range(i)]
+    df = spark.createDataFrame(pairs, "i int, j int, n int, a array<long>, m int, b array<long>")
+    near = set_links._wide_marks_near((F.col("n"), F.col("a")), (F.col("m"), F.col("b")), 80)
+    got = {(r.i, r.j) for r in df.filter(near).collect()}
+    assert got >= {(i, j) for i, j, *_ in pairs if similar(set(sets[i].tolist()), set(sets[j].tolist()))}
+    assert not any(4 in pair or 5 in pair for pair in got)  # marks of 256 bits leave all of these
+
+
+def test_small_buckets_go_no_further_and_long_sets_are_ruled_out_unsent(spark, documents, monkeypatch):
+    seen = defaultdict(list)
+
+    def kept(frame, label, keep=set_links.kept):
+        seen[label].append(keep(frame, label))
+        return seen[label][-1]
+
+    monkeypatch.setattr(set_links, "kept", kept)
+    text = prose(21, 1_500, 10**6).split()
+    docs = documents([(i, " ".join(text[: 1_000] + prose(30 + i, 600, 10**6).split())) for i in range(3)])
+    got = {r.doc_id: r.component_id for r in ngram.near_duplicates(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 2}
+    assert [frame.count() for frame in seen["pairs"]] == [0] * 4
+    assert [frame.count() for frame in seen["mixed"]][1:] == [0, 0]
+
+
 def test_components_go_on_from_those_so_far(spark):
     def links(*pairs):
         return spark.createDataFrame(list(pairs), "a long, b long")
