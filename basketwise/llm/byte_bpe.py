@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,6 +24,8 @@ from basketwise.llm.store import table
 
 #: Bytes of text in a chunk, about; a chunk and its dictionary are held by one task.
 CHUNK_BYTES = 48 << 20
+#: Words after which a task looks up those of the texts it has split.
+LOOKED_UP = 1 << 19
 
 
 class Vocabulary:
@@ -67,27 +70,47 @@ def _encode_words(vocabulary: Vocabulary):
     return encode
 
 
+def _whole(column: pa.ChunkedArray, kind: pa.DataType) -> pa.Array:
+    """The column as one array that begins at its buffers' first byte."""
+    return pa.concat_arrays([*column.cast(kind).chunks, pa.array([], kind)])
+
+
 def _reassemble(vocabulary: Vocabulary, with_ids: bool):
     def reassemble(texts: pa.Table, dictionary: pa.Table) -> pa.Table:
-        """Ids of each text by position, and the bytes they stand for."""
+        """Ids of each text by position, and the bytes they stand for. The dictionary stays in Arrow; of its words none becomes a Python object."""
         split, table_of, kind = regex.compile(vocabulary.pattern).findall, vocabulary.token_bytes(), vocabulary.id_type()
+        decimal_of = {i: str(i) for i in table_of}
         restore = unpacker()
-        encoded: dict[str, tuple[str, int, bytes]] = {}
-        for batch in dictionary.select(["word", "ids"]).to_batches(max_chunksize=50_000):
-            for word, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                numbers = np.frombuffer(ids, dtype=kind).tolist()
-                encoded[word] = (" ".join(map(str, numbers)), len(numbers), b"".join([table_of[i] for i in numbers]))
+        words = _whole(dictionary.column("word"), pa.large_string())
+        encoded = _whole(dictionary.column("ids"), pa.large_binary())
+        ends = np.frombuffer(encoded.buffers()[1], dtype=np.int64)[: len(encoded) + 1] // np.dtype(kind).itemsize if len(encoded) else np.zeros(1, np.int64)
+        values = np.frombuffer(encoded.buffers()[2] or b"", dtype=kind)
         rows, counts, id_digests, byte_digests, lists = [], [], [], [], []
+
+        def looked_up(found: list[str], stops: list[int]) -> None:
+            at = pc.index_in(pa.array(found, pa.large_string()), value_set=words).to_numpy().astype(np.int64)
+            have = ends[at + 1] - ends[at]
+            after = np.concatenate([[0], np.cumsum(have)])
+            ids = values[np.repeat(ends[at] - after[:-1], have) + np.arange(after[-1])]
+            for start, stop in zip([0, *stops], stops):
+                own = ids[after[start] : after[stop]].tolist()
+                counts.append(len(own))
+                id_digests.append(hashlib.sha256(" ".join([decimal_of[i] for i in own]).encode()).hexdigest())
+                byte_digests.append(hashlib.sha256(b"".join([table_of[i] for i in own])).hexdigest())
+                if with_ids:
+                    lists.append(own)
+
+        found, stops = [], []
         for batch in texts.select(["row", "packed"]).to_batches(max_chunksize=1_000):
             rows.extend(batch.column(0).to_pylist())
             for packed in batch.column(1):
-                found = [encoded[word] for word in split(restore(packed).decode())]
-                ids = " ".join([f[0] for f in found])
-                counts.append(sum([f[1] for f in found]))
-                id_digests.append(hashlib.sha256(ids.encode()).hexdigest())
-                byte_digests.append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
-                if with_ids:
-                    lists.append([int(i) for i in ids.split()])
+                found.extend(split(restore(packed).decode()))
+                stops.append(len(found))
+                if len(found) >= LOOKED_UP:
+                    looked_up(found, stops)
+                    found, stops = [], []
+        if stops:
+            looked_up(found, stops)
         out = [pa.array(rows, texts.schema.field("row").type), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(byte_digests, pa.string())]
         names = ["row", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:

@@ -40,6 +40,38 @@ def test_ids_equal_the_library(spark, documents, monkeypatch, chunk_bytes):
     assert bpe.encode_texts(documents(rows).limit(0), bpe.given_vocabulary()).count() == 0
 
 
+def test_words_of_a_chunk_take_little_memory(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    monkeypatch.setattr(bpe, "LOOKED_UP", 3)
+    vocabulary = bpe.given_vocabulary()
+    kind, pieces, pack = vocabulary.id_type(), vocabulary.piece_encoder(), zstandard.ZstdCompressor().compress
+    words = ["some", " some", " words", " é", *[f" w{i}" for i in range(100_000)]]
+    ids = [np.array(pieces.encode_ordinary(w), dtype=kind).tobytes() for w in words]
+    dictionary = pa.concat_tables([pa.table({"word": pa.array(words[a:b], pa.string()), "ids": pa.array(ids[a:b], pa.binary())}) for a, b in ((0, 5), (5, 5), (5, len(words)))])
+    texts = ["", "some words é", "", " é", "some words words words é some", " words"]
+    packed = pa.table({"row": list(range(6)), "packed": pa.array([pack(t.encode()) for t in texts], pa.binary())})
+    reassemble = bpe._reassemble(vocabulary, True)
+    none = packed.slice(0, 0)
+
+    def most(words):
+        tracemalloc.start()
+        reassemble(none, words)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak
+
+    assert most(dictionary) - most(dictionary.slice(0, 0)) < 20 * len(words)  # bytes; 194 with a Python object for each
+    got = reassemble(packed, dictionary).to_pylist()
+    library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks(), special_tokens={})
+    assert [r["ids"] for r in got] == [library.encode_ordinary(t) for t in texts]
+    assert [r["decoded_sha256"] for r in got] == [digest(t.encode()) for t in texts]
+
+
 def test_chunks_spread_equal_ids(spark, documents):
     dealt = chunks.deal(documents([(1, f"t{i} " * 100) for i in range(50)]), "doc_id", "text", 2_000)
     assert dealt.select("chunk").distinct().count() > 3
